@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,9 +44,92 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), _pattern(), keep_ids=False)
 
 
+#: Fixed values of the contract: the rules by which pages are judged.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op4_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_graph import judge
+
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _every_20th(name: str) -> Column:
+    return F.col(name) % 20 == 0
+
+
+def op5_pstable_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pstable_ann import search
+
+    return search(_table(spark, sf_dir, "embeddings"), _every_20th("vec_id"), k=20)
+
+
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_templates import drop_recurring_lines
+
+    return drop_recurring_lines(_table(spark, sf_dir, "documents")).select("doc_id", "lines_dropped", "text")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import deduplicated
+
+    return deduplicated(_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_scan import document_tokens
+
+    return document_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), _pattern()).select("doc_id", "n_tokens")
+
+
+def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .norm_topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), _every_20th("vec_id"), k=20, scale=64.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_byte_bpe": op3_byte_bpe}
+    every = (op1_simhash, op2_packing, op3_byte_bpe, op4_url_graph, op5_pstable_ann, op6_line_templates, op7_warc, op8_toxicity, op9_token_scan, op10_norm_topk)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_templates
+
+    return {"op6_line_templates": line_templates.ORACLE_SQL, "op7_warc": WARC_SQL, "op10_norm_topk": TOP_K_SQL}
+
+
+#: Base32 of a hex digest, five bits a character.
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first_id FROM p
+), e AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((('0x' || substr(hex, CAST((i * 5) // 4 AS INTEGER) + 1, 2) || CASE WHEN (i * 5) // 4 = 39 THEN '0' ELSE '' END)::INTEGER >> (3 - (i * 5) % 4)) & 31) AS INTEGER) + 1, 1)), '') AS payload_digest FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to FROM e
+"""
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
