@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql.window import Window
 from ._shared import materialize
 
 END_ID = 2
+KNOWN_WORDS = 300_000
 _DOUBLE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}"
 _LATIN = r"^[\x00-\x{24F}]*$"
 
@@ -50,6 +52,7 @@ class Encoder:
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.known: dict[str, list[int]] = {}
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -64,11 +67,21 @@ class Encoder:
         values = pc.if_else(pa.array(first), values, pc.binary_join_element_wise(" ", values, ""))
         coded = values.dictionary_encode()
         words, at = coded.dictionary, coded.indices.to_numpy()
-        made = self.fast.encode_ordinary_batch(words.to_pylist(), num_threads=1)
+        known, encode = self.known, self.fast.encode_ordinary
+        made = []
+        for word in words.to_pylist():
+            ids = known.get(word)
+            if ids is None:
+                ids = encode(word)
+                if len(word) < 32:
+                    known[word] = ids
+            made.append(ids)
+        if len(known) > KNOWN_WORDS:
+            known.clear()
         for i in np.flatnonzero(~pc.match_substring_regex(words, _LATIN).to_numpy(zero_copy_only=False)).tolist():
             made[i] = self.whole.encode(words[i].as_py(), add_special_tokens=False).ids
         size = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((x for ids in made for x in ids), np.uint32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))
         start = np.cumsum(size) - size
         lens = size[at]
         before = np.cumsum(lens) - lens
@@ -196,8 +209,8 @@ def pieces(docs: DataFrame, tokenizer_json: str, ranks: str, pattern: str, id_co
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                some = batch.slice(at, 4000)
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
                 rows: list[tuple[int, int, int, int, int, int]] = []
                 for i, ids in enumerate(encoder.batch(some.column("text"))):
                     data = np.append(ids, np.uint32(END_ID)).astype("<u4")
