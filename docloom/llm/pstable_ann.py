@@ -28,10 +28,11 @@ from pyspark.sql.window import Window
 from ._shared import materialize, sorted_groups
 
 CELL_ROWS = 1024
-SHARD_ROWS = 512
+SHARD_ROWS = 1024
 SAMPLE_QUERIES = 256
 SAMPLE_ROWS = 4096
 MOST_CELLS = 1024
+HELD_ROWS = 400_000
 WIDTH = 1.5
 _STEPS = np.arange(-2, 3)
 
@@ -122,9 +123,22 @@ def _exact(q: np.ndarray, v: np.ndarray, ids: np.ndarray, own: int, k: int) -> t
     return ids[some][order], score[order]
 
 
+def _merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query so far, each vector once."""
+    q, v, s = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    fresh = np.ones(len(q), bool)
+    fresh[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1])
+    q, v, s = q[fresh], v[fresh], s[fresh]
+    first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate((first, [len(q)]))))
+    return q[rank < k], v[rank < k], s[rank < k]
+
+
 def _fit(rows: DataFrame, queries: DataFrame, k: int) -> tuple[int, float, float]:
     """The number of rows, the largest length, and the typical distance of a k-th neighbour."""
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     n, longest = rows.agg(F.count("*"), F.max(length)).first()
     if not n:
         return 0, 1.0, 1.0
@@ -157,7 +171,8 @@ def search(
     components and never its own id; with fewer than k candidates found it has fewer rows. An empty table gives an
     empty result. Other columns play no part.
     """
-    whole = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    kind = "array<float>" if dict(embeddings.dtypes)[vector_col] == "array<float>" else "array<double>"
+    whole = F.col(vector_col).cast(kind)
     fit_rows = embeddings.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     rows = fit_rows.select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
     queries = fit_rows.where(is_query).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
@@ -167,6 +182,7 @@ def search(
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for mine, x in _lists(batch, "v"):
+                x = x.astype(np.float64)
                 cells = Grid(x.shape[1], tables, functions, longest, distance).cells(x)
                 at = pa.array(np.repeat(mine, tables))
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(cells.ravel())], ["id", "v", "cell"])
@@ -175,11 +191,12 @@ def search(
         for batch in batches:
             for some in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 for mine, q in _lists(some, "v"):
+                    q = q.astype(np.float64)
                     for row, cells in Grid(q.shape[1], tables, functions, longest, distance).probes(q, per_table):
                         at = pa.array(mine[row])
                         yield pa.RecordBatch.from_arrays([some.column("id").take(at), some.column("v").take(at), pa.array(cells)], ["id", "v", "cell"])
 
-    schema = "id long, v array<double>, cell long"
+    schema = f"id long, v {kind}, cell long"
     placed, asked = rows.mapInArrow(index, schema), queries.mapInArrow(probe, schema)
     counts = placed.groupBy("cell").count()
     large = materialize(counts.where(F.col("count") > SHARD_ROWS).select("cell", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("shards")), "ann-large")
@@ -189,25 +206,32 @@ def search(
     asked = asked.join(large, "cell", "left").select("id", "v", F.explode(F.when(F.col("shards").isNull(), F.array("cell")).otherwise(parts)).alias("cell"), F.lit(True).alias("asks"))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = 0
         for table in sorted_groups(batches, "cell"):
             batch = table.combine_chunks().to_batches()[0]
             cells, asks = batch.column("cell").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
             ids = batch.column("id").to_numpy()
             cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
-            out_q, out_v, out_s = [], [], []
             for a, b in zip(cuts, cuts[1:]):
                 if asks[a] or not asks[b - 1]:  # sorted: the vectors of a cell, then its queries
                     continue
                 for mine, x in _lists(batch.slice(a, b - a), "v"):
+                    x = x.astype(np.float64)
                     is_q, own = asks[a:b][mine], ids[a:b][mine]
                     v, vids = x[~is_q], own[~is_q]
-                    for i in np.flatnonzero(is_q):
-                        near, score = _exact(x[i], v, vids, own[i], k) if len(v) else (np.empty(0, np.int64), np.empty(0))
-                        out_q.append(np.full(len(near), own[i]))
-                        out_v.append(near)
-                        out_s.append(score)
-            if out_q:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
+                    for i in np.flatnonzero(is_q) if len(v) else ():
+                        near, score = _exact(x[i], v, vids, own[i], k)
+                        held.append((np.full(len(near), own[i]), near, score))
+                        rows += len(near)
+            if rows > HELD_ROWS:
+                held = [_merged(held, k)]
+                rows = len(held[0][0])
+                if rows > HELD_ROWS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["query_id", "vec_id", "score"])
+                    held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held, k)], ["query_id", "vec_id", "score"])
 
     dealt = placed.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "asks")
     found = dealt.mapInArrow(rerank, "query_id long, vec_id long, score double")
