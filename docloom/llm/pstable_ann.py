@@ -168,8 +168,8 @@ def search(
 
     Scores are computed in double precision on the vectors as they are. Vectors that are null, empty or zero or hold
     null or non-finite components take no part, nor do rows without id. A query meets vectors of its own number of
-    components and never its own id; with fewer than k candidates found it has fewer rows. An empty table gives an
-    empty result. Other columns play no part.
+    components and never its own id; with fewer than k candidates found it has fewer rows. Rows that repeat an id count as one. An empty table gives
+    an empty result. Other columns play no part.
     """
     kind = "array<float>" if dict(embeddings.dtypes)[vector_col] == "array<float>" else "array<double>"
     whole = F.col(vector_col).cast(kind)

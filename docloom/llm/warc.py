@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -56,6 +57,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refer
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
+def _unpacked(data: bytes) -> bytes:
+    """All members of an archive; read as a stream, since ``gzip.decompress`` copies what is left for each member."""
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+        return f.read()
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers in lower case, block) of each record of an unpacked archive."""
     at = 0
@@ -128,7 +135,7 @@ def read_archives(spark: SparkSession, folder: str, written: DataFrame | None =
         for batch in batches:
             for content in batch.column("content"):
                 out: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
-                for head, block in parse(gzip.decompress(content.as_py())):
+                for head, block in parse(_unpacked(content.as_py())):
                     body = block.partition(b"\r\n\r\n")[2]
                     whole = head["warc-type"] == "response"
                     sha = head["warc-payload-digest"].removeprefix("sha1:")
