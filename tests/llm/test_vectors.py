@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from docloom.llm import norm_topk as T
 from docloom.llm import pstable_ann as A
 
-EVERY_5TH = F.col("vec_id") % 5 == 0
+def every_5th():
+    return F.col("vec_id") % 5 == 0
+
 
 
 def frame(spark, rows):
@@ -25,7 +27,7 @@ def vectors(n, dim, seed, norms=False):
     return [(i, x.tolist()) for i, x in enumerate(v)]
 
 
-ODD = [(1000, None), (1005, []), (1010, [0.0] * 8), (1015, [math.nan] + [1.0] * 7), (1020, [math.inf] * 8), (1025, [1.0, 2.0]), (1030, [2.0, 1.0]), (None, [1.0] * 8), (1035, [1.0] * 7 + [None])]
+ODD = [(5000, None), (5005, []), (5010, [0.0] * 8), (5015, [math.nan] + [1.0] * 7), (5020, [math.inf] * 8), (5025, [1.0, 2.0]), (5030, [2.0, 1.0]), (None, [1.0] * 8), (5035, [1.0] * 7 + [None])]
 
 
 def slow(rows, k, usable, score):
@@ -45,7 +47,7 @@ def test_exact_top_k(spark, monkeypatch, norms, high):
     monkeypatch.setattr(T, "BLOCK_ROWS", 16)
     monkeypatch.setattr(T, "HIGH_COSINE", high)
     rows = vectors(300, 8, 1, norms) + ODD
-    got = {tuple(r) for r in T.top_k(frame(spark, rows).repartition(3), EVERY_5TH, k=7).collect()}
+    got = {tuple(r) for r in T.top_k(frame(spark, rows).repartition(3), every_5th(), k=7).collect()}
     whole = lambda v: np.floor(64 * v.astype(np.float64)).astype(np.int64)
     assert got == slow(rows, 7, lambda v: True, lambda q, v: int(whole(q) @ whole(v)))
 
@@ -64,10 +66,10 @@ def test_pruning_loses_nothing(seed):
 
 def test_few_and_none(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert T.top_k(empty, EVERY_5TH).collect() == [] and A.search(empty, EVERY_5TH).collect() == []
+    assert T.top_k(empty, every_5th()).collect() == [] and A.search(empty, every_5th()).collect() == []
     two = frame(spark, [(0, [1.0, 2.0]), (1, [3.0, -1.0])])
-    assert [tuple(r) for r in T.top_k(two, EVERY_5TH).collect()] == [(0, 1, 1, 64 * 64 * 3 - 128 * 64)]
-    assert [tuple(r) for r in A.search(two, EVERY_5TH, per_table=1.0).collect()] == [(0, 1, 1, 1.0)]
+    assert [tuple(r) for r in T.top_k(two, every_5th()).collect()] == [(0, 1, 1, 64 * 64 * 3 - 128 * 64)]
+    assert [tuple(r) for r in A.search(two, every_5th(), per_table=1.0).collect()] == [(0, 1, 1, 1.0)]
 
 
 @pytest.mark.parametrize("norms", [False, True])
@@ -75,7 +77,7 @@ def test_neighbours_are_exact_and_recalled(spark, monkeypatch, norms):
     monkeypatch.setattr(A, "SHARD_ROWS", 30)
     monkeypatch.setattr(A, "CELL_ROWS", 100)
     rows = vectors(1200, 8, 2, norms) + ODD
-    got = A.search(frame(spark, rows).repartition(3), EVERY_5TH, k=10).collect()
+    got = A.search(frame(spark, rows).repartition(3), every_5th(), k=10).collect()
     want = slow(rows, 10, any, lambda q, v: float((q * v).sum()))
     assert all(abs(float(np.dot(dict(rows)[r.query_id], dict(rows)[r.vec_id])) - r.score) < 1e-9 for r in got)
     assert len({(r.query_id, r.vec_id) for r in got}) == len(got)
@@ -89,5 +91,5 @@ def test_neighbours_are_exact_and_recalled(spark, monkeypatch, norms):
 
 
 def test_the_plan_has_no_cross_join(spark):
-    plan = T.top_k(frame(spark, vectors(50, 8, 3)), EVERY_5TH)._jdf.queryExecution().executedPlan().toString()
+    plan = T.top_k(frame(spark, vectors(50, 8, 3)), every_5th())._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoop", plan)
