@@ -123,7 +123,7 @@ def below_ratio(u64: Column, ratio: float) -> Column:
     from fractions import Fraction
     from math import ceil
 
-    return u64 < F.lit(ceil(Fraction(str(ratio)) * 2**64)).cast("decimal(20,0)")
+    return u64 < F.lit(str(ceil(Fraction(str(ratio)) * 2**64))).cast("decimal(20,0)")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -22,9 +22,11 @@ def normalize_surface(value: str) -> str:
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", value)).strip().lower()
 
 
-@F.pandas_udf("string")
-def normalized_surface(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else normalize_surface(v))
+def normalized_surface(c: Column) -> Column:
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else normalize_surface(v))
+
+    return F.pandas_udf(run, "string")(c)
 
 
 def nearby_province(left: Column) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import unicodedata
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,5 +62,5 @@ def test_jaccard_and_html(spark):
 
 
 def test_ratio_bounds(spark):
-    rows = spark.createDataFrame([(0,), (2**64 - 1,), (1844674407370955161,), (1844674407370955162,)], "u decimal(20,0)")
+    rows = spark.createDataFrame([(Decimal(u),) for u in (0, 2**64 - 1, 1844674407370955161, 1844674407370955162)], "u decimal(20,0)")
     assert [r[0] for r in rows.select(T.below_ratio(F.col("u"), 0.1)).collect()] == [True, False, True, False]
