@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
-from docloom.operators import anonymize, cluster, evaluate, geo, markers, ner, pairs, review, roles, scoring, spans
+from docloom.operators import anonymize, cluster, curate, datasets, evaluate, geo, markers, names, ner, pairs, review, roles, scoring, spans
 from docloom.plans import fixtures as X
+from docloom.plans import pipelines
 
 QUERIES = {}
 SQL = {}
@@ -443,3 +444,65 @@ def event_windows(spark, sf_dir):
     return ingest.windowed_counts(X.table(spark, sf_dir, "events")).select("window_start", "event_type", "n")
 
 
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf_dir):
+    from docloom.streaming import ingest
+
+    return ingest.sessions(X.table(spark, sf_dir, "events"))
+
+
+# ---- datasets and whole runs --------------------------------------------------------------------------------------
+
+
+def _people(spark, sf_dir):
+    m = X.mentions(spark, sf_dir).where("label in ('PER', 'ORG')")
+    return m.select("doc_id", "entity_id", "start", "end", "surface", "label", F.substring("surface", 1, 1).alias("marker"))
+
+
+@query()
+def raw_pairs(spark, sf_dir):
+    return datasets.raw_pairs(_people(spark, sf_dir), X.documents(spark, sf_dir)).select("doc_id", "pair_id", "label", "difficulty", "token_jaccard")
+
+
+@query()
+def natural_pairs(spark, sf_dir):
+    made, _ = datasets.natural_pairs(_people(spark, sf_dir), X.documents(spark, sf_dir), cap=32)
+    return made.select("doc_id", "pair_id", "label", "difficulty", "mention_label", "token_jaccard")
+
+
+@query(f"""WITH {X.MENTIONS_SQL}, p AS (SELECT * FROM mentions WHERE label IN ('PER', 'ORG')),
+q AS (SELECT a.doc_id, a.entity_id = b.entity_id AS same, lower(a.surface) = lower(b.surface) AS eq FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.label = b.label AND a."start" < b."start"),
+n AS (SELECT doc_id, count_if(same) AS p, count_if(NOT same) AS n FROM q GROUP BY doc_id)
+SELECT doc_id, CAST(least(p, greatest(16, 32 - n)) AS BIGINT) AS positives, CAST(least(n, greatest(16, 32 - p)) AS BIGINT) AS negatives FROM n""")
+def natural_pair_quotas(spark, sf_dir):
+    made, _ = datasets.natural_pairs(_people(spark, sf_dir), X.documents(spark, sf_dir), cap=32)
+    return made.groupBy("doc_id").agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"))
+
+
+@query()
+def anonymize_batch(spark, sf_dir):
+    tagger = ner.rule_tagger({"PER": r"\b[A-Z][a-z]{11,}\b", "ORG": r"\b(?:Apache|Creative Commons)\b"})
+    out = pipelines.anonymize_batch(X.documents(spark, sf_dir), tagger)
+    return out.select("doc_id", "status", F.size("replacements").alias("replacements"), F.md5("anonymized_text").alias("text_md5"), F.col("released_text").isNotNull().alias("released"))
+
+
+@query()
+def reconstruct_batch(spark, sf_dir):
+    return pipelines.reconstruct_batch(X.documents(spark, sf_dir)).select("doc_id", "quality_score", "quality_tier", "eligible", "replacements", "roundtrip_ok")
+
+
+@query("SELECT doc_id, md5(nfc_normalize(text)) AS nfc_md5 FROM documents")
+def nfc_texts(spark, sf_dir):
+    return X.documents(spark, sf_dir).select("doc_id", F.md5(names.unicode_form(F.col("text"))).alias("nfc_md5"))
+
+
+@query(f"""WITH {X.FEATURES_SQL}, c AS (SELECT doc_id, CASE WHEN numbered_marker > 0 THEN 'marker_number,' ELSE '' END || CASE WHEN procedural_code > 0 THEN 'marker_mail,' ELSE '' END || CASE WHEN n_chars < 1000 THEN 'short,' ELSE '' END AS c, n_chars % 3 = 0 AS sel FROM features)
+SELECT doc_id, CASE WHEN sel THEN '' ELSE rtrim(c, ',') END AS categories FROM c""")
+def challenge_categories(spark, sf_dir):
+    reasons = F.when(F.col("n_chars") < 1000, F.array(F.lit("short"), F.lit("unwanted"))).otherwise(F.array().cast("array<string>"))
+    made = curate.challenge_categories(F.coalesce("text", F.lit("")), reasons, F.col("n_chars") % 3 == 0, {"number": "[0-9]{6,}", "mail": "[A-Za-z0-9_.]+@[A-Za-z0-9.]+"}, ["short", "other"])
+    return X.documents(spark, sf_dir).select("doc_id", F.array_join(made, ",").alias("categories"))
