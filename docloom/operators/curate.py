@@ -55,11 +55,6 @@ def in_future(issued: Column, today: Column) -> Column:
     return F.coalesce(F.try_to_date(F.substring(issued.cast("string"), 1, 10), "yyyy-MM-dd") > today, F.lit(False))
 
 
-def first_of_each(df: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rank = 1").drop("_rank")
-
-
 def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each distinct text, that of the smallest id. Hashes of texts, not texts, are aggregated; so a common text does not gather in one task."""
     hashed = docs.select(F.col(id_col).alias("_id"), F.sha2(F.col(text_col), 256).alias("_hash"))
@@ -143,8 +138,13 @@ def semantic_rejections(text: Column, entities: Column, replacements: Column) ->
 
 
 def first_retained(docs: DataFrame, rejected: Column, text_col: str = "text", order_col: str = "line") -> DataFrame:
-    """Rows that are not rejected, and of equal texts among these the first; a rejected row is nobody's first."""
-    return first_of_each(docs.where(~rejected), [F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)], [F.col(order_col)])
+    """Rows that are not rejected, and of equal texts among these the first; a rejected row is nobody's first.
+
+    ``order_col`` tells rows apart. Hashes are aggregated and places joined back, so that a common text does not gather in one task.
+    """
+    kept = docs.where(~rejected)
+    first = kept.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_hash"), order_col).groupBy("_hash").agg(F.min(order_col).alias(order_col))
+    return kept.join(first.select(order_col), order_col, "left_semi")
 
 
 def diversity_caps(candidates: DataFrame, target: int, order_col: str = "position", category_col: str = "category", family_col: str = "primary_challenge") -> DataFrame:

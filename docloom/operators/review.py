@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 from docloom.operators import evaluate as E
+from docloom.operators.curate import dedup_texts
 
 DECISIONS = ("entity", "not_entity", "unsure")
 _PROVINCE = r"(?iU)(?:tỉnh|thành phố|tp\.)\s+(\p{Lu}\p{Ll}*(?:\s+\p{Lu}\p{Ll}*)*)"
@@ -80,9 +81,8 @@ def controls(docs: DataFrame, n: int, id_col: str = "doc_id", seed: str | int =
 
 def rejected_sample(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", count_col: str = "mentions", seed: str | int = 42, least: int = 4, most: int = 100) -> DataFrame:
     """n rejected documents with a workable number of mentions, of different texts, by hash."""
-    fit = docs.where(F.col(count_col).between(least, most)).withColumn("_hash", F.sha2(F.col(text_col), 256))
-    first = fit.withColumn("_r", F.row_number().over(Window.partitionBy("_hash").orderBy(id_col))).where("_r = 1").drop("_r", "_hash")
-    return controls(first, n, id_col, seed)
+    fit = docs.where(F.col(count_col).between(least, most))
+    return controls(dedup_texts(fit, id_col, text_col), n, id_col, seed)
 
 
 def queue(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

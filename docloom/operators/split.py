@@ -28,6 +28,22 @@ def hash_split(docs: DataFrame, validation: float = 0.1, test: float = 0.1, seed
     return docs.withColumn("split", F.when(T.below_ratio(place, test), "test").when(T.below_ratio(place, both), "validation").otherwise("train"))
 
 
+def ranks(df: DataFrame, group: str, hash_col: str, *ties: str) -> DataFrame:
+    """Add ``rank`` in order of a hex hash within each group, and ``n``, the size of the group; no group is sorted in one task.
+
+    Rows are counted by the first four digits of the hash; what comes before is a running sum over at most 65,536 counts
+    of a group, and only rows that share the digits are sorted together.
+    """
+    keyed = df.withColumn("_part", F.substring(hash_col, 1, 4))
+    counts = keyed.groupBy(group, "_part").agg(F.count("*").alias("_k"))
+    own = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_k").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_k").over(own).alias("n"))
+    joined = keyed.join(placed, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    nth = F.row_number().over(Window.partitionBy(group, "_part").orderBy(hash_col, *ties))
+    return joined.withColumn("rank", F.col("_before") + nth).drop("_part", "_g", "_p", "_before")
+
+
 def stratified_split(docs: DataFrame, strata: list[str], family_col: str | None = None, validation: float = 0.1, test: float = 0.1, seed: str | int = 42, id_col: str = "doc_id") -> DataFrame:
     """(id, split): quotas within each stratum in the order of hashes, then a rescue for challenge families.
 
@@ -39,8 +55,7 @@ def stratified_split(docs: DataFrame, strata: list[str], family_col: str | None
     family = F.col(family_col) if family_col else F.lit(None).cast("string")
     keyed = docs.select(F.col(id_col), stratum.alias("stratum"), family.alias("family"))
     keyed = keyed.withColumn("place", T.stable_hash(str(seed), F.col("stratum"), F.col(id_col)))
-    own = Window.partitionBy("stratum")
-    ranked = keyed.withColumns({"rank": F.row_number().over(own.orderBy("place", id_col)), "n": F.count("*").over(own)})
+    ranked = ranks(keyed, "stratum", "place", id_col)
     # The shares are compared in whole numbers, as a tenth is not exact in doubles.
     quota = lambda ratio: F.when((F.col("n") >= 10) & F.lit(ratio > 0), F.greatest(F.floor(F.col("n") * F.lit(str(ratio)).cast("decimal(10,9)")), F.lit(1))).otherwise(F.floor(F.col("n") * F.lit(str(ratio)).cast("decimal(10,9)")))
     v, t = quota(validation), quota(test)

@@ -39,9 +39,9 @@ def json_lines(spark: SparkSession, path: str, schema: str, offset: int = 0, lim
 
 
 def latest_by_id(df: DataFrame, id_col: str, order_col: str = "line_no") -> DataFrame:
-    """Of rows with one id the last."""
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(order_col).desc()))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """Of rows with one id the last; ``order_col`` tells rows apart."""
+    last = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(order_col).alias(order_col))
+    return df.join(last, [id_col, order_col], "left_semi")
 
 
 def assert_unique(df: DataFrame, id_col: str) -> DataFrame:

@@ -159,3 +159,16 @@ def test_spacing_offsets(text):
     assert len(plain) == len(starts) == len(ends) and "  " not in plain and "\r" not in plain
     assert all(c == text[s] or c in " \n" for c, s in zip(plain, starts))
     assert all(a < b for a, b in zip(starts, ends)) and all(b <= a for b, a in zip(ends, starts[1:]))
+
+
+def test_ranks_without_sorting_a_group(spark):
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).otherwise("g").alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    rows = split.ranks(df, "g", "h").collect()
+    for g in (None, "g"):
+        mine = sorted((r for r in rows if r.g == g), key=lambda r: r.h)
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1)) and {r.n for r in mine} == {len(mine)}
+
+
+def test_first_retained(spark):
+    df = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "a", False), (4, None, False)], "line long, text string, bad boolean")
+    assert sorted(r.line for r in curate.first_retained(df, F.col("bad")).collect()) == [2, 4]
