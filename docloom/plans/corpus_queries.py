@@ -154,7 +154,10 @@ def doc_mean_logprob(spark, sf_dir):
     return made.select("doc_id", F.round("mean_log_probability", 6).alias("mean_log_probability"))
 
 
-@query()
+_ALIKE = "regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '[\\x{200b}-\\x{200d}\\x{2060}\\x{feff}\\x{ad}]', '', 'g'), '[\\t\\x0b\\f\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, CAST(length({_ALIKE}) AS INTEGER) AS chars, CAST(length({_ALIKE}) AS INTEGER) AS mapped FROM documents")
 def ocr_normalized(spark, sf_dir):
     made = ocr.normalize_documents(X.documents(spark, sf_dir))
     return made.select("doc_id", F.length("text").alias("chars"), F.size("source_starts").alias("mapped"))

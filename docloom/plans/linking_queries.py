@@ -148,7 +148,16 @@ def nearest_cross_entity(spark, sf_dir):
     return pairs.nearest_across(X.mentions(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {X.MENTIONS_SQL}, m AS (SELECT doc_id, entity_id, "start" FROM mentions WHERE label = 'PER'),
+near AS (SELECT m.doc_id, m.entity_id AS e, m."start" AS s, o.entity_id AS oe, o."start" AS os FROM m JOIN m o ON m.doc_id = o.doc_id AND m.entity_id <> o.entity_id
+  WHERE o."start" = (SELECT max(x."start") FROM m x WHERE x.doc_id = m.doc_id AND x.entity_id <> m.entity_id AND x."start" < m."start")
+  OR o."start" = (SELECT min(x."start") FROM m x WHERE x.doc_id = m.doc_id AND x.entity_id <> m.entity_id AND x."start" > m."start")),
+p AS (SELECT DISTINCT doc_id, least(e, oe) AS low, greatest(e, oe) AS high, least(s, os) AS a, greatest(s, os) AS b FROM near),
+close AS (SELECT doc_id, low, high, a, b FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, low, high ORDER BY b - a, a) <= 3),
+ends AS (SELECT doc_id, entity_id AS e, min("start") AS f, max("start") AS l FROM m GROUP BY 1, 2),
+far AS (SELECT x.doc_id, x.e AS low, y.e AS high, CASE WHEN abs(y.l - x.f) >= abs(x.l - y.f) THEN least(x.f, y.l) ELSE least(y.f, x.l) END AS a,
+  CASE WHEN abs(y.l - x.f) >= abs(x.l - y.f) THEN greatest(x.f, y.l) ELSE greatest(y.f, x.l) END AS b FROM ends x JOIN ends y ON x.doc_id = y.doc_id AND x.e < y.e)
+SELECT * FROM close UNION SELECT * FROM far""")
 def near_and_far_pairs(spark, sf_dir):
     m = X.mentions(spark, sf_dir)
     return pairs.nearest_and_farthest(m.where("label = 'PER'"))
@@ -304,7 +313,7 @@ def review_strata(spark, sf_dir):
     return review.strata(X.mentions(spark, sf_dir)).select("doc_id", F.array_join("strata", ",").alias("strata"))
 
 
-@query()
+@query(f"WITH {X.MENTIONS_SQL} SELECT doc_id, CAST(count(*) AS INTEGER) AS mentions FROM mentions GROUP BY doc_id")
 def review_queue(spark, sf_dir):
     m = X.mentions(spark, sf_dir)
     docs = X.documents(spark, sf_dir).join(m.select("doc_id").distinct(), "doc_id", "left_semi")
