@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -20,9 +21,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set(_SETTING, base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="docloom-")
+        _own[spark.sparkContext.applicationId] = base
+    _written.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+_written: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the tables that this session's operators have written; call it once the results that read them are stored."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
