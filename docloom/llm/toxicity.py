@@ -77,39 +77,41 @@ def train(rows: list[np.ndarray], labels: np.ndarray, steps: int = 300, rate: fl
     none = Machine(np.empty(0, np.int64), bias, np.empty(0), np.empty((0, FACTORS)))
     if not positive or positive == len(y):
         return none
-    # Pooled two-proportion z for each bucket.
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    bucket, at = np.unique(flat, return_inverse=True)
-    both = np.bincount(at, minlength=len(bucket)).astype(np.float64)
-    toxic = np.bincount(at, weights=y[owner], minlength=len(bucket))
-    share = (both + 1) / (len(y) + 2)
-    z = (toxic / positive - (both - toxic) / (len(y) - positive)) / np.sqrt(share * (1 - share) * (1 / positive + 1 / (len(y) - positive)))
-    z[both < 3] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[np.abs(z[chosen]) >= 4])
-    if not len(chosen):
+    # Pooled two-proportion z for each bucket; counted row by row, as all rows' terms at once take many times their memory.
+    both, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for terms_, label in zip(rows, y):
+        both[terms_] += 1
+        if label:
+            toxic[terms_] += 1
+    bucket = np.flatnonzero(both >= 3)
+    n, t = both[bucket].astype(np.float64), toxic[bucket].astype(np.float64)
+    del both, toxic
+    share = (n + 1) / (len(y) + 2)
+    z = np.abs(t / positive - (n - t) / (len(y) - positive)) / np.sqrt(share * (1 - share) * (1 / positive + 1 / (len(y) - positive)))
+    chosen = np.argsort(-z, kind="stable")[:FEATURES]
+    bucket = np.sort(bucket[chosen[z[chosen] >= 4]])
+    if not len(bucket):
         return none
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    column = np.full(len(bucket), -1)
-    column[chosen] = np.arange(len(chosen))
-    use = column[at] >= 0
-    x[owner[use], column[at][use]] = 1
+    x = np.zeros((len(rows), len(bucket)), np.float32)
+    for i, terms_ in enumerate(rows):
+        at = np.searchsorted(bucket, terms_)
+        at[at == len(bucket)] = 0
+        x[i, at[bucket[at] == terms_]] = 1
     y = y.astype(np.float32)
     r = np.random.RandomState(seed)
-    params = [np.array([bias], np.float32), np.zeros(len(chosen), np.float32), (r.standard_normal((len(chosen), FACTORS)) * 0.01).astype(np.float32)]
+    params = [np.array([bias], np.float32), np.zeros(len(bucket), np.float32), (r.standard_normal((len(bucket), FACTORS)) * 0.01).astype(np.float32)]
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         xv = x @ params[2]
         logit = params[0] + x @ params[1] + 0.5 * (xv**2 - x @ params[2] ** 2).sum(axis=1)
         g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
         gx = x.T @ g
-        grads = [np.array([g.sum()], np.float32), gx + decay * params[1] / len(chosen), x.T @ (g[:, None] * xv) - params[2] * gx[:, None] + decay * params[2]]
+        grads = [np.array([g.sum()], np.float32), gx + decay * params[1] / len(bucket), x.T @ (g[:, None] * xv) - params[2] * gx[:, None] + decay * params[2]]
         for i, grad in enumerate(grads):
             mean[i] = 0.9 * mean[i] + 0.1 * grad
             square[i] = 0.999 * square[i] + 0.001 * grad**2
             params[i] -= rate * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.999**step)) + 1e-8)
-    return Machine(bucket[chosen], float(params[0][0]), params[1].astype(np.float64), params[2].astype(np.float64))
+    return Machine(bucket, float(params[0][0]), params[1].astype(np.float64), params[2].astype(np.float64))
 
 
 def held_out(id_col: Column) -> Column:
@@ -131,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     joined = texts.join(F.broadcast(some), "id").select("id", "y", "text")  # at most sample_rows ids
     kind = dict(joined.dtypes)["id"]
     rows = sorted(joined.mapInArrow(work, f"id {kind}, y int, terms binary").collect(), key=lambda r: (r["id"], r["y"], bytes(r["terms"])))[:sample_rows]
-    return train([np.frombuffer(r["terms"], "<i4").astype(np.int64) for r in rows], np.array([r["y"] for r in rows], np.float64))
+    return train([np.frombuffer(r["terms"], "<i4") for r in rows], np.array([r["y"] for r in rows], np.float64))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:
