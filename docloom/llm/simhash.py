@@ -10,7 +10,7 @@ Cells. Without ``bands`` they are exact for any radius: the planes are cut into
 fingerprints within the radius agree in at least ``m`` of them, so each choice of ``m`` parts is a table. ``m``
 grows with the number of fingerprints, so that cells stay small; it changes the cost, not the result. With
 ``bands=(tables, bits)``, for radii too wide for that, each table is keyed by so many planes, and a link of
-distance d is found with probability 1 - (1 - (1 - d/planes)^bits)^tables. Cells beyond ``cell_rows`` rows are cut
+distance d is found with probability 1 - (1 - (1 - d/planes)^bits)^tables. Cells of too many rows are cut
 into shards, and each pair of shards becomes a cell of its own, so nothing is capped.
 """
 
@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize, per_batch, sorted_groups
 
-CELL_ROWS = 1024
+BLOCK_ROWS = 1024  # small cells share a block of so many rows
+CELL_ROWS = 1024  # fuller cells are cut
+BAND_CELL_ROWS = 4096  # the same where many tables overlap and each cut repeats rows
+BROADCAST_CELLS = 100_000
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1).view(np.uint64).ravel()
 
 
@@ -187,7 +190,7 @@ def _cell_links(radius: int, size: int):
             fps = table.column("fp").to_pylist()
             cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
             for x, y in zip(cuts, cuts[1:]):  # small cells share a comparison; what it finds besides is a link too
-                if held and len(held) + y - x > CELL_ROWS:
+                if held and len(held) + y - x > BLOCK_ROWS:
                     yield links(held)
                     held = []
                 held += fps[x:y]
@@ -235,8 +238,11 @@ def links(distinct: DataFrame, planes: int, radius: int, bands: tuple[int, int]
     keyed = distinct.select("fp", _words(size).alias("w")).select(
         "fp", F.explode(F.array(*[F.xxhash64(F.lit(t), _key(p, size)) for t, p in enumerate(tables)])).alias("cell")
     )
-    half = CELL_ROWS // 2
-    large = materialize(keyed.groupBy("cell").count().where(F.col("count") > CELL_ROWS), "simhash-large")
+    most = BAND_CELL_ROWS if bands else CELL_ROWS
+    half = most // 2
+    large = materialize(keyed.groupBy("cell").count().where(F.col("count") > most), "simhash-large")
+    if large.count() <= BROADCAST_CELLS:  # else Spark shuffles both
+        large = F.broadcast(large)
     shards = F.coalesce(F.ceil(F.col("count") / half), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("shards")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda o: F.xxhash64("cell", F.least(o, F.col("mine")), F.greatest(o, F.col("mine"))))

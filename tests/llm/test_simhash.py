@@ -65,6 +65,7 @@ def texts(n, seed):
 @pytest.mark.parametrize("cell_rows", [1024, 16])
 def test_components(spark, monkeypatch, cell_rows):
     monkeypatch.setattr(S, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(S, "BLOCK_ROWS", cell_rows)
     rows = texts(120, 3) + [(500, None), (501, ""), (502, "  "), (None, "lone text here"), (7, "again"), (7, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as fp", "2 as cell", "3 as component_id")
     got = sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(df).collect()), key=str)
