@@ -292,7 +292,8 @@ def near_duplicates(
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle, planes), "simhash-rows")
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    labels = components(links(distinct, planes, radius, bands))
+    found = materialize(links(distinct, planes, radius, bands), "simhash-links")  # read twice, and dear to compute
+    labels = components(found)
     placed = distinct.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     placed = materialize(placed, "simhash-placed")
     smallest = materialize(placed.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-smallest")
