@@ -307,9 +307,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     Rows without id stay. Of rows that repeat a kept id one stays.
     """
     found = materialize(near_duplicates(docs, id_col, **how).select(id_col, "component_id"), "simhash-found")
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col)
-    often = materialize(keep.groupBy(id_col).count(), "simhash-keep")
-    kept = docs.join(often.select(id_col), id_col, "left_semi")
-    if not often.where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    # Ids that go are far fewer than ids that stay, so texts are joined with these, which Spark may broadcast.
+    named = found.where(F.col(id_col).isNotNull()).groupBy(id_col)
+    counts = materialize(named.agg(F.count_if(F.col(id_col) == F.col("component_id")).alias("stays")), "simhash-counts")
+    kept = docs.join(materialize(counts.where("stays = 0").select(id_col), "simhash-gone"), id_col, "left_anti")
+    if not counts.where("stays > 1").isEmpty():
+        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    return kept.select(*docs.columns)
