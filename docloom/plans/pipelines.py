@@ -41,9 +41,12 @@ def predict(docs: DataFrame, mentions: DataFrame, threshold: float, score: Calla
 
 
 def anonymize_batch(docs: DataFrame, tagger, threshold: float = 0.8, score=None, gazetteer: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with their plan and ``released_text``, which is there for all of them or for none."""
+    """Documents with their plan and ``released_text``, which is there for all of them or for none.
+
+    A document whose mentions could not be clustered needs review, so that it holds back the batch.
+    """
     found = ner.observations(ner.tag(docs, tagger, id_col, text_col), docs, id_col, text_col)
-    known = predict(docs, found, threshold, score, gazetteer, id_col, text_col).where("cluster_id is not null")
+    known = predict(docs, found, threshold, score, gazetteer, id_col, text_col)
     return anonymize.release(anonymize.plan_documents(docs, known, gazetteer, id_col, text_col))
 
 
