@@ -15,9 +15,10 @@ from docloom.llm.packing import pack_documents
 from docloom.llm.simhash import one_of_each
 from docloom.llm.toxicity import fit, score
 
-#: Five-word shingles and a similarity of 0.8 or more. For sets of equal size that Jaccard similarity is a cosine of
-#: 0.889 and so an angle of 0.1515 half turns: 78 of 512 planes. The radius adds a small part of the estimate's deviation, 8 planes.
-NEAR = {"shingle": 5, "planes": 512, "radius": 80, "bands": (24, 14)}
+#: Five-word shingles and a Jaccard similarity of 0.8 or more, computed from the shingles. For sets of equal size that
+#: similarity is a cosine of 0.889 and so an angle of 0.1515 half turns: 78 of 512 planes, of a deviation of 8. The radius
+#: of what is tried lies four of them above.
+NEAR = {"shingle": 5, "planes": 512, "radius": 112, "bands": (48, 13), "similar": 0.8}
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,11 @@ grows with the number of fingerprints, so that cells stay small; it changes the
 ``bands=(tables, bits)``, for radii too wide for that, each table is keyed by so many planes, and a link of
 distance d is found with probability 1 - (1 - (1 - d/planes)^bits)^tables. Cells of too many rows are cut
 into shards, and each pair of shards becomes a cell of its own, so nothing is capped.
+
+Verification. With ``similar`` the links only propose. Documents that they connect form a group, and in each group all
+pairs count whose sets of shingles have at least that Jaccard similarity, computed from the sets themselves. A group of
+large sets is cut into shards like a cell. A pivot is compared, by an inverted index, with the rows that have no
+component yet, and what it reaches become pivots; rows that are placed leave the index.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ BLOCK_ROWS = 1024  # small cells share a block of so many rows
 CELL_ROWS = 1024  # fuller cells are cut
 BAND_CELL_ROWS = 4096  # the same where many tables overlap and each cut repeats rows
 BROADCAST_CELLS = 100_000
+SET_BYTES = 8 << 20  # of the sets in a shard of a group
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1).view(np.uint64).ravel()
 
 
@@ -86,6 +92,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return frame.mapInArrow(per_batch(work, 500), f"id {kind}, fp binary")
 
 
+def _versions(docs: DataFrame, id_col: str, text_col: str, shingle: int, planes: int) -> DataFrame:
+    """(id, version, fp): fingerprints with a hash of the text."""
+    text = F.col(text_col).cast("string")
+    named = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("version")).alias("id"), text.alias("text"))
+    return fingerprints(named, "id", "text", shingle, planes).select("id.id", "id.version", "fp")
+
+
 # ---- comparison inside a cell -------------------------------------------------------------------------------
 
 
@@ -255,6 +268,80 @@ def links(distinct: DataFrame, planes: int, radius: int, bands: tuple[int, int]
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(radius, size), "a binary, b binary")
 
 
+# ---- verification -------------------------------------------------------------------------------------------
+
+
+def similar_forest(sets: list[np.ndarray], similar: float) -> np.ndarray:
+    """A row of each row's component, where sets of a Jaccard similarity of at least ``similar`` are linked. Each set is sorted and without repeats; two empty ones are equal."""
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)[shared := count[code] > 1]
+    code = code[shared]
+    ends = np.cumsum(np.bincount(row, minlength=n))
+    own = [code[a:b] for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist())]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]  # the index: rows by shingle
+    stop = np.cumsum(np.bincount(code, minlength=len(count)))
+    label, open_, indexed, left = np.full(n, -1), np.ones(n, bool), n, n
+    for first in range(n):
+        if label[first] >= 0:
+            continue
+        label[first], open_[first], todo = first, False, [first]
+        left -= 1
+        while todo:
+            p = todo.pop()
+            if left * 2 < indexed:
+                row, code, indexed = row[stay := open_[row]], code[stay], left
+                stop = np.cumsum(np.bincount(code, minlength=len(count)))
+            to = stop[own[p]]
+            many = to - np.where(own[p] > 0, stop[own[p] - 1], 0)
+            at = np.repeat(to - np.cumsum(many), many) + np.arange(many.sum())
+            both = np.bincount(row[at], minlength=n)
+            found = np.flatnonzero(open_ & (both >= similar * (sizes[p] + sizes - both)))
+            label[found], open_[found] = first, False
+            left -= len(found)
+            todo += found.tolist()
+    return label
+
+
+def _verified(similar: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, "cell"):
+            cells, versions = table.column("cell").to_numpy(), table.column("version").to_numpy()
+            sets = table.column("shingles")
+            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+            for x, y in zip(cuts, cuts[1:]):
+                label = similar_forest([np.frombuffer(b.as_buffer(), np.uint64) for b in sets.slice(x, y - x)], similar)
+                linked = np.flatnonzero(label != np.arange(y - x))
+                if len(linked):
+                    yield pa.RecordBatch.from_arrays([pa.array(versions[x:y][linked]), pa.array(versions[x:y][label[linked]])], ["a", "b"])
+
+    return run
+
+
+def _similar_links(docs: DataFrame, placed: DataFrame, text_col: str, shingle: int, similar: float) -> DataFrame:
+    """(a, b): a spanning forest, cell by cell, of the links between versions that share a ``label`` in ``placed``."""
+    groups = placed.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    asked = materialize(placed.join(groups, "label").select("version", F.xxhash64("label").alias("cell")), "simhash-asked")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(text).alias("version"), text.alias("text")).join(asked, "version")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [np.unique(_shingle_hashes(x.as_py(), shingle)).tobytes() for x in batch.column("text")]
+        return pa.RecordBatch.from_arrays([batch.column("version"), batch.column("cell"), pa.array(made, pa.binary())], ["version", "cell", "shingles"])
+
+    sets = texts.mapInArrow(per_batch(work, 500), "version long, cell long, shingles binary").groupBy("version", "cell").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets, "simhash-sets")
+    large = sets.groupBy("cell").agg(F.ceil(F.sum(F.octet_length("shingles")) / SET_BYTES).cast("int").alias("shards")).where("shards > 2")
+    large = materialize(large, "simhash-large-sets")
+    mine = F.pmod(F.xxhash64("version", F.lit(3)), F.col("shards")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda o: F.xxhash64("cell", F.least(o, F.col("mine")), F.greatest(o, F.col("mine"))))
+    dealt = sets.join(large, "cell", "left").withColumn("mine", mine)
+    dealt = dealt.select("version", "shingles", F.explode(F.when(F.col("shards").isNull(), F.array("cell")).otherwise(pairs)).alias("cell"))
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verified(similar), "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): for each vertex of ``edges`` (a, b) the smallest vertex that it reaches.
 
@@ -264,7 +351,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "simhash-edges")
     labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label")), "simhash-labels")
     while True:
-        offered = both.join(labels, both.a == labels.v).select(F.col("b").alias("v"), "label", F.lit(None).cast("binary").alias("old"))
+        offered = both.join(labels, both.a == labels.v).select(F.col("b").alias("v"), "label", F.lit(None).cast(dict(edges.dtypes)["a"]).alias("old"))
         spread = offered.union(labels.select("v", "label", F.col("label").alias("old"))).groupBy("v").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         spread = materialize(spread, "simhash-spread")
         up = spread.select(F.col("v").alias("label"), F.col("label").alias("top"))
@@ -283,19 +370,32 @@ def near_duplicates(
     planes: int = 64,
     radius: int = 4,
     bands: tuple[int, int] | None = None,
+    similar: float | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: its id, ``fp`` (binary) and ``component_id``, the smallest id it reaches.
 
+    With ``similar``, only texts whose sets of shingles have at least that Jaccard similarity are linked, and ``radius``
+    and ``bands`` say which are tried.
+
     Null and blank texts have the zero fingerprint and link like any other. Repeated rows and ids stay as they are.
     A row without id keeps its component; only a component in which no row has an id has a null ``component_id``.
     An empty table gives an empty result. Columns of ``docs`` other than the two named play no part.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle, planes), "simhash-rows")
+    made = fingerprints(docs, id_col, text_col, shingle, planes) if similar is None else _versions(docs, id_col, text_col, shingle, planes)
+    rows = materialize(made, "simhash-rows")
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     found = materialize(links(distinct, planes, radius, bands), "simhash-links")  # read twice, and dear to compute
     labels = components(found)
     placed = distinct.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     placed = materialize(placed, "simhash-placed")
+    if similar is not None:
+        tried = materialize(rows.groupBy("fp", "version").agg(F.min("id").alias("least")).join(placed.select("fp", "label"), "fp"), "simhash-tried")
+        found = materialize(_similar_links(docs, tried, text_col, shingle, similar), "simhash-similar")
+        labels = components(found).withColumnsRenamed({"v": "version", "label": "linked"})
+        placed = materialize(tried.join(labels, "version", "left").select("fp", "version", "least", F.coalesce("linked", "version").alias("label")), "simhash-verified")
+        smallest = materialize(placed.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-smallest")
+        named = materialize(placed.join(smallest, "label").select("version", "component_id"), "simhash-named")
+        return rows.join(named, "version").select(F.col("id").alias(id_col), "fp", "component_id")
     smallest = materialize(placed.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-smallest")
     named = materialize(placed.join(smallest, "label").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from corpus_pipeline import NEAR
 from docloom.llm import simhash as S
 
 
@@ -104,3 +105,57 @@ def test_wide_fingerprints_by_bands(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in S.near_duplicates(df, shingle=5, planes=512, radius=80, bands=(32, 16)).collect()}
     assert len(set(got.values())) == 20
+
+
+def pair(words, jaccard, seed):
+    """Two texts whose sets of five-word shingles have about the given similarity: one word in a while differs, at the ends of a run."""
+    r = np.random.RandomState(seed)
+    a = [f"w{x}" for x in r.randint(0, 10**6, words)]
+    n = words - 4
+    changed = round(n * (1 - jaccard) / (1 + jaccard))
+    return " ".join(a), " ".join(a[: words - changed] + [f"z{x}" for x in r.randint(0, 10**6, changed)])
+
+
+def jaccard(a, b):
+    x, y = (set(S._shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_links_are_verified(spark):
+    rows, want = [], {}
+    for k, target in enumerate([0.75] * 40 + [0.79] * 40 + [0.805] * 80 + [0.85] * 40):
+        a, b = pair(200 + 5 * (k % 80), target, k)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        want[2 * k + 1] = 2 * k if jaccard(a, b) >= 0.8 else 2 * k + 1
+    assert sum(k != v for k, v in want.items()) == 120
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(df, **NEAR).collect()}
+    assert all(got[k] in (v, k) for k, v in want.items()) and all(got[k] == k for k in range(0, len(rows), 2))
+    assert sum(got[k] == v for k, v in want.items() if k != v) >= 0.97 * 120
+
+
+@pytest.mark.parametrize("set_bytes", [1 << 20, 2000])
+def test_verified_components(spark, monkeypatch, set_bytes):
+    monkeypatch.setattr(S, "SET_BYTES", set_bytes)
+    rows = texts(100, 5) + [(500, None), (501, ""), (502, " "), (None, "w1 w2")]
+    want = {i: i for i, _ in rows}
+    for _ in range(5):
+        for i, t in rows[:100]:
+            want[i] = min(want[j] for j, u in rows[:100] if jaccard(t, u) >= 0.8)
+    want |= {501: 500, 502: 500}
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_similar_forest(seed):
+    r = np.random.RandomState(seed)
+    base = [r.choice(500, 40, replace=False) for _ in range(6)]
+    sets = [np.unique(np.concatenate((r.choice(base[r.randint(6)], r.randint(30, 41), replace=False), r.randint(500, 600, r.randint(0, 3))))).astype(np.uint64) for _ in range(80)]
+    sets += [np.empty(0, np.uint64)] * 2
+    label = S.similar_forest(sets, 0.8)
+    near = [[len(set(a.tolist()) & set(b.tolist())) >= 0.8 * len(set(a.tolist()) | set(b.tolist())) for b in sets] for a in sets]
+    want = list(range(len(sets)))
+    for _ in sets:
+        want = [min(want[j] for j in range(len(sets)) if near[i][j]) for i in range(len(sets))]
+    assert label.tolist() == want
