@@ -381,36 +381,55 @@ def near_duplicates(
     A row without id keeps its component; only a component in which no row has an id has a null ``component_id``.
     An empty table gives an empty result. Columns of ``docs`` other than the two named play no part.
     """
-    made = fingerprints(docs, id_col, text_col, shingle, planes) if similar is None else _versions(docs, id_col, text_col, shingle, planes)
-    rows = materialize(made, "simhash-rows")
+    found = _grouped(docs, id_col, text_col, shingle, planes, radius, bands, similar, similar is not None)
+    return found.select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, planes: int, radius: int, bands: tuple[int, int] | None, similar: float | None, versions: bool) -> DataFrame:
+    """(id, fp, label, component_id), and with ``versions`` a hash of the text: rows of a component have the same ``label``."""
+    rows = materialize((_versions if versions else fingerprints)(docs, id_col, text_col, shingle, planes), "simhash-rows")
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     found = materialize(links(distinct, planes, radius, bands), "simhash-links")  # read twice, and dear to compute
     labels = components(found)
     placed = distinct.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     placed = materialize(placed, "simhash-placed")
+    by = "fp"
     if similar is not None:
+        by = "version"
         tried = materialize(rows.groupBy("fp", "version").agg(F.min("id").alias("least")).join(placed.select("fp", "label"), "fp"), "simhash-tried")
         found = materialize(_similar_links(docs, tried, text_col, shingle, similar), "simhash-similar")
         labels = components(found).withColumnsRenamed({"v": "version", "label": "linked"})
-        placed = materialize(tried.join(labels, "version", "left").select("fp", "version", "least", F.coalesce("linked", "version").alias("label")), "simhash-verified")
-        smallest = materialize(placed.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-smallest")
-        named = materialize(placed.join(smallest, "label").select("version", "component_id"), "simhash-named")
-        return rows.join(named, "version").select(F.col("id").alias(id_col), "fp", "component_id")
+        placed = materialize(tried.join(labels, "version", "left").select("version", "least", F.coalesce("linked", "version").alias("label")), "simhash-verified")
     smallest = materialize(placed.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-smallest")
-    named = materialize(placed.join(smallest, "label").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = materialize(placed.join(smallest, "label").select(by, "label", "component_id"), "simhash-named")
+    return rows.join(named, by)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 4,
+    planes: int = 64,
+    radius: int = 4,
+    bands: tuple[int, int] | None = None,
+    similar: float | None = None,
+) -> DataFrame:
     """``docs`` without near duplicates: the row of the smallest id of each component stays.
 
-    Rows without id stay. Of rows that repeat a kept id one stays.
+    Rows without id stay. Of rows that repeat a kept id one stays in each component, so different texts of an id do.
     """
-    found = materialize(near_duplicates(docs, id_col, **how).select(id_col, "component_id"), "simhash-found")
-    # Ids that go are far fewer than ids that stay, so texts are joined with these, which Spark may broadcast.
-    named = found.where(F.col(id_col).isNotNull()).groupBy(id_col)
-    counts = materialize(named.agg(F.count_if(F.col(id_col) == F.col("component_id")).alias("stays")), "simhash-counts")
-    kept = docs.join(materialize(counts.where("stays = 0").select(id_col), "simhash-gone"), id_col, "left_anti")
-    if not counts.where("stays > 1").isEmpty():
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    found = _grouped(docs, id_col, text_col, shingle, planes, radius, bands, similar, True).where("id is not null")
+    texts = materialize(found.groupBy("id", "version", "label").agg((F.col("id") == F.first("component_id")).alias("stays"), F.count("*").alias("n")), "simhash-found")
+    # What goes is far less than what stays, so texts are joined with that, which Spark may broadcast.
+    gone = texts.where("not stays").select("id", "version")
+    repeated = materialize(texts.where("stays").groupBy("id", "label").agg(F.min("version").alias("first"), F.sum("n").alias("n")).where("n > 1"), "simhash-repeated")
+    again = not repeated.isEmpty()
+    if again:
+        gone = gone.unionByName(texts.where("stays").join(repeated.select("id", "label", "first"), ["id", "label"]).where("version <> first").select("id", "version"))
+    gone = materialize(gone.select(F.col("id").alias("_gone_id"), F.col("version").alias("_gone_version")), "simhash-gone")
+    marked = docs.withColumn("_version", F.xxhash64(F.col(text_col).cast("string")))
+    kept = marked.join(gone, (F.col(id_col) == F.col("_gone_id")) & (F.col("_version") == F.col("_gone_version")), "left_anti")
+    if again:
+        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_version"]).unionByName(marked.where(F.col(id_col).isNull()))
     return kept.select(*docs.columns)

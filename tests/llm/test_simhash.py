@@ -100,6 +100,15 @@ def test_one_of_each(spark):
     assert sorted((r.doc_id for r in S.one_of_each(df).collect()), key=str) == [1, 9, None]
 
 
+@pytest.mark.parametrize("how", [{}, NEAR])
+def test_one_of_each_with_repeated_ids(spark, how):
+    a, b, c, d = ("alone and unlike the rest", "some other words that differ here", "a copy of a smaller id is this", "the last of all the texts")
+    rows = [(1, c), (2, a), (2, b), (2, b + " "), (3, c), (3, d), (3, d), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text.strip()) for r in S.one_of_each(df, **how).collect()), key=str)
+    assert got == sorted([(1, c), (2, a), (2, b), (3, d), (None, c)], key=str)
+
+
 def test_wide_fingerprints_by_bands(spark):
     rows = texts(100, 5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
