@@ -10,8 +10,10 @@ their exact product.
 The largest inner product becomes the smallest distance when each vector gets one more component that brings it to
 the largest length M; queries get zero there. M is taken over all rows. d, the distance of the k-th neighbour, is fitted on
 a sample of at most ``SAMPLE_QUERIES`` queries and ``SAMPLE_ROWS`` rows, which overestimates it and so adds cells.
-The number of hash functions grows with the number of rows so that a cell keeps about ``CELL_ROWS`` of them. Fuller
-cells are cut into shards which the query visits one by one, so nothing is capped.
+The number of hash functions grows with the number of rows so that a cell keeps about ``CELL_ROWS`` of them, but only as
+long as ``MOST_CELLS`` cells can reach ``per_table``. Fuller cells are cut into shards which the query visits one by one.
+Queries whose cells fall short of that chance, or that found fewer than k, are compared with all rows, block by block,
+so nothing is capped.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ SAMPLE_QUERIES = 256
 SAMPLE_ROWS = 4096
 MOST_CELLS = 1024
 HELD_ROWS = 400_000
+EXACT_ROWS = 16_384  # rows, and queries, of a block
 WIDTH = 1.5
 _STEPS = np.arange(-2, 3)
 
@@ -82,22 +85,47 @@ class Grid:
             place = self._places(t, q, none)
             code = np.floor(place).astype(np.int64)
             inside = place - code
-            edge = (_STEPS - inside[..., None]) * WIDTH / self.distance
-            chance = _normal(edge + WIDTH / self.distance) - _normal(edge)
-            best = np.ones((len(q), 1))
-            steps = np.zeros((len(q), 1, 0), np.int64)
-            for k in range(code.shape[1]):  # extend the best partial perturbations by each function in turn
-                each = (best[:, :, None] * chance[:, None, k, :]).reshape(len(q), -1)
-                order = np.argsort(-each, axis=1, kind="stable")[:, :MOST_CELLS]
-                best = np.take_along_axis(each, order, axis=1)
-                old = np.take_along_axis(steps, (order // len(_STEPS))[:, :, None], axis=1)
-                steps = np.concatenate((old, _STEPS[order % len(_STEPS)][:, :, None]), axis=2)
+            best, steps = _perturbed(inside, self.distance)
             before = np.cumsum(best, axis=1) - best
             visit = before < per_table
             row, at = np.nonzero(visit)
             yield row, self._keys(t, code[row] + steps[row, at])
 
 
+    def short(self, q: np.ndarray, per_table: float) -> np.ndarray:
+        """Queries that miss a neighbour with more than the chance that ``per_table`` leaves over all tables."""
+        miss, none = np.ones(len(q)), np.zeros(len(q))
+        for t in range(self.tables):
+            place = self._places(t, q, none)
+            miss *= 1 - np.minimum(_perturbed(place - np.floor(place), self.distance)[0].sum(axis=1), 1)
+        return miss > (1 - per_table) ** self.tables
+
+
+def _perturbed(inside: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray]:
+    """For places (rows, functions) inside their cells: the chances (rows, cells), best first, and the steps of at most ``MOST_CELLS`` cells."""
+    edge = (_STEPS - inside[..., None]) * WIDTH / distance
+    chance = _normal(edge + WIDTH / distance) - _normal(edge)
+    best = np.ones((len(inside), 1))
+    steps = np.zeros((len(inside), 1, 0), np.int64)
+    for k in range(inside.shape[1]):  # extend the best partial perturbations by each function in turn
+        each = (best[:, :, None] * chance[:, None, k, :]).reshape(len(inside), -1)
+        order = np.argsort(-each, axis=1, kind="stable")[:, :MOST_CELLS]
+        best = np.take_along_axis(each, order, axis=1)
+        old = np.take_along_axis(steps, (order // len(_STEPS))[:, :, None], axis=1)
+        steps = np.concatenate((old, _STEPS[order % len(_STEPS)][:, :, None]), axis=2)
+    return best, steps
+
+
+def hash_functions(n: int, distance: float, per_table: float) -> int:
+    """As many as keep ``CELL_ROWS`` rows in a cell, or the most with which nine in ten queries reach ``per_table``, if any."""
+    most = max(1, min(16, round(log(max(n, 2) / CELL_ROWS) / log(3.2))))
+    places = np.random.RandomState(5).random_sample((64, most))
+    for f in range(most, 0, -1):
+        if (_perturbed(places[:, :f], distance)[0].sum(axis=1) >= per_table).mean() >= 0.9:
+            return f
+    return most
+
+
 def _lists(batch: pa.RecordBatch, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, matrix) for each number of components in a list column."""
     column = batch.column(name)
@@ -177,7 +205,7 @@ def search(
     rows = fit_rows.select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
     queries = fit_rows.where(is_query).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
     n, longest, distance = _fit(rows, queries, k)
-    functions = max(1, min(16, round(log(max(n, 2) / CELL_ROWS) / log(3.2))))
+    functions = hash_functions(n, max(distance / (longest or 1.0), 1e-6), per_table)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,6 +224,14 @@ def search(
                         at = pa.array(mine[row])
                         yield pa.RecordBatch.from_arrays([some.column("id").take(at), some.column("v").take(at), pa.array(cells)], ["id", "v", "cell"])
 
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                for mine, q in _lists(some, "v"):
+                    q = q.astype(np.float64)
+                    at = mine[Grid(q.shape[1], tables, functions, longest, distance).short(q, per_table)]
+                    yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(at))], ["id"])
+
     schema = f"id long, v {kind}, cell long"
     placed, asked = rows.mapInArrow(index, schema), queries.mapInArrow(probe, schema)
     counts = placed.groupBy("cell").count()
@@ -235,6 +271,19 @@ def search(
 
     dealt = placed.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "asks")
     found = dealt.mapInArrow(rerank, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    once = materialize(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "ann-found")
+
+    enough = once.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    few = queries.select("id").join(enough, "id", "left_anti")
+    lacking = materialize(few.union(queries.mapInArrow(short, "id long")).distinct(), "ann-lacking")
+    m = lacking.count()
+    if m:
+        blocks = lambda size: F.sequence(F.lit(0), F.lit(-(-size // EXACT_ROWS) - 1))
+        block = lambda size: F.pmod(F.xxhash64("id", F.lit(9)), F.lit(-(-size // EXACT_ROWS))).cast("int")
+        every = rows.select("id", "v", block(n).alias("r"), F.explode(blocks(m)).alias("q"), F.lit(False).alias("asks"))
+        them = queries.join(lacking, "id").select("id", "v", F.explode(blocks(n)).alias("r"), block(m).alias("q"), F.lit(True).alias("asks"))
+        dealt = every.unionByName(them).select("id", "v", F.xxhash64("r", "q").alias("cell"), "asks")
+        exact = dealt.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(rerank, "query_id long, vec_id long, score double")
+        once = once.unionByName(exact).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

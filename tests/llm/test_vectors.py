@@ -90,6 +90,23 @@ def test_neighbours_are_exact_and_recalled(spark, monkeypatch, norms):
     assert len(found & all_) >= 0.9 * len(all_)
 
 
+def test_queries_that_fall_short_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(A, "MOST_CELLS", 1)
+    monkeypatch.setattr(A, "CELL_ROWS", 2)
+    monkeypatch.setattr(A, "EXACT_ROWS", 50)
+    rows = vectors(600, 8, 4) + ODD
+    got = A.search(frame(spark, rows).repartition(3), every_5th(), k=10, per_table=0.9).collect()
+    want = slow(rows, 10, any, lambda q, v: float((q * v).sum()))
+    found, all_ = {(r.query_id, r.vec_id) for r in got}, {(q, v) for q, _, v, _ in want}
+    assert len(got) == len(want) and len(found & all_) >= 0.99 * len(all_)
+
+
+@pytest.mark.parametrize("n", [10**4, 10**7, 10**8, 10**9])
+def test_functions_stop_where_the_cells_no_longer_reach(n):
+    places = np.random.RandomState(1).random_sample((64, A.hash_functions(n, 1.2, 0.5)))
+    assert (A._perturbed(places, 1.2)[0].sum(axis=1) >= 0.5).mean() >= 0.8
+
+
 def test_the_plan_has_no_cross_join(spark):
     plan = T.top_k(frame(spark, vectors(50, 8, 3)), every_5th())._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoop", plan)
