@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,12 +19,19 @@ _own: dict[str, str] = {}
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, is a temporary folder taken.
+    Where that is unset, a cluster's warehouse takes its place, which its machines share as well. Only a session that runs
+    in one process, as in tests, gets a temporary folder, which is deleted at exit.
     """
-    base = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+    context = spark.sparkContext
+    base = spark.conf.get(_SETTING, None) or context.getConf().get(_SETTING)
+    if not base and context.master != "local" and not context.master.startswith("local["):
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/docloom-steps"
     if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="docloom-")
-        _own[spark.sparkContext.applicationId] = base
+        base = _own.get(context.applicationId)
+        if not base:
+            made = tempfile.mkdtemp(prefix="docloom-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            base = _own[context.applicationId] = "file://" + made
     _written.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     return _written[-1]
 
@@ -30,21 +39,41 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 _written: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete the tables that this session's operators have written; call it once the results that read them are stored."""
-    jvm = spark.sparkContext._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; this cuts its lineage."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    schema = df.schema
+    return _stored(df, shared_folder(df.sparkSession, name))
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The tables of an iteration: one is deleted once the next, which is made from it alone, is stored."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.last = spark, name, None
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = shared_folder(self.spark, self.name)
+        out = _stored(df, path)
+        if self.last:
+            _delete(self.spark, self.last)
+            _written.remove(self.last)
+        self.last = path
+        return out
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -33,7 +33,7 @@ def test_a_folder_of_its_own_where_none_is_set(monkeypatch):
             return default
 
     class Context:
-        applicationId = "a"
+        applicationId, master = "a", "local[2]"
 
         def getConf(self):
             return Conf()
@@ -44,3 +44,30 @@ def test_a_folder_of_its_own_where_none_is_set(monkeypatch):
     a, b = S.shared_folder(Session(), "x"), S.shared_folder(Session(), "x")
     assert a.startswith("file:///") and a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
     del S._written[-2:]
+
+
+def test_a_cluster_without_a_setting_uses_its_warehouse():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "hdfs://w/"}.get(key, default)
+
+    class Context:
+        applicationId, master = "b", "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    assert S.shared_folder(Session(), "x").startswith("hdfs://w/docloom-steps/x-")
+    del S._written[-1:]
+
+
+def test_rounds_keep_the_last_table_only(spark):
+    from pathlib import Path
+
+    rounds = S.Rounds(spark, "r")
+    first = rounds.store(spark.range(3))
+    old = rounds.last
+    assert rounds.store(first.where("id > 0")).count() == 2 and not Path(old.removeprefix("file://")).exists() and Path(rounds.last.removeprefix("file://")).exists()
