@@ -4,12 +4,17 @@ A long text is cut first where no match of the pattern can cross: before a space
 and precedes something that is not white space. Each part is encoded by itself, which bounds the memory that the library needs,
 and the ids are the same. Ids are decoded by looking up the bytes of each and joining them; the bytes of a single
 id need not be valid UTF-8.
+
+Long white space has no such boundary, and the pattern's engine overflows its stack on it. The pattern takes a run of it as one
+match, but for the last character if anything follows, so such runs are found beforehand and merged directly. That, like the boundary,
+holds for patterns whose other alternatives take no white space but one leading space.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG_CHARS = 65_536
+LONG_BLANKS = 1024
+#: The characters of Unicode's White_Space property.
+_BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,10 +42,12 @@ class Codec:
 
         table = load_ranks(ranks)
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.whole = tiktoken.Encoding("runs", pat_str=r"\s+", mergeable_ranks=table, special_tokens={})
         self.pieces: list[bytes] = [b""] * (max(table.values(), default=-1) + 1)
         for piece, rank in table.items():
             self.pieces[rank] = piece
         self.safe = regex.compile(r"(?<=[\p{L}\p{N}]) (?=[^\s\p{Z}])")
+        self.blanks = re.compile(f"{_BLANK}{{{LONG_BLANKS},}}")
         self.long_chars = long_chars
 
     def parts(self, text: str) -> Iterator[str]:
@@ -51,8 +61,20 @@ class Codec:
             at = found.start()
         yield text[at:]
 
+    def matches(self, text: str) -> Iterator[list[int]]:
+        """Ids of consecutive stretches of the text."""
+        at = 0
+        for run in self.blanks.finditer(text) if len(text) >= LONG_BLANKS else ():
+            end = run.end() - (run.end() < len(text))
+            for part in self.parts(text[at : run.start()]):
+                yield self.encoding.encode_ordinary(part)
+            yield self.whole.encode_ordinary(run.group()[: end - run.start()])
+            at = end
+        for part in self.parts(text[at:]):
+            yield self.encoding.encode_ordinary(part)
+
     def encode(self, text: str) -> np.ndarray:
-        made = [np.array(self.encoding.encode_ordinary(part), np.uint32) for part in self.parts(text)]
+        made = [np.array(ids, np.uint32) for ids in self.matches(text)]
         return made[0] if len(made) == 1 else np.concatenate(made)
 
     def decode(self, ids: np.ndarray) -> bytes:

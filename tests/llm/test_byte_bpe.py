@@ -33,6 +33,28 @@ def test_encode_and_decode(long_chars):
         assert codec.decode(np.array(ids, np.int64)) == text.encode()
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", " \n", "\t\u3000\x85 ", "\r\n\n"])
+@pytest.mark.parametrize("around", [("", ""), ("a", "b"), ("x.", "\x1c"), ("", "'s"), ("9", " z")])
+def test_white_space_equals_the_library(blank, around, monkeypatch):
+    monkeypatch.setattr(B, "LONG_BLANKS", 7)
+    codec = B.Codec(RANKS, P.PATTERN)
+    for n in (1, 2, 3, 6, 7, 8, 20, 3000):
+        text = around[0] + blank * n + around[1] + blank * 9 + "end" + blank * n
+        assert codec.encode(text).tolist() == codec.encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n" * 1_500_000, " \n" * 600_000, "a" + "\t " * 600_000 + "b"])
+def test_very_long_white_space(text):
+    codec = B.Codec(RANKS, P.PATTERN)
+    assert codec.decode(codec.encode(text)) == text.encode()
+
+
+def test_very_long_texts():
+    codec = B.Codec(RANKS, P.PATTERN)
+    for text in ("é" * 500_000, "日本" * 300_000, "12" * 400_000, "word " * 400_000, "-" * 500_000):
+        assert codec.decode(codec.encode(text)) == text.encode()
+
+
 def test_round_trip(spark):
     rows = [(i, x) for i, x in enumerate(TEXTS)] + [(None, None), (1, " ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as ids", "1 as id")
