@@ -7,8 +7,10 @@ threshold prunes by coordinates: where the query has its largest coordinates, a
 known interval. A low one prunes by length alone. What is left is verified by exact products, and the
 best k of all buckets are merged.
 
-The queries are a stated set, dealt in blocks to the buckets in which some of them can still score; both travel
-packed, one row for each block. Partial results are k rows for each query and bucket.
+The queries are a stated set. Query blocks and buckets travel packed, one row for each, and meet in tiles of a group of either.
+A bucket goes only to groups of queries of which one can still reach its largest length. In a tile the buckets come longest
+first and raise each query's bound, and a vector must beat the k-th score, or equal it with a smaller id, to be held at all. So a tile
+returns at most k rows for a query, however many vectors tie.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import materialize
+from ._shared import materialize, sorted_groups
 
 BUCKET_ROWS = 2048
 BLOCK_ROWS = 512
+GROUP_BUCKETS = 32
+GROUP_BLOCKS = 8
 COORDINATES = 4
 HIGH_COSINE = 0.7
 
@@ -100,30 +104,38 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def search_cell(q: np.ndarray, qids: np.ndarray, bound: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (its id, ids, scores) of its best k in one bucket, without those that cannot reach ``bound``."""
+NONE = np.iinfo(np.int64).min  # of scores: no bound
+
+
+def _beats(s: np.ndarray, ids: np.ndarray, score: np.ndarray | int, last: np.ndarray | int) -> np.ndarray:
+    return (s > score) | ((s == score) & (ids < last))
+
+
+def search_cell(q: np.ndarray, qids: np.ndarray, score: np.ndarray, last: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the query, ids, scores) of the best k of one bucket that beat the query's bound, a k-th ``score`` and its id, where there are any."""
     qn, vn = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)), np.sqrt((v.astype(np.float64) ** 2).sum(axis=1))
-    top = vn.max(initial=0)
-    reach = qn * top
-    live = np.flatnonzero((bound <= reach * (1 + 1e-9)) | (bound <= 0))
+    reach = qn * vn.max(initial=0)
+    live = np.flatnonzero((score <= reach * (1 + 1e-9)) | (score <= 0))
     if not len(live):
         return
-    cosine = np.where(bound[live] > 0, bound[live] / np.maximum(reach[live], 1e-300), -1.0)
+    cosine = np.where(score[live] > 0, score[live] / np.maximum(reach[live], 1e-300), -1.0)
     # Low thresholds: by length alone, for the block at once; the shortest useful vector serves all of these queries.
     low = live[cosine < HIGH_COSINE]
     if len(low):
-        floor_ = np.where(bound[low] > 0, bound[low] / np.maximum(qn[low], 1e-300), -1.0).min()
-        rows = np.flatnonzero(vn >= floor_ * (1 - 1e-9))
-        scores = _products(q[low], v[rows])
-        for i, s in zip(low.tolist(), scores):
-            fit = np.flatnonzero((s >= bound[i]) & (ids[rows] != qids[i]))
-            chosen = fit[_best(s[fit], ids[rows][fit], k)]
-            yield int(qids[i]), ids[rows][chosen], s[chosen]
+        least = np.where(score[low] > 0, score[low] / np.maximum(qn[low], 1e-300), -1.0).min()
+        rows = np.flatnonzero(vn >= least * (1 - 1e-9))
+        some = ids[rows]
+        s = _products(q[low], v[rows])
+        fit = _beats(s, some, score[low][:, None], last[low][:, None]) & (some != qids[low][:, None])
+        for at in np.flatnonzero(fit.any(axis=1)).tolist():
+            mine = np.flatnonzero(fit[at])
+            chosen = mine[_best(s[at][mine], some[mine], k)]
+            yield int(low[at]), some[chosen], s[at][chosen]
     # High ones: with unit vectors x and y and cosine at least t, y_f lies in x_f t +- sqrt((1 - x_f^2)(1 - t^2)).
     unit = v / np.maximum(vn, 1e-300)[:, None] if (cosine >= HIGH_COSINE).any() else None
     for i, t in zip(live[cosine >= HIGH_COSINE].tolist(), cosine[cosine >= HIGH_COSINE].tolist()):
         x = q[i] / max(qn[i], 1e-300)
-        keep = vn >= bound[i] / max(qn[i], 1e-300) * (1 - 1e-9)
+        keep = vn >= score[i] / max(qn[i], 1e-300) * (1 - 1e-9)
         t = min(t, 1.0)
         for f in np.argsort(-np.abs(x))[:COORDINATES].tolist():
             wide = np.sqrt(max(0.0, 1 - x[f] ** 2) * (1 - t**2)) + 1e-9
@@ -135,70 +147,104 @@ def search_cell(q: np.ndarray, qids: np.ndarray, bound: np.ndarray, v: np.ndarra
             keep &= (unit[:, f] >= lower) & (unit[:, f] <= upper)
         rows = np.flatnonzero(keep & (ids != qids[i]))
         s = _products(q[i : i + 1], v[rows])[0]
-        fit = np.flatnonzero(s >= bound[i])
-        chosen = fit[_best(s[fit], ids[rows][fit], k)]
-        yield int(qids[i]), ids[rows][chosen], s[chosen]
+        mine = np.flatnonzero(_beats(s, ids[rows], score[i], last[i]))
+        if len(mine):
+            chosen = mine[_best(s[mine], ids[rows][mine], k)]
+            yield i, ids[rows][chosen], s[chosen]
 
 
-_CELL = "query_id long, vec_id long, score long"
+class _Block:
+    """A block of queries, their bounds, and the best that they have found in a tile."""
 
+    def __init__(self, r: dict, k: int):
+        self.q, self.qids, self.k = _matrix(r["data"], r["n"], r["dim"]), np.frombuffer(r["ids"], np.int64), k
+        bound = np.frombuffer(r["bound"], np.int64).reshape(2, -1) if r["bound"] else np.array([[NONE], [0]]).repeat(len(self.qids), axis=1)
+        self.score, self.last = bound.copy()
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-def _search(k: int, bounded: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q, qids = _matrix(r["q_data"], r["q_n"], r["q_dim"]), np.frombuffer(r["q_ids"], np.int64)
-                v, ids = _matrix(r["data"], r["n"], r["dim"]), np.frombuffer(r["ids"], np.int64)
-                bound = np.frombuffer(r["q_bound"], np.float64) if bounded else np.full(len(qids), -np.inf)
-                out = list(search_cell(q, qids, bound, v, ids, k))
-                size = [len(x[1]) for x in out]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(np.array([x[0] for x in out], np.int64), size)),
-                        pa.array(np.concatenate([x[1] for x in out]) if out else np.empty(0, np.int64)),
-                        pa.array(np.concatenate([x[2] for x in out]) if out else np.empty(0, np.int64)),
-                    ],
-                    ["query_id", "vec_id", "score"],
-                )
+    def meet(self, v: np.ndarray, ids: np.ndarray) -> None:
+        for i, near, s in search_cell(self.q, self.qids, self.score, self.last, v, ids, self.k):
+            if i in self.found:
+                near, s = np.concatenate((self.found[i][0], near)), np.concatenate((self.found[i][1], s))
+                order = np.lexsort((near, -s))[: self.k]
+                near, s = near[order], s[order]
+            self.found[i] = near, s
+            if len(s) == self.k and _beats(s[-1], near[-1], self.score[i], self.last[i]):
+                self.score[i], self.last[i] = s[-1], near[-1]
 
-    return run
+    def rows(self) -> pa.RecordBatch:
+        size = [len(x[0]) for x in self.found.values()]
+        flat = lambda at: np.concatenate([x[at] for x in self.found.values()]) if size else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.qids[list(self.found)], size)), pa.array(flat(0)), pa.array(flat(1))], ["query_id", "vec_id", "score"])
 
 
-def _as_queries(blocks: DataFrame) -> DataFrame:
-    return blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("block", "n", "dim", "top", "ids", "data")])
+_FOUND = "query_id long, vec_id long, score long"
+
+
+def _search(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, "tile"):
+            blocks: list[_Block] = []
+            tile = None
+            for at in range(table.num_rows):
+                r = {c: table.column(c)[at].as_py() for c in table.column_names}
+                if r["tile"] != tile:
+                    yield from (b.rows() for b in blocks)
+                    blocks, tile = [], r["tile"]
+                if r["asks"]:
+                    blocks.append(_Block(r, k))
+                elif blocks:
+                    v, ids = _matrix(r["data"], r["n"], r["dim"]), np.frombuffer(r["ids"], np.int64)
+                    for b in blocks:
+                        b.meet(v, ids)
+            yield from (b.rows() for b in blocks)
+
+    return run
 
 
 def _with_bounds(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """Add the k-th score of each query in ``found`` (the lowest where it has fewer is no bound) to the query blocks."""
-    kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") >= k)
+    """Query blocks with the k-th score and id of each query in ``found`` as ``bound``, and the length that a vector needs for any as ``need``."""
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).where(F.col("n") <= k)
+    kth = best.where(F.col("n") == k).select("query_id", "score", F.col("vec_id").alias("last"))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, raw in zip(batch.column("q_block"), batch.column("q_ids")):
+            for block, raw in zip(batch.column("block"), batch.column("ids")):
                 made = np.frombuffer(raw.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made), block.as_py())), pa.array(np.arange(len(made))), pa.array(made)], ["q_block", "place", "query_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made), block.as_py())), pa.array(np.arange(len(made))), pa.array(made)], ["block", "place", "query_id"])
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for row in batch.column("bounds").to_pylist():
-                x = np.full(len(row), -np.inf)
-                for one in row:
-                    x[one["place"]] = -np.inf if one["score"] is None else one["score"]
-                made.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("q_block"), pa.array(made, pa.binary())], ["q_block", "q_bound"])
+            made, need = [], []
+            for r in batch.to_pylist():
+                bound = np.array([[NONE], [0]]).repeat(r["n"], axis=1)
+                for one in r["bounds"] or ():
+                    bound[:, one["place"]] = one["score"], one["last"]
+                length = np.sqrt((_matrix(r["data"], r["n"], r["dim"]).astype(np.float64) ** 2).sum(axis=1))
+                made.append(bound.tobytes())
+                need.append(float(np.where(bound[0] > 0, bound[0] / np.maximum(length, 1e-300), -1.0).min()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "n", "dim", "ids", "data")), pa.array(made, pa.binary()), pa.array(need)], ["block", "n", "dim", "ids", "data", "bound", "need"])
 
     # A block's queries number BLOCK_ROWS at most, so is what is gathered for it.
-    each = queries.select("q_block", "q_ids").mapInArrow(ids, "q_block long, place long, query_id long")
-    listed = each.join(kth, "query_id", "left").groupBy("q_block").agg(F.collect_list(F.struct("place", "score")).alias("bounds"))
-    return queries.join(listed.mapInArrow(bounds, "q_block long, q_bound binary"), "q_block")
-
-
-def _cells(queries: DataFrame, buckets: DataFrame, deals: int) -> DataFrame:
-    """Query blocks beside the buckets of their dimension: each bucket is in one of ``deals``, and each query block in all."""
-    asked = queries.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    held = buckets.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(deals)).cast("int"))
-    return asked.join(held, (F.col("q_dim") == F.col("dim")) & (asked.deal == held.deal)).drop("deal")
+    each = queries.select("block", "ids").mapInArrow(ids, "block long, place long, query_id long")
+    listed = each.join(kth, "query_id").groupBy("block").agg(F.collect_list(F.struct("place", "score", "last")).alias("bounds"))
+    whole = queries.select("block", "n", "dim", "ids", "data").join(listed, "block", "left")
+    return whole.mapInArrow(bounds, "block long, n long, dim long, ids binary, data binary, bound binary, need double")
+
+
+def _tiles(queries: DataFrame, buckets: DataFrame, blocks: int, many: int) -> DataFrame:
+    """Rows of (tile, asks, n, dim, ids, data, bound): query blocks, then the buckets that some query of their group can use, longest first."""
+    g, h = max(1, -(-blocks // GROUP_BLOCKS)), max(1, -(-many // GROUP_BUCKETS))
+    asked = queries.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(g)).cast("int"))
+    needs = materialize(asked.groupBy("dim", "g").agg(F.min("need").alias("need")), "topk-needs")
+    tile = F.xxhash64("dim", "g", "h")
+    held = buckets.withColumn("h", F.pmod(F.xxhash64("block"), F.lit(h)).cast("int"))
+    # Which groups a bucket goes to is found without its vectors, which are then sent there only.
+    sent = held.select("block", "dim", "h", "top").join(needs, "dim").where(F.col("top") * (1 + 1e-9) >= F.col("need")).select("block", "g", tile.alias("tile"))
+    cells = held.join(sent, "block").select("tile", F.lit(False).alias("asks"), "n", "dim", "ids", "data", F.lit(None).cast("binary").alias("bound"), F.col("top"))
+    used = sent.join(held.select("block", "dim", "h"), "block").select("dim", "g", "tile").distinct()
+    mine = asked.join(used, ["dim", "g"]).select("tile", F.lit(True).alias("asks"), "n", "dim", "ids", "data", "bound", F.lit(None).cast("double").alias("top"))
+    return mine.unionByName(cells).repartition("tile").sortWithinPartitions("tile", F.col("asks").desc(), F.col("top").desc()).drop("top")
 
 
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -213,17 +259,21 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: float = 6
     rows = _scaled(embeddings, id_col, vector_col, scale)
     chosen = _scaled(embeddings.where(is_query), id_col, vector_col, scale)
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = rows.count()
+    # Ranges of a few buckets each, as far as there are tasks, so that buckets are full.
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (4 * BUCKET_ROWS))))
     ordered = rows.withColumn("square", square).repartitionByRange(parts, F.col("square").desc(), "id").sortWithinPartitions(F.col("square").desc(), "id").select("id", "v")
     buckets = materialize(_packed(ordered, BUCKET_ROWS), "topk-buckets")
-    queries = _as_queries(materialize(_packed(chosen, BLOCK_ROWS), "topk-queries"))
+    queries = materialize(_packed(chosen, BLOCK_ROWS), "topk-queries")
+    blocks, many = queries.count(), buckets.count()
 
     # The first bucket of each dimension gives the bounds; there is one row for each dimension.
-    first = buckets.groupBy("dim").agg(F.max_by("block", F.struct("top", -F.col("block"))).alias("block"))
+    first = materialize(buckets.groupBy("dim").agg(F.max_by("block", F.struct("top", -F.col("block"))).alias("block")), "topk-first")
     start = buckets.join(first.select("block"), "block", "left_semi")
-    begun = materialize(_cells(queries, start, parts).mapInArrow(_search(k, False), _CELL), "topk-begun")
+    free = queries.select("block", "n", "dim", "ids", "data", F.lit(None).cast("binary").alias("bound"), F.lit(-1.0).alias("need"))
+    begun = materialize(_tiles(free, start, blocks, 1).mapInArrow(_search(k), _FOUND), "topk-begun")
     bounded = materialize(_with_bounds(queries, begun, k), "topk-bounded")
     rest = buckets.join(first.select("block"), "block", "left_anti")
-    found = begun.unionByName(_cells(bounded, rest, parts).mapInArrow(_search(k, True), _CELL))
+    found = begun.unionByName(_tiles(bounded, rest, blocks, many).mapInArrow(_search(k), _FOUND))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -58,10 +58,27 @@ def test_pruning_loses_nothing(seed):
     v, q = r.randint(-60, 60, (200, 6)), r.randint(-60, 60, (10, 6))
     v[:50] = q[0] * 2 + r.randint(-3, 4, (50, 6))
     s = q @ v.T
-    bound = np.sort(s, axis=1)[:, -5].astype(float)
-    for i, ids, score in T.search_cell(q, np.arange(1000, 1010), bound, v, np.arange(200), 5):
-        want = sorted((-x, j) for j, x in enumerate(s[i - 1000]))[:5]
-        assert [(-x, j) for j, x in zip(ids.tolist(), score.tolist())] == want
+    want = [sorted((-x, j) for j, x in enumerate(row))[:5] for row in s]
+    score, last = np.array([-w[-1][0] for w in want]), np.array([w[-1][1] for w in want])
+    for after in (1, 0):  # with the last id itself let in, the best five; else the four that beat it
+        got = {i: [(-x, j) for j, x in zip(ids.tolist(), found.tolist())] for i, ids, found in T.search_cell(q, np.arange(1000, 1010), score, last + after, v, np.arange(200), 5)}
+        assert got == {i: w[: 4 + after] for i, w in enumerate(want)}
+
+
+def test_ties_make_no_rows(spark, monkeypatch):
+    """Of many equal vectors a query holds k, those of the smallest ids."""
+    monkeypatch.setattr(T, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(T, "BLOCK_ROWS", 8)
+    rows = [(i, [1.0, 2.0]) for i in range(200)]
+    seen = []
+    whole = T._search
+    monkeypatch.setattr(T, "_search", lambda k: seen.append(k) or whole(k))
+    got = sorted(map(tuple, T.top_k(frame(spark, rows).repartition(7), every_5th(), k=4).collect()))
+    assert got == sorted(slow(rows, 4, lambda v: True, lambda q, v: int(np.floor(64 * q) @ np.floor(64 * v)))) and len(seen) == 2
+    block = T._Block({"data": np.ones((1, 2), "<i4").tobytes(), "n": 1, "dim": 2, "ids": np.array([3]).tobytes(), "bound": None}, 2)
+    for at in range(0, 50, 10):
+        block.meet(np.ones((10, 2), np.int64), np.arange(at, at + 10))
+    assert block.rows().to_pydict() == {"query_id": [3, 3], "vec_id": [0, 1], "score": [2, 2]}
 
 
 def test_few_and_none(spark):
