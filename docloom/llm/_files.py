@@ -12,16 +12,21 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def put(folder: str, name: str, data: bytes, attempt: str) -> str:
-    """Write a whole file under a name of this attempt, then move it into place; a repeated task writes the same again."""
+def put(folder: str, name: str, data: bytes) -> str:
+    """Write a whole file, whose name must hold the attempt: what a failed attempt leaves is then in no list of files."""
     store, path = open_store(folder)
     store.create_dir(path, recursive=True)
-    with store.open_output_stream(f"{path}/.{name}.{attempt}") as out:
+    with store.open_output_stream(f"{path}/{name}", compression=None) as out:
         out.write(data)
-    store.move(f"{path}/.{name}.{attempt}", f"{path}/{name}")
     return f"{folder}/{name}"
 
 
+def read_whole(uri: str) -> bytes:
+    store, path = open_store(uri)
+    with store.open_input_stream(path, compression=None) as f:
+        return f.read()
+
+
 def read_range(uri: str, start: int, size: int) -> bytes:
     store, path = open_store(uri)
     with store.open_input_file(path) as f:

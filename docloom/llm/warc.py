@@ -1,9 +1,10 @@
 """WARC archives without repeated payloads: revisit records that refer to the first response.
 
-Only headers (id, digest, size) are shuffled by payload digest to find each digest's first response. Rows whose
-digest occurs again are joined to it and become revisit records with fresh headers; all others are responses. Each
-task writes its records into gzip archives of bounded size, a member for each record. Reading takes the archives
-back apart, and revisits are joined to their responses for what only those hold.
+Only headers (id, digest) are shuffled by payload digest to find each digest's first response, and those that revisit it.
+Pages are then joined with the list of revisits by id and digest: where that list is too large to broadcast payloads move, but
+by a key that no two of them share, however common a payload is. Each task writes its records into gzip archives of bounded
+size, a member for each record, and lists them. Reading takes the listed archives back apart, and revisits are joined to their
+responses for what only those hold. An archive's name holds its attempt, so what a lost executor has left is never read.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._files import put
+from ._files import put, read_whole
 from ._shared import materialize, shared_folder
 
 ARCHIVE_BYTES = 8 << 20
+ARCHIVES_A_TASK = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
@@ -91,7 +93,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
     heads = rows.where(F.octet_length("payload") >= min_bytes).select("id", "sha")
     again = materialize(heads.groupBy("sha").agg(F.count("*").alias("n"), F.min("id").alias("first")).where((F.col("n") > 1) & F.col("first").isNotNull()).select("sha", "first"), "warc-again")
-    typed = rows.join(again, "sha", "left").select("id", "url", "payload", F.when(F.col("id").isNull() | (F.col("id") != F.col("first")), F.col("first")).alias("refers"))
+    revisits = heads.join(again, "sha").where(F.col("id").isNull() | (F.col("id") != F.col("first")))
+    revisits = materialize(revisits.groupBy("id", "sha").agg(F.first("first").alias("refers")).withColumnsRenamed({"id": "_id", "sha": "_sha"}), "warc-revisits")
+    typed = rows.join(revisits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select("id", "url", "payload", "refers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -102,7 +106,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
         def flush() -> pa.RecordBatch:
             nonlocal held, size, files
             data = b"".join(held)
-            path = put(folder, f"part-{part:06d}-{files:05d}.warc.gz", data, attempt)
+            path = put(folder, f"part-{part:06d}-{files:05d}-{attempt}.warc.gz", data)
             out = pa.RecordBatch.from_pydict({"path": [path], "records": [len(held)], "bytes": [len(data)]})
             held, size, files = [], 0, files + 1
             return out
@@ -122,20 +126,27 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     return materialize(typed.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
-def read_archives(spark: SparkSession, folder: str, written: DataFrame | None = None, payloads: bool = False) -> DataFrame:
-    """One row for each record: page_id, url, record_type, payload_digest, refers_to, payload_bytes (of responses), and the payload on request.
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path): the archives in a folder that has no list of them."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")  # contents are not read here
+
+
+def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
+    """One row for each record of ``archives`` (path): page_id, url, record_type, payload_digest, refers_to, payload_bytes (of responses), and the payload on request.
 
     A response whose payload does not have the digest of its header raises an error.
     """
+    spark = archives.sparkSession
     schema = "page_id long, url string, record_type string, payload_digest string, refers_to long, payload_bytes long" + ", payload binary" * payloads
-    if written is not None and written.isEmpty():
+    many = archives.count()
+    if not many:
         return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
+            for path in batch.column("path").to_pylist():
                 out: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
-                for head, block in parse(_unpacked(content.as_py())):
+                for head, block in parse(_unpacked(read_whole(path))):
                     body = block.partition(b"\r\n\r\n")[2]
                     whole = head["warc-type"] == "response"
                     sha = head["warc-payload-digest"].removeprefix("sha1:")
@@ -152,15 +163,17 @@ def read_archives(spark: SparkSession, folder: str, written: DataFrame | None =
                 kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
                 yield pa.RecordBatch.from_pydict({c: pa.array(out[c], kinds[k]) for c, k in (x.split() for x in schema.split(", "))})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
-    return files.mapInArrow(run, schema)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-many // ARCHIVES_A_TASK))
+    return archives.select("path").repartition(min(parts, many), "path").mapInArrow(run, schema)
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Join revisits to their responses: every row gets the payload's size."""
+    """Join revisits to their responses: every row gets the payload's size. A revisit without a response is an error."""
     whole = records.where(F.col("record_type") == "response")
     sizes = materialize(whole.groupBy("payload_digest").agg(F.max("payload_bytes").alias("size")), "warc-sizes")
-    revisits = records.where(F.col("record_type") == "revisit").join(sizes, "payload_digest").withColumn("payload_bytes", F.col("size")).select(*records.columns)
+    revisits = records.where(F.col("record_type") == "revisit").join(sizes, "payload_digest", "left")
+    lost = F.raise_error(F.concat(F.lit("no response has the payload "), F.col("payload_digest"))).cast("long")
+    revisits = revisits.withColumn("payload_bytes", F.when(F.col("size").isNull(), lost).otherwise(F.col("size"))).select(*records.columns)
     return whole.unionByName(revisits)
 
 
@@ -168,5 +181,5 @@ def deduplicated(pages: DataFrame, min_bytes: int = 0, **columns: str) -> DataFr
     """Write ``pages`` as deduplicated archives in the shared folder, read them back and resolve them: a row for each row."""
     folder = shared_folder(pages.sparkSession, "warc")
     written = write_archives(pages, folder, min_bytes, **columns)
-    records = materialize(read_archives(pages.sparkSession, folder, written), "warc-records")
+    records = materialize(read_archives(written), "warc-records")
     return resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

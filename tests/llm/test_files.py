@@ -12,6 +12,7 @@ from docloom.llm import warc as W
 from docloom.llm.byte_bpe import Codec
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
+S_FOLDER = "file:///tmp/docloom-test-ids-that-do-not-fit"
 
 
 def slow_warc(rows, least):
@@ -39,7 +40,10 @@ def test_archives_are_read_back(spark, monkeypatch, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     written = W.write_archives(df, f"file://{tmp_path}/w")
     assert written.count() > 3
-    got = W.read_archives(spark, f"file://{tmp_path}/w", payloads=True).where("record_type = 'response'").collect()
+    assert W.read_archives(W.listed(spark, f"file://{tmp_path}/w")).count() == len(PAGES)
+    (tmp_path / "w" / "part-000000-00000-of-a-lost-attempt.warc.gz").write_bytes((tmp_path / "w" / sorted(f for f in os.listdir(tmp_path / "w") if f.startswith("part"))[0]).read_bytes())
+    got = W.read_archives(written, payloads=True).where("record_type = 'response'").collect()
+    os.remove(tmp_path / "w" / "part-000000-00000-of-a-lost-attempt.warc.gz")
     assert sorted(bytes(r.payload).decode() for r in got) == sorted(h or "" for i, _, h in PAGES if (i, h) not in [(5, "<p>x</p>"), (None, "<p>x</p>"), (9, None)])
     raw = b"".join(gzip.decompress((tmp_path / "w" / f).read_bytes()) for f in sorted(os.listdir(tmp_path / "w")) if f.endswith(".warc.gz"))
     assert len({h["warc-record-id"] for h, _ in W.parse(raw)}) >= len(PAGES) - 1
@@ -52,6 +56,18 @@ def test_broken_archives():
         list(W.parse(W.record(1, "u", b"x", "y", None)[:-4] + b"zzzz"))
 
 
+def test_a_revisit_without_response_is_an_error(spark):
+    records = spark.createDataFrame([(1, None, "revisit", "ABC", 9, None)], "page_id long, url string, record_type string, payload_digest string, refers_to long, payload_bytes long")
+    with pytest.raises(Exception, match="no response has the payload ABC"):
+        W.resolve(records).collect()
+
+
+def test_very_long_payloads(spark):
+    rows = [(1, "u", "x" * 20_000_000), (2, "v", "x" * 20_000_000), (3, "w", "y" * 20_000_000)]
+    got = sorted(map(tuple, W.deduplicated(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()))
+    assert [(r[0], r[1], r[3], r[4]) for r in got] == [(1, 20_000_000, "response", None), (2, 20_000_000, "revisit", 1), (3, 20_000_000, "response", None)]
+
+
 def test_no_pages(spark):
     assert W.deduplicated(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
@@ -84,3 +100,19 @@ def test_document_tokens(spark):
     got = S.document_tokens(df, RANKS, P.PATTERN, file_tokens=500)
     assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=str) == sorted(((i, len(codec.encode(t or ""))) for i, t in rows), key=str)
     assert S.document_tokens(df.limit(0), RANKS, P.PATTERN).collect() == []
+
+
+def test_ids_that_do_not_fit(spark):
+    with pytest.raises(Exception, match="do not fit into 2 bytes"):
+        S.write_token_files(spark.createDataFrame([(1, "x")], "doc_id long, text string"), S_FOLDER, RANKS, P.PATTERN, separator=70_000)
+
+
+def test_long_blanks_and_leftovers(spark, tmp_path):
+    rows = [(1, " " * 2_000_000), (2, "a\n" + "\n" * 1_000_000 + "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    codec = Codec(RANKS, P.PATTERN)
+    assert sorted((r.doc_id, r.n_tokens) for r in S.document_tokens(df, RANKS, P.PATTERN).collect()) == [(i, len(codec.encode(t))) for i, t in rows]
+    np.array([1, 2, 7], "<u2").tofile(tmp_path / "left.bin")
+    files = spark.createDataFrame([(f"file://{tmp_path}/left.bin", 6)], "path string, length long")
+    np.array([7, 7], "<u2").tofile(tmp_path / "of-a-lost-attempt.bin")
+    assert [tuple(r) for r in S.count_tokens(spark, f"file://{tmp_path}", separator=7, files=files).collect()] == [("left.bin", 0, 2, True)]
