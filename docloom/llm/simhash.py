@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, per_batch, sorted_groups
+from ._shared import Rounds, materialize, per_batch, sorted_groups
 
 BLOCK_ROWS = 1024  # small cells share a block of so many rows
 CELL_ROWS = 1024  # fuller cells are cut
@@ -346,17 +346,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, label): for each vertex of ``edges`` (a, b) the smallest vertex that it reaches.
 
     Labels spread along edges and are then replaced by their own labels, so paths halve in each round. Each round is
-    written, and joins read written tables, which lets Spark split the rows of a much-linked vertex.
+    written, and the one before it deleted, and joins read written tables, which lets Spark split the rows of a much-linked vertex.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "simhash-edges")
     labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label")), "simhash-labels")
+    rounds = Rounds(edges.sparkSession, "simhash-round")
     while True:
         offered = both.join(labels, both.a == labels.v).select(F.col("b").alias("v"), "label", F.lit(None).cast(dict(edges.dtypes)["a"]).alias("old"))
         spread = offered.union(labels.select("v", "label", F.col("label").alias("old"))).groupBy("v").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        spread = materialize(spread, "simhash-spread")
+        spread = rounds.store(spread)
         up = spread.select(F.col("v").alias("label"), F.col("label").alias("top"))
         jumped = spread.join(up, "label", "left").select("v", F.least("label", "top").alias("label"), "old")
-        jumped = materialize(jumped, "simhash-jumped")
+        jumped = rounds.store(jumped)
         labels = jumped.select("v", "label")
         if jumped.where(F.col("label") != F.col("old")).isEmpty():
             return labels

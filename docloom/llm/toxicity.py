@@ -4,7 +4,12 @@ Terms of a text are its distinct lower-case words and their beginnings, hashed i
 takes at most ``SAMPLE_ROWS`` labelled rows, those with the smallest hash of their id, and keeps the buckets whose
 share among toxic rows differs significantly from that among the others. The machine has a weight for each of these and
 a vector for each, whose products are the weights of pairs: an insult together with the mention of a group can
-count for more, or less, than both alone. Scoring reads each whole text once and needs no shuffle.
+count for more, or less, than both alone. Spark counts the terms of the sample by class and chooses the buckets, so the driver
+gets these and, for each row of the sample, which of them it has: at most ``SAMPLE_ROWS`` times ``FEATURES`` numbers, however long
+the texts. Scoring reads each whole text once and needs no shuffle.
+
+Parameters of the model: with ``FEATURES`` and ``LEAST_Z`` a bucket counts that tells the classes apart beyond chance (z of 4 is one
+in 16,000), the strongest 1,024 at most; weaker signs are left out of scores.
 """
 
 from __future__ import annotations
@@ -19,9 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
 BUCKETS = 1 << 22
 SAMPLE_ROWS = 10_000
 FEATURES = 1024
+LEAST_Z = 4
+LEAST_ROWS = 3
 FACTORS = 8
 STARTS = (4, 5, 6)
 _WORD = re.compile(r"\w+")
@@ -68,38 +77,32 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-3, seed: int = 1) -> Machine:
-    """Fit a machine to the buckets of labelled rows, in full batches by Adam. One class alone gives its smoothed share."""
-    y = np.asarray(labels, np.float64)
-    positive = int(y.sum())
-    prior = (positive + 1) / (len(y) + 2)
-    bias = float(np.log(prior / (1 - prior)))
-    none = Machine(np.empty(0, np.int64), bias, np.empty(0), np.empty((0, FACTORS)))
-    if not positive or positive == len(y):
-        return none
-    # Pooled two-proportion z for each bucket; counted row by row, as all rows' terms at once take many times their memory.
-    both, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-    for terms_, label in zip(rows, y):
-        both[terms_] += 1
-        if label:
-            toxic[terms_] += 1
-    bucket = np.flatnonzero(both >= 3)
-    n, t = both[bucket].astype(np.float64), toxic[bucket].astype(np.float64)
-    del both, toxic
-    share = (n + 1) / (len(y) + 2)
-    z = np.abs(t / positive - (n - t) / (len(y) - positive)) / np.sqrt(share * (1 - share) * (1 / positive + 1 / (len(y) - positive)))
-    chosen = np.argsort(-z, kind="stable")[:FEATURES]
-    bucket = np.sort(bucket[chosen[z[chosen] >= 4]])
+def prior(positive: int, n: int) -> Machine:
+    """The machine of one class alone, or of no features: the smoothed share of toxic rows."""
+    share = (positive + 1) / (n + 2)
+    return Machine(np.empty(0, np.int64), float(np.log(share / (1 - share))), np.empty(0), np.empty((0, FACTORS)))
+
+
+def choose(counts: DataFrame, positive: int, n: int) -> DataFrame:
+    """(bucket): of ``counts`` (bucket, both, toxic: rows), at most ``FEATURES``, by the pooled z of the two shares."""
+    share = (F.col("both") + 1) / F.lit(n + 2)
+    gap = F.abs(F.col("toxic") / F.lit(positive) - (F.col("both") - F.col("toxic")) / F.lit(n - positive))
+    z = gap / F.sqrt(share * (1 - share) * F.lit(1 / positive + 1 / (n - positive)))
+    some = counts.where(F.col("both") >= LEAST_ROWS).select("bucket", z.alias("z")).where(F.col("z") >= LEAST_Z)
+    return some.orderBy(F.col("z").desc(), "bucket").limit(FEATURES).select("bucket")
+
+
+def train(bucket: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-3, seed: int = 1) -> Machine:
+    """Fit a machine over the ascending ``bucket`` to the places in it that each row has, in full batches by Adam."""
+    y = np.asarray(labels, np.float32)
+    start = prior(int(y.sum()), len(y))
     if not len(bucket):
-        return none
+        return start
     x = np.zeros((len(rows), len(bucket)), np.float32)
-    for i, terms_ in enumerate(rows):
-        at = np.searchsorted(bucket, terms_)
-        at[at == len(bucket)] = 0
-        x[i, at[bucket[at] == terms_]] = 1
-    y = y.astype(np.float32)
+    for i, places in enumerate(rows):
+        x[i, places] = 1
     r = np.random.RandomState(seed)
-    params = [np.array([bias], np.float32), np.zeros(len(bucket), np.float32), (r.standard_normal((len(bucket), FACTORS)) * 0.01).astype(np.float32)]
+    params = [np.array([start.bias], np.float32), np.zeros(len(bucket), np.float32), (r.standard_normal((len(bucket), FACTORS)) * 0.01).astype(np.float32)]
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         xv = x @ params[2]
@@ -120,20 +123,38 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """A machine fitted to at most ``sample_rows`` labelled rows outside the held-out fold. Rows with a null id or label take no part."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    some = known.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
+    """A machine fitted to at most ``sample_rows`` labelled rows outside the held-out fold. Rows with a null id or label take no part.
+
+    Of an id's repeated texts one counts, and of its labels the smallest, whichever partition they are in.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
+    some = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [terms(t.as_py()).astype("<i4").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(made, pa.binary())], ["id", "y", "terms"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                made = [terms(t.as_py()).astype("<i4") for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(made, pa.list_(pa.int32()))], ["id", "y", "terms"])
 
     joined = texts.join(F.broadcast(some), "id").select("id", "y", "text")  # at most sample_rows ids
     kind = dict(joined.dtypes)["id"]
-    rows = sorted(joined.mapInArrow(work, f"id {kind}, y int, terms binary").collect(), key=lambda r: (r["id"], r["y"], bytes(r["terms"])))[:sample_rows]
-    return train([np.frombuffer(r["terms"], "<i4") for r in rows], np.array([r["y"] for r in rows], np.float64))
+    sample = joined.mapInArrow(work, f"id {kind}, y int, terms array<int>")
+    sample = materialize(sample.groupBy("id").agg(F.min(F.struct("terms", "y")).alias("one")).select("id", "one.terms", "one.y"), "toxicity-sample")
+    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not positive or positive == n:
+        return prior(positive, n)
+    counts = sample.select("y", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("both"), F.sum("y").alias("toxic"))
+    bucket = np.array(sorted(r["bucket"] for r in choose(counts, positive, n).collect()), np.int64)  # FEATURES at most
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.searchsorted(bucket, np.intersect1d(np.array(t, np.int64), bucket)).astype("<i2").tobytes() for t in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], ["id", "y", "places"])
+
+    rows = sorted(sample.mapInArrow(places, f"id {kind}, y int, places binary").collect(), key=lambda r: r["id"])  # sample_rows at most
+    return train(bucket, [np.frombuffer(r["places"], "<i2") for r in rows], np.array([r["y"] for r in rows]))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:

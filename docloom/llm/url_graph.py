@@ -3,7 +3,7 @@
 Hosts with pages that a rule allows are the trusted seeds, and those with blocked pages the distrusted ones, by
 their numbers of such pages. Trust walks along links and distrust against them, both as personalised PageRank that
 starts again at its seeds. A host of which distrust is the larger share is blocked. Edges are links between hosts, found in the
-pages and counted. Both walks advance in one join and one sum a round; each round is written.
+pages and counted. Both walks advance in one join and one sum a round; a round is written, and deleted when the next is.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import Rounds, materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,13 +66,13 @@ def propagate(links: DataFrame, seeds: DataFrame, follow: float = 0.85, toleranc
     scores = start
     if steps.isEmpty():
         return scores
-    nothing = F.lit(0.0)
+    nothing, rounds = F.lit(0.0), Rounds(links.sparkSession, "url-round")
     for _ in range(most_rounds):
         moved = steps.join(scores, steps.a == scores.host).select(F.col("b").alias("host"), (follow * F.col("trust") * F.col("ahead")).alias("trust"), (follow * F.col("distrust") * F.col("behind")).alias("distrust"), nothing.alias("was_t"), nothing.alias("was_d"))
         again = start.select("host", ((1 - follow) * F.col("trust")).alias("trust"), ((1 - follow) * F.col("distrust")).alias("distrust"), nothing.alias("was_t"), nothing.alias("was_d"))
         before = scores.select("host", nothing.alias("trust"), nothing.alias("distrust"), F.col("trust").alias("was_t"), F.col("distrust").alias("was_d"))
         summed = moved.unionByName(again).unionByName(before).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "was_t", "was_d")])
-        summed = materialize(summed, "url-round")
+        summed = rounds.store(summed)
         scores = summed.select("host", "trust", "distrust")
         change = summed.agg(F.sum(F.abs(F.col("trust") - F.col("was_t")) + F.abs(F.col("distrust") - F.col("was_d")))).first()[0]
         if (change or 0.0) < tolerance:

@@ -1,3 +1,8 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +82,41 @@ def test_links_decide_hosts_without_rules(spark):
     assert U.judge(df.limit(0), URL_RULES).collect() == []
 
 
+def test_verdicts_equal_brute_force(spark):
+    """End to end: rules by loops, dense power iteration over the links of the pages, shares compared host by host."""
+    r = np.random.RandomState(11)
+    hosts = [f"{a}.{b}" for a in "abcdefgh" for b in ("com", "net", "org", "xyz", "example.com")]
+    pages = []
+    for i in range(160):
+        links = "".join(f'<a href="http://{hosts[k]}/x">' for k in r.randint(0, len(hosts), r.randint(0, 4)))
+        pages.append((i, f"http://{hosts[r.randint(len(hosts))]}/{['en', 'de', 'es', 'fr'][r.randint(4)]}/{r.randint(10)}", links))
+    parts = [(i, *re.match("http://([^/]*)(/.*)", u).groups(), h) for i, u, h in pages]
+
+    def ruled(host, path):
+        fits = [(len(t), what) for what, t in URL_RULES for name, _, start in [t.partition("/")] if (host == name or host.endswith("." + name)) and path.startswith("/" + start)]
+        return max(fits)[1] if fits else None
+
+    n = len(hosts)
+    m, seed = np.zeros((n, n)), np.zeros((2, n))
+    for _, host, path, html in parts:
+        for to in re.findall('href="http://([^/]*)/', html):
+            m[hosts.index(host), hosts.index(to)] += to != host
+        if what := ruled(host, path):
+            seed[int(what == "block"), hosts.index(host)] += 1
+    seed /= seed.sum(axis=1, keepdims=True)
+    steps = [x / np.maximum(x.sum(axis=1, keepdims=True), 1) for x in (m, m.T)]
+    score = seed.copy()
+    for _ in range(200):
+        score = np.stack([0.15 * s + 0.85 * p @ w for s, p, w in zip(seed, score, steps)])
+    share = score / score.sum(axis=1, keepdims=True)
+    clear = {h for k, h in enumerate(hosts) if abs(share[1, k] - share[0, k]) > 1e-3}  # beyond the tolerance at which rounds stop
+    want = {i: ruled(host, path) or ("block" if share[1, hosts.index(host)] > share[0, hosts.index(host)] else "allow") for i, host, path, _ in parts if host in clear}
+    got = {x.page_id: x.verdict for x in U.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert len(got) == 160 and len(want) > 120 and {i: got[i] for i in want} == want
+    moved = [i for i, host, path, _ in parts if not ruled(host, path) and host in clear and not seed[:, hosts.index(host)].any()]
+    assert {got[i] for i in moved} == {"allow", "block"}  # decided by links alone
+
+
 def toxic_rows(n, seed):
     r = np.random.RandomState(seed)
     words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
@@ -113,11 +153,71 @@ def test_pairs_count():
         w = [f"w{k}" for k in r.randint(0, 40, 6)] + ["insult"] * insult + ["group"] * group
         rows.append(X.terms(" ".join(w)))
         y.append(int(insult and group))
-    m = X.train(rows, np.array(y), steps=600)
+    bucket = X.terms("insult group")
+    m = X.train(bucket, [np.flatnonzero(np.isin(bucket, t)) for t in rows], np.array(y), steps=600)
     p = {(a, b): m.score(" ".join(["w1"] + ["insult"] * a + ["group"] * b)) for a in (0, 1) for b in (0, 1)}
     assert p[1, 1] > 0.8 and max(p[0, 0], p[0, 1], p[1, 0]) < 0.2
 
 
+def loop_train(bucket, rows, labels, steps, rate=0.05, decay=1e-3, seed=1):
+    """The same descent, a row and a pair at a time and in doubles."""
+    n, k = len(rows), X.FACTORS
+    r = np.random.RandomState(seed)
+    share = (sum(labels) + 1) / (n + 2)
+    p = np.concatenate(([np.log(share / (1 - share))], np.zeros(len(bucket)), (r.standard_normal((len(bucket), k)) * 0.01).astype(np.float32).ravel()))
+    m1, m2 = np.zeros_like(p), np.zeros_like(p)
+    for step in range(1, steps + 1):
+        w, v = p[1 : 1 + len(bucket)], p[1 + len(bucket) :].reshape(-1, k)
+        g0, gw, gv = 0.0, decay * w / len(bucket), decay * v
+        for places, y in zip(rows, labels):
+            z = p[0] + sum(w[i] for i in places) + sum(v[i] @ v[j] for i in places for j in places if i < j)
+            e = (1 / (1 + np.exp(-z)) - y) / n
+            g0 += e
+            for i in places:
+                gw[i] += e
+                gv[i] = gv[i] + e * sum((v[j] for j in places if j != i), np.zeros(k))
+        g = np.concatenate(([g0], gw, gv.ravel()))
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g**2
+        p = p - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+    return p
+
+
+def test_training_equals_loops():
+    r = np.random.RandomState(2)
+    bucket = np.array([3, 9, 20, 31])
+    rows = [np.flatnonzero(r.rand(4) < 0.5) for _ in range(60)]
+    y = np.array([int(len(x) > 2) for x in rows])
+    m, p = X.train(bucket, rows, y, steps=20), loop_train(bucket, rows, y, 20)
+    assert np.allclose(np.concatenate(([m.bias], m.weights, m.vectors.ravel())), p, atol=1e-3)
+
+
+def test_fit_equals_loops(spark):
+    rows = toxic_rows(400, 7)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(3, rows[3][1])] * 2 + [(5, "")], "doc_id long, text string").repartition(3)
+    m = X.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows] + [(4, 1), (4, 0)], "doc_id long, toxic int"))
+    fit = [(i, t, y * (i != 4)) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    n, positive = len(fit), sum(y for *_, y in fit)
+    both, toxic = Counter(), Counter()
+    for i, t, y in fit:
+        for b in X.terms("" if i == 5 else t).tolist():
+            both[b] += 1
+            toxic[b] += y
+    z = {}
+    for b, k in both.items():
+        share = (k + 1) / (n + 2)
+        z[b] = abs(toxic[b] / positive - (k - toxic[b]) / (n - positive)) / math.sqrt(share * (1 - share) * (1 / positive + 1 / (n - positive)))
+    want = sorted(sorted((b for b in z if both[b] >= 3 and z[b] >= 4), key=lambda b: (-z[b], b))[:1024])
+    assert m.features.tolist() == want and want
+    bucket = np.array(want)
+    again = X.train(bucket, [np.flatnonzero(np.isin(bucket, X.terms("" if i == 5 else t))) for i, t, _ in sorted(fit)], np.array([y for *_, y in sorted(fit)]))
+    assert np.allclose(m.weights, again.weights, atol=1e-4) and m.bias == pytest.approx(again.bias, abs=1e-4)
+
+
+def test_very_long_texts():
+    m = X.Machine(X.terms("idiot")[:1], -1.0, np.array([3.0]), np.zeros((1, X.FACTORS)))
+    assert m.score("fine words " * 300_000 + "idiot") > 0.5 > m.score("f" * 3_000_000)
+
+
 def test_logit_is_the_sum_over_pairs():
     r = np.random.RandomState(0)
     m = X.Machine(np.arange(6), 0.3, r.standard_normal(6), r.standard_normal((6, 8)))
