@@ -12,8 +12,10 @@ the largest length M; queries get zero there. M is taken over all rows. d, the d
 a sample of at most ``SAMPLE_QUERIES`` queries and ``SAMPLE_ROWS`` rows, which overestimates it and so adds cells.
 The number of hash functions grows with the number of rows so that a cell keeps about ``CELL_ROWS`` of them, but only as
 long as ``MOST_CELLS`` cells can reach ``per_table``. Fuller cells are cut into shards which the query visits one by one.
-Queries whose cells fall short of that chance, or that found fewer than k, are compared with all rows, block by block,
-so nothing is capped.
+Queries whose cells, which lie within two steps of their own, fall short of that chance, or that found fewer than k, are
+compared with all rows, block by block, so nothing is capped.
+
+Probes are pairs of a query and a cell until the empty cells are gone; only then do they get their vectors.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ SAMPLE_QUERIES = 256
 SAMPLE_ROWS = 4096
 MOST_CELLS = 1024
 HELD_ROWS = 400_000
+QUERY_ROWS = 512  # of a product
 EXACT_ROWS = 16_384  # rows, and queries, of a block
 WIDTH = 1.5
 _STEPS = np.arange(-2, 3)
@@ -137,18 +140,22 @@ def _lists(batch: pa.RecordBatch, name: str) -> Iterator[tuple[np.ndarray, np.nd
         yield mine, flat[(ends[mine] - dim)[:, None] + np.arange(dim)]
 
 
-def _exact(q: np.ndarray, v: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best; equal vectors get equal scores, and ties go to the smaller id."""
-    rough = v @ q
-    rough[ids == own] = -np.inf
-    n = min(k, int((rough > -np.inf).sum()))
-    if not n:
-        return np.empty(0, np.int64), np.empty(0)
-    least = np.partition(rough, len(rough) - n)[len(rough) - n]
-    some = np.flatnonzero(rough >= least - 1e-9 * (1 + abs(least)))
-    score = (v[some] * q).sum(axis=1)
-    order = np.lexsort((ids[some], -score))[:n]
-    return ids[some][order], score[order]
+def _exact(q: np.ndarray, qids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k best of each query; equal vectors get equal scores, and ties go to the smaller id."""
+    rough = q @ v.T
+    rough[qids[:, None] == ids] = -np.inf
+    least = np.partition(rough, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(q), -np.inf)
+    # Products by rows and columns differ in rounding, so those near the k-th are computed again, one way for all.
+    floor_ = np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.finfo(float).max)
+    row, at = np.nonzero(rough >= floor_[:, None])
+    score = np.empty(len(row))
+    for i in range(0, len(row), 65_536):
+        score[i : i + 65_536] = (v[at[i : i + 65_536]] * q[row[i : i + 65_536]]).sum(axis=1)
+    order = np.lexsort((ids[at], -score, row))
+    row, at, score = row[order], at[order], score[order]
+    begin = np.searchsorted(row, np.arange(len(q)))
+    first = np.arange(len(row)) - begin[row] < k
+    return qids[row[first]], ids[at[first]], score[first]
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,13 +180,19 @@ def _fit(rows: DataFrame, queries: DataFrame, k: int) -> tuple[int, float, float
     mixed = F.xxhash64("id", F.lit(11))
     some = rows.orderBy(mixed, "id").limit(SAMPLE_ROWS).collect()
     asked = queries.orderBy(mixed, "id").limit(SAMPLE_QUERIES).collect()
-    found = []
-    for r in asked:
-        q = np.array(r["v"])
-        near = [float(np.dot(q, x["v"])) for x in some if len(x["v"]) == len(q) and x["id"] != r["id"]]
-        if near:
-            at = max(0, min(len(near) - 1, round(k * len(near) / n)))
-            found.append(float(q @ q) + longest**2 - 2 * sorted(near, reverse=True)[at])
+    found: list[float] = []
+    for dim in {len(r["v"]) for r in asked}:
+        mine, theirs = [r for r in asked if len(r["v"]) == dim], [x for x in some if len(x["v"]) == dim]
+        if not theirs:
+            continue
+        q, v = np.array([r["v"] for r in mine], np.float64), np.array([x["v"] for x in theirs], np.float64)
+        near = q @ v.T
+        near[np.array([r["id"] for r in mine])[:, None] == np.array([x["id"] for x in theirs])] = -np.inf
+        near = -np.sort(-near, axis=1)
+        many = np.isfinite(near).sum(axis=1)
+        at = np.clip(np.round(k * many / n).astype(int), 0, np.maximum(many - 1, 0))
+        some_ = many > 0
+        found += ((q**2).sum(axis=1) + longest**2 - 2 * near[np.arange(len(q)), at])[some_].tolist()
     return n, longest, float(np.sqrt(max(np.median(found), 1e-12))) if found else longest
 
 
@@ -221,8 +234,7 @@ def search(
                 for mine, q in _lists(some, "v"):
                     q = q.astype(np.float64)
                     for row, cells in Grid(q.shape[1], tables, functions, longest, distance).probes(q, per_table):
-                        at = pa.array(mine[row])
-                        yield pa.RecordBatch.from_arrays([some.column("id").take(at), some.column("v").take(at), pa.array(cells)], ["id", "v", "cell"])
+                        yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(mine[row])), pa.array(cells)], ["id", "cell"])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,14 +244,16 @@ def search(
                     at = mine[Grid(q.shape[1], tables, functions, longest, distance).short(q, per_table)]
                     yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(at))], ["id"])
 
-    schema = f"id long, v {kind}, cell long"
-    placed, asked = rows.mapInArrow(index, schema), queries.mapInArrow(probe, schema)
+    placed = rows.mapInArrow(index, f"id long, v {kind}, cell long")
     counts = placed.groupBy("cell").count()
-    large = materialize(counts.where(F.col("count") > SHARD_ROWS).select("cell", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("shards")), "ann-large")
+    # A row for each cell that holds any; Spark broadcasts or shuffles it by its size.
+    filled = materialize(counts.select("cell", F.when(F.col("count") > SHARD_ROWS, F.ceil(F.col("count") / SHARD_ROWS)).otherwise(1).cast("int").alias("shards")), "ann-filled")
+    large = materialize(filled.where("shards > 1"), "ann-large")
     shard = F.pmod(F.xxhash64("id", F.lit(5)), F.col("shards"))
     placed = placed.join(large, "cell", "left").select("id", "v", F.when(F.col("shards").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", shard)).alias("cell"), F.lit(False).alias("asks"))
     parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1), lambda s: F.xxhash64("cell", s))
-    asked = asked.join(large, "cell", "left").select("id", "v", F.explode(F.when(F.col("shards").isNull(), F.array("cell")).otherwise(parts)).alias("cell"), F.lit(True).alias("asks"))
+    visits = queries.mapInArrow(probe, "id long, cell long").join(filled, "cell").select("id", F.explode(F.when(F.col("shards") == 1, F.array("cell")).otherwise(parts)).alias("cell"))
+    asked = materialize(visits, "ann-visits").join(queries, "id").select("id", "v", "cell", F.lit(True).alias("asks"))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -256,10 +270,10 @@ def search(
                     x = x.astype(np.float64)
                     is_q, own = asks[a:b][mine], ids[a:b][mine]
                     v, vids = x[~is_q], own[~is_q]
-                    for i in np.flatnonzero(is_q) if len(v) else ():
-                        near, score = _exact(x[i], v, vids, own[i], k)
-                        held.append((np.full(len(near), own[i]), near, score))
-                        rows += len(near)
+                    asking = np.flatnonzero(is_q)
+                    for some in (asking[i : i + QUERY_ROWS] for i in range(0, len(asking) if len(v) else 0, QUERY_ROWS)):
+                        held.append(_exact(x[some], own[some], v, vids, k))
+                        rows += len(held[-1][0])
             if rows > HELD_ROWS:
                 held = [_merged(held, k)]
                 rows = len(held[0][0])
