@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions import rules
+
 SEPARATOR = "\x1f"
 _SPACES = r"(?U)\s+"
 _EDGES = r"(?U)^\s+|\s+$"
@@ -52,8 +54,11 @@ def fold(c: Column) -> Column:
 
 
 def fold_place(c: Column) -> Column:
-    """Folded, with dashes as spaces and without punctuation."""
-    return squeeze(F.regexp_replace(F.regexp_replace(fold(c), r"[-‐-—]", " "), r"(?U)[^\w\s]", ""))
+    """Folded, with punctuation as spaces, and with the unit words mended that a space splits."""
+    out = squeeze(F.regexp_replace(fold(c), r"(?U)[^\w\s]", " "))
+    for split, unit in rules.SPLIT_UNITS.items():
+        out = F.regexp_replace(out, rf"(?U)(?<!\w){split}(?!\w)", unit)
+    return out
 
 
 def blank(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import rules
 from docloom.functions import text as T
+from docloom.sources.steps import stored
 
 
 def document_id(df: DataFrame, names: Iterable[str] = ("case_id", "doc_name", "official_document_id", "id"), fallback: Column | None = None) -> Column:
@@ -177,5 +178,7 @@ def diversity_caps(candidates: DataFrame, target: int, order_col: str = "positio
 
     kind = dict(candidates.dtypes)[order_col]
     narrow = candidates.select(F.col(order_col).alias("position"), F.col(category_col).alias("category"), F.col(family_col).alias("family"))
-    folded = narrow.coalesce(1).sortWithinPartitions("position").mapInPandas(fold, f"position {kind}, accepted boolean")
+    # Written, so that what computes the candidates runs in all tasks and only three columns come to one.
+    narrow = stored(narrow, "diversity-candidates")
+    folded = narrow.repartition(1).sortWithinPartitions("position").mapInPandas(fold, f"position {kind}, accepted boolean")
     return candidates.join(folded.withColumnRenamed("position", order_col), order_col)

@@ -24,8 +24,8 @@ def confusion(label: Column, predicted: Column) -> list[Column]:
 
 def with_rates(counts: DataFrame) -> DataFrame:
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    rated = counts.withColumns({"accuracy": ratio(tp + tn, tp + fp + tn + fn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn)})
-    return rated.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    # F1 from the counts is one division, so that equal counts give equal bits in any engine.
+    return counts.withColumns({"accuracy": ratio(tp + tn, tp + fp + tn + fn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
 def grouped_metrics(pairs: DataFrame, groups: list[str], label_col: str = "label", predicted_col: str = "predicted") -> DataFrame:
@@ -125,7 +125,7 @@ def document_metrics(counts: DataFrame) -> DataFrame:
     """B-cubed and pairwise precision, recall and F1 of each document, and whether its partition is exact."""
     p, r = ratio(F.col("b3_precision_sum"), F.col("mentions")), ratio(F.col("b3_recall_sum"), F.col("mentions"))
     made = counts.withColumns({"b3_precision": p, "b3_recall": r, "pair_precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "pair_recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
-    return made.withColumns({"b3_f1": f1(F.col("b3_precision"), F.col("b3_recall")), "pair_f1": f1(F.col("pair_precision"), F.col("pair_recall")), "exact": (F.col("fp") == 0) & (F.col("fn") == 0)})
+    return made.withColumns({"b3_f1": f1(F.col("b3_precision"), F.col("b3_recall")), "pair_f1": ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), "exact": (F.col("fp") == 0) & (F.col("fn") == 0)})
 
 
 def corpus_metrics(counts: DataFrame, *groups: str) -> DataFrame:

@@ -7,37 +7,68 @@ import unicodedata
 from collections.abc import Iterator
 from math import log
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.sources.steps import stored
 
 SMOOTHING, LEAST_ALPHABET = 0.1, 16
 START, END = "\x02", "\x03"
+MODEL_GRAMS = 2_000_000  # sixteen bytes each
 
 
-def _padded(text_col: str):
-    return F.concat(F.lit(START * 2), T.normalize(F.col(text_col)), F.lit(END))
+def _codes(text: str) -> np.ndarray:
+    """Three code points, of 21 bits each, at each position of a text that is padded at both ends."""
+    c = np.frombuffer(f"{START}{START}{text}{END}".encode("utf-32-le"), "<u4").astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
 
 
-def _grams(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """(keep, gram, context) at each position; characters are split once, so the work is linear in the text."""
-    chars = docs.where(F.length(T.normalize(F.col(text_col))) > 0).select(*keep, F.split(_padded(text_col), "").alias("c"))
-    chars = chars.withColumn("c", F.filter("c", lambda x: x != ""))
-    two = F.zip_with("c", F.slice("c", F.lit(2), F.size("c")), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    three = F.zip_with(two, F.slice("c", F.lit(3), F.size("c")), lambda a, b: F.when(b.isNotNull(), F.concat(a, b)))
-    return chars.select(*keep, F.explode(F.filter(three, lambda x: x.isNotNull())).alias("gram")).withColumn("context", F.substring("gram", 1, 2))
+def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, times): the grams of each text, counted; empty texts have none."""
+    rows, codes, times = [], [], []
+    for i, text in enumerate(texts):
+        if text := text.as_py():
+            code, n = np.unique(_codes(text), return_counts=True)
+            rows.append(np.full(len(code), i))
+            codes.append(code)
+            times.append(n)
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) if x else none for x in (rows, codes, times))
+
+
+def _spelled(codes: np.ndarray) -> pa.Array:
+    """The grams as strings."""
+    points = np.stack((codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF), axis=1).astype("<u4")
+    flat = points.tobytes().decode("utf-32-le")
+    return pa.array([flat[i : i + 3] for i in range(0, len(flat), 3)], pa.string())
+
+
+def _gram_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, n) of all grams: an Arrow stage counts them by batch, so that what is shuffled are distinct grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, code, times = _counted(batch.column("text"))
+            code, at = np.unique(code, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([_spelled(code), pa.array(np.bincount(at, times, len(code)).astype(np.int64))], ["key", "n"])
+
+    normal = docs.select(T.normalize(F.col(text_col)).alias("text"))
+    return normal.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, text_col: str = "text", word_min: int = 3) -> dict[str, DataFrame]:
-    """Tables of a model: grams and contexts (key, n), words (key, n) seen ``word_min`` times, and meta (alphabet_size)."""
-    grams = _grams(docs, text_col, [])
+    """Tables of a model: grams and contexts (key, n), words (key, n) seen ``word_min`` times, and meta (alphabet_size). Null and empty texts teach nothing."""
+    grams = stored(_gram_counts(docs, text_col), "ocr-grams")  # the other tables are made from it
     words = docs.select(F.explode(F.regexp_extract_all(T.normalize(F.col(text_col)), F.lit(r"(\p{L}+)"), 1)).alias("key"))
-    letters = docs.select(F.explode(F.array_distinct(F.split(T.normalize(F.col(text_col)), ""))).alias("key")).where("key != ''")
+    # Each character of a text is the last of a gram; the mark of the end is the one besides.
+    letters = grams.select(F.substring("key", 3, 1).alias("key")).where(F.col("key") != END)
     return {
-        "grams": grams.groupBy(F.col("gram").alias("key")).agg(F.count("*").alias("n")),
-        "contexts": grams.groupBy(F.col("context").alias("key")).agg(F.count("*").alias("n")),
+        "grams": grams,
+        "contexts": grams.groupBy(F.substring("key", 1, 2).alias("key")).agg(F.sum("n").alias("n")),
         "words": words.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= word_min),
         "meta": letters.agg((F.count_distinct("key") + 1).alias("alphabet_size")),
     }
@@ -57,13 +88,54 @@ def load(spark, path: str) -> dict[str, DataFrame]:
 
 
 def mean_log_probability(docs: DataFrame, model: dict[str, DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mean_log_probability) over the positions of each text. Grams are counted in each document before they meet the model."""
-    grams = _grams(docs, text_col, [id_col]).groupBy(id_col, "gram", "context").agg(F.count("*").alias("times"))
-    g = model["grams"].select(F.col("key").alias("gram"), F.col("n").alias("g"))
-    c = model["contexts"].select(F.col("key").alias("context"), F.col("n").alias("c"))
+    """(id, mean_log_probability) over the positions of each text; texts that are null or empty have no row, and rows of one id are one text.
+
+    A model of up to ``MODEL_GRAMS`` grams goes to every worker, and texts are read once; a larger one is joined with the
+    grams of each text, counted before.
+    """
     size = F.greatest(F.lit(LEAST_ALPHABET), F.lit(int(model["meta"].first()[0])))
-    chance = F.log((F.coalesce("g", F.lit(0)) + SMOOTHING) / (F.coalesce("c", F.lit(0)) + SMOOTHING * size))
-    return grams.join(g, "gram", "left").join(c, "context", "left").groupBy(id_col).agg((F.sum(chance * F.col("times")) / F.sum("times")).alias("mean_log_probability"))
+    chance = lambda g, c: F.log((F.coalesce(g, F.lit(0)) + SMOOTHING) / (F.coalesce(c, F.lit(0)) + SMOOTHING * size))
+    contexts = model["contexts"].select(F.col("key").alias("context"), F.col("n").alias("c"))
+    known = stored(model["grams"].withColumn("context", F.substring("key", 1, 2)).join(contexts, "context").select("key", chance(F.col("n"), F.col("c")).alias("log")), "ocr-model")
+    # A gram that is not in the model has the chance of its context, or of none.
+    unseen = stored(contexts.select("context", chance(F.lit(0), F.col("c")).alias("log")), "ocr-unseen")
+    never = float(docs.sparkSession.range(1).select(chance(F.lit(0), F.lit(0))).first()[0])
+    frame = docs.select(F.col(id_col).alias("id"), T.normalize(F.col(text_col)).alias("text")).where(F.length("text") > 0)
+    kind = dict(frame.dtypes)["id"]
+    if known.count() <= MODEL_GRAMS and unseen.count() <= MODEL_GRAMS:
+        tables = []
+        for df, key, width in ((known, "key", 3), (unseen, "context", 2)):
+            t = df.toPandas()
+            points = np.frombuffer("".join(t[key]).encode("utf-32-le"), "<u4").reshape(-1, width).astype(np.int64)
+            code = sum(points[:, k] << 21 * (width - 1 - k) for k in range(width)) if len(t) else np.empty(0, np.int64)
+            order = np.argsort(code)
+            tables.append((np.append(code[order], np.iinfo(np.int64).max), np.append(t["log"].to_numpy()[order], 0.0)))
+        held = docs.sparkSession.sparkContext.broadcast(tables)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (grams, logs), (pairs, rest) = held.value
+            for batch in batches:
+                sums, many = [], []
+                for text in batch.column("text"):
+                    code = _codes(text.as_py())
+                    at, pair = np.searchsorted(grams, code), np.searchsorted(pairs, code >> 21)
+                    other = np.where(pairs[pair] == code >> 21, rest[pair], never)
+                    sums.append(float(np.where(grams[at] == code, logs[at], other).sum()))
+                    many.append(len(code))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sums, pa.float64()), pa.array(many, pa.int64())], ["id", "s", "n"])
+
+        scored = frame.mapInArrow(run, f"id {kind}, s double, n long")
+    else:
+
+        def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, code, times = _counted(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), _spelled(code), pa.array(times)], ["id", "key", "times"])
+
+        own = frame.mapInArrow(grams_of, f"id {kind}, key string, times long").withColumn("context", F.substring("key", 1, 2))
+        log = F.coalesce(F.col("k.log"), F.col("u.log"), F.lit(never))
+        scored = own.alias("o").join(known.alias("k"), "key", "left").join(unseen.alias("u"), "context", "left").select("id", (log * F.col("times")).alias("s"), F.col("times").alias("n"))
+    return scored.groupBy(F.col("id").alias(id_col)).agg((F.sum("s") / F.sum("n")).alias("mean_log_probability"))
 
 
 # ---- normalisation with offsets -------------------------------------------------------------------------------

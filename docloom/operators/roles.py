@@ -20,7 +20,7 @@ _AFTER = re.compile(rf"^\s*[,:\-(]?\s*(?:la\s+)?(?:{_DIRECT})\b")
 _ANY = re.compile(rf"\b(?:{rules.any_of(rules.COURT_ROLES)})")
 _AGENCY = re.compile(rf"\b(?:{rules.any_of(rules.AGENCIES)})\b")
 _PARTY = re.compile(rf"\b(?:{rules.any_of(rules.FIRST_PARTIES)})\s*:")
-_FOOTER = re.compile(rf"(?:{'|'.join(rules.FOOTERS)})")
+_FOOTER = re.compile("|".join(rf"{rules.any_of([a])}\s*{re.escape(sign)}\s*{rules.any_of([b])}" for a, sign, b in rules.FOOTERS))
 NEAR, HEADER_WINDOW, FOOTER_WINDOW = 70, 120, 500
 
 

@@ -45,27 +45,41 @@ def find_spans(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id"
 
 
 def word_mentions(docs: DataFrame, kinds: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, label, start, end, surface, word_no): words that match a pattern, labelled by the first that does; without Python.
+    """(id, kept columns, label, start, end, surface, word_no): words that match a pattern, labelled by the first that does.
 
-    Words are what single spaces and newlines separate, so a word begins after the characters of all before it.
+    Words are what single spaces and newlines separate. The patterns become one, tried where words begin, so that a text is read
+    once whatever it holds. Null and empty texts have no mentions.
     """
-    words = docs.select(id_col, *keep, F.split(F.coalesce(text_col, F.lit("")), "[ \n]", -1).alias("_w"))
-    pick = lambda w: F.coalesce(*[F.when(w.rlike(p), F.lit(k)) for k, p in kinds])
-    # A running length gives each word's start; the fold keeps (next start, found).
-    empty = F.array().cast("array<struct<label:string,start:int,end:int,surface:string,word_no:int>>")
-    folded = F.aggregate(
-        "_w",
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), empty.alias("found")),
-        lambda a, w: F.struct(
-            (a["at"] + F.length(w) + 1).alias("at"),
-            (a["no"] + 1).alias("no"),
-            F.when(pick(w).isNull(), a["found"])
-            .otherwise(F.array_append(a["found"], F.struct(pick(w).alias("label"), a["at"].alias("start"), (a["at"] + F.length(w)).alias("end"), w.alias("surface"), a["no"].alias("word_no"))))
-            .alias("found"),
-        ),
-        lambda a: a["found"],
-    )
-    return words.select(id_col, *keep, F.inline(folded))
+    frame = docs.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).cast("string").alias("_text")).where(F.col("_text").isNotNull())
+    types = dict(frame.dtypes)
+    whole = re.compile(r"(?<![^ \n])(?:" + "|".join(f"({_uncaptured(p)})" for _, p in kinds) + r")(?![^ \n])")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, labels, starts, ends, surfaces, numbers = [], [], [], [], [], []
+            for i, text in enumerate(batch.column("_text")):
+                text = text.as_py()
+                number = at = 0
+                for m in whole.finditer(text):
+                    number += text.count(" ", at, m.start()) + text.count("\n", at, m.start())
+                    at = m.start()
+                    rows.append(i)
+                    labels.append(kinds[m.lastindex - 1][0])
+                    starts.append(at)
+                    ends.append(m.end())
+                    surfaces.append(m.group())
+                    numbers.append(number)
+            taken = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("_id", *keep)]
+            made = [pa.array(x, pa.int32()) if x is not labels and x is not surfaces else pa.array(x, pa.string()) for x in (labels, starts, ends, surfaces, numbers)]
+            yield pa.RecordBatch.from_arrays([*taken, *made], ["_id", *keep, "label", "start", "end", "surface", "word_no"])
+
+    columns = ", ".join(f"`{c}` {types[c]}" for c in ("_id", *keep))
+    return frame.mapInArrow(run, f"{columns}, label string, start int, end int, surface string, word_no int").withColumnRenamed("_id", id_col)
+
+
+def _uncaptured(pattern: str) -> str:
+    """A whole-word pattern without its anchors, and with groups that do not capture."""
+    return re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern.removeprefix("^").removesuffix("$"))
 
 
 def valid_span(text: Column, start: Column, end: Column, surface: Column) -> Column:

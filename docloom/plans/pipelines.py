@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.operators import anonymize, cluster, evaluate, geo, markers, ner, pairs, quality, roles, scoring
+from docloom.sources.steps import stored
 
 
 def scored_pairs(mentions: DataFrame, docs: DataFrame, score: Callable[[DataFrame], Column], gazetteer: DataFrame | None = None, cutoff: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,11 +44,15 @@ def predict(docs: DataFrame, mentions: DataFrame, threshold: float, score: Calla
 def anonymize_batch(docs: DataFrame, tagger, threshold: float = 0.8, score=None, gazetteer: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with their plan and ``released_text``, which is there for all of them or for none.
 
-    A document whose mentions could not be clustered needs review, so that it holds back the batch.
+    A document that the tagger failed on, or gave no prediction or one of another text for, and one whose mentions could
+    not be clustered, need review, so that they hold back the batch.
     """
-    found = ner.observations(ner.tag(docs, tagger, id_col, text_col), docs, id_col, text_col)
+    predictions = stored(ner.tag(docs, tagger, id_col, text_col), "predictions")
+    checked = ner.join_predictions(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias(text_col)), predictions, id_col, text_col)
+    failures = checked.where(F.size("review_reasons") > 0).select(id_col, F.concat_ws(", ", F.concat_ws(",", "review_reasons"), "ner_error").alias("error"))
+    found = ner.observations(predictions, docs, id_col, text_col)
     known = predict(docs, found, threshold, score, gazetteer, id_col, text_col)
-    return anonymize.release(anonymize.plan_documents(docs, known, gazetteer, id_col, text_col))
+    return anonymize.release(anonymize.plan_documents(docs, known, gazetteer, id_col, text_col, failures))
 
 
 def reconstruct_batch(docs: DataFrame, tagger=None, id_col: str = "doc_id", text_col: str = "text", seed: str | int = 42) -> DataFrame:
@@ -64,11 +69,11 @@ def reconstruct_batch(docs: DataFrame, tagger=None, id_col: str = "doc_id", text
 
 
 def threshold_by_clusters(mentions: DataFrame, links: DataFrame, thresholds: list[float] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(threshold, metrics) of clustering at each threshold against ``gold``; pairs are scored once, and only clustering is repeated.
+    """(threshold, metrics) of clustering at each threshold against ``gold``; links are scored once and written, and only clustering is repeated.
 
     The best is the first row in order of B-cubed F1, B-cubed precision, pairwise precision and threshold.
     """
-    made = None
+    mentions, links, made = stored(mentions, "mentions"), stored(links, "links"), None
     for t in thresholds or [k / 20 for k in range(1, 20)]:
         found = cluster.cluster_documents(mentions, links, t, id_col).select(id_col, "mention_no", F.col("cluster_no").alias("predicted"))
         counts = evaluate.cluster_counts(mentions.join(found, [id_col, "mention_no"]), id_col)
@@ -79,7 +84,7 @@ def threshold_by_clusters(mentions: DataFrame, links: DataFrame, thresholds: lis
 
 def cutoff_by_clusters(mentions: DataFrame, docs: DataFrame, score: Callable[[DataFrame], Column], threshold: float, cutoffs: list[float], id_col: str = "doc_id") -> DataFrame:
     """(cutoff, metrics) for cutoffs of the overlap of full names, in the same order of preference."""
-    made = None
+    mentions, made = stored(mentions, "mentions"), None
     for x in cutoffs:
         links = scored_pairs(mentions, docs, score, cutoff=x, id_col=id_col)
         row = threshold_by_clusters(mentions, links, [threshold], id_col).withColumn("cutoff", F.lit(x))

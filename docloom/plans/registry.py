@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.plans import corpus_queries, linking_queries
+from docloom.plans import case_queries, corpus_queries, linking_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return corpus_queries.QUERIES | linking_queries.QUERIES
+    return corpus_queries.QUERIES | linking_queries.QUERIES | case_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus_queries.SQL | linking_queries.SQL
+    return corpus_queries.SQL | linking_queries.SQL | case_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
