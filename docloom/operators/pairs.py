@@ -50,6 +50,13 @@ def legacy_features(label_a: Column, label_b: Column, a: Column, b: Column, star
     }
 
 
+def same_sentence(text: Column, start_a: Column, start_b: Column) -> Column:
+    """1.0 if neither an end of a sentence nor a blank line stands between the two starts."""
+    low = F.least(start_a, start_b)
+    between = F.substring(text, low + 1, F.greatest(start_a, start_b) - low)
+    return (~between.rlike(r"[.?!]|\n\n")).cast("double")
+
+
 def log_distance(start_a: Column, start_b: Column) -> Column:
     return F.least(F.log1p(F.abs(start_a - start_b).cast("double")) / 10.0, F.lit(1.0))
 

@@ -95,3 +95,11 @@ def report(scored: DataFrame, groups: list[str], is_selected: Column) -> DataFra
 def reason_totals(reasons: DataFrame) -> DataFrame:
     """(reason, documents, n), the most frequent first."""
     return reasons.groupBy("reason").agg(F.count("*").alias("documents"), F.sum("n").alias("n")).orderBy(F.col("n").desc(), "reason")
+
+
+def with_fallback(synthetic: DataFrame, audit: DataFrame, computed: DataFrame, quality_col: str = "reconstruction_quality", id_col: str = "doc_id") -> DataFrame:
+    """``synthetic`` with the quality that is stated first: its own, the audit's, or the ``computed`` one; ids are distinct in the latter two."""
+    side = lambda df, name: df.select(id_col, F.col(quality_col).alias(name))
+    joined = synthetic.join(side(audit, "_of_audit"), id_col, "left").join(side(computed, "_computed"), id_col, "left")
+    own = [F.col(quality_col)] if quality_col in synthetic.columns else []
+    return joined.withColumn(quality_col, F.coalesce(*own, "_of_audit", "_computed")).drop("_of_audit", "_computed")

@@ -129,6 +129,40 @@ def train_logistic(pairs: DataFrame, features: list[str], label_col: str = "labe
     return pairs.sparkSession.createDataFrame(found, "feature string, weight double"), float(model.intercept)
 
 
+#: Features that a sparse model may have; their names go to the driver and to the workers.
+MOST_FEATURES = 1_000_000
+
+
+def train_sparse(pairs: DataFrame, features_col: str = "features", label_col: str = "label", c: float = 0.5, least_pairs: int = 1, weight_col: str | None = None) -> tuple[DataFrame, float]:
+    """((feature, weight), intercept) of an L2 logistic regression over maps of features, as ``sparse_features`` makes them.
+
+    Features of fewer than ``least_pairs`` pairs are left out; if over ``MOST_FEATURES`` remain, that is an error, as a sample of them would be another model.
+    A null map has no features. Pairs without a label take no part.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    known = pairs.where(F.col(label_col).isNotNull())
+    counts = known.select(F.explode(F.map_keys(features_col)).alias("feature")).groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= least_pairs)
+    names = [r["feature"] for r in counts.select("feature").orderBy("feature").limit(MOST_FEATURES + 1).collect()]
+    if len(names) > MOST_FEATURES:
+        raise ValueError(f"more than {MOST_FEATURES} features; ask for more pairs of each")
+    if not names:
+        names = [""]
+    place = pairs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    @F.udf(VectorUDT())
+    def vector(features):
+        own = place.value
+        return SparseVector(len(own), sorted((own[k], float(v)) for k, v in (features or {}).items() if k in own and v))
+
+    rows = known.select(vector(features_col).alias("_x"), F.col(label_col).cast("double").alias("_y"), *([F.col(weight_col)] if weight_col else []))
+    n = max(1, known.count())
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * n), standardization=False, maxIter=200, tol=1e-9, **({"weightCol": weight_col} if weight_col else {})).fit(rows)
+    found = [(f, float(w)) for f, w in zip(names, model.coefficients.toArray()) if w]
+    return pairs.sparkSession.createDataFrame(found, "feature string, weight double"), float(model.intercept)
+
+
 def score_mentions_once(pairs: DataFrame, mentions: DataFrame, encode: Callable[[pd.Series], pd.Series], head: Callable[[pd.DataFrame], pd.Series], key: str = "context") -> DataFrame:
     """Pairs with ``score`` from a model of two parts: each distinct context is encoded once, and the head scores pairs of vectors.
 

@@ -216,5 +216,25 @@ def align(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys)
 
 
+def align_all(tables: dict[str, DataFrame], keys: list[str], equal: list[tuple[str, str, str]] = ()) -> DataFrame:
+    """The inner join of several tables on keys; raises where counts or keys differ or repeat, or where columns that must agree do not.
+
+    ``equal`` lists (column, table, other table): hashes, say, that both state for the same row. Nulls agree with nulls. Of
+    columns that several tables have, the first table's stay.
+    """
+    counts = {name: t.count() for name, t in tables.items()}
+    if len(set(counts.values())) > 1:
+        raise ValueError(f"tables of different sizes: {counts}")
+    for column, a, b in equal:
+        both = tables[a].select(*keys, F.col(column).alias("_a")).join(tables[b].select(*keys, F.col(column).alias("_b")), keys)
+        off = both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys).limit(1).collect()
+        if off:
+            raise ValueError(f"{column} of {a} and {b} differ, such as at {tuple(off[0])}")
+    out = None
+    for t in tables.values():
+        out = t if out is None else align(out, t.select(*keys, *[c for c in t.columns if c not in out.columns]), keys)
+    return out
+
+
 def with_text_hash(df: DataFrame, text_col: str = "text", name: str = "source_sha256") -> DataFrame:
     return df.withColumn(name, F.sha2(F.col(text_col), 256))

@@ -116,3 +116,25 @@ def test_event_windows_as_a_stream(spark, tmp_path):
     q = ingest.windowed_counts(stream).writeStream.format("memory").queryName("windows_out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.event_type, r.n) for r in spark.table("windows_out").collect()] == [("a", 2)]
+
+
+def test_align_all(spark):
+    from docloom.operators import quality
+
+    a = spark.createDataFrame([(1, "x", "h1"), (2, "y", None)], "id int, text string, sha string")
+    b = spark.createDataFrame([(2, None, 5), (1, "h1", 6)], "id int, sha string, n int")
+    c = spark.createDataFrame([(1, 0.5), (2, 0.1)], "id int, score double")
+    got = readers.align_all({"a": a, "b": b, "c": c}, ["id"], [("sha", "a", "b")])
+    assert got.columns == ["id", "text", "sha", "n", "score"] and sorted(map(tuple, got.collect())) == [(1, "x", "h1", 6, 0.5), (2, "y", None, 5, 0.1)]
+    with pytest.raises(ValueError, match="differ"):
+        readers.align_all({"a": a, "b": b.withColumn("sha", b.n.cast("string"))}, ["id"], [("sha", "a", "b")])
+    with pytest.raises(ValueError, match="sizes"):
+        readers.align_all({"a": a, "c": c.limit(1)}, ["id"])
+    with pytest.raises(ValueError):
+        readers.align_all({"a": a, "c": spark.createDataFrame([(1, 0.5), (1, 0.1)], c.schema)}, ["id"])
+    q = "reconstruction_quality"
+    own = spark.createDataFrame([(1, "own"), (2, None), (3, None)], f"doc_id int, {q} string")
+    other = spark.createDataFrame([(1, "audit"), (2, "audit")], own.schema)
+    made = spark.createDataFrame([(i, "made") for i in (1, 2, 3)], own.schema)
+    assert sorted(map(tuple, quality.with_fallback(own, other, made).collect())) == [(1, "own"), (2, "audit"), (3, "made")]
+    assert sorted(map(tuple, quality.with_fallback(own.drop(q), other, made).collect())) == [(1, "audit"), (2, "audit"), (3, "made")]
