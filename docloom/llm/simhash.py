@@ -428,9 +428,10 @@ def one_of_each(
     again = not repeated.isEmpty()
     if again:
         gone = gone.unionByName(texts.where("stays").join(repeated.select("id", "label", "first"), ["id", "label"]).where("version <> first").select("id", "version"))
-    gone = materialize(gone.select(F.col("id").alias("_gone_id"), F.col("version").alias("_gone_version")), "simhash-gone")
-    marked = docs.withColumn("_version", F.xxhash64(F.col(text_col).cast("string")))
-    kept = marked.join(gone, (F.col(id_col) == F.col("_gone_id")) & (F.col("_version") == F.col("_gone_version")), "left_anti")
+    gone = materialize(gone, "simhash-gone")
+    # The row travels as one column, so that its own columns may have any names.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"))
+    kept = marked.join(gone, ["id", "version"], "left_anti")
     if again:
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_version"]).unionByName(marked.where(F.col(id_col).isNull()))
-    return kept.select(*docs.columns)
+        kept = kept.where(F.col("id").isNotNull()).dropDuplicates(["id", "version"]).unionByName(marked.where(F.col("id").isNull()))
+    return kept.select("row.*")

@@ -168,3 +168,13 @@ def test_similar_forest(seed):
     for _ in sets:
         want = [min(want[j] for j in range(len(sets)) if near[i][j]) for i in range(len(sets))]
     assert label.tolist() == want
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, None), (3, None), (4, "other words than these are here now"), (None, "a b c d e f g h")]
+    names = ["row", "id", "version", "label", "stays", "_version", "_gone_id", "fp", "component_id"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"{k} as {n}" for k, n in enumerate(names)]).repartition(3)
+    for how in ({}, {"similar": 0.8, "shingle": 5}):
+        got = S.one_of_each(df, **how)
+        assert got.columns == df.columns
+        assert sorted(((r.doc_id, r.text, r["row"], r.component_id) for r in got.collect()), key=str) == sorted([(1, rows[0][1], 0, 8), (3, None, 0, 8), (4, rows[4][1], 0, 8), (None, rows[0][1], 0, 8)], key=str)
