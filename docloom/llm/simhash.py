@@ -35,7 +35,10 @@ from ._shared import Rounds, materialize, per_batch, sorted_groups
 
 BLOCK_ROWS = 1024  # small cells share a block of so many rows
 CELL_ROWS = 1024  # fuller cells are cut
-BAND_CELL_ROWS = 4096  # the same where many tables overlap and each cut repeats rows
+BAND_CELL_ROWS = 16_384  # the same where many tables overlap and each cut repeats rows
+PAIR_ROWS = 2048  # rows of which all pairs are compared at once, which bounds the memory
+SEEDS = 8  # from which a full cell is searched for groups before all pairs are compared
+LANES = 1 << 18
 BROADCAST_CELLS = 100_000
 SET_BYTES = 8 << 20  # of the sets in a shard of a group
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1).view(np.uint64).ravel()
@@ -119,59 +122,80 @@ def _beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
+def _lanes_of(words: np.ndarray) -> np.ndarray:
+    """(words, 64): the bits of each word."""
+    return np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+class _Planes:
+    """Fingerprints (n, bytes) as bit planes: a word holds one bit of 64 of them."""
+
+    def __init__(self, fps: np.ndarray):
+        self.n, self.words, self.planes = len(fps), -(-len(fps) // 64), fps.shape[1] * 8
+        bits = np.unpackbits(fps, axis=1)
+        self.lanes = np.zeros((self.planes, self.words * 8), np.uint8)
+        packed = np.packbits(bits.T, axis=1, bitorder="little")
+        self.lanes[:, : packed.shape[1]] = packed
+        self.lanes = self.lanes.view(np.uint64)
+        total = bits.sum(axis=0, dtype=np.int64)
+        self.ones, self.mixed = total == self.n, (total > 0) & (total < self.n)
+
+    def within(self, pivots: np.ndarray, row: np.ndarray, word: np.ndarray, dead: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of a row of ``pivots`` and a word, those in which some lane is within the radius: (row, word, lanes that are not). ``dead`` are lanes that don't count."""
+        bits = np.unpackbits(pivots, axis=1)
+        # A plane in which all lanes and all pivots agree adds nothing.
+        same = ~self.mixed & (bits == self.ones).all(axis=0)
+        used = np.flatnonzero(~same)
+        masks = np.where(bits[:, used].T.astype(bool), ~np.uint64(0), np.uint64(0))
+        if self.n % 64:
+            dead = np.where(word == self.words - 1, dead | (~np.uint64(0) << np.uint64(self.n % 64)), dead)
+        depth = max(4, int(self.planes).bit_length())
+        counters = [np.zeros(len(row), np.uint64) for _ in range(depth)]
+        blank = np.zeros(len(row), np.uint64)
+        for at in range(0, len(used), 8):
+            d = [self.lanes[used[p]][word] ^ masks[p][row] for p in range(at, min(at + 8, len(used)))]
+            d += [blank[: len(row)]] * (8 - len(d))
+            one, a = _full_adder(counters[0], d[0], d[1])
+            one, b = _full_adder(one, d[2], d[3])
+            one, c = _full_adder(one, d[4], d[5])
+            one, e = _full_adder(one, d[6], d[7])
+            two, f = _full_adder(counters[1], a, b)
+            two, g = _full_adder(two, c, e)
+            four, carry = _full_adder(counters[2], f, g)
+            counters[:3] = one, two, four
+            for k in range(3, depth):
+                counters[k], carry = counters[k] ^ carry, counters[k] & carry
+            if (at + 8) > radius:
+                dead = dead | _beyond(counters, radius)
+                alive = dead != ~np.uint64(0)
+                if alive.mean() < 0.7:
+                    row, word, dead = row[alive], word[alive], dead[alive]
+                    counters = [x[alive] for x in counters]
+                    if not len(row):
+                        break
+        dead = dead | _beyond(counters, radius)
+        hit = np.flatnonzero(dead != ~np.uint64(0))
+        return row[hit], word[hit], dead[hit]
+
+
 def linked_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (i, j), i < j, of all fingerprints (n, bytes) that differ in at most ``radius`` bits."""
-    n, planes = len(fps), fps.shape[1] * 8
+    n = len(fps)
     if n < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    bits = np.unpackbits(fps, axis=1)
-    total = bits.sum(axis=0, dtype=np.int64)
-    used = np.flatnonzero((total > 0) & (total < n))  # a plane in which all agree adds nothing
-    words = -(-n // 64)
-    lanes = np.zeros((len(used), words * 8), np.uint8)
-    packed = np.packbits(bits[:, used].T, axis=1, bitorder="little")
-    lanes[:, : packed.shape[1]] = packed
-    lanes = lanes.view(np.uint64)
-    masks = np.where(bits[:, used].T.astype(bool), ~np.uint64(0), np.uint64(0))
+    planes_ = _Planes(fps)
+    words = planes_.words
     row, word = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(words), indexing="ij"))
     keep = word >= row // 64
     row, word = row[keep], word[keep]
-    # Lanes at or before the row itself, and beyond the last row, are out from the start.
+    # Lanes at or before the row itself are out from the start.
     first = row + 1 - word * 64
     dead = np.where(first >= 64, ~np.uint64(0), np.where(first <= 0, np.uint64(0), (np.uint64(1) << np.clip(first, 0, 63).astype(np.uint64)) - np.uint64(1)))
-    if n % 64:
-        dead = np.where(word == words - 1, dead | (~np.uint64(0) << np.uint64(n % 64)), dead)
-    depth = max(4, int(planes).bit_length())
-    counters = [np.zeros(len(row), np.uint64) for _ in range(depth)]
-    blank = np.zeros(len(row), np.uint64)
-    for at in range(0, len(used), 8):
-        d = [lanes[p][word] ^ masks[p][row] for p in range(at, min(at + 8, len(used)))]
-        d += [blank[: len(row)]] * (8 - len(d))
-        one, a = _full_adder(counters[0], d[0], d[1])
-        one, b = _full_adder(one, d[2], d[3])
-        one, c = _full_adder(one, d[4], d[5])
-        one, e = _full_adder(one, d[6], d[7])
-        two, f = _full_adder(counters[1], a, b)
-        two, g = _full_adder(two, c, e)
-        four, carry = _full_adder(counters[2], f, g)
-        counters[:3] = one, two, four
-        for k in range(3, depth):
-            counters[k], carry = counters[k] ^ carry, counters[k] & carry
-        if (at + 8) > radius:
-            dead |= _beyond(counters, radius)
-            alive = dead != ~np.uint64(0)
-            if alive.mean() < 0.7:
-                row, word, dead = row[alive], word[alive], dead[alive]
-                counters = [x[alive] for x in counters]
-                if not len(row):
-                    break
-    dead |= _beyond(counters, radius)
-    hit = np.flatnonzero(dead != ~np.uint64(0))
-    if not len(hit):
+    row, word, dead = planes_.within(fps, row, word, dead, radius)
+    if not len(row):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    near = np.unpackbits((~dead[hit]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    which, lane = np.nonzero(near)
-    return row[hit][which].astype(np.int64), word[hit][which] * 64 + lane
+    which, lane = np.nonzero(_lanes_of(~dead))
+    return row[which].astype(np.int64), word[which] * 64 + lane
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,10 +213,54 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def cell_components(fps: np.ndarray, radius: int) -> np.ndarray:
+    """The smallest row of each row's component, where rows within the radius are linked.
+
+    A full cell mostly holds one group of near copies. From a few seeds its groups are followed to their ends first: what was
+    found last is compared with what is left, so a group of n costs about n comparisons rather than all pairs. A
+    group that is complete has no link to what is left, of which all pairs are then compared, part by part.
+    """
+    n = len(fps)
+    label, left = np.arange(n), np.arange(n)
+    order = np.random.RandomState(n)
+    for _ in range(SEEDS if n > PAIR_ROWS else 0):
+        if len(left) <= PAIR_ROWS:
+            break
+        front = left[[order.randint(len(left))]]
+        left = left[left != front[0]]
+        group = [front]
+        while len(front) and len(left):
+            rest = _Planes(fps[left])
+            near = np.zeros(rest.words, np.uint64)
+            step = max(1, LANES // rest.words)
+            for at in range(0, len(front), step):
+                some = fps[front[at : at + step]]
+                row, word = (x.ravel() for x in np.meshgrid(np.arange(len(some)), np.arange(rest.words), indexing="ij"))
+                _, word, far = rest.within(some, row, word, np.repeat(near[None], len(some), axis=0).ravel(), radius)
+                np.bitwise_or.at(near, word, ~far)
+            found = _lanes_of(near).ravel()[: len(left)].astype(bool)
+            front, left = left[found], left[~found]
+            group.append(front)
+        group = np.concatenate(group)
+        label[group] = group.min()
+    a, b = [], []
+    parts = [left[i : i + PAIR_ROWS // 2] for i in range(0, len(left), PAIR_ROWS // 2)] if len(left) > PAIR_ROWS else [left]
+    for i, one in enumerate(parts):
+        for other in parts[i + 1 :] if len(parts) > 1 else [one[:0]]:
+            both = np.concatenate((one, other))
+            x, y = linked_pairs(fps[both], radius)
+            a.append(both[x])
+            b.append(both[y])
+    if a:
+        rest = _forest(n, np.concatenate(a), np.concatenate(b))
+        label[left] = rest[left]
+    return label
+
+
 def _cell_links(radius: int, size: int):
     def links(fp: list[bytes]) -> pa.RecordBatch:
         fps = np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), size)
-        label = _forest(len(fp), *linked_pairs(fps, radius))
+        label = cell_components(fps, radius)
         linked = np.flatnonzero(label != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array([fp[i] for i in linked], pa.binary()), pa.array([fp[i] for i in label[linked]], pa.binary())], ["a", "b"])
 

@@ -85,6 +85,38 @@ def test_stages_keep_the_columns(spark, sf):
         df = C.materialize(out, "test-stage")
 
 
+def test_stages_with_columns_of_any_name(spark, sf):
+    at, _ = sf
+    names = ["id", "version", "row", "label", "words", "r0", "leaf", "lines_gone", "toxicity_score", "score", "y", "fp", "dropped", "_version"]
+    plain = spark.read.parquet(f"{at}/documents.parquet")
+    df = plain.selectExpr("*", *[f"{k} as {n}" for k, n in enumerate(names)])
+    for name, stage in C.STAGES:
+        out, want = C.materialize(stage(spark, df, at), "test-clash"), stage(spark, plain, at)
+        assert out.drop(*names).count() == want.count(), name
+        if name != "packing":
+            assert out.schema.simpleString() == df.schema.simpleString() and out.select(*names).distinct().collect() == [tuple(range(len(names)))], name
+            df, plain = out, C.materialize(want, "test-plain")
+
+
+def test_near_copies_leave_whole_or_not_at_all(spark):
+    """Copies of one document, each with words of its own changed, go through line dedup untouched and leave near-dedup whole."""
+    r = np.random.RandomState(9)
+    words = [f"{a}{b}{c}{d}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs" for d in "aeiou"]
+    base = [r.choice(words, 60).tolist() for _ in range(6)]
+    terms = "All pages are licensed under these same terms."
+    rows = [(0, "\n".join(" ".join(x) for x in base))]
+    for i in range(1, 21):
+        lines = [list(x) for x in base]
+        lines[i % 6][r.randint(60)] = f"changed{i}"
+        rows.append((i, "\n".join(" ".join(x) for x in lines)))
+    rows += [(100 + i, " ".join(r.choice(words, 80)) + f"\n{terms}\n" + " ".join(r.choice(words, 80))) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = C.materialize(C.line_dedup(spark, docs, ""), "test-lines")
+    texts = {x.doc_id: x.text for x in left.collect()}
+    assert all(texts[i] == t for i, t in rows if i <= 100) and all(terms not in texts[i] for i in range(101, 120))
+    assert {x.doc_id for x in C.near_dedup(spark, left, "").collect()} == {0, *range(100, 120)}
+
+
 def test_stages_on_nothing(spark, sf):
     at, _ = sf
     df = spark.read.parquet(f"{at}/documents.parquet").limit(0)

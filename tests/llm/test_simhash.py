@@ -178,3 +178,25 @@ def test_one_of_each_keeps_columns_of_any_name(spark):
         got = S.one_of_each(df, **how)
         assert got.columns == df.columns
         assert sorted(((r.doc_id, r.text, r["row"], r.component_id) for r in got.collect()), key=str) == sorted([(1, rows[0][1], 0, 8), (3, None, 0, 8), (4, rows[4][1], 0, 8), (None, rows[0][1], 0, 8)], key=str)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_full_cells_equal_all_pairs(seed, monkeypatch):
+    monkeypatch.setattr(S, "PAIR_ROWS", [40, 64, 1000][seed % 3])
+    monkeypatch.setattr(S, "LANES", [3, 1 << 18][seed % 2])
+    r = np.random.RandomState(seed)
+    base = r.randint(0, 256, (3, 8)).astype(np.uint8)
+    near = base[r.randint(0, 3, 260)].copy()
+    for x in near:  # chains: each differs from a copy in a few bits, so groups are wider than the radius
+        for p in r.randint(0, 64, r.randint(0, 9)):
+            x[p // 8] ^= 1 << (p % 8)
+    fps = np.concatenate((near, r.randint(0, 256, (90, 8)).astype(np.uint8)))[r.permutation(350)]
+    far = np.unpackbits(fps[:, None] ^ fps[None], axis=2).sum(axis=2)
+    label = np.arange(350)
+    while True:
+        new = np.array([label[far[i] <= 6].min() for i in range(350)])
+        if (new == label).all():
+            break
+        label = new
+    got = S.cell_components(fps, 6)
+    assert (got == label).all() and len(set(label)) > 50
