@@ -21,16 +21,28 @@ from docloom.llm.toxicity import fit, score
 NEAR = {"shingle": 5, "planes": 512, "radius": 112, "bands": (48, 13), "similar": 0.8}
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` has not."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, learnt from ``labels``, scores at 0.5 or more go. Null texts stay."""
     machine = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, machine, score_col="toxicity_score").where("toxicity_score < 0.5").select(*docs.columns)
+    own = _free(docs, "toxicity_score")
+    return score(docs, machine, score_col=own).where(F.col(own) < 0.5).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go but for their first document; ``n_chars`` follows. A document of which nothing is left goes."""
+    """Lines of recurring templates go but for their first document; ``n_chars`` follows. A document of which nothing is left goes.
+
+    A document that would lose over a third is a version of another and stays whole, so that near copies reach near_dedup as they are.
+    """
+    gone = _free(docs, "lines_gone")
     blank = lambda c: F.coalesce(F.length(F.trim(F.regexp_replace(c, r"\s+", " "))), F.lit(0)) == 0
-    dropped = drop_recurring_lines(docs, count_col="lines_gone").where((F.col("lines_gone") == 0) | ~blank(F.col("text")))
+    dropped = drop_recurring_lines(docs, count_col=gone).where((F.col(gone) == 0) | ~blank(F.col("text")))
     return dropped.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 
