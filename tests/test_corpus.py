@@ -172,3 +172,22 @@ def test_ranks_without_sorting_a_group(spark):
 def test_first_retained(spark):
     df = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "a", False), (4, None, False)], "line long, text string, bad boolean")
     assert sorted(r.line for r in curate.first_retained(df, F.col("bad")).collect()) == [2, 4]
+
+
+def test_large_spacing_models_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Ab cd\nef"), (2, "é日 😀x"), (3, ""), (4, None), (1, "more of one"), (5, "zzz"), (None, "ab")], "doc_id long, text string")
+    model = ocr.train(docs.where("doc_id <= 2"))
+    score = lambda: {r.doc_id: round(r.mean_log_probability, 9) for r in ocr.mean_log_probability(docs, model).collect()}
+    small = score()
+    monkeypatch.setattr(ocr, "MODEL_GRAMS", 0)
+    assert score() == small and set(small) == {1, 2, 5, None}
+    empty = ocr.train(docs.limit(0))
+    monkeypatch.setattr(ocr, "MODEL_GRAMS", 100)
+    assert empty["grams"].count() == 0 and set(ocr.mean_log_probability(docs, empty).toPandas()["mean_log_probability"].round(6)) == {-2.772589}
+
+
+def test_word_mentions_by_first_kind(spark):
+    df = spark.createDataFrame([(1, "ab A  12 (a)\nA.b\n", 7), (2, None, 8), (3, "", 9), (None, "x ab", 1)], "doc_id long, text string, n int")
+    got = spans.word_mentions(df, [("CAP", "^[A-Z]$"), ("NUM", "^[0-9]+$"), ("LOW", "^(a|ab)$"), ("ANY", "^[a-z]+$")], keep=("n",))
+    assert got.columns == ["doc_id", "n", "label", "start", "end", "surface", "word_no"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 7, "LOW", 0, 2, "ab", 0), (1, 7, "CAP", 3, 4, "A", 1), (1, 7, "NUM", 6, 8, "12", 3), (None, 1, "ANY", 0, 1, "x", 0), (None, 1, "LOW", 2, 4, "ab", 1)], key=str)
