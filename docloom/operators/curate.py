@@ -1,4 +1,8 @@
-"""Selecting documents: features, filters, deduplication, top-k per stratum, pools and caps."""
+"""Selecting documents: features, filters, deduplication, top-k per stratum, pools and caps.
+
+An empty table gives an empty result everywhere. A null text has no features and is neither long enough nor anybody's copy; null
+ids rank first, and nulls of a stratum make one stratum, that of the default.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +28,13 @@ def with_default(df: DataFrame, names: Iterable[str], default: str = "Unknown")
     return T.first_present(*[F.col(n) for n in names if n in df.columns], default=default)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or if ``df`` has such a column the name with underscores that it has not."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def stratum(*columns: Column, default: str = "unknown") -> Column:
     return F.concat_ws("|", *[F.coalesce(T.blank(c), F.lit(default)) for c in columns])
 
@@ -67,7 +78,8 @@ def top_k_per_stratum(docs: DataFrame, strata: list[Column], k: int, seed: str |
     """The k rows of each stratum with the smallest stable hash, which is added as ``stable_rank``; at most ``total`` in all."""
     ranked = docs.withColumn("stable_rank", F.substring(T.stable_hash(str(seed), F.col(id_col)), 1, 32))
     window = Window.partitionBy(*strata).orderBy("stable_rank", id_col)
-    kept = ranked.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= k).drop("_rank")
+    own = unused(docs, "_rank")
+    kept = ranked.withColumn(own, F.row_number().over(window)).where(F.col(own) <= k).drop(own)
     return kept.orderBy("stable_rank", id_col).limit(total) if total is not None else kept
 
 

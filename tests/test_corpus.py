@@ -191,3 +191,13 @@ def test_word_mentions_by_first_kind(spark):
     got = spans.word_mentions(df, [("CAP", "^[A-Z]$"), ("NUM", "^[0-9]+$"), ("LOW", "^(a|ab)$"), ("ANY", "^[a-z]+$")], keep=("n",))
     assert got.columns == ["doc_id", "n", "label", "start", "end", "surface", "word_no"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 7, "LOW", 0, 2, "ab", 0), (1, 7, "CAP", 3, 4, "A", 1), (1, 7, "NUM", 6, 8, "12", 3), (None, 1, "ANY", 0, 1, "x", 0), (None, 1, "LOW", 2, 4, "ab", 1)], key=str)
+
+
+def test_curating_nulls_ties_and_clashing_names(spark):
+    rows = [(1, "x", "a", 5), (2, "x", None, 5), (3, None, None, 5), (None, "y", "a", 5), (4, "y", " ", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string, _rank int")
+    assert {r.doc_id for r in curate.dedup_texts(df).collect()} == {1, 4}
+    got = curate.top_k_per_stratum(df, [curate.stratum(F.col("kind"))], 1)
+    assert got.columns == [*df.columns, "stable_rank"] and got.count() == 2 and {r["_rank"] for r in got.collect()} == {5}
+    assert curate.top_k_per_stratum(df.limit(0), [F.col("kind")], 1).collect() == [] and curate.dedup_texts(df.limit(0)).collect() == []
+    assert [r.ok for r in df.select(curate.long_enough(F.col("text"), 1).alias("ok")).collect()] == [True, True, None, True, True]
