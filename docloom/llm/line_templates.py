@@ -6,9 +6,10 @@ the number of words, then the first ``LEADING`` words, lead to a leaf. The words
 runs are the template's variable fields. Lines that are unlike all earlier ones begin templates of their own, so a leaf
 holds as many as it needs.
 
-Two rows of runs that agree in more than half of them, seen as a ring, agree in two neighbouring runs. So the earliest
-line with each pair of neighbours is found by one aggregation, each line is compared with those alone, and points to the
-earliest that is similar enough; pointers are then followed to their ends. No leaf is parsed in sequence, whatever it holds.
+Two lines agree in more than half of ``n`` runs exactly if they agree in all runs of one of the choices of ``n // 2 + 1`` of them.
+So each choice, with what the line has there, is a key, of which a line has 56 at most. The earliest line of each key is found by one
+aggregation, and each line points to the earliest of those of its keys, which is the earliest of all that are similar enough;
+pointers are then followed to their ends. No two lines are compared, and no leaf is parsed in sequence, whatever it holds.
 
 A template that recurs in ``MIN_DOCS`` documents or more is kept where it comes first, in the document of the smallest id, and
 is dropped from all others. A document that would lose more than one part in ``MOST_PART`` is a version of another
@@ -17,6 +18,8 @@ as a whole rather than a text with boilerplate in it: it stays as it is, for nea
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,16 +73,15 @@ def _templates(lines: DataFrame) -> DataFrame:
     # With one run or two, more than half are all, so such lines are alike only if they are equal.
     kinds = lines.where(F.col("words") > LEADING + 2).groupBy("leaf", "seq").agg(F.min(F.struct("id", "version", "pos")).alias("at"), F.first("words").alias("words"), *[F.first(r).alias(r) for r in RUNS])
     kinds = materialize(kinds.withColumn("n", F.least(F.lit(SEGMENTS), F.col("words") - LEADING)), "lines-kinds")
-    pair = lambda i: F.xxhash64("leaf", F.lit(i), RUNS[i], F.when(F.col("n") > i + 1, F.col(RUNS[(i + 1) % SEGMENTS])).otherwise(F.col(RUNS[0])))
-    keys = F.array_compact(F.array(*[F.when(F.col("n") > i, pair(i)) for i in range(SEGMENTS)]))
+    keys = F.lit(None)
+    for n in range(3, SEGMENTS + 1):
+        choices = [F.xxhash64("leaf", F.lit(i), *[RUNS[r] for r in chosen]) for i, chosen in enumerate(combinations(range(n), n // 2 + 1))]
+        keys = F.when(F.col("n") == n, F.array(*choices)).otherwise(keys)
     keyed = kinds.select("seq", F.struct("at", "seq").alias("own"), F.explode(keys).alias("key"))
-    firsts = materialize(keyed.groupBy("key").agg(F.min("own").alias("first"), F.count("*").alias("many")).where("many > 1").select("key", "first.at", F.col("first.seq").alias("head")), "lines-firsts")
-    tried = materialize(keyed.select("key", "seq").join(firsts.withColumnRenamed("at", "head_at"), "key").where("seq <> head").groupBy("seq", "head").agg(F.min("head_at").alias("head_at")), "lines-tried")
-    heads = kinds.select(F.col("seq").alias("head"), *[F.col(r).alias(f"head_{r}") for r in RUNS])
-    same = sum((((F.col("n") > i) & (F.col(r) == F.col(f"head_{r}"))).cast("int") for i, r in enumerate(RUNS)), F.lit(0))
-    near = kinds.select("seq", "n", *RUNS).join(tried, "seq").join(heads, "head").where(2 * same > F.col("n"))
+    firsts = materialize(keyed.groupBy("key").agg(F.min("own").alias("first"), F.count("*").alias("many")).where("many > 1").select("key", "first"), "lines-firsts")
+    near = keyed.select("key", "seq").join(firsts, "key").where("seq <> first.seq").groupBy("seq").agg(F.min("first").alias("best"))
     rounds = Rounds(lines.sparkSession, "lines-templates")
-    found = rounds.store(near.groupBy("seq").agg(F.min(F.struct("head_at", "head")).alias("best")).select("seq", F.col("best.head").alias("template")))
+    found = rounds.store(near.select("seq", F.col("best.seq").alias("template")))
     while True:  # each round doubles how far a pointer reaches
         above = found.select(F.col("seq").alias("template"), F.col("template").alias("top"))
         jumped = rounds.store(found.join(above, "template", "left").select("seq", F.coalesce("top", "template").alias("template"), F.col("top").isNotNull().alias("moved")))

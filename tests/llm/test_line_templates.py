@@ -84,6 +84,15 @@ def test_lines_that_share_their_beginning_only(spark):
     assert {r.doc_id: r.text for r in got.collect()} == dict(rows)
 
 
+def test_an_alike_line_is_found_behind_others_of_the_same_runs(spark):
+    # The last two agree in three of four runs, but each two neighbours of these came up before in lines that agree in two only.
+    ends = ["a b z w", "q b c v", "a b c y", "a b c x"]
+    rows = [(i, f"some three words {x}\n{'ab' * (i + 1)}") for i, x in enumerate(ends)]
+    got = L.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2, most_part=None)
+    assert sorted((r.doc_id, r.text, r.lines_dropped) for r in got.collect()) == slow(rows, min_docs=2, most_part=None)
+    assert [n for _, _, n in slow(rows, min_docs=2, most_part=None)] == [0, 0, 0, 1]
+
+
 def test_more_leaves_than_are_broadcast(spark, rows, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_LEAVES", 1)
     got = L.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
