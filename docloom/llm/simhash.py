@@ -259,6 +259,7 @@ def cell_components(fps: np.ndarray, radius: int) -> np.ndarray:
 
 def _cell_links(radius: int, size: int):
     def links(fp: list[bytes]) -> pa.RecordBatch:
+        fp = sorted(set(fp))  # so that the cells of a group mostly name the same row
         fps = np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), size)
         label = cell_components(fps, radius)
         linked = np.flatnonzero(label != np.arange(len(fp)))
@@ -336,6 +337,16 @@ def links(distinct: DataFrame, planes: int, radius: int, bands: tuple[int, int]
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(radius, size), "a binary, b binary")
 
 
+def stars(edges: DataFrame) -> DataFrame:
+    """(a, b): as few edges as connect the same vertices, where each cell links its rows ``a`` to one row ``b``.
+
+    The rows to which cells link a row are linked to the smallest of them, and the row to that alone. So a group has about
+    as many edges as rows, however many tables have found it. A row has as many links at most as cells.
+    """
+    linked = edges.where("a <> b").groupBy("a").agg(F.min("b").alias("b"), F.collect_set("b").alias("all"))
+    return linked.select(F.explode(F.array_union(F.array("a"), "all")).alias("a"), "b").where("a <> b").distinct()
+
+
 # ---- verification -------------------------------------------------------------------------------------------
 
 
@@ -458,14 +469,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, planes:
     """(id, fp, label, component_id), and with ``versions`` a hash of the text: rows of a component have the same ``label``."""
     rows = materialize((_versions if versions else fingerprints)(docs, id_col, text_col, shingle, planes), "simhash-rows")
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    found = materialize(links(distinct, planes, radius, bands), "simhash-links")  # read twice, and dear to compute
-    labels = components(found)
-    placed = distinct.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    placed = materialize(placed, "simhash-placed")
-    by = "fp"
-    if similar is not None:
-        by = "version"
-        tried = materialize(rows.groupBy("fp", "version").agg(F.min("id").alias("least")).join(placed.select("fp", "label"), "fp"), "simhash-tried")
+    found = links(distinct, planes, radius, bands)
+    if similar is not None:  # links only propose, so hashes may stand for long fingerprints
+        found = found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    labels = components(materialize(stars(found), "simhash-links"))  # read twice, and dear to compute
+    by = "fp" if similar is None else "version"
+    if similar is None:
+        placed = materialize(distinct.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "simhash-placed")
+    else:
+        kinds = materialize(rows.groupBy(F.xxhash64("fp").alias("v"), "version").agg(F.min("id").alias("least")), "simhash-versions")
+        tried = materialize(kinds.join(labels, "v", "left").select("version", "least", F.coalesce("label", "v").alias("label")), "simhash-tried")
         found = materialize(_similar_links(docs, tried, text_col, shingle, similar), "simhash-similar")
         labels = components(found).withColumnsRenamed({"v": "version", "label": "linked"})
         placed = materialize(tried.join(labels, "version", "left").select("version", "least", F.coalesce("linked", "version").alias("label")), "simhash-verified")

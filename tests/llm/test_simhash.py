@@ -200,3 +200,13 @@ def test_full_cells_equal_all_pairs(seed, monkeypatch):
         label = new
     got = S.cell_components(fps, 6)
     assert (got == label).all() and len(set(label)) > 50
+
+
+def test_a_group_has_no_more_edges_for_more_tables(spark, monkeypatch):
+    own = " ".join(f"word{i}" for i in range(300))
+    rows = [(i, f"{own} tail{i}") for i in range(400)] + [(1000 + i, f"other{i} {i} text{i} of its own {i * i}") for i in range(20)]
+    counts, real = [], S.components
+    monkeypatch.setattr(S, "components", lambda edges: (counts.append(edges.count()), real(edges))[1])
+    got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), planes=512, radius=112, bands=(48, 13), similar=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 0 if i < 1000 else i for i, _ in rows}
+    assert 399 <= counts[0] < 800
