@@ -41,6 +41,9 @@ SEEDS = 8  # from which a full cell is searched for groups before all pairs are
 LANES = 1 << 18
 BROADCAST_CELLS = 100_000
 SET_BYTES = 8 << 20  # of the sets in a shard of a group
+ROW_BITS = 32  # for each row of the smaller side of a join
+MOST_BITS = 1 << 26  # of a bitmap, which is broadcast: 8 MB
+_BUCKET_BITS = 1 << 15  # of each row that ``bitmap_construct_agg`` makes
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1).view(np.uint64).ravel()
 
 
@@ -350,6 +353,20 @@ def stars(edges: DataFrame) -> DataFrame:
 # ---- verification -------------------------------------------------------------------------------------------
 
 
+def possible(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with ``possible``: false only if no row of ``few`` has the same in the columns ``by``, so that a join need not shuffle the row.
+
+    What is broadcast is a bitmap of hashes, of a bounded size. With more rows in ``few`` than it has bits for, more rows are possible in vain.
+    """
+    bits = min(MOST_BITS, max(_BUCKET_BITS, 1 << (few.count() * ROW_BITS).bit_length()))
+    slot = F.pmod(F.xxhash64(*by, F.lit(5)), F.lit(bits))
+    bucket, place = F.floor(slot / _BUCKET_BITS).alias("_bucket"), (slot % _BUCKET_BITS).alias("_place")
+    bitmap = few.select(bucket, place).groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = "cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)"
+    held = rows.select("*", bucket, place).join(F.broadcast(bitmap), "_bucket", "left")
+    return held.select(*rows.columns, F.expr(f"coalesce(getbit({byte}, cast(_place % 8 as int)), 0) = 1").alias("possible"))
+
+
 def similar_forest(sets: list[np.ndarray], similar: float) -> np.ndarray:
     """A row of each row's component, where sets of a Jaccard similarity of at least ``similar`` are linked. Each set is sorted and without repeats; two empty ones are equal."""
     n = len(sets)
@@ -399,12 +416,18 @@ def _verified(similar: float):
     return run
 
 
-def _similar_links(docs: DataFrame, placed: DataFrame, text_col: str, shingle: int, similar: float) -> DataFrame:
-    """(a, b): a spanning forest, cell by cell, of the links between versions that share a ``label`` in ``placed``."""
+def _similar_links(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, shingle: int, similar: float) -> DataFrame:
+    """(a, b): a spanning forest, cell by cell, of the links between versions that share a ``label`` in ``placed``.
+
+    Of copies only the row of the smallest id, ``least``, is read, and other texts are not shuffled.
+    """
     groups = placed.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
-    asked = materialize(placed.join(groups, "label").select("version", F.xxhash64("label").alias("cell")), "simhash-asked")
+    asked = materialize(placed.join(groups, "label").select("version", "least", F.xxhash64("label").alias("cell")), "simhash-asked")
     text = F.col(text_col).cast("string")
-    texts = docs.select(F.xxhash64(text).alias("version"), text.alias("text")).join(asked, "version")
+    texts = docs.select(F.col(id_col).alias("least"), F.xxhash64(text).alias("version"), text.alias("text"))
+    texts = possible(texts, asked, ["least", "version"]).where("possible").alias("t")
+    same = (F.col("t.version") == F.col("a.version")) & F.col("t.least").eqNullSafe(F.col("a.least"))
+    texts = texts.join(asked.alias("a"), same).select("t.version", "t.text", "a.cell")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [np.unique(_shingle_hashes(x.as_py(), shingle)).tobytes() for x in batch.column("text")]
@@ -479,7 +502,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, planes:
     else:
         kinds = materialize(rows.groupBy(F.xxhash64("fp").alias("v"), "version").agg(F.min("id").alias("least")), "simhash-versions")
         tried = materialize(kinds.join(labels, "v", "left").select("version", "least", F.coalesce("label", "v").alias("label")), "simhash-tried")
-        found = materialize(_similar_links(docs, tried, text_col, shingle, similar), "simhash-similar")
+        found = materialize(_similar_links(docs, tried, id_col, text_col, shingle, similar), "simhash-similar")
         labels = components(found).withColumnsRenamed({"v": "version", "label": "linked"})
         placed = materialize(tried.join(labels, "version", "left").select("version", "least", F.coalesce("linked", "version").alias("label")), "simhash-verified")
     smallest = materialize(placed.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-smallest")
@@ -503,7 +526,7 @@ def one_of_each(
     """
     found = _grouped(docs, id_col, text_col, shingle, planes, radius, bands, similar, True).where("id is not null")
     texts = materialize(found.groupBy("id", "version", "label").agg((F.col("id") == F.first("component_id")).alias("stays"), F.count("*").alias("n")), "simhash-found")
-    # What goes is far less than what stays, so texts are joined with that, which Spark may broadcast.
+    # What goes is far less than what stays, so texts are joined with that, and only those that may be among it.
     gone = texts.where("not stays").select("id", "version")
     repeated = materialize(texts.where("stays").groupBy("id", "label").agg(F.min("version").alias("first"), F.sum("n").alias("n")).where("n > 1"), "simhash-repeated")
     again = not repeated.isEmpty()
@@ -512,7 +535,8 @@ def one_of_each(
     gone = materialize(gone, "simhash-gone")
     # The row travels as one column, so that its own columns may have any names.
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"))
-    kept = marked.join(gone, ["id", "version"], "left_anti")
+    marked = possible(marked, gone, ["id", "version"])
+    kept = marked.where("not possible").unionByName(marked.where("possible").join(gone, ["id", "version"], "left_anti"))
     if again:
         kept = kept.where(F.col("id").isNotNull()).dropDuplicates(["id", "version"]).unionByName(marked.where(F.col("id").isNull()))
     return kept.select("row.*")

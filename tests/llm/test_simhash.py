@@ -210,3 +210,68 @@ def test_a_group_has_no_more_edges_for_more_tables(spark, monkeypatch):
     got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), planes=512, radius=112, bands=(48, 13), similar=0.8).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: 0 if i < 1000 else i for i, _ in rows}
     assert 399 <= counts[0] < 800
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of ``run`` write for shuffles, and what it returns."""
+    context = spark.sparkContext
+    jvm, store = context._jvm, context._jsc.sc().statusStore()
+
+    def stages():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    got = run()
+    return sum(n for k, n in stages().items() if k not in before), got
+
+
+def test_near_dedup_shuffles_only_texts_that_may_go(spark):
+    r = np.random.RandomState(8)
+    rows = [(i, " ".join(f"{x:08x}" for x in r.randint(0, 2**31, 3000))) for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    at = S.materialize(df, "test-documents")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n, got = shuffled(spark, lambda: sorted(x.doc_id for x in S.one_of_each(at, **NEAR).select("doc_id", "text").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == list(range(200))
+    assert n < sum(len(t) for _, t in rows) / 2
+
+
+def test_copies_are_read_once(spark, monkeypatch):
+    own = " ".join(f"word{i}" for i in range(200))
+    rows = [(i, own) for i in range(50)] + [(60, own + " tail")] * 2 + [(None, None)] * 3 + [(70, "")]
+    seen, real = [], S.possible
+    monkeypatch.setattr(S, "possible", lambda *a: (seen.append(real(*a)), seen[-1])[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(df, **NEAR).collect()}
+    assert got == {i: 0 for i in (*range(50), 60)} | {None: 70, 70: 70}
+    # One of the fifty copies; rows that repeat an id, or have none, are as many as they are.
+    assert seen[0].where("possible").count() <= 1 + 2 + 3 + 1
+
+
+@pytest.mark.parametrize("most_bits", [1, 64, 1 << 26])
+def test_possible_misses_none(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(S, "MOST_BITS", most_bits)
+    rows = spark.range(20_000).selectExpr("if(id % 7 = 0, null, id) as id", "id * 31 as version", "id % 50 = 0 as asked")
+    found = S.possible(rows, rows.where("asked"), ["id", "version"])
+    assert found.columns == [*rows.columns, "possible"] and found.count() == 20_000
+    assert found.where("asked and not possible").isEmpty()
+    assert most_bits < 1 << 26 or found.where("possible").count() < 2000
+    assert S.possible(rows, rows.where("false"), ["id", "version"]).where("possible").isEmpty()
+
+
+@pytest.mark.parametrize("how", [{}, NEAR])
+def test_one_of_each_with_a_full_bitmap(spark, monkeypatch, how):
+    monkeypatch.setattr(S, "MOST_BITS", 1)
+    rows = texts(60, 9) + [(500, None), (501, ""), (None, "w1 w2"), (None, "w1 w2"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    full = sorted(map(str, S.one_of_each(df, **how).collect()))
+    monkeypatch.setattr(S, "MOST_BITS", 1 << 26)
+    assert sorted(map(str, S.one_of_each(df, **how).collect())) == full
+    assert len(full) < 40
