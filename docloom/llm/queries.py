@@ -96,15 +96,21 @@ def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), _every_20th("vec_id"), k=20, scale=64.0)
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similar_documents
+
+    return similar_documents(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_simhash, op2_packing, op3_byte_bpe, op4_url_graph, op5_pstable_ann, op6_line_templates, op7_warc, op8_toxicity, op9_token_scan, op10_norm_topk)
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in (*every, op13_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import line_templates
 
-    return {"op6_line_templates": line_templates.ORACLE_SQL, "op7_warc": WARC_SQL, "op10_norm_topk": TOP_K_SQL}
+    return {"op6_line_templates": line_templates.ORACLE_SQL, "op7_warc": WARC_SQL, "op10_norm_topk": TOP_K_SQL, "op13_ngram_jaccard": JACCARD_SQL}
 
 
 #: Base32 of a hex digest, five bits a character.
@@ -133,3 +139,23 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+JACCARD_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w
+), g AS (
+  SELECT doc_id, CAST(len(s) AS BIGINT) AS n, unnest(s) AS g FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT a AS doc_id, a AS other FROM links
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id FROM s LEFT JOIN least l ON s.doc_id = l.doc_id
+"""
