@@ -96,6 +96,13 @@ def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), _every_20th("vec_id"), k=20, scale=64.0)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import grafted, numbered, prefix_trie
+
+    head = lambda c: F.crc32(c.cast("string").cast("binary")) % 9
+    return prefix_trie(*grafted(numbered(_table(spark, sf_dir, "conversations")), lambda c: c - c % 5, head, 8))
+
+
 def op12_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexical_search import search
 
@@ -110,13 +117,13 @@ def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_simhash, op2_packing, op3_byte_bpe, op4_url_graph, op5_pstable_ann, op6_line_templates, op7_warc, op8_toxicity, op9_token_scan, op10_norm_topk)
-    return {f.__name__: f for f in (*every, op12_maxscore, op13_ngram_jaccard)}
+    return {f.__name__: f for f in (*every, op11_prefix_trie, op12_maxscore, op13_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import line_templates
 
-    return {"op6_line_templates": line_templates.ORACLE_SQL, "op7_warc": WARC_SQL, "op10_norm_topk": TOP_K_SQL, "op12_maxscore": LEXICAL_SQL, "op13_ngram_jaccard": JACCARD_SQL}
+    return {"op6_line_templates": line_templates.ORACLE_SQL, "op7_warc": WARC_SQL, "op10_norm_topk": TOP_K_SQL, "op11_prefix_trie": TRIE_SQL, "op12_maxscore": LEXICAL_SQL, "op13_ngram_jaccard": JACCARD_SQL}
 
 
 #: Base32 of a hex digest, five bits a character.
@@ -191,3 +198,36 @@ WITH d AS (
 )
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
+
+#: CRC-32 is reckoned digit by digit, bit by bit.
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, i: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT c FROM t)
+), r AS (
+  SELECT i.c, t.pos, 0 AS part, t.x FROM ids i JOIN t ON t.c = i.c - i.c % 5 WHERE t.pos <= i.h
+  UNION ALL
+  SELECT i.c, t.pos, 1, t.x FROM ids i JOIN t ON t.c = i.c WHERE t.pos > i.h
+), paths AS (
+  SELECT i.c, coalesce(p.path, []) AS path FROM ids i LEFT JOIN (SELECT c, list(x ORDER BY part, pos) AS path FROM r GROUP BY c) p ON i.c = p.c
+), prefixes AS (
+  SELECT c, d, path[1:d] AS k, len(path) = d AS ends FROM (SELECT c, path, unnest(range(len(path) + 1)) AS d FROM paths)
+), nodes AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256 FROM prefixes GROUP BY k, d
+), children AS (
+  SELECT k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY k[1:d - 1]
+), full_nodes AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1) * octet_length(encode(n.k[n.d].text)) END AS saved FROM nodes n LEFT JOIN children c ON n.k = c.k
+), above AS (
+  SELECT k[1:e] AS k, n_children, saved FROM (SELECT k, n_children, saved, unnest(range(d + 1)) AS e FROM full_nodes)
+), below AS (
+  SELECT k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM above GROUP BY k
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+  CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN below b ON n.k = b.k LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]
+"""
