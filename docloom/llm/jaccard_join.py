@@ -7,8 +7,8 @@ Light sets, of at most ``x`` shingles: two sets of sizes a and b that link share
 that can link with its own, a set emits all its subsets of that many shingles; equal subsets propose a link.
 
 Heavy sets: shingles are put into one order, those that many texts hold last. Two sets that link share one of the first
-``a - need(a) + 1`` shingles of each, so only these enter inverted lists. Lists of the same sets count once. A list is
-scanned with sketches, the parities of about as many hash slots as a set has shingles: two sets differ in at least as many
+``a - need(a) + 1`` shingles of each, so only these enter inverted lists, cut into bands of sizes that can link. Lists of the same sets count
+once. A list is scanned with sketches, the parities of about as many hash slots as a set has shingles: two sets differ in at least as many
 shingles as their sketches in bits, so what a sketch rules out is no link. Long lists are cut into shards, and each
 pair of shards becomes a cell of its own. Cells return spanning forests, never all pairs.
 
@@ -20,6 +20,7 @@ What proposals connect forms a group, and in a group all pairs are compared by a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -197,7 +198,7 @@ def first_shingles(found: np.ndarray, bitmaps: list[np.ndarray], num: int, den:
 
 
 def _listed(docs: DataFrame, text_col: str, shingle: int, bitmaps: list[np.ndarray], num: int, den: int) -> DataFrame:
-    """(shingle, k, n): the entries of the inverted lists, each once for equal sets of a batch."""
+    """(shingle, k, n): the entries of the inverted lists; equal sets of several batches repeat theirs."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -215,7 +216,7 @@ def _listed(docs: DataFrame, text_col: str, shingle: int, bitmaps: list[np.ndarr
         columns = [pa.array(shingles), pa.array(np.repeat(np.array(keys, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many))]
         return pa.RecordBatch.from_arrays(columns, ["shingle", "k", "n"])
 
-    return docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(per_batch(work, 500), "shingle long, k long, n int").distinct()
+    return docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(per_batch(work, 500), "shingle long, k long, n int")
 
 
 # ---- light sets ---------------------------------------------------------------------------------------------
@@ -324,33 +325,41 @@ def _list_links(num: int, den: int):
 
 def _heavy_links(entries: DataFrame, lists: DataFrame, sets: DataFrame, light: int, num: int, den: int) -> DataFrame:
     least = need(light + 1, num, den)  # smaller sets link with light ones only
-    once = materialize(lists.where(F.col("largest") > light).groupBy("rows", "d1", "d2", "d3", "d4").agg(F.min("shingle").alias("shingle")).select("shingle", "rows"), "jaccard-lists")
-    some = possible(entries.where(F.col("n") >= least), once, ["shingle"]).where("possible").select("shingle", "k", "n")
-    some = materialize(some.join(once, "shingle"), "jaccard-entries")
-    asked = some.select("k").distinct()
+    some = possible(entries.where(F.col("n") >= least), lists, ["shingle"]).where("possible")
+    some = some.join(lists.select("shingle"), "shingle").select("shingle", "k", "n").distinct()
+    # Sizes of sets that link lie in one band or in neighbouring ones, so each entry enters the cells of two.
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9)))
+    cell = F.explode(F.array(*[F.xxhash64("shingle", band + i) for i in (0, 1)])).alias("cell")
+    cells = materialize(some.select(cell, "k", "n"), "jaccard-entries")
+    once = cells.groupBy("cell").agg(F.count("*").alias("rows"), F.max("n").alias("largest"), *_digest("k")).where((F.col("rows") > 1) & (F.col("largest") > light))
+    once = materialize(once.groupBy("rows", "d1", "d2", "d3", "d4").agg(F.min("cell").alias("cell")).select("cell", "rows"), "jaccard-lists")
+    cells = materialize(possible(cells, once, ["cell"]).where("possible").join(once, "cell").select("cell", "k", "n", "rows"), "jaccard-cells")
+    asked = cells.select("k").distinct()
     sketches = materialize(possible(sets, asked, ["k"]).where("possible").select("k", "n", "sketch"), "jaccard-sketches")
     half = LIST_ROWS // 2
     shards = F.when(F.col("rows") > LIST_ROWS, F.ceil(F.col("rows") / half)).otherwise(1).cast("int")
     mine = F.pmod(F.xxhash64("k", F.lit(3)), F.col("shards")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda o: F.xxhash64("shingle", F.least(o, F.col("mine")), F.greatest(o, F.col("mine"))))
-    dealt = some.select("shingle", "k", "n", shards.alias("shards")).withColumn("mine", mine)
-    dealt = dealt.select("k", "n", F.explode(F.when(F.col("shards") == 1, F.array("shingle")).otherwise(pairs)).alias("cell"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda o: F.xxhash64("cell", F.least(o, F.col("mine")), F.greatest(o, F.col("mine"))))
+    dealt = cells.select("cell", "k", "n", shards.alias("shards")).withColumn("mine", mine)
+    dealt = dealt.select("k", "n", F.explode(F.when(F.col("shards") == 1, F.array("cell")).otherwise(pairs)).alias("cell"))
     return dealt.join(sketches, ["k", "n"]).select("cell", "k", "n", "sketch").repartition("cell").sortWithinPartitions("cell").mapInArrow(_list_links(num, den), "a long, b long")
 
 
-def _lists(entries: DataFrame) -> DataFrame:
-    """For each shingle that several sets have in front: how many, the largest, and a digest of which."""
-    parts = [F.xxhash64("k", F.lit(seed)) for seed in (1, 2)]
-    half = lambda h, low: F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)) if low else F.shiftrightunsigned(h, 32))
-    digest = [half(h, low).alias(f"d{2 * i + j + 1}") for i, h in enumerate(parts) for j, low in enumerate((True, False))]
-    return entries.groupBy("shingle").agg(F.count("*").alias("rows"), F.max("n").alias("largest"), *digest).where(F.col("rows") > 1)
+def _digest(name: str) -> list[Column]:
+    """Sums that tell which rows of a group have which values."""
+    out = []
+    for seed in (1, 2):
+        h = F.xxhash64(name, F.lit(seed))
+        out += [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(h, 32))]
+    return [c.alias(f"d{i}") for i, c in enumerate(out, 1)]
 
 
 def _proposed(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    lists = materialize(_lists(entries), "jaccard-shared")
+    lists = entries.groupBy("shingle").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("rows")).where("low <> high")
+    lists = materialize(lists.select("shingle", "rows"), "jaccard-shared")
     small = F.col("n") <= LIGHT_MOST
     counts = {r.n: r.sets for r in sets.where(small).groupBy("n").agg(F.count("*").alias("sets")).collect()}
-    scanned = possible(entries.where(small), lists, ["shingle"]).where("possible").join(lists.select("shingle", "rows"), "shingle")
+    scanned = possible(entries.where(small), lists, ["shingle"]).where("possible").join(lists, "shingle")
     light = boundary(counts, {r.n: r.scanned for r in scanned.groupBy("n").agg(F.sum("rows").alias("scanned")).collect()}, num, den)
     return _light_links(sets, light, num, den).union(_heavy_links(entries, lists, sets, light, num, den))
 
