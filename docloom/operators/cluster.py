@@ -1,40 +1,53 @@
-"""Clustering of a document's mentions under must-link and cannot-link constraints."""
+"""Clustering of a document's mentions under must-link and cannot-link constraints.
+
+Complete linkage never joins what no link of at least the threshold connects, and two clusters that prefer each other to all
+others are joined whatever happens elsewhere. So a document of any size can be clustered: one of few links is a
+group of its own; of a larger one the connected components are, and in a component that is still too large all clusters that
+prefer each other are joined, in rounds over the table of its links, until few enough are left.
+"""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.functions import text as T
+from docloom.operators import graph
+from docloom.sources.steps import Rounds, stored
 
-def complete_link(labels: list[str], scores: dict[tuple[int, int], float], threshold: float, must: Iterable[tuple[int, int]] = (), cannot: Iterable[tuple[int, int]] = ()) -> list[list[int]]:
-    """Clusters of mention numbers, each sorted, in the order of their first members.
+#: Links of a group that one worker takes; more are joined in rounds before. It changes the cost, not the result.
+GROUP_LINKS = 500_000
+ALWAYS = float("inf")
+
+
+def merges(n: int, link: dict[tuple[int, int], float], threshold: float, must: Iterable[tuple[int, int]] = (), cannot: Iterable[tuple[int, int]] = ()) -> list[tuple[float, int, int]]:
+    """(linkage, a, b): the joins of complete linkage over mentions 0 to n - 1, in order; the cluster of b goes into that of a, the smaller.
 
-    Must-links join first, in order, unless the clusters are kept apart. Then the pair of clusters with the highest
-    linkage of at least ``threshold`` is joined, again and again; of equal ones that with the smaller left, then right,
-    first member. Linkage is the lowest score between members; a pair without a score, or of different or empty labels, prevents it.
+    Must-links join first, in order, unless the clusters are kept apart; their linkage is ALWAYS. Then the pair of clusters with the
+    highest linkage of at least ``threshold`` is joined, again and again; of equal ones that with the smaller left, then
+    right, first member. Linkage is the lowest score between members; a pair without a score prevents it.
     """
-    n = len(labels)
     key = lambda i, j: (i, j) if i < j else (j, i)
-    names = [(x or "").casefold() for x in labels]
-    apart = {key(i, j) for i, j in cannot}
-    link = {key(i, j): s for (i, j), s in scores.items() if names[i] == names[j] != ""}
+    made: list[tuple[float, int, int]] = []
     members = {i: [i] for i in range(n)}
     root = list(range(n))
     near: dict[int, dict[int, float]] = {i: {} for i in range(n)}
     blocked: dict[int, set[int]] = {i: set() for i in range(n)}
     for (i, j), s in link.items():
         near[i][j] = near[j][i] = s
-    for i, j in apart:
+    for i, j in cannot:
         blocked[i].add(j)
         blocked[j].add(i)
 
-    def join(a: int, b: int) -> None:
-        """b goes into a, the smaller; what either is kept apart from stays so, and a missing linkage stays missing."""
+    def join(s: float, a: int, b: int) -> None:
+        """What either is kept apart from stays so, and a missing linkage stays missing."""
+        made.append((s, a, b))
         for other in list(near[b]):
             del near[other][b]
         kept = {o: min(s, near[b][o]) for o, s in near[a].items() if o in near[b]}
@@ -57,47 +70,163 @@ def complete_link(labels: list[str], scores: dict[tuple[int, int], float], thres
     for i, j in sorted(key(i, j) for i, j in must):
         a, b = key(root[i], root[j])
         if a != b and b not in blocked[a]:
-            join(a, b)
+            join(ALWAYS, a, b)
     heap = [(-s, i, j) for i in near for j, s in near[i].items() if i < j and s >= threshold and j not in blocked[i]]
     heapq.heapify(heap)
     while heap:
         s, a, b = heapq.heappop(heap)
         if a not in near or near[a].get(b) != -s or b in blocked[a]:
             continue
-        join(a, b)
+        join(-s, a, b)
         for other, t in near[a].items():
             if t >= threshold and other not in blocked[a]:
                 heapq.heappush(heap, (-t, *key(a, other)))
+    return made
+
+
+def complete_link(labels: list[str], scores: dict[tuple[int, int], float], threshold: float, must: Iterable[tuple[int, int]] = (), cannot: Iterable[tuple[int, int]] = ()) -> list[list[int]]:
+    """Clusters of mention numbers, each sorted, in the order of their first members. Scores between different or empty labels don't count."""
+    names = [(x or "").casefold() for x in labels]
+    link = {(min(i, j), max(i, j)): s for (i, j), s in scores.items() if names[i] == names[j] != ""}
+    members = {i: [i] for i in range(len(labels))}
+    for _, a, b in merges(len(labels), link, threshold, must, cannot):
+        members[a] += members.pop(b)
     return sorted((sorted(m) for m in members.values()), key=lambda m: m[0])
 
 
-def cluster_documents(mentions: DataFrame, pairs: DataFrame, threshold: float, id_col: str = "doc_id", most_mentions: int = 1000) -> DataFrame:
-    """(id, mention_no, label, cluster_no, error): mentions (id, mention_no, label) clustered by ``pairs`` (id, i, j, score, decision).
+# ---- links --------------------------------------------------------------------------------------------------------
+
+
+def _links(mentions: DataFrame, pairs: DataFrame, least: float, id_col: str) -> DataFrame:
+    """(id, i, j, score, must, cannot), i < j: what can join mentions of one label, and what is apart in documents with must-links.
 
-    ``decision`` is must, cannot or score. Documents of more than ``most_mentions`` mentions are not clustered: each of their
-    rows says so in ``error``. The rest is one group per document, bounded by that number.
+    Of scores that repeat a pair the least counts.
     """
-    counts = mentions.groupBy(id_col).agg(F.count("*").alias("_n"))
-    too_many = counts.where(F.col("_n") > most_mentions).select(id_col)
-    fits = mentions.join(too_many, id_col, "left_anti")
-    kind = dict(mentions.dtypes)[id_col]
-    rows = fits.select(F.col(id_col).alias("id"), F.lit(0).alias("kind"), F.col("mention_no").cast("int").alias("i"), F.lit(None).cast("int").alias("j"), F.lit(None).cast("double").alias("score"), F.col("label").alias("word"))
-    links = pairs.join(too_many, id_col, "left_anti").select(F.col(id_col).alias("id"), F.lit(1).alias("kind"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("score").cast("double").alias("score"), F.col("decision").alias("word"))
+    named = mentions.select(F.col(id_col).alias("id"), F.col("mention_no").cast("int").alias("i"), T.normalize(F.col("label")).alias("name")).where("name <> ''")
+    both = pairs.select(F.col(id_col).alias("id"), F.least("i", "j").cast("int").alias("i"), F.greatest("i", "j").cast("int").alias("j"), F.col("score").cast("double").alias("score"), "decision").where("i < j")
+    kinds = both.groupBy("id", "i", "j").agg(F.min(F.when(F.col("decision") == "score", F.col("score"))).alias("score"), F.bool_or(F.col("decision") == "must").alias("must"), F.bool_or(F.col("decision") == "cannot").alias("cannot"))
+    kinds = kinds.where((F.coalesce("score", F.lit(-1.0)) >= least) | F.col("must") | F.col("cannot"))
+    found = kinds.join(named, ["id", "i"]).join(named.withColumnsRenamed({"i": "j", "name": "other"}), ["id", "j"]).where("name = other")
+    found = stored(found.select("id", "i", "j", F.when(F.col("score") >= least, F.col("score")).alias("score"), F.col("must") & ~F.col("cannot"), "cannot").toDF("id", "i", "j", "score", "must", "cannot"), "cluster-links")
+    musts = found.where("must").select("id").distinct()
+    return found.where("not cannot").unionByName(found.where("cannot").join(musts, "id", "left_semi"))
+
+
+def _spans_in_groups(links: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """(id, v, root, low, high) of the mentions that ``links`` name, a group of ``keys`` in a worker: ``root`` is the cluster over ``low`` and up to ``high``, open where null."""
+    kind = dict(links.dtypes)["id"]
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        m = frame[frame.kind == 0].sort_values("i")
-        p = frame[frame.kind == 1]
-        place = {int(x): k for k, x in enumerate(m.i)}
-        p = p[p.i.isin(place) & p.j.isin(place)]
-        pick = lambda w: [(place[int(i)], place[int(j)]) for i, j in zip(p.i[p.word == w], p.j[p.word == w])]
-        scored = p[(p.word == "score") & p.score.notna()]
-        made = complete_link(m.word.tolist(), {(place[int(i)], place[int(j)]): float(s) for i, j, s in zip(scored.i, scored.j, scored.score)}, threshold, pick("must"), pick("cannot"))
-        number = {k: c for c, ks in enumerate(made, 1) for k in ks}
-        return pd.DataFrame({"id": m["id"], "mention_no": m.i, "label": m.word, "cluster_no": [number[k] for k in range(len(m))], "error": None})
-
-    done = rows.unionByName(links).groupBy("id").applyInPandas(one, f"id {kind}, mention_no int, label string, cluster_no int, error string").withColumnRenamed("id", id_col)
-    over = mentions.join(too_many, id_col, "left_semi").select(id_col, F.col("mention_no").cast("int").alias("mention_no"), "label", F.lit(None).cast("int").alias("cluster_no"), F.lit(f"more than {most_mentions} mentions").alias("error"))
-    return done.unionByName(over)
+        nodes = sorted(set(frame.i) | set(frame.j))
+        place = {v: k for k, v in enumerate(nodes)}
+        ends = [(place[i], place[j]) for i, j in zip(frame.i, frame.j)]
+        link = {e: s for e, s, c in zip(ends, frame.score, frame.cannot) if s == s and s is not None and not c}
+        pick = lambda flags: [e for e, f in zip(ends, flags) if f]
+        members, high, out = {k: [k] for k in range(len(nodes))}, {}, []
+        for s, a, b in merges(len(nodes), link, least, pick(frame.must), pick(frame.cannot)):
+            if s != ALWAYS:
+                out += [(nodes[m], nodes[b], s, high.get(m)) for m in members[b]]
+                high.update((m, s) for m in members[b])
+            members[a] += members.pop(b)
+        out += [(nodes[m], nodes[r], None, high.get(m)) for r, ms in members.items() for m in ms]
+        made = pd.DataFrame(out, columns=["v", "root", "low", "high"]).astype({"low": "float64", "high": "float64"})
+        made.insert(0, "id", frame["id"].iloc[0])
+        return made
+
+    out = links.groupBy(*keys).applyInPandas(one, f"id {kind}, v int, root int, low double, high double")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("low", "high")})
+
+
+def _contracted(links: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, i, j, score, n) between the clusters ``roots`` (id, v, root): only those that have all scores between their members."""
+    to = lambda df, c: df.join(roots.select("id", F.col("v").alias(c), F.col("root").alias(f"root_{c}")), ["id", c], "left").withColumn(c, F.coalesce(f"root_{c}", c)).drop(f"root_{c}")
+    moved = to(to(links, "i"), "j").where("i <> j").groupBy("id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.min("score").alias("score"), F.sum("n").alias("n"))
+    size = lambda c: sizes.select("id", F.col("root").alias(c), F.col("size").alias(f"size_{c}"))
+    held = moved.join(size("i"), ["id", "i"], "left").join(size("j"), ["id", "j"], "left")
+    return held.where(F.col("n") == F.coalesce("size_i", F.lit(1)) * F.coalesce("size_j", F.lit(1))).select("id", "i", "j", "score", "n")
+
+
+def _must_roots(links: DataFrame) -> DataFrame:
+    """(id, v, root): what must-links join. Where some of it is kept apart, the order of the links decides, in a group of these links alone."""
+    musts = links.where("must")
+    found = stored(graph.components(musts.select("id", F.col("i").alias("a"), F.col("j").alias("b"))), "cluster-musts")
+    at = lambda c: found.select("id", F.col("v").alias(c), F.col("label").alias(f"part_{c}"))
+    inside = links.where("must or cannot").join(at("i"), ["id", "i"]).join(at("j"), ["id", "j"]).where("part_i = part_j").withColumnRenamed("part_i", "part")
+    inside = stored(inside.select("id", "part", "i", "j", F.lit(None).cast("double").alias("score"), "must", "cannot"), "cluster-inside")
+    torn = inside.where("cannot").select("id", "part").distinct()
+    by_order = _spans_in_groups(inside.join(torn, ["id", "part"], "left_semi"), ["id", "part"], 0.0).select("id", "v", "root")
+    return found.join(torn.withColumnRenamed("part", "label"), ["id", "label"], "left_anti").select("id", "v", F.col("label").alias("root")).unionByName(by_order)
+
+
+def _spans_in_rounds(links: DataFrame, least: float, most: int) -> DataFrame:
+    """As ``_spans_in_groups``, for documents of any number of links."""
+    spark = links.sparkSession
+    joined, members, open_ = Rounds(spark, "cluster-joined"), Rounds(spark, "cluster-members"), Rounds(spark, "cluster-open")
+    every = links.select("id", F.col("i").alias("v")).union(links.select("id", F.col("j").alias("v"))).distinct()
+    roots = _must_roots(links)
+    inside = members.store(every.join(roots, ["id", "v"], "left").select("id", "v", F.coalesce("root", "v").alias("root"), F.lit(None).cast("double").alias("high")))
+    sizes = inside.groupBy("id", "root").agg(F.count("*").alias("size"))
+    scored = links.where("score is not null and not cannot").select("id", "i", "j", "score", F.lit(1).cast("long").alias("n"))
+    pairs = joined.store(_contracted(scored, inside.select("id", "v", "root"), sizes))
+    parts = stored(graph.components(pairs.select("id", F.col("i").alias("a"), F.col("j").alias("b"))), "cluster-parts")
+    pairs = joined.store(pairs.join(parts.select("id", F.col("v").alias("i"), F.col("label").alias("part")), ["id", "i"]).select("id", "part", "i", "j", "score", "n"))
+    small, closed = [], []
+    while True:
+        count = stored(pairs.groupBy("id", "part").agg((F.count("*") > most).alias("large")), "cluster-counts")
+        told = pairs.join(count, ["id", "part"])
+        small.append(stored(told.where("not large").drop("large"), "cluster-small"))
+        left = open_.store(told.where("large").drop("large"))
+        if left.isEmpty():
+            break
+        best = F.max_by(F.struct("i", "j", "score"), F.struct("score", -F.col("i"), -F.col("j"))).alias("best")
+        sides = left.select("*", F.explode(F.array("i", "j")).alias("v")).groupBy("id", "v").agg(best).select("id", "best.*")
+        both = stored(sides.groupBy("id", "i", "j", "score").agg(F.count("*").alias("sides")).where("sides = 2").select("id", F.col("j").alias("v"), F.col("i").alias("root"), "score"), "cluster-both")
+        moved = inside.join(both.select("id", F.col("v").alias("root"), F.col("root").alias("into"), F.col("score").alias("at")), ["id", "root"], "left")
+        closed.append(stored(moved.where("into is not null").select("id", "v", "root", F.col("at").alias("low"), "high"), "cluster-closed"))
+        inside = members.store(moved.select("id", "v", F.coalesce("into", "root").alias("root"), F.coalesce("at", "high").alias("high")))
+        sizes = inside.groupBy("id", "root").agg(F.count("*").alias("size"))
+        part = left.select("id", F.col("i").alias("v"), "part").union(left.select("id", F.col("j").alias("v"), "part")).distinct().withColumnRenamed("v", "i")
+        pairs = joined.store(_contracted(left.drop("part"), both.select("id", "v", "root"), sizes).join(part, ["id", "i"]).select("id", "part", "i", "j", "score", "n"))
+    rest = reduce(DataFrame.unionByName, small).select("id", "part", "i", "j", "score", F.lit(False).alias("must"), F.lit(False).alias("cannot"))
+    ended = _spans_in_groups(rest, ["id", "part"], least).toDF("id", "root", "last", "low", "until")
+    ended = inside.join(ended, ["id", "root"], "left").select("id", "v", F.coalesce("last", "root").alias("root"), "low", F.coalesce("until", "high").alias("high"))
+    return reduce(DataFrame.unionByName, closed, ended)
+
+
+def merge_history(mentions: DataFrame, pairs: DataFrame, least: float = 0.0, id_col: str = "doc_id", group_links: int | None = None) -> DataFrame:
+    """(id, mention_no, root, low, high): a mention belongs to the cluster of mention ``root`` at thresholds over ``low`` and up to ``high``.
+
+    Made once for all thresholds from ``least`` on; null bounds are open. ``pairs`` are (id, i, j, score, decision), and ``decision``
+    is must, cannot or score. A pair that is missing, of different or blank labels, or names a mention that isn't there joins
+    nothing. Documents without pairs have each mention alone; empty tables give an empty one. No document is too large.
+    """
+    most = GROUP_LINKS if group_links is None else group_links
+    links = _links(mentions, pairs, least, id_col)
+    large = stored(links.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("id"), "cluster-large")
+    many = not large.isEmpty()
+    spans = _spans_in_groups(links.join(large, "id", "left_anti") if many else links, ["id"], least)
+    if many:
+        spans = spans.unionByName(_spans_in_rounds(stored(links.join(large, "id", "left_semi"), "cluster-many"), least, most))
+    known = mentions.select(F.col(id_col).alias("id"), F.col("mention_no").cast("int").alias("v"))
+    found = known.join(spans, ["id", "v"], "left")
+    return found.select(F.col("id").alias(id_col), F.col("v").alias("mention_no"), F.coalesce("root", "v").alias("root"), "low", "high")
+
+
+def cut(history: DataFrame, thresholds: list[float]) -> DataFrame:
+    """``history`` at each of ``thresholds``: (threshold, id, mention_no, root), by a range join."""
+    steps = F.broadcast(history.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double"))
+    holds = (F.col("low").isNull() | (F.col("threshold") > F.col("low"))) & (F.col("high").isNull() | (F.col("threshold") <= F.col("high")))
+    return history.join(steps, holds).drop("low", "high")
+
+
+def cluster_documents(mentions: DataFrame, pairs: DataFrame, threshold: float, id_col: str = "doc_id") -> DataFrame:
+    """(id, mention_no, label, cluster_no): mentions (id, mention_no, label) clustered by ``pairs`` as ``merge_history`` does, clusters numbered in the order of their first members."""
+    last = merge_history(mentions, pairs, threshold, id_col).where("low is null").select(id_col, "mention_no", "root")
+    last = stored(last, "clusters")
+    number = F.row_number().over(Window.partitionBy(id_col).orderBy("root")).alias("cluster_no")
+    numbers = last.select(id_col, "root").distinct().select(id_col, "root", number)
+    labels = mentions.select(id_col, F.col("mention_no").cast("int").alias("mention_no"), "label")
+    return labels.join(last, [id_col, "mention_no"]).join(numbers, [id_col, "root"]).select(id_col, "mention_no", "label", "cluster_no")
 
 
 def cluster_ids(clustered: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,140 +1,198 @@
-"""Queries over inline Vietnamese cases, whose SQL states the expected rows: the driver's tables hold no court decisions."""
+"""Queries over sentences that are made of the given tables' rows: court decisions, places and plans, with SQL that states what each holds.
+
+The driver's documents hold no court decisions, so keys of customers, suppliers, nations and regions are spelt as names and put
+into Vietnamese sentences, a text for each row.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import anonymize, geo, markers, ner, roles
+from docloom.operators import anonymize, geo, markers, ner, pairs, roles, scoring
+from docloom.plans import fixtures as X
 from docloom.plans import pipelines
 
 QUERIES = {}
 SQL = {}
 
 
-def cases(columns: str, rows: list[tuple]):
-    """Register a query with SQL that lists the rows it must return; ``columns`` are name and DuckDB type."""
-    named = [c.split(" ") for c in columns.split(", ")]
-
-    def cell(value, kind: str) -> str:
-        if value is None:
-            return f"CAST(NULL AS {kind})"
-        return f"CAST({value if not isinstance(value, str) else chr(39) + value.replace(chr(39), chr(39) * 2) + chr(39)} AS {kind})"
-
-    values = ", ".join("(" + ", ".join(cell(v, k) for v, (_, k) in zip(r, named)) + ")" for r in rows)
-
+def query(sql: str):
     def register(f):
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = f"SELECT * FROM (VALUES {values}) AS t({', '.join(n for n, _ in named)})"
+        SQL[f.__name__] = sql
         return f
 
     return register
 
 
+_DIGITS, _LETTERS = "0123456789", "abcdefghik"
+
+
+def spelt(start: str, key: str) -> Column:
+    """A capitalised word that spells the number in ``key``."""
+    return F.concat(F.lit(start), F.translate(F.col(key).cast("string"), _DIGITS, _LETTERS))
+
+
+def spelt_sql(start: str, key: str) -> str:
+    return f"('{start}' || translate(CAST({key} AS VARCHAR), '{_DIGITS}', '{_LETTERS}'))"
+
+
+def filled(template: str, **words: Column) -> Column:
+    """A sentence with words in place of {names}."""
+    made = F.lit(template)
+    for name, word in words.items():
+        made = F.replace(made, F.lit("{" + name + "}"), word)
+    return made
+
+
+def filled_sql(template: str, **words: str) -> str:
+    made = "'" + template.replace("'", "''") + "'"
+    for name, word in words.items():
+        made = f"replace({made}, '{{{name}}}', {word})"
+    return made
+
+
 # ---- places -------------------------------------------------------------------------------------------------------
 
-GAZETTEER = [
-    ("1", "", "1", "tỉnh", "Lâm Sơn"), ("2", "", "1", "tỉnh", "Hải Vân"), ("3", "", "1", "thành phố", "Sông Đà"),
-    ("11", "1", "2", "huyện", "Ea H'leo"), ("12", "1", "2", "thị xã", "Mỹ Xuân"), ("21", "2", "2", "huyện", "Đồng Tâm"), ("13", "1", "2", "huyện", "Đồng Tâm"), ("31", "3", "2", "quận", "Tây Hà"),
-    ("111", "11", "3", "xã", "Cư Mốt"), ("131", "13", "3", "xã", "Tân Lập"), ("211", "21", "3", "xã", "Tân Lập"), ("311", "31", "3", "phường", "Bạch Mai"),
-]
-PLACES = {
-    1: "ngụ tại xã Tân Lập, huyện [MENTION]Đồng Tâm[/MENTION], tỉnh Hải Vân",
-    2: "ngụ tại [MENTION]x ã Tân Lập[/MENTION],hu yện Đồng Tâm,t ỉnh Lâm Sơn",
-    3: "về huyện [MENTION]Ea H’leo[/MENTION] năm ngoái",
-    4: "huyện [MENTION]Đồng Tâm[/MENTION] thì chưa rõ",
-    5: "ở [MENTION]Bạch Mai[/MENTION]",
-    6: "tại thành phố [MENTION]Sông Đà[/MENTION]. Huyện Đồng Tâm",
-    7: "tại [MENTION]phường Bạch Mai, quận Tây Hà[/MENTION]",
-    8: "ở huyện [MENTION]Đồng Tâmm[/MENTION], tỉnh Hải Vân",
-    9: "gặp nhau ở [MENTION]nhà cũ[/MENTION]",
+
+def _gazetteer(spark, sf_dir):
+    t = lambda n: X.table(spark, sf_dir, n)
+    row = lambda df, p, key, up, level, unit, name: df.select(F.concat(F.lit(p), F.col(key).cast("string")).alias("code"), up.alias("parent"), F.lit(level).alias("level"), F.lit(unit).alias("unit"), name.alias("name"))
+    code = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    r = row(t("region"), "r", "r_regionkey", F.lit(""), "1", "tỉnh", F.concat(F.lit("Lâm "), spelt("R", "r_regionkey")))
+    n = row(t("nation"), "n", "n_nationkey", code("r", "n_regionkey"), "2", "huyện", F.concat(F.lit("Đồng "), spelt("N", "n_nationkey")))
+    return r.unionByName(n).unionByName(row(t("supplier"), "s", "s_suppkey", code("n", "s_nationkey"), "3", "xã", F.concat(F.lit("Tân "), spelt("S", "s_suppkey"))))
+
+
+#: Kinds of sentences about a supplier's place, its level, and what of its path they tell.
+_PLACES = {
+    1: ("ngụ tại xã Tân {s}, huyện [MENTION]Đồng {n}[/MENTION], tỉnh Lâm {r}", "district", "n"),
+    2: ("ngụ tại [MENTION]x ã Tân {s}[/MENTION],hu yện Đồng {n},t ỉnh Lâm {r}", "commune", "s"),
+    3: ("về [MENTION]Đồng {n}[/MENTION] năm ngoái", "district", "n"),
+    4: ("tại tỉnh [MENTION]Lâm {r}[/MENTION]. Xã Tân {s}", "province", "r"),
+    5: ("tại [MENTION]xã Tân {s}, huyện Đồng {n}[/MENTION]", "address", None),
+    6: ("gặp nhau ở [MENTION]nhà cũ[/MENTION] tại Tân {s}", None, None),
 }
 
 
-def _gazetteer(spark):
-    return spark.createDataFrame(GAZETTEER, "code string, parent string, level string, unit string, name string")
+def _placed(spark, sf_dir):
+    """(kind, s, n, r, label, context): each supplier in each kind of sentence."""
+    t = lambda n: X.table(spark, sf_dir, n)
+    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    words = {"s": spelt("S", "s_suppkey"), "n": spelt("N", "n_nationkey"), "r": spelt("R", "n_regionkey")}
+    made = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), filled(v[0], **words).alias("context")) for k, v in _PLACES.items()]))
+    return rows.select("s_suppkey", "n_nationkey", "n_regionkey", F.lit("LOC").alias("label"), made.alias("x")).select("s_suppkey", "n_nationkey", "n_regionkey", "label", "x.*")
+
+
+_KINDS = "k AS (SELECT * FROM (VALUES (1, 'district'), (2, 'commune'), (3, 'district'), (4, 'province'), (5, 'address'), (6, NULL)) AS t(kind, level)), s AS (SELECT s_suppkey, n_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+_CODE = "CASE WHEN kind IN (1, 3) THEN 'n' || n_nationkey WHEN kind = 2 THEN 's' || s_suppkey WHEN kind = 4 THEN 'r' || n_regionkey END"
 
 
-@cases("case_no INTEGER, folded VARCHAR", [(1, "ea h leo"), (2, "xa a huyen b"), (3, "thanh pho x thi tran y"), (4, "phuong 3 quan 5"), (5, "tp hue"), (6, "xa dan"), (7, "")])
+@query(f"""SELECT s_suppkey, 'xa tan ' || lower({spelt_sql("S", "s_suppkey")}) || ' huyen dong ' || lower({spelt_sql("N", "s_nationkey")}) || ' tp hue phuong ' || (s_nationkey % 7) AS folded FROM supplier""")
 def folded_places(spark, sf_dir):
-    """Punctuation separates words, and unit words that a space splits are mended; other words are not."""
-    rows = [(1, "Ea H'leo"), (2, "xã A,huyện B"), (3, "Thành ph ố X; th ị tr ấn Y"), (4, "ph ường 3 - qu ận 5"), (5, "TP.Huế"), (6, "xa đàn"), (7, None)]
-    df = spark.createDataFrame(rows, "case_no int, place string")
-    return df.select("case_no", T.fold_place(F.col("place")).alias("folded"))
+    """Punctuation separates words, and unit words that a space splits are mended."""
+    place = filled("x ã Tân {s},HUYỆN  Đồng {n}; TP.Huế - ph ường {k}", s=spelt("S", "s_suppkey"), n=spelt("N", "s_nationkey"), k=(F.col("s_nationkey") % 7).cast("string"))
+    return X.table(spark, sf_dir, "supplier").select("s_suppkey", T.fold_place(place).alias("folded"))
 
 
-@cases("case_no INTEGER, level VARCHAR, code VARCHAR, provinces VARCHAR, ambiguous BOOLEAN", [
-    (1, "district", "21", "2", False), (2, "commune", "131", "1", False), (3, "district", "11", "1", False), (4, "district", None, "", True), (5, "commune", "311", "3", False),
-    (6, "province", "3", "3", False), (7, "address", None, "3", False), (8, "district", "21", "2", False), (9, None, None, "", False),
-])
+@query(f"""WITH {_KINDS} SELECT s_suppkey, kind, level, {_CODE} AS code, CASE WHEN kind = 6 THEN '' ELSE 'r' || n_regionkey END AS provinces, false AS ambiguous FROM s, k""")
 def place_signatures(spark, sf_dir):
-    m = spark.createDataFrame([(k, "LOC", v) for k, v in PLACES.items()], "case_no int, label string, context string")
     p = F.col("place")
-    return geo.signatures(m, _gazetteer(spark)).select("case_no", p["level"].alias("level"), p["code"].alias("code"), F.array_join(p["province"], ",").alias("provinces"), p["ambiguous"].alias("ambiguous"))
+    found = geo.signatures(_placed(spark, sf_dir), _gazetteer(spark, sf_dir))
+    return found.select("s_suppkey", "kind", p["level"].alias("level"), p["code"].alias("code"), F.array_join(p["province"], ",").alias("provinces"), p["ambiguous"].alias("ambiguous"))
 
 
-@cases("a INTEGER, b INTEGER, decision VARCHAR", [(1, 2, "block"), (1, 3, "block"), (1, 8, "link"), (1, 9, "defer"), (4, 9, "defer"), (5, 6, "block"), (3, 9, "defer")])
+@query(f"""WITH {_KINDS}, p AS (SELECT *, {_CODE} AS code FROM s, k)
+SELECT a.s_suppkey, a.kind AS a, b.kind AS b, b.s_suppkey AS other, CASE WHEN a.kind = 6 OR b.kind = 6 THEN 'defer' WHEN a.n_regionkey <> b.n_regionkey THEN 'block'
+WHEN a.kind = 5 AND b.kind = 5 THEN CASE WHEN a.s_suppkey <> b.s_suppkey THEN 'block' ELSE 'link' END WHEN a.kind = 5 OR b.kind = 5 THEN 'defer' WHEN a.level = b.level AND a.code = b.code THEN 'link' ELSE 'block' END AS decision
+FROM p a JOIN p b ON b.s_suppkey IN (a.s_suppkey, a.s_suppkey + 1)""")
 def place_decisions(spark, sf_dir):
-    """Decisions over signatures that are parsed from contexts."""
-    m = spark.createDataFrame([(k, "LOC", v) for k, v in PLACES.items()], "case_no int, label string, context string")
-    signed = geo.signatures(m, _gazetteer(spark)).select("case_no", "place")
-    asked = spark.createDataFrame([(1, 2), (1, 3), (1, 8), (1, 9), (4, 9), (5, 6), (3, 9)], "a int, b int")
-    both = asked.join(signed.select(F.col("case_no").alias("a"), F.col("place").alias("pa")), "a").join(signed.select(F.col("case_no").alias("b"), F.col("place").alias("pb")), "b")
-    return both.select("a", "b", geo.rule_decision(F.lit("LOC"), F.lit("LOC"), F.col("pa"), F.col("pb")).alias("decision"))
+    """Decisions over signatures that are parsed from sentences, of a supplier with itself and the next one."""
+    signed = geo.signatures(_placed(spark, sf_dir), _gazetteer(spark, sf_dir)).select("s_suppkey", "kind", "place")
+    a = signed.select("s_suppkey", F.col("kind").alias("a"), F.col("place").alias("pa"), F.explode(F.array("s_suppkey", F.col("s_suppkey") + 1)).alias("other"))
+    b = signed.select(F.col("s_suppkey").alias("other"), F.col("kind").alias("b"), F.col("place").alias("pb"))
+    return a.join(b, "other").select("s_suppkey", "a", "b", "other", geo.rule_decision(F.lit("LOC"), F.lit("LOC"), F.col("pa"), F.col("pb")).alias("decision"))
 
 
 # ---- roles, markers and plans -------------------------------------------------------------------------------------
 
-SESSION = """Hội đồng gồm:
-Thẩm phán: ông Vũ Đức Kiên
-Nguyên đơn: bà Đinh Thu Sương, nghề giáo viên.
-Bà Đinh Thu Sương gửi đơn cho Tòa án nhân dân huyện.
+_SESSION = """Hội đồng gồm:
+Thẩm phán: ông Vũ Đức {k}
+Nguyên đơn: bà Đinh Thu {s}, nghề giáo viên.
+Bị đơn: ông Lý Gia {b}, ngụ cùng huyện.
+Người làm chứng: bà Mai Thị {w} có mặt.
+Tòa án nhân dân huyện thụ lý.
 Nơi nhận:
-Thư ký Hà Kiều My
+Thư ký Hà Kiều {m}
 """
+#: Mentions of a session: surface, label, role, and the procedural role that the nearest cue gives.
+_PRESENT = [
+    ("Vũ Đức {k}", "PER", "court_personnel", None), ("Đinh Thu {s}", "PER", "party", "plaintiff"), ("Lý Gia {b}", "PER", "party", "defendant"),
+    ("Mai Thị {w}", "PER", "party", "witness"), ("Tòa án nhân dân", "ORG", "court_personnel", None), ("Hà Kiều {m}", "PER", "court_personnel", None),
+]
+_WORDS = {"k": "K", "s": "S", "b": "B", "w": "W", "m": "M"}
+_IN_SQL = {k: spelt_sql(v, "c_custkey") for k, v in _WORDS.items()}
+
+
+def _sessions(spark, sf_dir):
+    """(docs, mentions): a session for each customer."""
+    words = {k: spelt(v, "c_custkey") for k, v in _WORDS.items()}
+    docs = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_custkey", filled(_SESSION, **words).alias("text"))
+    surface = F.explode(F.array(*[F.struct(filled(s, **words).alias("surface"), F.lit(label).alias("label")) for s, label, _, _ in _PRESENT]))
+    found = docs.select("doc_id", "text", surface.alias("x")).select("doc_id", "text", "x.*").withColumn("start", F.expr("locate(surface, text)") - 1)
+    return docs.select("doc_id", "text"), found.withColumn("end", F.col("start") + F.length("surface"))
 
 
-def _at(text: str, surface: str, nth: int = 0) -> int:
-    at = -1
-    for _ in range(nth + 1):
-        at = text.index(surface, at + 1)
-    return at
+_ROLES = " UNION ALL ".join(f"""SELECT c_custkey, strpos(text, {filled_sql(s, **_IN_SQL)}) - 1 AS "start", '{label}' AS label, '{role}' AS role, {f"'{cue}'" if cue else "CAST(NULL AS VARCHAR)"} AS cue FROM t""" for s, label, role, cue in _PRESENT)
 
 
-@cases("start INTEGER, label VARCHAR, role VARCHAR", [(_at(SESSION, "Vũ Đức Kiên"), "PER", "court_personnel"), (_at(SESSION, "Đinh Thu Sương"), "PER", "party"), (_at(SESSION, "Đinh Thu Sương", 1), "PER", "party"), (_at(SESSION, "Tòa án nhân dân"), "ORG", "court_personnel"), (_at(SESSION, "Hà Kiều My"), "PER", "court_personnel")])
+@query(f"""WITH t AS (SELECT c_custkey, {filled_sql(_SESSION, **_IN_SQL)} AS text FROM customer), r AS ({_ROLES}) SELECT c_custkey AS doc_id, CAST("start" AS INTEGER) AS "start", label, role, cue FROM r""")
 def court_role_cases(spark, sf_dir):
-    found = [("Vũ Đức Kiên", 0, "PER"), ("Đinh Thu Sương", 0, "PER"), ("Đinh Thu Sương", 1, "PER"), ("Tòa án nhân dân", 0, "ORG"), ("Hà Kiều My", 0, "PER")]
-    m = spark.createDataFrame([(1, label, a := _at(SESSION, s, n), a + len(s)) for s, n, label in found], "doc_id long, label string, start int, end int")
-    return roles.classify_mentions(m, spark.createDataFrame([(1, SESSION)], "doc_id long, text string")).select("start", "label", "role")
+    """Court personnel and parties by titles and sections, and the procedural roles of parties by cues."""
+    docs, found = _sessions(spark, sf_dir)
+    known = roles.classify_mentions(pairs.mention(found, F.col("text"), 60).drop("text"), docs)
+    return known.select("doc_id", "start", "label", "role", scoring.nearest_role(F.col("context"), 25).alias("cue"))
 
 
-MARKED = [(1, "Bà Đinh Thu S1 cùng ông Vũ Đức K1 ở xã M. S1 nhớ, K1 quên."), (2, "Hồ sơ không có tên."), (3, None), (4, "Mã số K7, loại B.")]
+_MARKED = "Bà Đinh Thu S{i} cùng ông Vũ Đức K{i} ở xã M. S{i} nhớ, K{i} quên."
 
 
-@cases("doc_id BIGINT, candidates BIGINT, replacements INTEGER, roundtrip_ok BOOLEAN", [(1, 5, 5, True), (2, 0, 0, True), (3, 0, 0, False), (4, 0, 0, True)])
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 5 END AS replacements, true AS roundtrip_ok, CAST(CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 5 END AS BIGINT) AS candidates FROM customer")
 def marker_cases(spark, sf_dir):
-    """Marked names are found, linked and replaced, and every text but a null one comes back from its rewriting."""
-    done, _, _ = markers.reconstruct(spark.createDataFrame(MARKED, "doc_id long, text string"))
-    return done.select("doc_id", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"), "replacements", F.coalesce("roundtrip_ok", F.lit(False)).alias("roundtrip_ok"))
+    """Marked names are found, linked and replaced, and every text comes back from its rewriting."""
+    text = F.when(F.col("c_custkey") % 4 == 0, F.lit("Hồ sơ không có tên.")).otherwise(filled(_MARKED, i=(F.col("c_custkey") % 9 + 1).cast("string")))
+    done, _, _ = markers.reconstruct(X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
+    return done.select("doc_id", "replacements", "roundtrip_ok", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
 
 
-PLANS = {
-    1: ("Vũ Hà Đông gặp Vũ Hà Dong.", [("P1", "PER", "Vũ Hà Đông", 0), ("P2", "PER", "Vũ Hà Dong", 0)]),
-    2: ("Đỗ Minh Hải bán xe. Hồ Thu Hải mua xe. Hải cười, Hải khóc.", [("P1", "PER", "Đỗ Minh Hải", 0), ("P1", "PER", "Hải", 2), ("P2", "PER", "Hồ Thu Hải", 0), ("P2", "PER", "Hải", 3)]),
-    3: ("Nhà ở số 7 ngõ Hoa, phường Bạch Mai, thành phố Sông Đà.", [("L1", "LOC", "ngõ Hoa, phường Bạch Mai, thành phố Sông Đà", 0)]),
-    4: ("Đến thành phố Vô Danh.", [("L1", "LOC", "thành phố Vô Danh", 0)]),
-    5: ("Không có ai.", []),
-}
+#: Texts, the mentions of their clusters, and the texts that plans give; {h} and {t} begin with H, {l} with L.
+_PLANS = [
+    ("Vũ Hà {h} bán xe. {h} cười.", [("P1", "PER", "Vũ Hà {h}", 0), ("P1", "PER", "{h}", 1)], "Vũ Hà H bán xe. H cười."),
+    ("Đỗ Minh {h} bán xe. Hồ Thu {t} mua xe.", [("P1", "PER", "Đỗ Minh {h}", 0), ("P2", "PER", "Hồ Thu {t}", 0)], "Đỗ Minh H bán xe. Hồ Thu H mua xe."),
+    ("Lê Thu {l} ký, ông Đỗ Minh {h} nhận.", [("P1", "PER", "Lê Thu {l}", 0), ("P2", "PER", "Đỗ Minh {h}", 0)], "Lê Thu L ký, ông Đỗ Minh H nhận."),
+    ("Nhà ở xã Tân {s}, huyện Đồng {n}.", [("L1", "LOC", "xã Tân {s}, huyện Đồng {n}", 0)], "Nhà ở xã M, huyện N."),
+    ("Đến thành phố Vô {v}.", [("L1", "LOC", "thành phố Vô {v}", 0)], None),
+    ("Không có ai.", [], "Không có ai."),
+]
 
 
-@cases("doc_id BIGINT, status VARCHAR, anonymized_text VARCHAR", [
-    (1, "ready", "Vũ Hà Đ1 gặp Vũ Hà D1."), (2, "ready", "Đỗ Minh H1 bán xe. Hồ Thu H2 mua xe. H1 cười, H2 khóc."), (3, "ready", "Nhà ở ngõ M, phường N, thành phố Sông Đà."), (4, "needs_review", None), (5, "ready", "Không có ai."),
-])
+@query("SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 6 = 4 THEN 'needs_review' ELSE 'ready' END AS status, CASE s_suppkey % 6 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, _, t) in enumerate(_PLANS) if t) + " END AS anonymized_text FROM supplier")
 def plan_cases(spark, sf_dir):
-    docs = spark.createDataFrame([(i, t) for i, (t, _) in PLANS.items()], "doc_id long, text string")
-    rows = [(i, c, label, a := _at(t, s, n), a + len(s), s, False) for i, (t, found) in PLANS.items() for c, label, s, n in found]
-    m = spark.createDataFrame(rows, "doc_id long, cluster_id string, label string, start int, end int, surface string, preserve boolean")
-    return anonymize.plan_documents(docs, m, _gazetteer(spark)).select("doc_id", "status", "anonymized_text")
+    words = {"h": spelt("H", "s_suppkey"), "t": F.concat(spelt("H", "s_suppkey"), F.lit("u")), "l": spelt("L", "s_suppkey"), "s": spelt("S", "s_suppkey"), "n": spelt("N", "s_nationkey"), "v": spelt("Z", "s_suppkey")}
+    kind = F.col("s_suppkey") % len(_PLANS)
+    text = F.element_at(F.array(*[filled(t, **words) for t, _, _ in _PLANS]), (kind + 1).cast("int"))
+    rows = X.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", kind.alias("kind"), text.alias("text"))
+    part = "array<struct<cluster_id:string,label:string,surface:string,nth:int>>"
+    found = [F.array(*[F.struct(F.lit(c).alias("cluster_id"), F.lit(label).alias("label"), filled(s, **words).alias("surface"), F.lit(n).alias("nth")) for c, label, s, n in ms]).cast(part) for _, ms, _ in _PLANS]
+    m = rows.select(F.col("s_suppkey").alias("doc_id"), "text", F.explode(F.element_at(F.array(*found), (F.col("kind") + 1).cast("int"))).alias("x")).select("doc_id", "text", "x.*")
+    first = F.expr("locate(surface, text)")
+    again = F.expr("locate(surface, text, locate(surface, text) + 1)")
+    m = m.withColumn("start", F.when(F.col("nth") == 0, first).otherwise(again) - 1).withColumn("end", F.col("start") + F.length("surface"))
+    docs = rows.select(F.col("s_suppkey").alias("doc_id"), "text")
+    made = anonymize.plan_documents(docs, m.select("doc_id", "cluster_id", "label", "start", "end", "surface", F.lit(False).alias("preserve")), _gazetteer(spark, sf_dir))
+    return made.select("doc_id", "status", "anonymized_text")
 
 
 def careless(texts: list[str]) -> list[list[dict]]:
@@ -144,20 +202,19 @@ def careless(texts: list[str]) -> list[list[dict]]:
     return ner.rule_tagger({"PER": r"[A-Z]\w+ [A-Z]\w+ [A-Z]\w+"})(texts)
 
 
-CROWD = " ".join(f"An Binh C{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}," for i in range(1001))
-GATE = [(1, "Le Van Nam ra về."), (2, "Tran Thi Hoa, bản hỏng."), (3, CROWD), (4, None)]
-
-
-@cases("doc_id BIGINT, status VARCHAR, reason VARCHAR, anonymized BOOLEAN, released BOOLEAN", [(1, "ready", None, True, False), (2, "needs_review", "ner_inference_error, RuntimeError: unreadable", False, False), (3, "needs_review", "more than 1000 mentions", False, False), (4, "ready", None, True, False)])
+@query(f"""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 = 1 THEN 'needs_review' ELSE 'ready' END AS status, CASE WHEN c_custkey % 5 = 1 THEN 'ner_inference_error, RuntimeError: unreadable' END AS reason,
+CASE WHEN c_custkey % 5 = 1 THEN NULL WHEN c_custkey % 5 = 2 THEN '' ELSE 'Le Van N ra, ' || {spelt_sql("x", "c_custkey")} || ' ở.' END AS anonymized_text, false AS released FROM customer""")
 def anonymization_gate(spark, sf_dir):
     """A document whose names are not all known needs review and holds back the batch; nothing of it is released."""
-    out = pipelines.anonymize_batch(spark.createDataFrame(GATE, "doc_id long, text string"), careless)
+    key = F.col("c_custkey")
+    text = F.when(key % 5 == 1, F.concat(F.lit("Tran Thi Hoa, bản hỏng "), spelt("x", "c_custkey"))).when(key % 5 != 2, F.concat(F.lit("Le Van Nam ra, "), spelt("x", "c_custkey"), F.lit(" ở.")))
+    out = pipelines.anonymize_batch(X.table(spark, sf_dir, "customer").select(key.alias("doc_id"), text.alias("text")), careless)
     reason = F.when(F.col("status") != "ready", F.get("entities", F.lit(0))["reason"])
-    return out.select("doc_id", "status", reason.alias("reason"), F.col("anonymized_text").isNotNull().alias("anonymized"), F.col("released_text").isNotNull().alias("released"))
+    return out.select("doc_id", "status", reason.alias("reason"), "anonymized_text", F.col("released_text").isNotNull().alias("released"))
 
 
-@cases("doc_id BIGINT, released_text VARCHAR", [(1, "Le Van N ra về."), (2, "Tran Thi H đã ký."), (3, "")])
+@query(f"""SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 5 = 2 THEN '' ELSE 'Le Van N ra về, ' || {spelt_sql("y", "s_suppkey")} || ' chờ Le Van N.' END AS released_text FROM supplier""")
 def anonymization_release(spark, sf_dir):
     """Where every document is ready, all of them are released."""
-    rows = [(1, "Le Van Nam ra về."), (2, "Tran Thi Hoa đã ký."), (3, None)]
-    return pipelines.anonymize_batch(spark.createDataFrame(rows, "doc_id long, text string"), careless).select("doc_id", "released_text")
+    text = F.when(F.col("s_suppkey") % 5 != 2, F.concat(F.lit("Le Van Nam ra về, "), spelt("y", "s_suppkey"), F.lit(" chờ Le Van Nam.")))
+    return pipelines.anonymize_batch(X.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text")), careless).select("doc_id", "released_text")

@@ -9,6 +9,7 @@ from docloom.functions import text as T
 from docloom.operators import anonymize, cluster, curate, datasets, evaluate, geo, markers, names, ner, pairs, review, roles, scoring, spans
 from docloom.plans import fixtures as X
 from docloom.plans import pipelines
+from docloom.sources.steps import stored
 
 QUERIES = {}
 SQL = {}
@@ -307,18 +308,75 @@ def bcubed_corpus(spark, sf_dir):
     return made.select("documents", "mentions", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("b3_precision", "b3_recall", "b3_f1", "exact_accuracy")])
 
 
-@query(f"""WITH {X.MENTIONS_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start") - 1 AS k FROM mentions WHERE label IN ('CAP', 'ORG')),
-c AS (SELECT *, min("start") OVER (PARTITION BY doc_id, label, lower(surface)) AS first_ FROM p)
-SELECT doc_id, CAST(k AS INTEGER) AS mention_no, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY first_) AS INTEGER) AS cluster_no FROM c""")
+#: Complete linkage in SQL: in each round the clusters that prefer each other are joined, ties going to the first, and what lacks a
+#: score between two clusters is dropped. A round keeps links (kind 0), sizes (kind 1) and the joins so far (kind 2).
+_LINKAGE = f"""RECURSIVE {X.MENTIONS_SQL}, numbered AS (
+  SELECT doc_id, entity_id, label, surface, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "start") - 1 AS INTEGER) AS k FROM mentions
+), scored AS (
+  SELECT a.doc_id, a.k AS i, b.k AS j,
+    floor(CASE WHEN lower(a.surface) = lower(b.surface) THEN 1 ELSE (CAST(a.entity_id = b.entity_id AS DOUBLE) + CAST(least(length(a.surface), length(b.surface)) AS DOUBLE) / greatest(length(a.surface), length(b.surface))) / 2 END * 1000) / 1000 AS score
+  FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND a.label = b.label AND a.k < b.k
+), rounds AS (
+  SELECT 0 AS round, 0 AS kind, doc_id, i, j, score, CAST(1 AS BIGINT) AS n FROM scored WHERE score >= LEAST_
+  UNION ALL SELECT 0, 1, doc_id, k, k, NULL, CAST(1 AS BIGINT) FROM numbered
+  UNION ALL (
+    WITH links AS (SELECT * FROM rounds WHERE kind = 0), sizes AS (SELECT * FROM rounds WHERE kind = 1), sides AS (
+      SELECT doc_id, i AS v, i, j, score FROM links UNION ALL SELECT doc_id, j, i, j, score FROM links
+    ), best AS (
+      SELECT doc_id, i, j, score FROM sides QUALIFY row_number() OVER (PARTITION BY doc_id, v ORDER BY score DESC, i, j) = 1
+    ), joins AS (
+      SELECT doc_id, i, j, score FROM best GROUP BY doc_id, i, j, score HAVING count(*) = 2
+    ), grown AS (
+      SELECT s.doc_id, coalesce(x.i, s.i) AS i, CAST(sum(s.n) AS BIGINT) AS n FROM sizes s LEFT JOIN joins x ON s.doc_id = x.doc_id AND s.i = x.j GROUP BY 1, 2
+    ), moved AS (
+      SELECT l.doc_id, least(coalesce(x.i, l.i), coalesce(y.i, l.j)) AS i, greatest(coalesce(x.i, l.i), coalesce(y.i, l.j)) AS j, min(l.score) AS score, CAST(sum(l.n) AS BIGINT) AS n
+      FROM links l LEFT JOIN joins x ON l.doc_id = x.doc_id AND l.i = x.j LEFT JOIN joins y ON l.doc_id = y.doc_id AND l.j = y.j WHERE coalesce(x.i, l.i) <> coalesce(y.i, l.j) GROUP BY 1, 2, 3
+    )
+    SELECT r.round + 1, 0, m.doc_id, m.i, m.j, m.score, m.n FROM moved m JOIN grown a ON m.doc_id = a.doc_id AND m.i = a.i JOIN grown b ON m.doc_id = b.doc_id AND m.j = b.i, (SELECT max(round) AS round FROM rounds) r WHERE m.n = a.n * b.n
+    UNION ALL SELECT r.round + 1, 1, g.doc_id, g.i, g.i, NULL, g.n FROM grown g, (SELECT max(round) AS round FROM rounds) r WHERE EXISTS (SELECT 1 FROM links)
+    UNION ALL SELECT r.round + 1, 2, x.doc_id, x.i, x.j, x.score, 0 FROM joins x, (SELECT max(round) AS round FROM rounds) r
+  )
+), joined AS (SELECT doc_id, j AS v, i AS into_, score FROM rounds WHERE kind = 2)"""
+
+
+def _scored(spark, sf_dir):
+    """All mentions, numbered, and scores of those of a label: equal surfaces, equal entities and how lengths compare."""
+    m = X.mentions(spark, sf_dir)
+    m = stored(m.withColumn("mention_no", (F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).cast("int")), "numbered")
+    p = pairs.candidates(m, ["label"], keep=("mention_no", "entity_id"))
+    short, long = F.least(F.length("surface_a"), F.length("surface_b")), F.greatest(F.length("surface_a"), F.length("surface_b"))
+    alike = ((F.col("entity_id_a") == F.col("entity_id_b")).cast("double") + short / long) / 2
+    score = F.floor(F.when(T.normalize(F.col("surface_a")) == T.normalize(F.col("surface_b")), 1.0).otherwise(alike) * 1000) / 1000
+    return m, p.select("doc_id", F.col("mention_no_a").alias("i"), F.col("mention_no_b").alias("j"), score.alias("score"), F.lit("score").alias("decision"))
+
+
+@query(f"""WITH {_LINKAGE.replace("LEAST_", "0.8")}, up AS (
+  SELECT doc_id, k AS v, k AS root FROM numbered WHERE NOT EXISTS (SELECT 1 FROM joined j WHERE j.doc_id = numbered.doc_id AND j.v = numbered.k)
+  UNION ALL SELECT j.doc_id, j.v, u.root FROM up u JOIN joined j ON u.doc_id = j.doc_id AND u.v = j.into_
+) SELECT doc_id, v AS mention_no, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY root) AS INTEGER) AS cluster_no FROM up""")
 def cluster_mentions(spark, sf_dir):
-    """Complete linkage at 0.99 over scores that are 1 for equal surfaces and less for others: clusters are equal surfaces."""
-    m = X.mentions(spark, sf_dir).where("label in ('CAP', 'ORG')")
-    m = m.withColumn("mention_no", (F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).cast("int"))
-    p = pairs.candidates(m, ["label"], keep=("mention_no",))
-    same = T.normalize(F.col("surface_a")) == T.normalize(F.col("surface_b"))
-    scored = p.select("doc_id", F.col("mention_no_a").alias("i"), F.col("mention_no_b").alias("j"), F.when(same, 1.0).otherwise(0.3).alias("score"), F.lit("score").alias("decision"))
-    # The fixtures' longest documents have thousands of mentions; the limit is raised so that all are clustered.
-    return cluster.cluster_documents(m, scored, 0.99, most_mentions=100_000).select("doc_id", "mention_no", "cluster_no")
+    """Complete linkage at 0.8, where chains of alike mentions keep single linkage from giving the same."""
+    m, scored = _scored(spark, sf_dir)
+    return cluster.cluster_documents(m, scored, 0.8).select("doc_id", "mention_no", "cluster_no")
+
+
+@query(f"""WITH {_LINKAGE.replace("LEAST_", "0.05")}, t AS (SELECT k, k / 20.0::DOUBLE AS threshold FROM (SELECT unnest(range(1, 20)) AS k)), cut AS (
+  SELECT t.k, j.doc_id, j.v, j.into_ FROM t JOIN joined j ON j.score >= t.threshold
+), up AS (
+  SELECT t.k AS step, n.doc_id, n.k AS v, n.k AS root FROM t, numbered n WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.k = t.k AND c.doc_id = n.doc_id AND c.v = n.k)
+  UNION ALL SELECT u.step, c.doc_id, c.v, u.root FROM up u JOIN cut c ON u.step = c.k AND u.doc_id = c.doc_id AND u.v = c.into_
+), named AS (SELECT u.step, u.doc_id, u.root, n.entity_id AS gold FROM up u JOIN numbered n ON u.doc_id = n.doc_id AND u.v = n.k),
+cells AS (SELECT step, doc_id, gold, root, count(*) AS n FROM named GROUP BY ALL),
+g AS (SELECT step, doc_id, gold, sum(n) AS n FROM cells GROUP BY ALL), p AS (SELECT step, doc_id, root, sum(n) AS n FROM cells GROUP BY ALL),
+sums AS (SELECT step, sum(c.n) AS mentions, sum(c.n * c.n / p.n::DOUBLE) AS ps, sum(c.n * c.n / g.n::DOUBLE) AS rs, sum(c.n * (c.n - 1) / 2) AS tp FROM cells c JOIN g USING (step, doc_id, gold) JOIN p USING (step, doc_id, root) GROUP BY step),
+gp AS (SELECT step, sum(n * (n - 1) / 2) AS k FROM g GROUP BY step), pp AS (SELECT step, sum(n * (n - 1) / 2) AS k FROM p GROUP BY step)
+SELECT step / 20.0::DOUBLE AS threshold, CAST(mentions AS BIGINT) AS mentions, CAST(tp AS BIGINT) AS tp, CAST(pp.k - tp AS BIGINT) AS fp, CAST(gp.k - tp AS BIGINT) AS fn, round(ps / mentions, 6) AS b3_precision, round(rs / mentions, 6) AS b3_recall
+FROM sums JOIN gp USING (step) JOIN pp USING (step)""")
+def cluster_threshold_sweep(spark, sf_dir):
+    """Metrics of clusters against entities at 19 thresholds; one clustering, cut at each."""
+    m, scored = _scored(spark, sf_dir)
+    made = pipelines.threshold_by_clusters(m.withColumn("gold", F.col("entity_id")), scored)
+    return made.select("threshold", "mentions", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("b3_precision", "b3_recall")])
 
 
 @query(f"""WITH {X.MENTIONS_SQL}, r AS (SELECT doc_id, entity_id, label, lower(surface) AS s FROM mentions),

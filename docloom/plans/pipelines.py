@@ -44,8 +44,8 @@ def predict(docs: DataFrame, mentions: DataFrame, threshold: float, score: Calla
 def anonymize_batch(docs: DataFrame, tagger, threshold: float = 0.8, score=None, gazetteer: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with their plan and ``released_text``, which is there for all of them or for none.
 
-    A document that the tagger failed on, or gave no prediction or one of another text for, and one whose mentions could
-    not be clustered, need review, so that they hold back the batch.
+    A document that the tagger failed on, or gave no prediction or one of another text for, needs review, so that it holds
+    back the batch.
     """
     predictions = stored(ner.tag(docs, tagger, id_col, text_col), "predictions")
     checked = ner.join_predictions(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias(text_col)), predictions, id_col, text_col)
@@ -69,16 +69,14 @@ def reconstruct_batch(docs: DataFrame, tagger=None, id_col: str = "doc_id", text
 
 
 def threshold_by_clusters(mentions: DataFrame, links: DataFrame, thresholds: list[float] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(threshold, metrics) of clustering at each threshold against ``gold``; links are scored once and written, and only clustering is repeated.
+    """(threshold, metrics) of clustering at each threshold against ``gold``: links are clustered once, and the history is cut at all of them.
 
     The best is the first row in order of B-cubed F1, B-cubed precision, pairwise precision and threshold.
     """
-    mentions, links, made = stored(mentions, "mentions"), stored(links, "links"), None
-    for t in thresholds or [k / 20 for k in range(1, 20)]:
-        found = cluster.cluster_documents(mentions, links, t, id_col).select(id_col, "mention_no", F.col("cluster_no").alias("predicted"))
-        counts = evaluate.cluster_counts(mentions.join(found, [id_col, "mention_no"]), id_col)
-        row = evaluate.corpus_metrics(counts).withColumn("threshold", F.lit(t))
-        made = row if made is None else made.unionByName(row)
+    steps = thresholds or [k / 20 for k in range(1, 20)]
+    found = cluster.cut(cluster.merge_history(mentions, links, min(steps), id_col), steps)
+    counts = evaluate.cluster_counts(found.join(mentions.select(id_col, "mention_no", "gold"), [id_col, "mention_no"]).withColumn("part", F.struct("threshold", id_col)), "part", predicted_col="root")
+    made = evaluate.corpus_metrics(counts.withColumn("threshold", F.col("part.threshold")), "threshold")
     return made.orderBy(F.col("b3_f1").desc(), F.col("b3_precision").desc(), F.col("pair_precision").desc(), F.col("threshold").desc())
 
 

@@ -27,8 +27,38 @@ def steps_folder(spark: SparkSession) -> str:
     return _local[context.applicationId]
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: what reads it several times computes it once, and a lost executor costs no recomputation of it."""
     path = f"{steps_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what ``stored`` has written in this session; call it once the results that read it are written elsewhere."""
+    for path in list(_written):
+        _delete(spark, path)
+
+
+class Rounds:
+    """The tables of an iteration: one is deleted once the next, which is made from it alone, is stored."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.last = spark, name, None
+
+    def store(self, df: DataFrame) -> DataFrame:
+        out = stored(df, self.name)
+        if self.last:
+            _delete(self.spark, self.last)
+        self.last = _written[-1]
+        return out

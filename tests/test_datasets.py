@@ -1,5 +1,3 @@
-from functools import partial
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,13 +101,11 @@ def test_anonymize_batch(spark):
     assert out.status == "ready" and out.released_text == "Thẩm phán: ông Lê Văn Minh. Nguyên đơn: ông Trần Văn N. Trần Văn N khai."
 
 
-def test_anonymize_batch_holds_back_a_document_of_too_many_mentions(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "cluster_documents", partial(cluster.cluster_documents, most_mentions=3))
-    docs = spark.createDataFrame([(1, "ông Lê Nam. " * 4), (2, "ông Lê Nam khai.")], "doc_id long, text string")
+def test_anonymize_batch_of_a_document_of_many_mentions(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "GROUP_LINKS", 3)
+    docs = spark.createDataFrame([(1, "ông Lê Nam. " * 40), (2, "ông Lê Nam khai.")], "doc_id long, text string")
     got = {r.doc_id: r for r in pipelines.anonymize_batch(docs, ner.rule_tagger({"PER": "Lê Nam"})).collect()}
-    assert got[1].status == "needs_review" and got[1].anonymized_text is None and [e.reason for e in got[1].entities] == ["more than 3 mentions"]
-    assert got[2].status == "ready" and got[2].anonymized_text == "ông Lê N khai."
-    assert got[1].released_text is None and got[2].released_text is None
+    assert got[1].status == "ready" and got[1].released_text == "ông Lê N. " * 40 and got[2].released_text == "ông Lê N khai."
 
 
 def test_reconstruct_batch(spark):
