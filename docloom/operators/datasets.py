@@ -10,6 +10,7 @@ from docloom.functions import text as T
 from docloom.operators import geo, pairs
 from docloom.operators import spans as S
 from docloom.sources import readers, writers
+from docloom.sources.steps import stored
 
 #: What a clean document may carry on: everything else could give identities away.
 PUBLIC = ("doc_id", "text", "case_type", "doc_type", "category", "instance_level", "cap_xet_xu", "issued_date", "primary_challenge", "split", "source_sha256")
@@ -55,46 +56,57 @@ def map_mentions(joined: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def raw_pairs(mentions: DataFrame, docs: DataFrame, positives: int = 8, ratio: float = 1.0, cap: int = 128, seed: str | int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Labelled pairs of each document: up to ``positives`` of each entity, and negatives, also across labels, in proportion, at most ``cap`` in all.
 
-    Negatives are ranked by how hard they are and then by hash, never by distance.
+    Negatives are ranked by how hard they are and then by hash, never by distance. Caps act where pairs are made, and contexts
+    are joined to what is kept. Documents without text or mentions have no pairs.
     """
-    both = _pairs_with_features(mentions, docs, [], id_col, text_col)
+    both = _pairs_with_features(mentions, [], id_col)
     order = pairs.positive_order("surface_a", "surface_b", "start_a", "start_b", seed, F.col("pair_id"))
-    pos = both.where("label = 1").withColumn("rank", F.row_number().over(Window.partitionBy(id_col, "entity_id_a").orderBy(*order))).where(F.col("rank") <= positives)
+    pos = stored(pairs.best(both.where("label = 1"), positives, [id_col, "entity_id_a"], *order), "positives")
     wanted = pos.groupBy(id_col).agg(F.greatest(F.lit(2), F.ceil(F.count("*") * ratio)).alias("wanted"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(pairs.negative_priority(F.col("difficulty")), T.stable_hash(str(seed), F.col("pair_id"))))
-    neg = both.where("label = 0").withColumn("rank", rank).join(wanted, id_col, "left").where(F.col("rank") <= F.coalesce("wanted", F.lit(2))).drop("wanted")
-    last = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("label").desc(), "rank", "pair_id"))
-    return pos.unionByName(neg).withColumn("_n", last).where(F.col("_n") <= cap).drop("_n", "rank")
+    neg = pairs.best(both.where("label = 0"), cap, [id_col], pairs.negative_priority(F.col("difficulty")), T.stable_hash(str(seed), F.col("pair_id")))
+    neg = neg.join(wanted, id_col, "left").where(F.col("rank") <= F.coalesce("wanted", F.lit(2))).drop("wanted")
+    kept = pos.unionByName(neg).withColumnRenamed("rank", "in_label")
+    kept = pairs.best(kept, cap, [id_col], F.col("label").desc(), F.col("in_label"), F.col("pair_id")).drop("rank", "in_label")
+    return _with_contexts(kept, mentions, docs, id_col, text_col)
 
 
 def natural_pairs(mentions: DataFrame, docs: DataFrame, gazetteer: DataFrame | None = None, cap: int = 128, seed: str | int = 42, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(pairs, left out): labelled pairs within labels, half of each kind while there are enough; pairs that a place rule contradicts are counted, not relabelled.
 
-    The second table has (id, reason, n). Roles are not in the pairs.
+    The second table has (id, reason, n). Roles are not in the pairs. Of each kind a task keeps ``cap`` pairs of a document at most, which
+    is all that quotas can take, and contexts are joined to what is kept.
     """
-    both = _pairs_with_features(mentions, docs, ["label"], id_col, text_col, gazetteer)
+    if gazetteer is not None:
+        text = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+        mentions = stored(geo.signatures(pairs.mention(mentions.join(text, id_col), F.col("_text")).drop("_text"), gazetteer).select(*mentions.columns, "place"), "placed")
+    both = _pairs_with_features(mentions, ["label"], id_col)
     wrong = F.when((F.col("label") == 1) & (F.col("place_rule") == "block"), "positive_blocked").when((F.col("label") == 0) & (F.col("place_rule") == "link"), "negative_linked")
-    marked = both.withColumn("_wrong", wrong)
-    left_out = marked.where("_wrong is not null").groupBy(id_col, F.col("_wrong").alias("reason")).agg(F.count("*").alias("n"))
-    fit = marked.where("_wrong is null").drop("_wrong")
+    left_out = both.where(wrong.isNotNull()).groupBy(id_col, wrong.alias("reason")).agg(F.count("*").alias("n"))
     order = F.when(F.col("label") == 1, F.lit(0)).otherwise(pairs.negative_priority(F.col("difficulty")))
-    ranked = fit.withColumn("rank", F.row_number().over(Window.partitionBy(id_col, "label").orderBy(order, T.stable_hash(str(seed), F.col("pair_id")))))
-    return pairs.balanced(ranked, cap, id_col).drop("rank"), left_out
+    ranked = pairs.best(both.where(wrong.isNull()), cap, [id_col, "label"], order, T.stable_hash(str(seed), F.col("pair_id")))
+    return _with_contexts(pairs.balanced(ranked, cap, id_col).drop("rank"), mentions, docs, id_col, text_col), left_out
 
 
-def _pairs_with_features(mentions: DataFrame, docs: DataFrame, keys: list[str], id_col: str, text_col: str, gazetteer: DataFrame | None = None) -> DataFrame:
-    text = docs.select(id_col, F.col(text_col).alias("_text"))
-    with_context = pairs.mention(mentions.join(text, id_col), F.col("_text")).drop("_text")
-    keep = ("entity_id", "marker", "context")
-    if gazetteer is not None:
-        with_context = geo.signatures(with_context, gazetteer)
-        keep += ("place",)
-    both = pairs.candidates(with_context, keys, id_col, keep)
+def _with_contexts(found: DataFrame, mentions: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``found`` with the contexts of both mentions."""
+    found = stored(found, "pairs")
+    spans = [found.select(id_col, F.col(f"start_{s}").alias("start"), F.col(f"end_{s}").alias("end")) for s in "ab"]
+    wanted = spans[0].union(spans[1]).distinct()
+    rows = pairs.mention(wanted.join(docs.select(id_col, F.col(text_col).alias("_text")), id_col), F.col("_text")).select(id_col, "start", "end", "context").distinct()
+    rows = stored(rows, "contexts")
+    for s in "ab":
+        found = found.join(rows.toDF(id_col, f"start_{s}", f"end_{s}", f"context_{s}"), [id_col, f"start_{s}", f"end_{s}"])
+    return found
+
+
+def _pairs_with_features(mentions: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    keep = ("entity_id", "marker") + (("place",) if "place" in mentions.columns else ())
+    both = pairs.candidates(mentions, keys, id_col, keep)
     c = F.col
     la, lb = (c("label"), c("label")) if "label" in keys else (c("label_a"), c("label_b"))
     made = pairs.surface_features(la, lb, c("surface_a"), c("surface_b"), c("start_a"), c("start_b"), F.lit(None), F.lit(None))
     rule = F.lit("defer")
-    if gazetteer is not None:
+    if "place" in keep:
         rule = geo.rule_decision(la, lb, c("place_a"), c("place_b"))
         made |= geo.pair_features(la, lb, c("place_a"), c("place_b"))
     linked = c("entity_id_a") == c("entity_id_b")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
+from docloom.sources.steps import stored
 
 _SIDE = ("start", "end", "surface", "label")
 
@@ -18,15 +19,43 @@ def mention(df: DataFrame, text: Column, window: int = 160) -> DataFrame:
     return made.withColumns({"context_mention_start": left, "context_mention_end": left + F.col("end") - F.col("start")})
 
 
+#: Mentions of a group that are paired in one tile. It changes the cost, not the result.
+TILE = 1024
+
+
+def tiled(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """``rows`` with ``tile``: two rows of a group ``by`` share exactly one tile (low, high, mine) in which ``mine`` differs, or the one of their part.
+
+    A group of at most TILE rows is one tile. A larger one is cut into parts by a hash of ``order``, and each two parts make a
+    tile, so that no group of a join has over TILE rows. Groups with a null key have no pairs.
+    """
+    held = stored(rows.dropna(subset=by), "tiled")
+    large = held.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > TILE).select(*by, F.ceil(F.col("n") / (TILE // 2)).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    mine = F.pmod(F.xxhash64(*order), parts).cast("int")
+    dealt = held.join(large, by, "left").withColumn("mine", mine).withColumn("parts", parts)
+    low, high = (lambda o: F.least(o, F.col("mine"))), (lambda o: F.greatest(o, F.col("mine")))
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(low(o).alias("low"), high(o).alias("high"), F.col("mine").alias("mine")))
+    return dealt.withColumn("tile", F.explode(every)).drop("mine", "parts")
+
+
 def candidates(mentions: DataFrame, keys: list[str], id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of mentions of a document that agree in ``keys``, the earlier one first: a self equi-join.
+    """Pairs of mentions of a document that agree in ``keys``, the earlier one first: a self equi-join by tiles.
 
-    Documents and keys bound the pairs; add a key such as the last word to bound them further. Columns get the suffixes _a and _b.
+    A long document's pairs are made by many tasks. Mentions of equal start and end make no pair, nor do those with a null key.
+    Columns get the suffixes _a and _b.
     """
-    side = lambda s: mentions.select(F.col(id_col), *[F.col(k) for k in keys], *[F.col(c).alias(f"{c}_{s}") for c in dict.fromkeys((*_SIDE, *keep)) if c not in keys])
-    a, b = side("a"), side("b")
+    columns = [c for c in dict.fromkeys((*_SIDE, *keep)) if c not in keys]
+    rows = tiled(mentions.select(id_col, *keys, *columns), [id_col, *keys], "start", "end")
+    side = lambda s: rows.select(id_col, *keys, F.col("tile.low").alias("low"), F.col("tile.high").alias("high"), F.col("tile.mine").alias(f"mine_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    both = side("a").join(side("b"), [id_col, *keys, "low", "high"])
     earlier = F.struct("start_a", "end_a") < F.struct("start_b", "end_b")
-    return a.join(b, [id_col, *keys]).where(earlier)
+    return both.where(earlier & ((F.col("low") == F.col("high")) | (F.col("mine_a") != F.col("mine_b")))).drop("low", "high", "mine_a", "mine_b")
+
+
+def best(pairs: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
+    """The first ``k`` pairs of each group, with their ``rank``. Each task that makes pairs keeps ``k`` of a group, and only these are shuffled."""
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def pair_id(doc: Column, *parts: Column) -> Column:
@@ -116,8 +145,7 @@ def negative_priority(kind: Column) -> Column:
 def top_positives(pairs: DataFrame, k: int = 8, seed: str | int = 42, id_col: str = "doc_id") -> DataFrame:
     """At most k positive pairs of each entity."""
     order = positive_order("surface_a", "surface_b", "start_a", "start_b", seed, F.col(id_col), F.col("start_a"), F.col("start_b"))
-    window = Window.partitionBy(id_col, "entity_a").orderBy(*order)
-    return pairs.where("entity_a = entity_b").withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return best(pairs.where("entity_a = entity_b"), k, [id_col, "entity_a"], *order)
 
 
 def balanced(pairs: DataFrame, cap: int, id_col: str = "doc_id", label_col: str = "label", rank_col: str = "rank") -> DataFrame:

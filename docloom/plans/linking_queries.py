@@ -542,25 +542,42 @@ def event_sessions(spark, sf_dir):
 
 
 def _people(spark, sf_dir):
-    m = X.mentions(spark, sf_dir).where("label in ('PER', 'ORG')")
-    return m.select("doc_id", "entity_id", "start", "end", "surface", "label", F.substring("surface", 1, 1).alias("marker"))
-
-
-@query()
+    return X.mentions(spark, sf_dir).select("doc_id", "entity_id", "start", "end", "surface", "label", F.substring("surface", 1, 1).alias("marker"))
+
+
+def _labelled(keys: str) -> str:
+    """Pairs of mentions that agree in ``keys``, with what pairs are ranked by."""
+    return f"""{X.MENTIONS_SQL}, both_ AS (
+  SELECT a.doc_id, a.label AS mention_label, a.entity_id AS entity_a, CAST(a.entity_id = b.entity_id AS INTEGER) AS label, a.label = b.label AS same_label, lower(a.surface) = lower(b.surface) AS same,
+    abs(length(a.surface) - length(b.surface)) AS gap, abs(a."start" - b."start") AS far,
+    CAST(a.doc_id AS VARCHAR) || ':' || substr(sha256(concat_ws(chr(31), a.doc_id, a."start", a."end", b."start", b."end")), 1, 20) AS pair_id
+  FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND (a."start", a."end") < (b."start", b."end"){keys}
+), pairs AS (
+  SELECT *, CASE WHEN label = 1 THEN 'positive' WHEN same THEN 'same_label_surface' WHEN same_label THEN 'same_label' ELSE 'cross_label' END AS difficulty,
+    CASE WHEN same THEN 0 WHEN same_label THEN 5 ELSE 6 END AS priority, CAST(same AS DOUBLE) AS token_jaccard, {X.sql_hash("pair_id")} AS hash FROM both_
+)"""
+
+
+@query(f"""WITH {_labelled("")}, pos AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_a ORDER BY same, -gap, far, hash) AS rank FROM pairs WHERE label = 1 QUALIFY rank <= 8),
+wanted AS (SELECT doc_id, greatest(2, count(*)) AS n FROM pos GROUP BY doc_id), neg AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority, hash) AS rank FROM pairs WHERE label = 0),
+kept AS (SELECT * FROM pos UNION ALL SELECT neg.* FROM neg LEFT JOIN wanted USING (doc_id) WHERE rank <= coalesce(n, 2))
+SELECT doc_id, pair_id, label, difficulty, token_jaccard FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY label DESC, rank, pair_id) <= 128""")
 def raw_pairs(spark, sf_dir):
     return datasets.raw_pairs(_people(spark, sf_dir), X.documents(spark, sf_dir)).select("doc_id", "pair_id", "label", "difficulty", "token_jaccard")
 
 
-@query()
+_NATURAL = f"""{_labelled(" AND a.label = b.label")}, n AS (SELECT doc_id, count_if(label = 1) AS p, count_if(label = 0) AS n FROM pairs GROUP BY doc_id),
+quotas AS (SELECT doc_id, CAST(least(p, greatest(64, 128 - n)) AS BIGINT) AS positives, CAST(least(n, greatest(64, 128 - p)) AS BIGINT) AS negatives FROM n)"""
+
+
+@query(f"""WITH {_NATURAL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY CASE WHEN label = 1 THEN 0 ELSE priority END, hash) AS rank FROM pairs)
+SELECT doc_id, pair_id, label, difficulty, mention_label, token_jaccard FROM r JOIN quotas USING (doc_id) WHERE rank <= CASE WHEN label = 1 THEN positives ELSE negatives END""")
 def natural_pairs(spark, sf_dir):
     made, _ = datasets.natural_pairs(_people(spark, sf_dir), X.documents(spark, sf_dir))
     return made.select("doc_id", "pair_id", "label", "difficulty", "mention_label", "token_jaccard")
 
 
-@query(f"""WITH {X.MENTIONS_SQL}, p AS (SELECT * FROM mentions WHERE label IN ('PER', 'ORG')),
-q AS (SELECT a.doc_id, a.entity_id = b.entity_id AS same, lower(a.surface) = lower(b.surface) AS eq FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.label = b.label AND a."start" < b."start"),
-n AS (SELECT doc_id, count_if(same) AS p, count_if(NOT same) AS n FROM q GROUP BY doc_id)
-SELECT doc_id, CAST(least(p, greatest(64, 128 - n)) AS BIGINT) AS positives, CAST(least(n, greatest(64, 128 - p)) AS BIGINT) AS negatives FROM n""")
+@query(f"WITH {_NATURAL} SELECT doc_id, positives, negatives FROM quotas")
 def natural_pair_quotas(spark, sf_dir):
     made, _ = datasets.natural_pairs(_people(spark, sf_dir), X.documents(spark, sf_dir))
     return made.groupBy("doc_id").agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"))
