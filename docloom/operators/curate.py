@@ -161,36 +161,46 @@ def first_retained(docs: DataFrame, rejected: Column, text_col: str = "text", or
 
 
 def diversity_caps(candidates: DataFrame, target: int, order_col: str = "position", category_col: str = "category", family_col: str = "primary_challenge") -> DataFrame:
-    """Accept candidates in order while their category, the unknown category and address families keep below their shares.
+    """``candidates`` with ``accepted``: in order, while the whole, their category, the unknown category and address families keep below their shares.
 
-    The counters are coupled and move only on acceptance, so this is a fold over the order; what goes through it is three
-    narrow columns, and its state is a counter for each category. A third of ``target`` candidates in any one group ends the growth of that group.
+    A group takes all its candidates until it is full, so what is accepted follows from the place at which each group fills. The next
+    such place is found by counts of blocks of the order, added up, and then within the one block where some group fills
+    first; from there on that group takes none, and counts are made anew. At most a few groups can fill before the target is
+    reached, as each holds a fixed share of it. Places must differ; candidates without a place are not accepted. A null category or family is one of its own.
     """
     from math import ceil
 
-    import pandas as pd
-
-    per_category, unknown, address = ceil(0.35 * target), ceil(0.25 * target), ceil(0.60 * target)
-
-    def fold(batches):
-        counts: dict[str, int] = {}
-        taken = addresses = 0
-        for batch in batches:
-            keep = []
-            for category, family in zip(batch["category"], batch["family"]):
-                fits = taken < target and counts.get(category, 0) < per_category
-                fits = fits and (category != "Unknown" or counts.get(category, 0) < unknown)
-                fits = fits and (family != "address_marker" or addresses < address)
-                if fits:
-                    counts[category] = counts.get(category, 0) + 1
-                    addresses += family == "address_marker"
-                    taken += 1
-                keep.append(fits)
-            yield pd.DataFrame({"position": batch["position"], "accepted": keep})
-
-    kind = dict(candidates.dtypes)[order_col]
-    narrow = candidates.select(F.col(order_col).alias("position"), F.col(category_col).alias("category"), F.col(family_col).alias("family"))
-    # Written, so that what computes the candidates runs in all tasks and only three columns come to one.
-    narrow = stored(narrow, "diversity-candidates")
-    folded = narrow.repartition(1).sortWithinPartitions("position").mapInPandas(fold, f"position {kind}, accepted boolean")
-    return candidates.join(folded.withColumnRenamed("position", order_col), order_col)
+    caps = {"category": ceil(0.35 * target), "unknown": min(ceil(0.35 * target), ceil(0.25 * target)), "address": ceil(0.60 * target), "all": target}
+    category, address = F.coalesce(F.col(category_col), F.lit("")), F.coalesce(F.col(family_col) == "address_marker", F.lit(False))
+    narrow = candidates.select(F.col(order_col).alias("place"), category.alias("category"), address.alias("address")).where("place is not null")
+    held = stored(narrow.repartitionByRange("place").withColumn("block", F.spark_partition_id()), "diversity-blocks")
+    full: dict[tuple[str, str], object] = {}  # the places at which groups fill
+
+    def open_(place: Column, category: Column, address: Column) -> Column:
+        ends = [F.when((F.lit(kind) == "all") | ((F.lit(kind) == "address") & address) | ((F.lit(kind) == "category") & (category == name)), place <= at).otherwise(True) for (kind, name), at in full.items()]
+        fits = F.lit(target > 0)
+        for e in ends:
+            fits = fits & e
+        return fits
+
+    cap = F.when(F.col("kind") == "category", F.when(F.col("name") == "Unknown", caps["unknown"]).otherwise(caps["category"])).when(F.col("kind") == "address", caps["address"]).otherwise(caps["all"])
+    groups = F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("name")), F.struct(F.lit("category").alias("kind"), F.col("category").alias("name")), F.when(F.col("address"), F.struct(F.lit("address").alias("kind"), F.lit("").alias("name"))))
+    group = F.explode(F.filter(groups, lambda g: g.isNotNull())).alias("g")
+    while ("all", "") not in full and target > 0:
+        fits = held.where(open_(F.col("place"), F.col("category"), F.col("address")))
+        counts = fits.groupBy("block", "category", "address").count()
+        counts = counts.select("block", group, "count").groupBy("block", "g.kind", "g.name").agg(F.sum("count").alias("n"))
+        so_far = F.sum("n").over(Window.partitionBy("kind", "name").orderBy("block"))
+        reached = counts.withColumn("before", so_far - F.col("n")).where(F.col("before") + F.col("n") >= cap)
+        for kind, name in full:
+            reached = reached.where(~((F.col("kind") == kind) & (F.col("name") == name)))
+        reached = stored(reached, "diversity-reached")
+        first = reached.agg(F.min("block").alias("block")).first().block
+        if first is None:
+            break
+        inside = fits.where(F.col("block") == first).select("place", group).select("place", "g.kind", "g.name").join(reached.where(F.col("block") == first).select("kind", "name", "before"), ["kind", "name"])
+        number = F.row_number().over(Window.partitionBy("kind", "name").orderBy("place")) + F.col("before")
+        filled = inside.withColumn("number", number).where(F.col("number") == cap).orderBy("place").limit(1).first()
+        full[filled.kind, filled.name] = filled.place
+    place = F.col(order_col)
+    return candidates.withColumn("accepted", F.coalesce(open_(place, category, address), F.lit(False)) & place.isNotNull())

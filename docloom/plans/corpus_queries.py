@@ -238,7 +238,11 @@ def first_retained(spark, sf_dir):
     return curate.first_retained(docs, F.length("text") < 200, order_col="doc_id").select("doc_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {X.FEATURES_SQL}, o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, lang, {X.PRIMARY_SQL} AS family FROM features), s AS (
+  SELECT 0::BIGINT AS k, NULL::BIGINT AS doc_id, NULL::VARCHAR AS category, false AS accepted, []::VARCHAR[] AS taken, 0 AS addresses
+  UNION ALL SELECT k, doc_id, lang, ok, CASE WHEN ok THEN list_append(taken, lang) ELSE taken END, addresses + CASE WHEN ok AND family = 'address_marker' THEN 1 ELSE 0 END FROM (
+    SELECT o.*, s.taken, s.addresses, len(s.taken) < 200 AND len(list_filter(s.taken, lambda x: x = o.lang)) < 70 AND (o.family <> 'address_marker' OR s.addresses < 120) AS ok FROM s JOIN o ON o.k = s.k + 1)
+) SELECT doc_id, category, accepted FROM s WHERE k > 0""")
 def diversity_caps(spark, sf_dir):
     f = X.features(spark, sf_dir).select("doc_id", F.col("doc_id").alias("position"), F.col("lang").alias("category"), "primary_challenge")
     return curate.diversity_caps(f, 200).select("doc_id", "category", "accepted")

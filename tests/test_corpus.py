@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import math
 from collections import Counter
 
 import pytest
@@ -72,15 +73,18 @@ def test_vietnamese_features(spark):
     assert r.relevant == 1 and r.primary_challenge == "alias_language"
 
 
-def test_diversity_caps_fold(spark):
-    rows = [(i, "x" if i % 3 else "Unknown", "address_marker" if i % 2 else "simple") for i in range(100)]
-    got = {r.position: r.accepted for r in curate.diversity_caps(spark.createDataFrame(rows, "position long, category string, primary_challenge string").repartition(7), 20).collect()}
+@pytest.mark.parametrize("target", [0, 1, 2, 20, 45, 1000])
+def test_diversity_caps_equal_a_fold(spark, target):
+    rows = [(i, "x" if i % 3 else "Unknown" if i % 2 else f"y{i % 4}", "address_marker" if i % 5 < 3 else "simple") for i in range(100)]
+    df = spark.createDataFrame([*rows, (None, "x", "simple")], "position long, category string, primary_challenge string").repartition(7)
+    got = {r.position: r.accepted for r in curate.diversity_caps(df, target).collect()}
     counts, addresses = Counter(), 0
     for i, c, f in rows:
-        fits = sum(counts.values()) < 20 and counts[c] < 7 and (c != "Unknown" or counts[c] < 5) and (f != "address_marker" or addresses < 12)
+        fits = sum(counts.values()) < target and counts[c] < math.ceil(0.35 * target) and (c != "Unknown" or counts[c] < math.ceil(0.25 * target)) and (f != "address_marker" or addresses < math.ceil(0.6 * target))
         counts[c] += fits
         addresses += fits and f == "address_marker"
         assert got[i] == fits
+    assert got[None] is False and curate.diversity_caps(df.limit(0), 5).collect() == []
 
 
 def test_semantic_rejections(spark):
