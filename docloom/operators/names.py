@@ -1,4 +1,4 @@
-"""Known place names in running text: matching across broken spacing, repairs, address chains, and places for masked addresses."""
+"""Known place names in running text: matching across broken spacing, repairs and address chains."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import rules
-from docloom.operators.geo import LEVELS
 
 _UNITS = re.compile(rf"(?<!\w)({rules.any_of(rules.PLACE_UNITS.values())})(?!\w)[ \t]*", re.I)
 _MARKER = re.compile(rf"[A-ZĐ](?:[ \t]*{rules.ORDINAL})?(?!\w)")
@@ -93,39 +92,3 @@ def repair_spans(mentions: DataFrame, docs: DataFrame, gazetteer: DataFrame, id_
             yield pd.DataFrame(made, columns=["id", "start", "end", "original", "normalized"])
 
     return joined.mapInPandas(run, f"id {kind}, start int, end int, original string, normalized string").withColumnRenamed("id", id_col).distinct()
-
-
-def plan_places(masked: DataFrame, all_paths: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, entity_id, name, reason): names for masked places of a document so that those of one address lie under each other.
-
-    ``masked`` are (id, entity_id, role, unit, marker, chain: array of 'role:marker' of the masked parts of its address, anchors: array
-    of codes of its visible parts). Entities whose chains share a part are one address; it gets a path of the gazetteer that holds all
-    anchors and fits the units, chosen by a hash of the document. One row a document; the paths are a fixed table.
-    """
-    table = all_paths.sparkSession.sparkContext.broadcast([r.asDict() for r in all_paths.collect()])
-    kind = dict(masked.dtypes)[id_col]
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        rows = frame.to_dict("records")
-        address = list(range(len(rows)))
-        owner: dict[str, int] = {}
-        for i, r in enumerate(rows):
-            for part in [f"{r['role']}:{r['marker']}", *r["chain"]]:
-                j = owner.setdefault(part, i)
-                low, high = sorted((address[i], address[j]))
-                address = [low if a == high else a for a in address]
-        out = []
-        for a in sorted(set(address)):
-            members = [r for r, x in zip(rows, address) if x == a]
-            anchors = {c for r in members for c in r["anchors"]}
-            fit = [p for p in table.value if anchors <= {p[f"{role}_code"] for role in LEVELS} and all(str(p[f"{r['role']}_unit"]).lower() == r["unit"] for r in members if r["role"] in LEVELS)]
-            pick = int(hashlib.sha256(f"{rows[0]['id']}|{a}".encode()).hexdigest()[:12], 16)
-            path = sorted(fit, key=lambda p: p["commune_code"])[pick % len(fit)] if fit else None
-            for r in members:
-                out.append({"id": r["id"], "entity_id": r["entity_id"], "name": path[r["role"]] if path and r["role"] in LEVELS else None, "reason": None if path else "invalid_location_hierarchy"})
-        return pd.DataFrame(out, columns=["id", "entity_id", "name", "reason"])
-
-    rows = masked.select(F.col(id_col).alias("id"), "entity_id", "role", "unit", "marker", "chain", "anchors")
-    return rows.groupBy("id").applyInPandas(one, f"id {kind}, entity_id string, name string, reason string").withColumnRenamed("id", id_col)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
-from docloom.operators import anonymize, cluster, curate, datasets, evaluate, geo, markers, names, ner, pairs, review, roles, scoring, spans
+from docloom.operators import anonymize, cluster, curate, datasets, evaluate, geo, lookup, markers, names, ner, pairs, review, roles, scoring, spans
 from docloom.plans import fixtures as X
 from docloom.plans import pipelines
 from docloom.sources.steps import stored
@@ -446,6 +446,42 @@ def location_decision(spark, sf_dir):
     return a.join(b, "j").select("a", "b", geo.rule_decision(loc, loc, F.col("pa"), F.col("pb")).alias("decision"))
 
 
+_SPELT = "translate(substr(sha256({x}), 1, 10), '0123456789abcdef', 'bcdfghklmnpqrstv')"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey, {_SPELT.format(x="'s' || s_suppkey")} AS name FROM supplier)
+SELECT s_suppkey || ':1' AS ask, 's' || s_suppkey AS code, round(18.0::DOUBLE / 19, 6) AS ratio FROM s UNION ALL SELECT s_suppkey || ':2', 's' || s_suppkey, round(20.0::DOUBLE / 21, 6) FROM s""")
+def fuzzy_places(spark, sf_dir):
+    """Suppliers as communes of made-up names: one letter missing or doubled is found; three changed, another parent or another unit are not."""
+    g = _gazetteer(spark, sf_dir).withColumn("name", F.translate(F.substring(F.sha2("code", 256), 1, 10), "0123456789abcdef", "bcdfghklmnpqrstv"))
+    rows = g.where("level = '3'").withColumn("number", F.substring("code", 2, 20).cast("long"))
+    name, cut_ = F.col("name"), lambda n, skip: F.concat(F.expr(f"left(name, cast(number % 8 + {n} as int))"), F.expr(f"substring(name, cast(number % 8 + {n} + {skip} + 1 as int))"))
+    kinds = {
+        1: (cut_(1, 1), F.array("parent"), "xã"), 2: (F.concat(F.expr("left(name, cast(number % 8 + 2 as int))"), F.expr("substring(name, cast(number % 8 + 2 as int))")), F.array("parent"), None),
+        3: (F.concat(F.lit("zzz"), F.substring(name, 4, 20)), F.array("parent"), "xã"), 4: (cut_(1, 1), F.array(F.concat(F.lit("n"), F.expr("cast((substring(parent, 2) + 1) % 25 as int)").cast("string"))), "xã"), 5: (cut_(1, 1), F.array("parent"), "huyện"),
+    }
+    each = F.explode(F.array(*[F.struct(F.concat(F.col("number").cast("string"), F.lit(f":{k}")).alias("ask"), n.alias("name"), p.alias("parents"), F.lit(u).alias("unit")) for k, (n, p, u) in kinds.items()]))
+    asked = rows.select(F.lit(3).alias("level"), each.alias("x")).select("level", "x.*")
+    return lookup.fuzzy_places(asked, g).select("ask", "code", F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"""WITH {_PATHS}, named AS (SELECT p.*, c.name AS commune, d.name AS district, r.name AS province, row_number() OVER (PARTITION BY province_code ORDER BY commune_code) - 1 AS k, count(*) OVER (PARTITION BY province_code) AS n,
+  row_number() OVER (PARTITION BY district_code ORDER BY commune_code) - 1 AS kd, count(*) OVER (PARTITION BY district_code) AS nd FROM paths p JOIN gaz c ON p.commune_code = c.code JOIN gaz d ON p.district_code = d.code JOIN gaz r ON p.province_code = r.code),
+asked AS (SELECT c_custkey, 'r' || n_regionkey AS r, 'n' || n_nationkey AS d, {X.sql_u64("c_custkey", "'L1,L2'")} AS h, {X.sql_u64("c_custkey", "'L3'")} AS h3 FROM customer JOIN nation ON c_nationkey = n_nationkey),
+one AS (SELECT a.c_custkey, n.commune, n.district FROM asked a LEFT JOIN named n ON n.province_code = a.r AND n.k = a.h % n.n), two AS (SELECT a.c_custkey, n.province FROM asked a LEFT JOIN named n ON n.district_code = a.d AND n.kd = a.h3 % n.nd)
+SELECT c_custkey AS doc_id, e AS entity_id, CASE e WHEN 'L1' THEN commune WHEN 'L2' THEN district WHEN 'L3' THEN province END AS name,
+  CASE WHEN e IN ('L4', 'L5') OR e = 'L3' AND province IS NULL OR e IN ('L1', 'L2') AND commune IS NULL THEN 'invalid_location_hierarchy' END AS reason
+FROM one JOIN two USING (c_custkey), (SELECT unnest(['L1', 'L2', 'L3', 'L4', 'L5']) AS e)""")
+def planned_paths(spark, sf_dir):
+    """For each customer an address of a masked commune and district in a known province, a masked province of a known district, and two that no path fits."""
+    part = "array<struct<entity_id:string,role:string,unit:string,marker:string,chain:array<string>,anchors:array<string>>>"
+    e = lambda *x: F.struct(*[v if not isinstance(v, str) else F.lit(v) for v in x])
+    none, r, d = F.array().cast("array<string>"), F.array(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))), F.array(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))
+    rows = X.table(spark, sf_dir, "customer").join(X.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    masked = F.array(e("L1", "commune", "xã", "M", F.array(F.lit("district:D")), none), e("L2", "district", "Huyện", "D", none, r), e("L3", "province", "tỉnh", "P", none, d), e("L4", "commune", "phường", "Q", none, none), e("L5", "commune", "xã", "V", none, F.array(F.lit("x9")))).cast(part)
+    return lookup.plan_paths(rows.select(F.col("c_custkey").alias("doc_id"), F.inline(masked)), geo.paths(_gazetteer(spark, sf_dir)))
+
+
 # ---- documents end to end -----------------------------------------------------------------------------------------
 
 

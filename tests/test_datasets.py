@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import cluster, datasets, geo, names, ner
+from docloom.operators import cluster, datasets, geo, lookup, names, ner
 from docloom.plans import pipelines
 from docloom.sources import readers
 from tests.test_linking import GAZ
@@ -90,7 +90,7 @@ def test_masked_addresses_get_one_path(spark):
     g = spark.createDataFrame(GAZ, "code string, parent string, level string, unit string, name string")
     rows = [(1, "L1", "commune", "xã", "X", ["district:y"], ["01"]), (1, "L2", "district", "huyện", "y", [], []), (1, "L3", "commune", "phường", "Q", [], ["01"])]
     masked = spark.createDataFrame(rows, "doc_id long, entity_id string, role string, unit string, marker string, chain array<string>, anchors array<string>")
-    got = {r.entity_id: (r.name, r.reason) for r in names.plan_places(masked, geo.paths(g)).collect()}
+    got = {r.entity_id: (r.name, r.reason) for r in lookup.plan_paths(masked, geo.paths(g)).collect()}
     assert got["L1"][0] in ("Bình Hòa", "Hòa Bình Thạnh") and got["L2"] == ("Châu Thành", None) and got["L3"] == (None, "invalid_location_hierarchy")
 
 
