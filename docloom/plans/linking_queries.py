@@ -9,7 +9,7 @@ from docloom.functions import text as T
 from docloom.operators import anonymize, cluster, curate, datasets, evaluate, geo, lookup, markers, names, ner, pairs, review, roles, scoring, spans
 from docloom.plans import fixtures as X
 from docloom.plans import pipelines
-from docloom.sources.steps import stored
+from docloom.sources.steps import new_folder, stored
 
 QUERIES = {}
 SQL = {}
@@ -537,24 +537,40 @@ def _collected(query_, spark, path):
     return spark.read.parquet(path)
 
 
-def _folder(spark, name):
-    """A new folder in the shared folder that the cluster names, or in the warehouse."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT DISTINCT sha256(text) AS text_sha256 FROM documents WHERE length(trim(text)) > 0")
 def stream_ingest_dedup(spark, sf_dir):
     from docloom.streaming import ingest
 
-    at = _folder(spark, "stream")
+    at = new_folder(spark, "stream")
     source = ingest.documents(spark, f"{sf_dir}/documents.parque[t]", X.documents(spark, sf_dir).schema)
     run = ingest.ingest(ingest.fresh_texts(source), f"{at}/out", f"{at}/checkpoint")
     return _collected(run, spark, f"{at}/out").select("text_sha256")
 
 
+@query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= CASE lang WHEN 'en' THEN 60 WHEN 'fr' THEN 25 ELSE 1000000000 END")
+def stream_ingest_capped(spark, sf_dir):
+    """At most 60 English and 25 French documents of a stream; how many there are is state."""
+    from docloom.streaming import ingest
+
+    at = new_folder(spark, "stream")
+    source = ingest.documents(spark, f"{sf_dir}/documents.parque[t]", X.documents(spark, sf_dir).schema)
+    run = ingest.ingest_capped(source, f"{at}/out", f"{at}/checkpoint", {"en": 60, "fr": 25}, "lang")
+    return _collected(run, spark, f"{at}/out").select("doc_id", "lang")
+
+
+@query(f"""WITH r AS (SELECT doc_id, unnest(CASE WHEN n_chars < 1000 THEN ['short', lang] ELSE [lang] END) AS reason, {X.sql_hash("doc_id")} AS rank FROM documents),
+p AS (SELECT * FROM r WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY reason ORDER BY rank) <= 12) SELECT CAST(doc_id AS VARCHAR) AS doc_id, string_agg(reason, ',' ORDER BY reason) AS reasons FROM p GROUP BY doc_id""")
+def stream_pools(spark, sf_dir):
+    """A pool of twelve documents of each reason, kept by a stream."""
+    from docloom.streaming import ingest
+
+    at = new_folder(spark, "stream")
+    source = ingest.documents(spark, f"{sf_dir}/documents.parque[t]", X.documents(spark, sf_dir).schema)
+    reasons = F.when(F.col("n_chars") < 1000, F.array(F.lit("short"), "lang")).otherwise(F.array("lang"))
+    run = ingest.with_state_on_disk(spark, lambda: ingest.ingest(ingest.pool_changes(source, reasons, 12), f"{at}/out", f"{at}/checkpoint"))
+    return ingest.pool_records(_collected(run, spark, f"{at}/out")).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     """The windowed counts of a stream, here over the table as a batch; tests run the stream."""

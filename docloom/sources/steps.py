@@ -30,10 +30,15 @@ def steps_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name for a folder of this session, which ``forget`` deletes."""
+    _written.append(f"{steps_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: what reads it several times computes it once, and a lost executor costs no recomputation of it."""
-    path = f"{steps_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,7 @@
+import hashlib
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -109,6 +111,35 @@ def test_streams(spark, tmp_path):
     assert {r["category"]: r["count"] for r in got} == {"x": 4, "y": 1, "z": 1}
 
 
+def test_caps_and_pools_survive_restarts(spark, tmp_path):
+    schema = "doc_id long, category string, reasons array<string>"
+    r, parts = random.Random(1), []
+    for k in range(4):
+        parts.append([(100 * k + i, r.choice(["x", "y", "z", None]), r.choice([["a"], ["a", "b", "b"], [], None, ["c", None]])) for i in range(30)])
+    parts[3].append(parts[0][0])  # a document that comes again
+    source = lambda: ingest.documents(spark, f"file://{tmp_path}/in", schema)
+    had = spark.createDataFrame([("y", 20)], "group string, had long")
+    for part in parts:
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(f"file://{tmp_path}/in")
+        ingest.ingest_capped(source(), f"file://{tmp_path}/capped", f"file://{tmp_path}/c1", {"x": 11, "y": 25}, had=had).awaitTermination()
+        changes = ingest.pool_changes(source(), F.col("reasons"), 5)
+        ingest.with_state_on_disk(spark, lambda: ingest.ingest(changes, f"file://{tmp_path}/pools", f"file://{tmp_path}/c2")).awaitTermination()  # noqa: B023
+    rows = [x for part in parts for x in part]
+    of = lambda g: [x[0] for x in rows if x[1] == g]
+    got = [tuple(x) for x in spark.read.parquet(f"file://{tmp_path}/capped").select("doc_id", "category").collect()]
+    assert sorted(d for d, g in got if g == "x") == sorted(of("x")[:11]) or len([1 for _, g in got if g == "x"]) == 11
+    assert sum(g == "y" for _, g in got) == 5 and sorted(d for d, g in got if g in ("z", None)) == sorted(of("z") + of(None))
+    # Within a batch the first by id are taken, so all of the first batch come before those of later ones.
+    batch = lambda d: d // 100
+    assert max(batch(d) for d, g in got if g == "x") <= min(batch(d) for d in set(of("x")) - {d for d, g in got if g == "x"})
+    rank = lambda d: hashlib.sha256(f"42\x1f{d}".encode()).hexdigest()
+    want = {}
+    for reason in "abc":
+        for d in sorted({str(x[0]) for x in rows if x[2] and reason in x[2]}, key=rank)[:5]:
+            want.setdefault(d, []).append(reason)
+    assert {x.doc_id: x.reasons for x in ingest.pool_records(spark.read.parquet(f"file://{tmp_path}/pools")).collect()} == want
+
+
 def test_event_windows_as_a_stream(spark, tmp_path):
     rows = [(1, "2024-01-01 00:10:00", "a"), (2, "2024-01-01 00:50:00", "a"), (3, "2024-01-01 05:00:00", "b")]
     spark.createDataFrame(rows, "event_id long, t string, event_type string").select("event_id", F.to_timestamp("t").alias("ts"), "event_type").write.parquet(f"file://{tmp_path}/e")
