@@ -8,6 +8,8 @@ from docloom.functions import rules
 from docloom.functions import text as T
 from docloom.operators import curate, ocr, quality, spans, split
 from docloom.plans import fixtures as X
+from docloom.sources import atomic
+from docloom.sources.steps import new_folder
 
 QUERIES = {}
 SQL = {}
@@ -122,6 +124,20 @@ def corpus_report(spark, sf_dir):
     return g.select(scope.alias("scope"), F.coalesce("lang", "source", F.lit("")).alias("value"), "docs", "chars")
 
 
+_COUNTERS = {
+    "documents": "count(*)", "without_text": "count_if(text IS NULL)", "blank": "count_if(length(trim(text)) = 0)", "short": "count_if(n_chars < 500)", "long": "count_if(n_chars > 50000)",
+    "chars": "coalesce(sum(n_chars), 0)", "without_lang": "count_if(lang IS NULL)", "english": "count_if(lang = 'en')", "french": "count_if(lang = 'fr')", "german": "count_if(lang = 'de')",
+    "lines": "coalesce(sum(length(text) - length(replace(text, '\n', ''))), 0)", "longest": "coalesce(max(n_chars), 0)", "with_digits": "count_if(regexp_like(text, '[0-9]'))", "with_mail": "count_if(text LIKE '%@%')",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS counter, CAST({c.replace('regexp_like', 'regexp_matches')} AS BIGINT) AS n FROM documents" for n, c in _COUNTERS.items()).replace("'\n'", "chr(10)"))
+def observed_counters(spark, sf_dir):
+    """Fourteen counters of a run, observed in the one pass that writes the documents."""
+    seen = atomic.observed(X.documents(spark, sf_dir), new_folder(spark, "observed"), {n: F.expr(c).cast("long") for n, c in _COUNTERS.items()})
+    return spark.createDataFrame(list(seen.items()), "counter string, n long")
+
+
 # ---- spacing models -----------------------------------------------------------------------------------------------
 
 _NORM = "lower(trim(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f\\x{a0}\\x{85}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')))"
