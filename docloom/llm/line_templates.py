@@ -90,10 +90,12 @@ def _templates(lines: DataFrame) -> DataFrame:
             return found
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, most_part: int | None = MOST_PART) -> DataFrame:
+def recurring_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, most_part: int | None = MOST_PART, short: tuple[int, int] = (SHORT_WORDS, SHORT_MIN_DOCS)
+) -> DataFrame:
     """(id, version, dropped): for each document the numbers of its lines whose template came up in an earlier one.
 
-    A template recurs if at least ``min_docs`` documents have it, and ``SHORT_MIN_DOCS`` if it has under ``SHORT_WORDS`` words.
+    A template recurs if at least ``min_docs`` documents have it; one of fewer words than ``short`` says first, if as many as it says next have it.
     Documents that would lose over one part of their characters in ``most_part`` are left out; null leaves out none.
     Only lines of leaves with so many lines are looked at further.
     """
@@ -107,7 +109,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = lines.join(_templates(lines), "seq", "left").select("id", "version", "total", "pos", "chars", "words", F.coalesce("template", "seq").alias("template"))
     held = placed.groupBy("template", "id", "version").agg(F.max("total").alias("total"), F.max("words").alias("words"), F.collect_set(F.struct("pos", "chars")).alias("lines"))
     held = materialize(held, "lines-held")
-    needed = F.when(F.col("words") < SHORT_WORDS, max(SHORT_MIN_DOCS, min_docs)).otherwise(min_docs)
+    needed = F.when(F.col("words") < short[0], max(short[1], min_docs)).otherwise(min_docs)
     found = held.groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("id", "version")).alias("first"), F.max("words").alias("words")).where(F.col("docs") >= needed)
     found = materialize(found.select("template", "first"), "lines-found")
     later = held.join(found, "template").where(~F.struct("id", "version").eqNullSafe(F.col("first")))
@@ -118,13 +120,21 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return gone.select("id", "version", F.col("lines.pos").alias("dropped"))
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, most_part: int | None = MOST_PART, count_col: str = "lines_dropped") -> DataFrame:
+def drop_recurring_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_docs: int = MIN_DOCS,
+    most_part: int | None = MOST_PART,
+    count_col: str = "lines_dropped",
+    short: tuple[int, int] = (SHORT_WORDS, SHORT_MIN_DOCS),
+) -> DataFrame:
     """``docs`` with recurring lines taken out of the text, and how many as ``count_col``, which replaces a column of that name.
 
     Rows, and lines without words, stay. A null text stays null. Rows that repeat an id and its text are one document,
     and so stay alike; rows without id come before all others. A line may be of any length. An empty table stays empty.
     """
-    found = materialize(recurring_lines(docs, id_col, text_col, min_docs, most_part), "lines-dropped")
+    found = materialize(recurring_lines(docs, id_col, text_col, min_docs, most_part, short), "lines-dropped")
     text = F.col(f"d.`{text_col}`").cast("string")
     # Hashed rather than merged, so that texts are not sorted.
     joined = docs.alias("d").join(found.hint("shuffle_hash").alias("f"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("f.id")) & (F.xxhash64(text) == F.col("f.version")), "left")
@@ -136,8 +146,13 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return joined.select(*columns, F.coalesce(F.size("f.dropped"), F.lit(0)).alias(count_col))
 
 
-ORACLE_SQL = """
-WITH RECURSIVE lines AS (
+_CHOICES = ", ".join(f"({n}, {i}, {[r + 1 for r in chosen]})" for n in range(3, SEGMENTS + 1) for i, chosen in enumerate(combinations(range(n), n // 2 + 1)))
+
+#: For ``most_part=None``.
+ORACLE_SQL = f"""
+WITH RECURSIVE choices(m, i, chosen) AS (
+  SELECT * FROM (VALUES {_CHOICES}) AS t(m, i, chosen)
+), lines AS (
   SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
 ), words AS (
@@ -146,21 +161,18 @@ WITH RECURSIVE lines AS (
   FROM lines
 ), parsed AS (
   SELECT doc_id, pos, chars, list_transform(v, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w, len(v) AS n, least(8, len(v) - 3) AS m FROM words WHERE len(v) > 0
-), totals AS (
-  SELECT doc_id, sum(chars) + count(*) - 1 AS total FROM words GROUP BY doc_id
 ), kinds AS (
-  SELECT w, n, m, w[1:3] AS lead, min({'d': doc_id, 'p': pos}) AS at_,
+  SELECT w, n, m, w[1:3] AS lead, min({{'d': doc_id, 'p': pos}}) AS at_,
     list_transform(range(m), lambda i: w[4 + (i * (n - 3)) // m : 3 + ((i + 1) * (n - 3)) // m]) AS runs
   FROM parsed GROUP BY w, n, m
 ), keyed AS (
-  SELECT n, lead, at_, runs, i, runs[i] AS a, runs[i % m + 1] AS b FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM kinds WHERE m > 2)
+  SELECT k.n, k.lead, k.at_, c.i, list_transform(c.chosen, lambda r: k.runs[r]) AS key FROM kinds k JOIN choices c ON k.m = c.m
 ), firsts AS (
-  SELECT n, lead, i, a, b, min(at_) AS first_at, arg_min(runs, at_) AS first_runs FROM keyed GROUP BY n, lead, i, a, b HAVING count(*) > 1
+  SELECT n, lead, i, key, min(at_) AS first_at FROM keyed GROUP BY n, lead, i, key HAVING count(*) > 1
 ), parents AS (
   SELECT k.at_, min(f.first_at) AS parent
-  FROM keyed k JOIN firsts f ON k.n = f.n AND k.lead = f.lead AND k.i = f.i AND k.a = f.a AND k.b = f.b
-  WHERE f.first_at < k.at_ AND 2 * len(list_filter(range(1, len(k.runs) + 1), lambda i: k.runs[i] = f.first_runs[i])) > len(k.runs)
-  GROUP BY k.at_
+  FROM keyed k JOIN firsts f ON k.n = f.n AND k.lead = f.lead AND k.i = f.i AND k.key = f.key
+  WHERE f.first_at < k.at_ GROUP BY k.at_
 ), roots AS (
   SELECT at_, at_ AS root FROM kinds WHERE at_ NOT IN (SELECT at_ FROM parents)
   UNION ALL
@@ -170,12 +182,10 @@ WITH RECURSIVE lines AS (
 ), recurring AS (
   SELECT root, min(doc_id) AS first_doc FROM placed GROUP BY root
   HAVING count(DISTINCT doc_id) >= CASE WHEN max(n) < 5 THEN 10 ELSE 5 END
-), later AS (
-  SELECT p.doc_id, p.pos, p.chars FROM placed p JOIN recurring r ON p.root = r.root WHERE p.doc_id <> r.first_doc
-), cut AS (
-  SELECT l.doc_id, count(*) AS many FROM later l JOIN totals t ON l.doc_id = t.doc_id GROUP BY l.doc_id HAVING 3 * sum(l.chars) <= max(t.total)
 ), dropped AS (
-  SELECT doc_id, pos FROM later WHERE doc_id IN (SELECT doc_id FROM cut)
+  SELECT p.doc_id, p.pos FROM placed p JOIN recurring r ON p.root = r.root WHERE p.doc_id <> r.first_doc
+), cut AS (
+  SELECT doc_id, count(*) AS many FROM dropped GROUP BY doc_id
 ), kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
   FROM lines l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.pos = d.pos WHERE d.pos IS NULL GROUP BY l.doc_id

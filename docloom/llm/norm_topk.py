@@ -234,8 +234,12 @@ def _with_bounds(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
 
 def _tiles(queries: DataFrame, buckets: DataFrame, blocks: int, many: int) -> DataFrame:
     """Rows of (tile, asks, n, dim, ids, data, bound): query blocks, then the buckets that some query of their group can use, longest first."""
-    g, h = max(1, -(-blocks // GROUP_BLOCKS)), max(1, -(-many // GROUP_BUCKETS))
-    asked = queries.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(g)).cast("int"))
+    g = max(1, -(-blocks // GROUP_BLOCKS))
+    # As many tiles as tasks, where there are few buckets.
+    h = max(1, -(-many // GROUP_BUCKETS), min(many, -(-int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // g)))
+    # Blocks of like needs form a group, so that one of low need does not draw buckets for the others.
+    groups = queries.select("block", "need").repartitionByRange(g, "need", F.xxhash64("block")).select("block", F.spark_partition_id().alias("g"))
+    asked = queries.join(materialize(groups, "topk-groups"), "block")
     needs = materialize(asked.groupBy("dim", "g").agg(F.min("need").alias("need")), "topk-needs")
     tile = F.xxhash64("dim", "g", "h")
     held = buckets.withColumn("h", F.pmod(F.xxhash64("block"), F.lit(h)).cast("int"))

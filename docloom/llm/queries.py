@@ -67,7 +67,7 @@ def op5_pstable_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_templates import drop_recurring_lines
 
-    return drop_recurring_lines(_table(spark, sf_dir, "documents")).select("doc_id", "lines_dropped", "text")
+    return drop_recurring_lines(_table(spark, sf_dir, "documents"), most_part=None).select("doc_id", "lines_dropped", "text")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

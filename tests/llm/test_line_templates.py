@@ -106,3 +106,20 @@ def test_no_python_on_the_executors(spark, rows):
 
 def test_empty(spark):
     assert L.drop_recurring_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_its_sql_finds_the_same(spark, rows):
+    import duckdb
+
+    ends = ["a b z w", "q b c v", "a b c y", "a b c x"] * 2
+    made = {i: t for i, t in rows if i is not None} | {100 + i: f"some three words {x}\n{'ab' * (i + 1)}" for i, x in enumerate(ends)} | {200 + i: "long line " + "word " * 200_000 + str(i) for i in range(6)}
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    got = sorted((r.doc_id, r.lines_dropped, r.text) for r in L.drop_recurring_lines(df, most_part=None).collect())
+    assert got == sorted(con.execute(L.ORACLE_SQL).fetchall()) and sum(n for _, n, _ in got) > 20
+
+
+def test_how_many_documents_short_lines_need(spark):
+    df = spark.createDataFrame([(i, f"see you\n{'ab' * (i + 1)} {'cd' * (i + 1)}") for i in range(6)], "doc_id long, text string")
+    assert [sum(r.lines_dropped for r in L.drop_recurring_lines(df, most_part=None, **how).collect()) for how in ({}, {"short": (5, 6)}, {"short": (2, 100)})] == [0, 5, 5]

@@ -122,3 +122,28 @@ def test_stages_on_nothing(spark, sf):
     df = spark.read.parquet(f"{at}/documents.parquet").limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, df, at).collect() == []
+
+
+def test_near_dedup_loses_no_link_of_the_documents(spark):
+    """All pairs of texts of sf0.01 at a similarity of 0.8 or more by their sets, each within one component; and no others connected."""
+    from collections import Counter
+    from itertools import combinations
+
+
+    from docloom.llm.simhash import _shingle_hashes, near_duplicates
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: frozenset(np.unique(_shingle_hashes(r.text, 5)).tolist()) for r in docs.collect()}
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    both = Counter(p for ds in holders.values() for p in combinations(sorted(ds), 2))
+    links = {(a, b) for (a, b), n in both.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)}
+    links |= set(combinations(sorted(d for d, s in sets.items() if not s), 2))
+    label = {d: d for d in sets}
+    for _ in range(60):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, **C.NEAR).collect()}
+    assert len(links) > 50 and got == label
