@@ -201,7 +201,8 @@ def search(
     is_query: Column,
     k: int = 20,
     tables: int = 6,
-    per_table: float = 0.5,
+    per_table: float | None = None,
+    recall: float = 0.93,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -209,7 +210,8 @@ def search(
 
     Scores are computed in double precision on the vectors as they are. Vectors that are null, empty or zero or hold
     null or non-finite components take no part, nor do rows without id. A query meets vectors of its own number of
-    components and never its own id; with fewer than k candidates found it has fewer rows. Rows that repeat an id count as one. An empty table gives
+    components and never its own id; with fewer than k candidates found it has fewer rows. Cells are visited as far as ``recall``, the
+    chance to find a neighbour, asks for, unless ``per_table`` says how far in each table. Rows that repeat an id count as one. An empty table gives
     an empty result. Other columns play no part.
     """
     kind = "array<float>" if dict(embeddings.dtypes)[vector_col] == "array<float>" else "array<double>"
@@ -217,6 +219,8 @@ def search(
     fit_rows = embeddings.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     rows = fit_rows.select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
     queries = fit_rows.where(is_query).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
+    if per_table is None:
+        per_table = 1 - (1 - recall) ** (1 / tables)
     n, longest, distance = _fit(rows, queries, k)
     functions = hash_functions(n, max(distance / (longest or 1.0), 1e-6), per_table)
 
