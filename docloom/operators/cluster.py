@@ -22,7 +22,7 @@ from docloom.operators import graph
 from docloom.sources.steps import Rounds, stored
 
 #: Links of a group that one worker takes; more are joined in rounds before. It changes the cost, not the result.
-GROUP_LINKS = 500_000
+GROUP_LINKS = 150_000
 ALWAYS = float("inf")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.functions import rules
 from docloom.functions import text as T
 from docloom.sources.steps import stored
 
@@ -83,7 +84,7 @@ def same_sentence(text: Column, start_a: Column, start_b: Column) -> Column:
     """1.0 if neither an end of a sentence nor a blank line stands between the two starts."""
     low = F.least(start_a, start_b)
     between = F.substring(text, low + 1, F.greatest(start_a, start_b) - low)
-    return (~between.rlike(r"[.?!]|\n\n")).cast("double")
+    return (~between.rlike(rules.SENTENCE_END)).cast("double")
 
 
 def log_distance(start_a: Column, start_b: Column) -> Column:

@@ -20,7 +20,7 @@ _AFTER = re.compile(rf"^\s*[,:\-(]?\s*(?:la\s+)?(?:{_DIRECT})\b")
 _ANY = re.compile(rf"\b(?:{rules.any_of(rules.COURT_ROLES)})")
 _AGENCY = re.compile(rf"\b(?:{rules.any_of(rules.AGENCIES)})\b")
 _PARTY = re.compile(rf"\b(?:{rules.any_of(rules.FIRST_PARTIES)})\s*:")
-_FOOTER = re.compile("|".join(rf"{rules.any_of([a])}\s*{re.escape(sign)}\s*{rules.any_of([b])}" for a, sign, b in rules.FOOTERS))
+_FOOTERS = tuple(tuple(x.split()) for x in rules.FOOTER_LINES)
 NEAR, HEADER_WINDOW, FOOTER_WINDOW = 70, 120, 500
 
 
@@ -29,14 +29,22 @@ def _folded(text: str) -> str:
     return "".join(c.lower() if len(c.lower()) == 1 else c for c in text.translate(_FOLD))
 
 
+def begins_footer(line: str) -> bool:
+    """The first words of a folded line, whatever stands between them, are those of a footer."""
+    words = tuple(re.findall(r"\w+", line[:80]))
+    return any(words[: len(f)] == f for f in _FOOTERS)
+
+
 def zones(text: str) -> tuple[int | None, int | None]:
     """Where the first party is declared, and where the last footer begins."""
     folded = _folded(text)
     first = _PARTY.search(folded)
-    last = None
-    for last in _FOOTER.finditer(folded):
-        pass
-    return (first.start() if first else None), (last.start() if last else None)
+    last, at = None, 0
+    for line in folded.split("\n"):
+        if begins_footer(line):
+            last = at
+        at += len(line) + 1
+    return (first.start() if first else None), last
 
 
 def is_court_personnel(folded: str, start: int, end: int, header: int | None, footer: int | None) -> bool:

@@ -50,7 +50,7 @@ def conflicting_titles(context_a: Column, context_b: Column) -> Column:
 def nearest_role(context: Column, window: int = 120) -> Column:
     """The procedural role whose cue stands last on the left."""
     left = F.right(T.split_context(context)["left"], F.lit(window))
-    cues = {r: f"(?iU){rules.cue_pattern(p)}" for r, p in rules.ROLE_CUES.items()}
+    cues = {r: f"(?iU){rules.any_of(p)}" for r, p in rules.ROLE_CUES.items()}
     hits = [F.struct((-F.length(F.element_at(F.split(left, p, -1), -1))).alias("at"), F.lit(r).alias("role")) for r, p in cues.items()]
     seen = [F.when(left.rlike(p), h) for p, h in zip(cues.values(), hits)]
     return F.greatest(*seen)["role"]
