@@ -124,3 +124,72 @@ def plan_paths(masked: DataFrame, all_paths: DataFrame, seed: str | int = 42, id
     name = F.coalesce(*[F.when(F.col("role") == r, F.col(r)) for r in LEVELS])
     out = linked.join(chosen.select("id", "address", "path", *LEVELS), ["id", "address"])
     return out.select(F.col("id").alias(id_col), "entity_id", name.alias("name"), F.when(F.col("path").isNull(), "invalid_location_hierarchy").alias("reason"))
+
+
+# ---- known names in running text ----------------------------------------------------------------------------------
+
+GRAM = 3
+FILTER_BITS = 1 << 20  # of the anchors' hashes, of which 64 make a word: 128 KB
+
+
+def _without_spaces(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[ \t]", "")
+
+
+def find_names(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, end, surface, name): where ``names`` (name) stand in the texts as whole words, whatever spaces lie in them, and whatever their case.
+
+    Each name without its spaces is known by its rarest run of three letters and where that lies in it. Of a text's runs a bitmap of
+    these lets few through, which are joined with the names; what stands around is compared, and led back to offsets. A name within a longer one
+    does not count, nor does one that another name equals but for spaces and case, nor one of under three letters. Null
+    texts hold none, and rows that repeat an id are texts of their own, whose names are not told apart.
+    """
+    bare = _without_spaces(F.col("name"))
+    known = names.select("name").where("name is not null").distinct().select("name", bare.alias("bare")).where(F.length("bare") >= GRAM)
+    known = known.groupBy("bare").agg(F.min("name").alias("name"), F.count("*").alias("n")).where("n = 1").drop("n")
+    runs = F.transform(F.sequence(F.lit(0), F.length("bare") - GRAM), lambda i: F.struct(F.array_join(F.slice(F.split("bare", ""), i + 1, GRAM), "").alias("gram"), i.cast("int").alias("place")))
+    grams = stored(known.select("name", "bare", F.explode(runs).alias("x")).select("name", "bare", "x.*"), "name-grams")
+    common = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = F.row_number().over(Window.partitionBy("bare").orderBy("n", "gram", "place"))
+    anchors = stored(grams.join(common, "gram").withColumn("rank", rarest).where("rank = 1").select("gram", "place", "bare", "name"), "name-anchors")
+    slot = lambda g: F.xxhash64(g).bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = anchors.select(slot(F.col("gram")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    held = [0] * (FILTER_BITS // 64)  # a bitmap: no bit, no name
+    for r in words.collect():  # one for each 64 bits of the filter at most
+        held[r.word] = r.bits
+    most = anchors.agg(F.max(F.length("bare"))).first()[0] or 0
+    passes = F.broadcast(docs.sparkSession.createDataFrame([(1, held)], "one int, passes array<long>"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(1).alias("one")).where(F.length("text") >= GRAM).join(passes, "one")
+    low = lambda x: F.when(F.length(F.lower(x)) == 1, F.lower(x)).otherwise(x)  # noqa: E731  so that places stay
+    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  computed once, however often it is used
+
+    def hits(given: Column, at: Column, b: Column) -> Column:
+        gram = lambda i: F.concat(*[F.element_at(b, i + 1 + k) for k in range(GRAM)])
+        passes = lambda x: F.getbit(F.element_at("passes", (F.shiftright(x, 6) + 1).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1
+        low, high = (lambda i: F.greatest(i - most, F.lit(0))), (lambda i: F.least(i + most, F.size(at) - 1))
+
+        def around(i: Column) -> Column:
+            first, last = F.element_at(at, low(i) + 1), F.element_at(at, high(i) + 1)
+            base, near = F.greatest(first - 1, F.lit(0)), high(i) - low(i) + 1
+            return F.struct(
+                gram(i).alias("gram"), (i - low(i)).alias("mid"), F.array_join(F.slice(b, low(i) + 1, near), "").alias("near"), F.slice(at, low(i) + 1, near).alias("places"),
+                base.alias("base"), F.array_join(F.slice(given, base + 1, last - base + 2), "").alias("window"),
+            )
+
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(b) - GRAM, F.lit(0))), lambda i: (i <= F.size(b) - GRAM) & passes(slot(gram(i))))
+        return F.transform(places, around)
+
+    space = lambda x: x.isin(" ", "\t")
+    bound = let(F.struct(F.transform(F.split("text", ""), low).alias("l"), F.split("text", "").alias("given")), lambda s: let(
+        F.struct(F.filter(F.sequence(F.lit(0), F.size(s["l"]) - 1), lambda i: ~space(F.element_at(s["l"], i + 1))).alias("at"), F.filter(s["l"], lambda x: ~space(x)).alias("b")),
+        lambda r: hits(s["given"], r["at"], r["b"])))
+    seen = rows.select("id", F.explode(bound).alias("x")).select("id", "x.*")
+    found = seen.join(anchors, "gram").where(F.col("mid") >= F.col("place")).withColumn("size", F.length("bare"))
+    found = found.where(F.expr("substring(near, mid - place + 1, size)") == F.col("bare"))
+    found = found.withColumns({"start": F.expr("element_at(places, mid - place + 1)"), "end": F.expr("element_at(places, mid - place + size) + 1")})
+    # Whole words: neither the letter before nor the one after is part of a word.
+    before, after = F.expr("if(start > base, substring(window, start - base, 1), '')"), F.expr("substring(window, end - base + 1, 1)")
+    whole = found.where(~before.rlike(r"(?U)\w") & ~after.rlike(r"(?U)\w"))
+    spans = whole.select("id", "start", "end", F.expr("substring(window, start - base + 1, end - start)").alias("surface"), "name").distinct()
+    reach = F.max("end").over(Window.partitionBy("id").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("end") > F.col("reach"))).drop("reach").withColumnRenamed("id", id_col)

@@ -482,6 +482,18 @@ def planned_paths(spark, sf_dir):
     return lookup.plan_paths(rows.select(F.col("c_custkey").alias("doc_id"), F.inline(masked)), geo.paths(_gazetteer(spark, sf_dir)))
 
 
+@query("""WITH p AS (SELECT p_partkey, p_name, count(*) OVER () AS n FROM part), d AS (SELECT d.doc_id, length(coalesce(d.text, '')) + 1 AS at_, p.p_name AS name, replace(p.p_name, ' ', '  ') AS wide, replace(upper(p.p_name), ' ', '') AS tight FROM documents d JOIN p ON p.p_partkey = d.doc_id % p.n)
+SELECT doc_id, CAST(at_ + 7 AS INTEGER) AS "start", CAST(at_ + 7 + length(wide) AS INTEGER) AS "end", wide AS surface, name FROM d
+UNION ALL SELECT doc_id, CAST(at_ + 9 + length(wide) AS INTEGER), CAST(at_ + 9 + length(wide) + length(tight) AS INTEGER), tight, name FROM d""")
+def known_names(spark, sf_dir):
+    """Names of parts put into the documents: with more spaces and in capitals without any they are found, as part of a word they are not."""
+    parts = X.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    n = parts.count()
+    rows = X.documents(spark, sf_dir).withColumn("p_partkey", F.col("doc_id") % n).join(parts, "p_partkey")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nSold a "), F.replace("p_name", F.lit(" "), F.lit("  ")), F.lit(", "), F.replace(F.upper("p_name"), F.lit(" "), F.lit("")), F.lit(" and 2 "), F.col("p_name"), F.lit("s."))
+    return lookup.find_names(rows.select("doc_id", text.alias("text")), parts.select(F.col("p_name").alias("name")))
+
+
 # ---- documents end to end -----------------------------------------------------------------------------------------
 
 

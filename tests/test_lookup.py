@@ -61,3 +61,37 @@ def test_planned_paths_hold_what_an_address_says(spark):
     assert len({e["e0"] for e in got.values()}) > 5 and len(got) == 30
     assert lookup.plan_paths(df.limit(0), paths).collect() == []
     assert {r.reason for r in lookup.plan_paths(df, paths.limit(0)).collect()} == {"invalid_location_hierarchy"}
+
+
+def slow_names(docs, names):
+    """Every known name at every place, by its letters without spaces."""
+    bare = lambda x: "".join(c for c in x.lower() if c not in " \t")
+    forms = {}
+    for n in set(names) - {None}:
+        forms.setdefault(bare(n), set()).add(n)
+    out = []
+    for d, text in docs:
+        found = set()
+        for b, ns in forms.items():
+            for start in range(len(text or "")) if len(ns) == 1 and len(b) >= 3 else ():
+                end, got = start, ""
+                while end < len(text) and len(got) < len(b):
+                    got += "" if text[end] in " \t" else text[end].lower() if len(text[end].lower()) == 1 else text[end]
+                    end += 1
+                edge = lambda c: not (c.isalnum() or c == "_")
+                if got == b and text[start] not in " \t" and (start == 0 or edge(text[start - 1])) and (end == len(text) or edge(text[end])):
+                    found.add((start, end, next(iter(ns))))
+        out += [(d, s, e, text[s:e], n) for s, e, n in found if not any(x <= s and e <= y and (x, y) != (s, e) for x, y, _ in found)]
+    return sorted(out, key=str)
+
+
+def test_known_names_equal_a_search_at_every_place(spark):
+    r = random.Random(3)
+    names = ["Tân Phú", "Tân Phú Đông", "phú đông", "An Hòa", "A n hòa", "ab", "abc", "ABD ", "xaabc", "e f g h i j k l m n", None, "Đông Khê"] + ["".join(r.choice("abc") for _ in range(r.randint(3, 6))) for _ in range(12)]
+    pieces = ["Tân  Phú", "tânphú đông", "PHÚ ĐÔNG", "an hòa", "abc", "abd", "xa abc", "x aabc", "efghi jklmn", "efghi\njklmn", "Đôn\tg Kh ê", ", ", ". ", " ", "\n", "_", "z", "abcabc", "İ"] + [n for n in names[12:]]
+    docs = [(i, "".join(r.choice(pieces) for _ in range(r.randint(1, 30)))) for i in range(60)] + [(100, None), (101, ""), (102, "ab"), (103, "  a b c  "), (104, "x" * 50_000 + " abc")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as one", "2 as gram")
+    got = lookup.find_names(d, spark.createDataFrame([(n,) for n in names], "name string"))
+    assert sorted((tuple(x) for x in got.collect()), key=str) == slow_names(docs, names) and got.count() > 30
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert lookup.find_names(d, spark.createDataFrame([], "name string")).collect() == [] and lookup.find_names(d.limit(0), spark.createDataFrame([("abc",)], "name string")).collect() == []
