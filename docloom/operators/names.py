@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import rules
+from docloom.operators.geo import gathered
 
 _UNITS = re.compile(rf"(?<!\w)({rules.any_of(rules.PLACE_UNITS.values())})(?!\w)[ \t]*", re.I)
 _MARKER = re.compile(rf"[A-ZĐ](?:[ \t]*{rules.ORDINAL})?(?!\w)")
@@ -80,7 +81,7 @@ class KnownNames:
 
 def repair_spans(mentions: DataFrame, docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, original, normalized): names within the mentions of places whose spaces are broken. The gazetteer is a fixed table."""
-    rows = docs.sparkSession.sparkContext.broadcast([(r.unit, r.name) for r in gazetteer.select("unit", "name").collect()])
+    rows = docs.sparkSession.sparkContext.broadcast([(unit, name) for *_, unit, name in gathered(gazetteer)])
     spans = mentions.where("label = 'LOC'").groupBy(id_col).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(spans.withColumnRenamed(id_col, "id"), "id")
     kind = dict(joined.dtypes)["id"]

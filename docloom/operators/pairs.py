@@ -183,8 +183,9 @@ def nearest_and_farthest(mentions: DataFrame, limit: int = 4, id_col: str = "doc
     rank = F.row_number().over(Window.partitionBy(id_col, "low", "high").orderBy(F.col("b") - F.col("a"), "a"))
     close = pairs.withColumn("rank", rank).where(F.col("rank") <= limit - 1).drop("rank")
     ends = mentions.groupBy(id_col, F.col(entity_col).alias("e")).agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    x, y = (ends.select(id_col, *[F.col(c).alias(f"{c}_{s}") for c in ("e", "first", "last")]) for s in ("x", "y"))
-    both = x.join(y, id_col).where("e_x < e_y")
+    ends = tiled(ends, [id_col], "e")
+    x, y = (ends.select(id_col, "tile.low", "tile.high", F.col("tile.mine").alias(f"mine_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("e", "first", "last")]) for s in ("x", "y"))
+    both = x.join(y, [id_col, "low", "high"]).where((F.col("e_x") < F.col("e_y")) & ((F.col("low") == F.col("high")) | (F.col("mine_x") != F.col("mine_y")))).drop("low", "high")
     forward, back = F.abs(F.col("last_y") - F.col("first_x")), F.abs(F.col("last_x") - F.col("first_y"))
     far_a = F.when(forward >= back, F.struct(F.least("first_x", "last_y").alias("a"), F.greatest("first_x", "last_y").alias("b"))).otherwise(F.struct(F.least("first_y", "last_x").alias("a"), F.greatest("first_y", "last_x").alias("b")))
     far = both.select(id_col, F.col("e_x").alias("low"), F.col("e_y").alias("high"), far_a.alias("f")).select(id_col, "low", "high", "f.a", "f.b")

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import rules
 from docloom.functions import text as T
+from docloom.operators.pairs import tiled
 
 
 def exact_surface(rule: Column, label_a: Column, label_b: Column, a: Column, b: Column) -> Column:
@@ -22,14 +23,15 @@ def exact_surface(rule: Column, label_a: Column, label_b: Column, a: Column, b:
 def person_roots(mentions: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """People's mentions with ``root_start``: the first mention of the document whose surface contains theirs.
 
-    Being contained is transitive, so the smallest start among containing ones is the root.
+    What contains a mention and comes first comes no later than the mention's own surface does, so only distinct surfaces of a
+    document are compared, by tiles; mentions are joined to what these find. A null surface has no root.
     """
-    people = mentions.where("label = 'PER'")
-    forms = people.groupBy(id_col, "surface").agg(F.min("start").alias("first"))
-    a = forms.select(F.col(id_col).alias("_id"), F.col("surface").alias("_surface"), F.col("first").alias("_first"))
-    b = people.select(id_col, "start", "end", "surface")
-    joined = b.join(a, (b[id_col] == a._id) & (a._first <= b.start) & F.contains(a._surface, b.surface))
-    return joined.groupBy(id_col, "start", "end", "surface").agg(F.min("_first").alias("root_start"))
+    people = mentions.where("label = 'PER'").where(F.col("surface").isNotNull())
+    forms = tiled(people.groupBy(id_col, "surface").agg(F.min("start").alias("first")), [id_col], "surface")
+    side = lambda s: forms.select(id_col, "tile.low", "tile.high", F.col("tile.mine").alias(f"mine_{s}"), F.col("surface").alias(f"surface_{s}"), F.col("first").alias(f"first_{s}"))
+    both = side("a").join(side("b"), [id_col, "low", "high"]).where(((F.col("low") == F.col("high")) | (F.col("mine_a") != F.col("mine_b"))) & F.contains("surface_a", "surface_b"))
+    roots = both.groupBy(id_col, F.col("surface_b").alias("surface")).agg(F.min("first_a").alias("root_start"))
+    return people.select(id_col, "start", "end", "surface").distinct().join(roots, [id_col, "surface"]).select(id_col, "start", "end", "surface", "root_start")
 
 
 def nearest_title(context: Column) -> Column:

@@ -149,7 +149,7 @@ def nearest_cross_entity(spark, sf_dir):
     return pairs.nearest_across(X.mentions(spark, sf_dir))
 
 
-@query(f"""WITH {X.MENTIONS_SQL}, m AS (SELECT doc_id, entity_id, "start" FROM mentions WHERE label = 'PER'),
+@query(f"""WITH {X.MENTIONS_SQL}, m AS (SELECT doc_id, entity_id, "start" FROM mentions),
 near AS (SELECT m.doc_id, m.entity_id AS e, m."start" AS s, o.entity_id AS oe, o."start" AS os FROM m JOIN m o ON m.doc_id = o.doc_id AND m.entity_id <> o.entity_id
   WHERE o."start" = (SELECT max(x."start") FROM m x WHERE x.doc_id = m.doc_id AND x.entity_id <> m.entity_id AND x."start" < m."start")
   OR o."start" = (SELECT min(x."start") FROM m x WHERE x.doc_id = m.doc_id AND x.entity_id <> m.entity_id AND x."start" > m."start")),
@@ -160,8 +160,7 @@ far AS (SELECT x.doc_id, x.e AS low, y.e AS high, CASE WHEN abs(y.l - x.f) >= ab
   CASE WHEN abs(y.l - x.f) >= abs(x.l - y.f) THEN greatest(x.f, y.l) ELSE greatest(y.f, x.l) END AS b FROM ends x JOIN ends y ON x.doc_id = y.doc_id AND x.e < y.e)
 SELECT * FROM close UNION SELECT * FROM far""")
 def near_and_far_pairs(spark, sf_dir):
-    m = X.mentions(spark, sf_dir)
-    return pairs.nearest_and_farthest(m.where("label = 'PER'"))
+    return pairs.nearest_and_farthest(X.mentions(spark, sf_dir))
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings), n AS (SELECT vec_id - 1 AS prev, embedding FROM embeddings)
