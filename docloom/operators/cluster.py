@@ -158,6 +158,32 @@ def _must_roots(links: DataFrame) -> DataFrame:
     return found.join(torn.withColumnRenamed("part", "label"), ["id", "label"], "left_anti").select("id", "v", F.col("label").alias("root")).unionByName(by_order)
 
 
+def _joins(pairs: DataFrame) -> DataFrame:
+    """(id, v, root, score): what is joined in a round of ``pairs`` (id, i, j, score) between clusters, as one after the other would be.
+
+    Two clusters that prefer each other to all others are joined. So are all of a set at once whose pairs have the same highest score, if
+    none of them has that with any other: whatever is joined elsewhere, these come to one cluster.
+    """
+    ends = F.explode(F.array(F.struct(F.col("i").alias("v"), F.col("j").alias("other")), F.struct(F.col("j").alias("v"), F.col("i").alias("other")))).alias("e")
+    tops = pairs.select("id", "i", "j", "score", ends).groupBy("id", "e.v").agg(F.max("score").alias("top"), F.max_by(F.struct("i", "j"), F.struct("score", -F.col("i"), -F.col("j"))).alias("best"))
+    tops = stored(tops, "cluster-tops")
+    at = lambda c: tops.select("id", F.col("v").alias(c), F.col("top").alias(f"top_{c}"), F.col("best").alias(f"best_{c}"))
+    known = stored(pairs.select("id", "i", "j", "score").join(at("i"), ["id", "i"]).join(at("j"), ["id", "j"]).where("score = top_i or score = top_j"), "cluster-known")
+    mutual = (F.col("score") == F.col("top_i")) & (F.col("score") == F.col("top_j"))
+    sides = known.select("id", "score", mutual.alias("mutual"), ends).select("id", "score", "mutual", "e.*").join(tops.select("id", "v", "top"), ["id", "v"]).where("score = top")
+    each = sides.groupBy("id", "v").agg(F.count("*").alias("n"), F.count_if("mutual").alias("mutual"), F.least(F.col("v"), F.min(F.when(F.col("mutual"), F.col("other")))).alias("least"), F.max("top").alias("top"))
+    each = stored(each, "cluster-each")
+    to = lambda c: each.select("id", F.col("v").alias(c), F.col("least").alias(f"least_{c}"))
+    inside = known.where(mutual).join(to("i"), ["id", "i"]).join(to("j"), ["id", "j"]).where("least_i = least_j").groupBy("id", F.col("least_i").alias("least")).agg(F.count("*").alias("inside"))
+    sets = each.groupBy("id", "least").agg(F.count("*").alias("size"), F.min(F.least("n", "mutual")).alias("fewest"), F.max(F.greatest("n", "mutual")).alias("most"))
+    whole = sets.join(inside, ["id", "least"]).where("size > 1 and fewest = size - 1 and most = size - 1 and 2 * inside = size * (size - 1)").select("id", "least")
+    whole = stored(each.join(whole, ["id", "least"]).select("id", "v", F.col("least").alias("root"), F.col("top").alias("score")), "cluster-whole")
+    own = F.struct("i", "j")
+    one = known.where((F.col("best_i") == own) & (F.col("best_j") == own)).select("id", F.col("j").alias("v"), F.col("i").alias("root"), "score")
+    alone = one.join(whole.select("id", "v"), ["id", "v"], "left_anti")
+    return whole.where("v <> root").unionByName(alone)
+
+
 def _spans_in_rounds(links: DataFrame, least: float, most: int) -> DataFrame:
     """As ``_spans_in_groups``, for documents of any number of links."""
     spark = links.sparkSession
@@ -178,9 +204,7 @@ def _spans_in_rounds(links: DataFrame, least: float, most: int) -> DataFrame:
         left = open_.store(told.where("large").drop("large"))
         if left.isEmpty():
             break
-        best = F.max_by(F.struct("i", "j", "score"), F.struct("score", -F.col("i"), -F.col("j"))).alias("best")
-        sides = left.select("*", F.explode(F.array("i", "j")).alias("v")).groupBy("id", "v").agg(best).select("id", "best.*")
-        both = stored(sides.groupBy("id", "i", "j", "score").agg(F.count("*").alias("sides")).where("sides = 2").select("id", F.col("j").alias("v"), F.col("i").alias("root"), "score"), "cluster-both")
+        both = stored(_joins(left), "cluster-both")
         moved = inside.join(both.select("id", F.col("v").alias("root"), F.col("root").alias("into"), F.col("score").alias("at")), ["id", "root"], "left")
         closed.append(stored(moved.where("into is not null").select("id", "v", "root", F.col("at").alias("low"), "high"), "cluster-closed"))
         inside = members.store(moved.select("id", "v", F.coalesce("into", "root").alias("root"), F.coalesce("at", "high").alias("high")))
