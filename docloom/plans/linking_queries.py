@@ -582,6 +582,23 @@ def stream_pools(spark, sf_dir):
     return ingest.pool_records(_collected(run, spark, f"{at}/out")).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row, md5(coalesce(text, '')) AS md5 FROM documents")
+def stream_pull(spark, sf_dir):
+    """Documents as lines, pulled a few hundred at a time by a query that is stopped once and goes on."""
+    from docloom.streaming import pull
+
+    at = new_folder(spark, "pull")
+    docs = X.documents(spark, sf_dir).select(F.to_json(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("value"), "doc_id")
+    docs.orderBy("doc_id").select("value").write.text(f"{at}/lines")
+    for most in (500, None):
+        rows = pull.lines(spark, f"{at}/lines", f"{at}/progress.json", batch=400, most=most)
+        out = rows.select("row", F.from_json("value", "doc_id long, text string").alias("d")).select("row", "d.doc_id", F.md5("d.text").alias("md5"))
+        query_ = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").start()
+        query_.processAllAvailable()
+        query_.stop()
+    return spark.read.parquet(f"{at}/out")
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     """The windowed counts of a stream, here over the table as a batch; tests run the stream."""
