@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from docloom.functions import text as T
 from docloom.operators import geo, pairs
 from docloom.operators import spans as S
+from docloom.operators.curate import unused
 from docloom.sources import readers, writers
 from docloom.sources.steps import stored
 
@@ -77,8 +78,9 @@ def natural_pairs(mentions: DataFrame, docs: DataFrame, gazetteer: DataFrame | N
     is all that quotas can take, and contexts are joined to what is kept.
     """
     if gazetteer is not None:
-        text = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-        mentions = stored(geo.signatures(pairs.mention(mentions.join(text, id_col), F.col("_text")).drop("_text"), gazetteer).select(*mentions.columns, "place"), "placed")
+        own = unused(mentions, "_text")
+        text = docs.select(F.col(id_col), F.col(text_col).alias(own))
+        mentions = stored(geo.signatures(pairs.mention(mentions.join(text, id_col), F.col(own)).drop(own), gazetteer).select(*mentions.columns, "place"), "placed")
     both = _pairs_with_features(mentions, ["label"], id_col)
     wrong = F.when((F.col("label") == 1) & (F.col("place_rule") == "block"), "positive_blocked").when((F.col("label") == 0) & (F.col("place_rule") == "link"), "negative_linked")
     left_out = both.where(wrong.isNotNull()).groupBy(id_col, wrong.alias("reason")).agg(F.count("*").alias("n"))

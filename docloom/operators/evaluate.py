@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.operators.curate import unused
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
@@ -156,5 +158,6 @@ def examples(pairs: DataFrame, per_kind: int, label_col: str = "label", predicte
 
 def one_per_document(rows: DataFrame, group_col: str, k: int, order_col: str, doc_col: str = "doc_id") -> DataFrame:
     """The first k rows of each group, at most one from a document."""
-    single = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group_col, doc_col).orderBy(order_col))).where("_r = 1").drop("_r")
+    own = unused(rows, "_r")
+    single = rows.withColumn(own, F.row_number().over(Window.partitionBy(group_col, doc_col).orderBy(order_col))).where(F.col(own) == 1).drop(own)
     return single.withColumn("rank", F.row_number().over(Window.partitionBy(group_col).orderBy(order_col))).where(F.col("rank") <= k)

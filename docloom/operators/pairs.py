@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import rules
 from docloom.functions import text as T
+from docloom.operators.curate import unused
 from docloom.sources.steps import stored
 
 _SIDE = ("start", "end", "surface", "label")
@@ -152,11 +153,12 @@ def top_positives(pairs: DataFrame, k: int = 8, seed: str | int = 42, id_col: st
 def balanced(pairs: DataFrame, cap: int, id_col: str = "doc_id", label_col: str = "label", rank_col: str = "rank") -> DataFrame:
     """At most ``cap`` pairs of a document, half of them positive while there are enough, others filling up. ``rank`` orders each label."""
     by = Window.partitionBy(id_col)
-    counted = pairs.withColumns({"_p": F.count_if(F.col(label_col) == 1).over(by), "_n": F.count_if(F.col(label_col) == 0).over(by)})
+    of_p, of_n = unused(pairs, "_p"), unused(pairs, "_n")
+    counted = pairs.withColumns({of_p: F.count_if(F.col(label_col) == 1).over(by), of_n: F.count_if(F.col(label_col) == 0).over(by)})
     half = cap // 2
-    p = F.least(F.col("_p"), F.greatest(F.lit(half), F.lit(cap) - F.col("_n")))
-    n = F.least(F.col("_n"), F.greatest(F.lit(cap - half), F.lit(cap) - F.col("_p")))
-    return counted.where(F.when(F.col(label_col) == 1, F.col(rank_col) <= p).otherwise(F.col(rank_col) <= n)).drop("_p", "_n")
+    p = F.least(F.col(of_p), F.greatest(F.lit(half), F.lit(cap) - F.col(of_n)))
+    n = F.least(F.col(of_n), F.greatest(F.lit(cap - half), F.lit(cap) - F.col(of_p)))
+    return counted.where(F.when(F.col(label_col) == 1, F.col(rank_col) <= p).otherwise(F.col(rank_col) <= n)).drop(of_p, of_n)
 
 
 def nearest_across(mentions: DataFrame, id_col: str = "doc_id", entity_col: str = "entity_id") -> DataFrame:

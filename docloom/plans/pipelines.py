@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.operators import anonymize, cluster, evaluate, geo, markers, ner, pairs, quality, roles, scoring
+from docloom.operators import anonymize, cluster, curate, evaluate, geo, markers, ner, pairs, quality, roles, scoring
 from docloom.sources.steps import stored
 
 
@@ -17,7 +17,8 @@ def scored_pairs(mentions: DataFrame, docs: DataFrame, score: Callable[[DataFram
 
     With a cutoff, full names that overlap no more than it are kept apart as well.
     """
-    rows = pairs.mention(mentions.join(docs.select(id_col, F.col(text_col).alias("_t")), id_col), F.col("_t")).drop("_t")
+    text = curate.unused(mentions, "_t")
+    rows = pairs.mention(mentions.join(docs.select(id_col, F.col(text_col).alias(text)), id_col), F.col(text)).drop(text)
     keep = ("mention_no", "context")
     if gazetteer is not None:
         rows, keep = geo.signatures(rows, gazetteer), (*keep, "place")

@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import datasets, pairs
+from docloom.operators import datasets, evaluate, pairs
 
 
 def mentions(spark, sizes):
@@ -50,3 +50,12 @@ def test_no_mentions(spark):
     _, df = mentions(spark, {})
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert datasets.raw_pairs(df.limit(0), docs).collect() == [] and datasets.natural_pairs(df.limit(0), docs)[0].collect() == []
+
+
+def test_columns_of_any_names_stay(spark):
+    rows = [(1, i, i % 2, i // 2 + 1, "p", "n", "r") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, pair_id int, label int, rank int, _p string, _n string, _r string")
+    got = pairs.balanced(df, 6)
+    assert got.columns == df.columns and got.count() == 6 and {(r._p, r._n) for r in got.collect()} == {("p", "n")}
+    one = evaluate.one_per_document(df.drop("rank"), "label", 3, "pair_id")
+    assert {(r.pair_id, r._r) for r in one.collect()} == {(0, "r"), (1, "r")}
