@@ -71,6 +71,10 @@ def merges(n: int, link: dict[tuple[int, int], float], threshold: float, must: I
         a, b = key(root[i], root[j])
         if a != b and b not in blocked[a]:
             join(ALWAYS, a, b)
+    for a, others in blocked.items():  # from here on, apart is as good as without a score
+        for b in others:
+            near[a].pop(b, None)
+    _join_equals(near, threshold, made)
     heap = [(-s, i, j) for i in near for j, s in near[i].items() if i < j and s >= threshold and j not in blocked[i]]
     heapq.heapify(heap)
     while heap:
@@ -84,6 +88,31 @@ def merges(n: int, link: dict[tuple[int, int], float], threshold: float, must: I
     return made
 
 
+def _join_equals(near: dict[int, dict[int, float]], threshold: float, made: list[tuple[float, int, int]]) -> None:
+    """Join sets whose pairs have the same highest score, which none of them has with any other, before anything is put in order: often equal names."""
+    top = {v: max(scores.values()) for v, scores in near.items() if scores}
+    ties = {v: {o for o, s in near[v].items() if s == t} | {v} for v, t in top.items() if t >= threshold}
+    for v in sorted(ties):
+        own = ties[v]
+        if min(own) != v or not all(top[w] == top[v] and ties.get(w) == own for w in own):
+            continue
+        rest = sorted(own - {v})
+        made += [(top[v], v, w) for w in rest]
+        kept = {o: s for o, s in near[v].items() if o not in own}
+        for w in rest:
+            mine = near.pop(w)
+            kept = {o: min(s, mine[o]) for o, s in kept.items() if o in mine}
+            for o in mine:
+                if o not in own:
+                    near[o].pop(w, None)
+        for o in near[v]:
+            if o not in own and o not in kept:
+                near[o].pop(v, None)
+        near[v] = kept
+        for o, s in kept.items():
+            near[o][v] = s
+
+
 def complete_link(labels: list[str], scores: dict[tuple[int, int], float], threshold: float, must: Iterable[tuple[int, int]] = (), cannot: Iterable[tuple[int, int]] = ()) -> list[list[int]]:
     """Clusters of mention numbers, each sorted, in the order of their first members. Scores between different or empty labels don't count."""
     names = [(x or "").casefold() for x in labels]
