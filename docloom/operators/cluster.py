@@ -9,10 +9,10 @@ prefer each other are joined, in rounds over the table of its links, until few e
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,26 +144,47 @@ def _links(mentions: DataFrame, pairs: DataFrame, least: float, id_col: str) ->
 def _spans_in_groups(links: DataFrame, keys: list[str], least: float) -> DataFrame:
     """(id, v, root, low, high) of the mentions that ``links`` name, a group of ``keys`` in a worker: ``root`` is the cluster over ``low`` and up to ``high``, open where null."""
     kind = dict(links.dtypes)["id"]
+    names = [*keys, "i", "j", "score", "must", "cannot"]
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(frame.i) | set(frame.j))
+    def spans(rows: list[tuple]) -> list[tuple]:
+        ends = [r[-5:] for r in rows]
+        nodes = sorted({x for r in ends for x in r[:2]})
         place = {v: k for k, v in enumerate(nodes)}
-        ends = [(place[i], place[j]) for i, j in zip(frame.i, frame.j)]
-        link = {e: s for e, s, c in zip(ends, frame.score, frame.cannot) if s == s and s is not None and not c}
-        pick = lambda flags: [e for e, f in zip(ends, flags) if f]
+        link = {(place[i], place[j]): s for i, j, s, _, apart in ends if s is not None and not apart}
+        must, cannot = ([(place[r[0]], place[r[1]]) for r in ends if r[at]] for at in (3, 4))
         members, high, out = {k: [k] for k in range(len(nodes))}, {}, []
-        for s, a, b in merges(len(nodes), link, least, pick(frame.must), pick(frame.cannot)):
+        for s, a, b in merges(len(nodes), link, least, must, cannot):
             if s != ALWAYS:
                 out += [(nodes[m], nodes[b], s, high.get(m)) for m in members[b]]
                 high.update((m, s) for m in members[b])
             members[a] += members.pop(b)
-        out += [(nodes[m], nodes[r], None, high.get(m)) for r, ms in members.items() for m in ms]
-        made = pd.DataFrame(out, columns=["v", "root", "low", "high"]).astype({"low": "float64", "high": "float64"})
-        made.insert(0, "id", frame["id"].iloc[0])
-        return made
-
-    out = links.groupBy(*keys).applyInPandas(one, f"id {kind}, v int, root int, low double, high double")
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("low", "high")})
+        return out + [(nodes[m], nodes[r], None, high.get(m)) for r, ms in members.items() for m in ms]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, made, kind_of = [], None, [], None
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = (kind_of, pa.int32(), pa.int32(), pa.float64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], ["id", "v", "root", "low", "high"])
+
+        for batch in batches:
+            kind_of = batch.schema.field("id").type
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if held and row[: len(keys)] != last:
+                    made += [(last[0], *x) for x in spans(held)]
+                    held = []
+                    if len(made) > 50_000:
+                        yield batch_of()
+                        made = []
+                last = row[: len(keys)]
+                held.append(row)
+        if held:
+            made += [(last[0], *x) for x in spans(held)]
+        if made:
+            yield batch_of()
+
+    rows = links.select(*names).repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, f"id {kind}, v int, root int, low double, high double")
 
 
 def _contracted(links: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
