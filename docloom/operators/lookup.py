@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+from itertools import combinations
+from math import ceil, comb
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,30 +31,57 @@ def _grams(name: Column) -> Column:
     return F.transform(made, lambda g, i: F.concat(g, F.size(F.filter(F.slice(made, 1, i), lambda h: h == g)).cast("string")))
 
 
+#: A name has at most so many keys for names of one length.
+NAME_KEYS = 500
+
+
+def _common(least: float, a: int, b: int) -> tuple[int, int]:
+    """(letters, pairs): what two names of these lengths have in common, if they are alike: so many letters in their order, by which they are
+    looked up, or (0, n): combinations of n of the pairs of neighbours, where names are too long for that."""
+    m = ceil(least * (a + b) / 2 - 1e-9)
+    pairs, long = 3 * m - (a + b) - 1, max(a, b)
+    if pairs < 1 or comb(long, m) <= NAME_KEYS:
+        return m, 0
+    return 0, next((n for n in (3, 2) if n <= pairs and comb(long - 1 - pairs + n, n) <= NAME_KEYS), 1)
+
+
+def _chosen(parts: pd.Series, many: pd.Series) -> pd.Series:
+    """The distinct combinations of so many parts, in their order."""
+    return pd.Series([sorted({"".join(x) for x in combinations(p, int(k))}) for p, k in zip(parts, many)])
+
+
 def alike(asked: DataFrame, names: DataFrame, least: float = FUZZY) -> DataFrame:
     """(asked, name, ratio) of names whose ratio of matching letters is at least ``least``; both tables have ``name``.
 
-    With L letters in both, of which M match, L - 2M do not, so matches lie in at most L - 2M + 1 blocks, and at least 3M - L - 1
-    pairs of neighbours are common. The ratio 2M / L bounds that from below, and lengths bound L. So a name's pairs, rarest
-    first, need be looked up only until fewer are left than must be common. Only what shares one of these is compared. Nulls match nothing; two names so
-    short that no pair must be common, of five letters together at most, are found only if they have one. Of repeated names each counts once.
+    With L letters in both, of which M match, the ratio is 2M / L, so names of two lengths must have M letters in common, in their order.
+    Short names are looked up by all choices of M of their letters. Of long ones these are too many: L - 2M letters do not match, so matches lie in
+    at most L - 2M + 1 blocks, and at least 3M - L - 1 pairs of neighbours are common. They are looked up by combinations of up to three
+    pairs, of which, rarest first, only so many are taken that the common ones cannot all be missed. Only what shares a key is compared.
+    Nulls and empty names match nothing. Of repeated names each counts once.
     """
-    once = lambda df: stored(df.select(F.col("name").cast("string")).where("name is not null").distinct(), "alike-names")
+    once = lambda df: stored(df.select(F.col("name").cast("string")).where("length(name) > 0").distinct(), "alike-names")
     asked, names = once(asked), once(names)
     grams = lambda df: df.select("name", F.explode(_grams(F.col("name"))).alias("gram"))
-    held = stored(grams(names).groupBy("gram").agg(F.count("*").alias("n")), "alike-grams")
-    shorter = least / (2 - least)  # of the lengths of two names that are alike, over the longer
-
-    def first(df: DataFrame, side: str) -> DataFrame:
-        size = F.length("name")
-        common = F.greatest(F.lit(1), F.ceil((1.5 * least - 1) * (size + F.ceil(size * shorter - 1e-9)) - 1 - 1e-9))
-        rank = F.row_number().over(Window.partitionBy("name").orderBy(F.coalesce("n", F.lit(0)), "gram"))
-        ranked = grams(df).join(held, "gram", "left").withColumn("rank", rank)
-        return ranked.where(F.col("rank") <= size - common).select("gram", F.col("name").alias(side))
-
-    pairs = first(asked, "asked").join(first(names, "name"), "gram").select("asked", "name").distinct()
-    a, b = F.length("asked"), F.length("name")
-    pairs = pairs.where(2 * F.least(a, b) >= (least - 1e-9) * (a + b))
+    a, b = F.col("a"), F.col("b")
+    lengths = asked.select(F.length("name").alias("a")).distinct().crossJoin(names.select(F.length("name").alias("b")).distinct()).where(2 * F.least(a, b) >= (least - 1e-9) * (a + b))
+    common = F.udf(lambda x, y: _common(least, x, y), "letters int, pairs int")
+    matching = F.ceil(least * (a + b) / 2 - 1e-9)
+    ways = stored(lengths.withColumn("x", common("a", "b")).select("a", "b", "x.*", (3 * matching - (a + b) - 1).alias("least_pairs")), "alike-lengths")
+    by_pairs = ways.where("pairs > 0").limit(1).count() > 0
+    held = stored(grams(names).groupBy("gram").agg(F.count("*").alias("n")), "alike-grams") if by_pairs else None
+
+    def keys(df: DataFrame, side: str, length: str) -> DataFrame:
+        sized = df.withColumn(length, F.length("name")).join(F.broadcast(ways), length)  # a row for each two lengths
+        made = sized.where("letters > 0").select("name", "a", "b", "pairs", F.split("name", "").alias("parts"), F.col("letters").alias("many"))
+        if by_pairs:
+            ranked = grams(df).join(held, "gram", "left").groupBy("name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("ranked"))
+            first = F.slice(F.transform("ranked", lambda x: F.concat(x["gram"], F.lit(" "))), F.lit(1), (F.col(length) - 1 - F.col("least_pairs") + F.col("pairs")).cast("int"))
+            made = made.unionByName(sized.where("pairs > 0").join(ranked, "name").select("name", "a", "b", "pairs", first.alias("parts"), F.col("pairs").alias("many")))
+        # Names come in small batches of tasks of their own: keys are many times what they are made of.
+        made = made.repartition("name", "a", "b").withColumn("key", F.explode(F.pandas_udf(_chosen, "array<string>")("parts", "many")))
+        return made.select(F.xxhash64("a", "b", "pairs", "key").alias("key"), F.col("name").alias(side))
+
+    pairs = keys(asked, "asked", "a").join(keys(names, "name", "b"), "key").select("asked", "name").distinct()
     return pairs.withColumn("ratio", F.pandas_udf(_ratios, "double")("asked", "name")).where(F.col("ratio") >= least)
 
 

@@ -95,3 +95,31 @@ def test_known_names_equal_a_search_at_every_place(spark):
     assert sorted((tuple(x) for x in got.collect()), key=str) == slow_names(docs, names) and got.count() > 30
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
     assert lookup.find_names(d, spark.createDataFrame([], "name string")).collect() == [] and lookup.find_names(d.limit(0), spark.createDataFrame([("abc",)], "name string")).collect() == []
+
+
+def test_alike_asks_few_pairs_of_many_names(spark, monkeypatch):
+    """Only names that share most of their letters are compared, however many there are of the same letters."""
+    r = random.Random(3)
+    names = ["".join(r.choice("bcdf") for _ in range(10)) for _ in range(1500)]
+    asked = [w[:4] + w[5:] for w in names[:50]]
+    one = lambda x: spark.createDataFrame([(w,) for w in x], "name string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(a, b):
+        seen.add(len(a))
+        return ratios(a, b)
+
+    ratios = lookup._ratios
+    monkeypatch.setattr(lookup, "_ratios", counted)
+    got = {(x.asked, x.name) for x in lookup.alike(one(asked), one(names), 0.9).collect()}
+    assert got == {(a, b) for a in asked for b in names if difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.9} and len(got) >= 50
+    assert seen.value <= 3 * len(got)
+
+
+@pytest.mark.parametrize("keys", [3, 40])
+def test_alike_by_pairs_of_letters_loses_no_long_name(spark, monkeypatch, keys):
+    monkeypatch.setattr(lookup, "NAME_KEYS", keys)
+    asked, names = [w * 2 for w in words(4, 40) if len(w) >= 4], [w * 2 for w in words(4, 60) if w]
+    one = lambda x: spark.createDataFrame([(w,) for w in x], "name string")
+    got = {(r.asked, r.name) for r in lookup.alike(one(asked), one(names), 0.78).collect()}
+    assert got == {(a, b) for a in set(asked) for b in set(names) if difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.78}
