@@ -26,7 +26,10 @@ NEAR, HEADER_WINDOW, FOOTER_WINDOW = 70, 120, 500
 
 def _folded(text: str) -> str:
     """Letter by letter, so offsets stay; letters whose lower case is longer stay as they are."""
-    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text.translate(_FOLD))
+    plain = text.translate(_FOLD)
+    if "İ" not in plain and "Σ" not in plain:  # which alone grow, or go by what stands around
+        return plain.lower()
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
 
 
 def begins_footer(line: str) -> bool:
@@ -37,7 +40,10 @@ def begins_footer(line: str) -> bool:
 
 def zones(text: str) -> tuple[int | None, int | None]:
     """Where the first party is declared, and where the last footer begins."""
-    folded = _folded(text)
+    return _zones(_folded(text))
+
+
+def _zones(folded: str) -> tuple[int | None, int | None]:
     first = _PARTY.search(folded)
     last, at = None, 0
     for line in folded.split("\n"):
@@ -68,7 +74,10 @@ def classify(text: str, label: str, start: int, end: int) -> str:
 
 
 def classify_mentions(mentions: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``mentions`` with ``role``: court_personnel or party. A document is folded once for all its mentions."""
+    """``mentions`` with ``role``: court_personnel or party. A document is folded once for all its mentions.
+
+    Both joins sort: Spark's estimate of a text is a few bytes, by which it would send all texts through the driver to every worker.
+    """
     listed = mentions.groupBy(id_col).agg(F.collect_list(F.struct("label", "start", "end")).alias("m"))
     kind = dict(mentions.dtypes)[id_col]
 
@@ -76,15 +85,16 @@ def classify_mentions(mentions: DataFrame, docs: DataFrame, id_col: str = "doc_i
         for part in parts:
             rows = []
             for i, text, found in zip(part["id"], part["text"], part["m"]):
-                folded, (header, footer) = _folded(text), zones(text)
+                folded = _folded(text)
+                header, footer = _zones(folded)
                 for x in found:
                     court = bool(_AGENCY.search(folded[x["start"] : x["end"]])) if x["label"] == "ORG" else x["label"] == "PER" and is_court_personnel(folded, x["start"], x["end"], header, footer)
                     rows.append((i, x["label"], x["start"], x["end"], "court_personnel" if court else "party"))
             yield pd.DataFrame(rows, columns=["id", "label", "start", "end", "role"])
 
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(listed.withColumnRenamed(id_col, "id"), "id")
+    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(listed.withColumnRenamed(id_col, "id").hint("merge"), "id")
     roles = made.mapInPandas(run, f"id {kind}, label string, start int, end int, role string").withColumnRenamed("id", id_col).distinct()
-    return mentions.join(roles, [id_col, "label", "start", "end"])
+    return mentions.join(roles.hint("merge"), [id_col, "label", "start", "end"])
 
 
 def preserve_clusters(mentions: DataFrame, cluster_col: str = "cluster_id", id_col: str = "doc_id") -> DataFrame:

@@ -157,3 +157,23 @@ def anonymization_release(spark):
 @pytest.mark.parametrize("f,names,rows", CASES, ids=lambda x: getattr(x, "__name__", ""))
 def test_cases(spark, f, names, rows):
     assert sorted((tuple(r[n] for n in names) for r in f(spark).collect()), key=str) == sorted(rows, key=str)
+
+
+def test_texts_of_roles_do_not_pass_the_driver(spark):
+    """A short key's text looks small to Spark; broadcast, all texts went through the driver."""
+    from docloom.operators import roles
+
+    docs = spark.range(3).selectExpr("id as doc_id", "concat('Thẩm phán: Vũ Đức ', id, repeat(' nói', 50)) as text")
+    found = docs.selectExpr("doc_id", "'PER' as label", "11 as start", "19 as end", "text as context")
+    made = roles.classify_mentions(found, docs)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.role) for r in made.collect()) == [(i, "court_personnel") for i in range(3)]
+
+
+def test_folding_goes_letter_by_letter():
+    from docloom.operators import roles
+
+    for text in ("ΟΔΟΣ ĐẠI İstanbul", "Thẩm phán ĐẶNG", "ẞß ﬁ ǅ Ⅷ Å", ""):
+        assert len(roles._folded(text)) == len(text)
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i) not in "İΣ").translate(roles._FOLD)
+    assert every.lower() == "".join(c.lower() if len(c.lower()) == 1 else c for c in every)
