@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import rules
+from docloom.sources.steps import small_batches
 
 MENTION = "label string, start int, end int, surface string, score double"
 
@@ -113,6 +114,7 @@ def tag(docs: DataFrame, tagger: Callable[[list[str]], list[list[dict]]], id_col
             yield pd.DataFrame({"id": part["id"], "char_len": [len(t) for t in texts], "entities": made, "error": errors})
 
     entities = "array<struct<label:string,start:int,end:int,surface:string,score:double>>"
+    small_batches()
     return frame.mapInPandas(run, f"id {kind}, char_len int, entities {entities}, error string").withColumnRenamed("id", id_col)
 
 

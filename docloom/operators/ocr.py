@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from math import log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.sources.steps import stored
+from docloom.sources.steps import small_batches, stored
 
 SMOOTHING, LEAST_ALPHABET = 0.1, 16
 START, END = "\x02", "\x03"
@@ -56,6 +56,7 @@ def _gram_counts(docs: DataFrame, text_col: str) -> DataFrame:
             code, at = np.unique(code, return_inverse=True)
             yield pa.RecordBatch.from_arrays([_spelled(code), pa.array(np.bincount(at, times, len(code)).astype(np.int64))], ["key", "n"])
 
+    small_batches()
     normal = docs.select(T.normalize(F.col(text_col)).alias("text"))
     return normal.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -93,6 +94,7 @@ def mean_log_probability(docs: DataFrame, model: dict[str, DataFrame], id_col: s
     A model of up to ``MODEL_GRAMS`` grams goes to every worker, and texts are read once; a larger one is joined with the
     grams of each text, counted before.
     """
+    small_batches()
     size = F.greatest(F.lit(LEAST_ALPHABET), F.lit(int(model["meta"].first()[0])))
     chance = lambda g, c: F.log((F.coalesce(g, F.lit(0)) + SMOOTHING) / (F.coalesce(c, F.lit(0)) + SMOOTHING * size))
     contexts = model["contexts"].select(F.col("key").alias("context"), F.col("n").alias("c"))
@@ -141,32 +143,29 @@ def mean_log_probability(docs: DataFrame, model: dict[str, DataFrame], id_col: s
 # ---- normalisation with offsets -------------------------------------------------------------------------------
 
 _DROPPED = set("​‌‍⁠﻿­")
+_DROPPED_CODES = np.array([ord(c) for c in sorted(_DROPPED)], "<u4")
+_SPACE_CODES = np.array([i for i in range(sys.maxunicode + 1) if chr(i).isspace() and chr(i) not in "\r\n"], "<u4")
+NORMAL_CHARS = 1 << 20  # of texts that are given back at once, with two offsets each
+
+
+def _normalized(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    c = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    after_return = np.zeros(len(c), bool)  # a newline that is one with the return before it
+    after_return[1:] = (c[1:] == 10) & (c[:-1] == 13)
+    at = np.flatnonzero(~after_return & ~np.isin(c, _DROPPED_CODES))
+    kept = np.where(c[at] == 13, 10, np.where(np.isin(c[at], _SPACE_CODES), 32, c[at])).astype("<u4")
+    end = at + 1 + np.append(after_return, False)[at + 1]
+    first = np.ones(len(kept), bool)
+    first[1:] = (kept[1:] != 32) | (kept[:-1] != 32)
+    begin = np.flatnonzero(first)
+    last = np.append(begin[1:], len(kept))[: len(begin)] - 1
+    return kept[begin].tobytes().decode("utf-32-le"), at[begin].astype(np.int32), end[last].astype(np.int32)
 
 
 def normalize_spacing(text: str) -> tuple[str, list[int], list[int]]:
     """Without zero-width characters, with newlines alone and single spaces; and where each character began and ended in the source."""
-    out: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    i = 0
-    while i < len(text):
-        char, size = text[i], 1
-        if char in _DROPPED:
-            i += 1
-            continue
-        if char == "\r":
-            size = 2 if text[i + 1 : i + 2] == "\n" else 1
-            char = "\n"
-        elif char != "\n" and char.isspace():
-            char = " "
-        if char == " " and out and out[-1] == " ":
-            ends[-1] = i + size
-        else:
-            out.append(char)
-            starts.append(i)
-            ends.append(i + size)
-        i += size
-    return "".join(out), starts, ends
+    plain, starts, ends = _normalized(text)
+    return plain, starts.tolist(), ends.tolist()
 
 
 def source_span(starts: list[int], ends: list[int], start: int, end: int) -> tuple[int, int]:
@@ -226,17 +225,34 @@ def repair(model: Model, text: str, most_parts: int = 4, most_chars: int = 24, l
 
 def normalize_documents(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """(id, text, source_starts, source_ends, joins): each text normalized, and repaired if a model is given, with its offset map."""
+    small_batches()
     frame = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(frame.dtypes)["id"]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            made = [repair(held.value, t, **limits) if held.value else (*normalize_spacing(t), []) for t in part["text"]]
-            yield pd.DataFrame({"id": part["id"], **{c: [m[i] for m in made] for i, c in enumerate(("text", "source_starts", "source_ends", "joins"))}})
-
     joins = "array<struct<source_start:int,source_end:int,parts:int,ngram_gain:double>>"
-    return frame.mapInPandas(run, f"id {kind}, text string, source_starts array<int>, source_ends array<int>, joins {joins}").withColumnRenamed("id", id_col)
+    join = pa.list_(pa.struct([("source_start", pa.int32()), ("source_end", pa.int32()), ("parts", pa.int32()), ("ngram_gain", pa.float64())]))
+
+    def lists(arrays: list) -> pa.Array:
+        ends = np.cumsum([0, *map(len, arrays)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).astype(np.int32)))
+
+    def packed(ids: pa.Array, made: list[tuple]) -> pa.RecordBatch:
+        text, starts, ends, found = zip(*made)
+        return pa.RecordBatch.from_arrays([ids, pa.array(text, pa.string()), lists(starts), lists(ends), pa.array(found, join)], ["id", "text", "source_starts", "source_ends", "joins"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, chars, first = [], 0, 0
+            for i, text in enumerate(batch.column("text")):
+                text = text.as_py()
+                made.append(repair(held.value, text, **limits) if held.value else (*_normalized(text), []))
+                chars += len(text)
+                if chars >= NORMAL_CHARS or i + 1 == batch.num_rows:
+                    yield packed(batch.column("id").slice(first, i + 1 - first), made)
+                    made, chars, first = [], 0, i + 1
+
+    return frame.mapInArrow(run, f"id {kind}, text string, source_starts array<int>, source_ends array<int>, joins {joins}").withColumnRenamed("id", id_col)
 
 
 def map_back(mentions: DataFrame, normalized: DataFrame, id_col: str = "doc_id") -> DataFrame:

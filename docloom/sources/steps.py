@@ -27,6 +27,20 @@ def steps_folder(spark: SparkSession) -> str:
     return _local[context.applicationId]
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches() -> None:
+    """Have rows sent to Python ``BATCH_BYTES`` at a time in this session, unless it asks for less.
+
+    By default a batch holds 10,000 rows, whatever their size, so that what a worker needs grows with the texts until all batches are full.
+    """
+    spark = SparkSession.active()
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 _written: list[str] = []
 
 

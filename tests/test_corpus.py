@@ -205,3 +205,21 @@ def test_curating_nulls_ties_and_clashing_names(spark):
     assert got.columns == [*df.columns, "stable_rank"] and got.count() == 2 and {r["_rank"] for r in got.collect()} == {5}
     assert curate.top_k_per_stratum(df.limit(0), [F.col("kind")], 1).collect() == [] and curate.dedup_texts(df.limit(0)).collect() == []
     assert [r.ok for r in df.select(curate.long_enough(F.col("text"), 1).alias("ok")).collect()] == [True, True, None, True, True]
+
+
+def test_workers_get_texts_in_small_batches(spark):
+    """Batches went by rows alone, 10,000 of them, whatever the size of the texts."""
+    from docloom.operators import ner
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(3000).coalesce(1).selectExpr("id as doc_id", "repeat('x', 5000) as text")
+    tagged = ner.tag(docs, lambda texts: [[{"label": "X", "start": 0, "end": 1, "surface": "x", "score": float(sum(map(len, texts)))}] for _ in texts])
+    assert tagged.selectExpr("max(entities[0].score)").first()[0] < 8 << 20
+
+
+def test_normal_texts_come_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(ocr, "NORMAL_CHARS", 10)
+    texts = ["a\r\n\r b", "", None, "x  \t​ \n", "dài và dài hơn mười chữ", "\r"]
+    made = ocr.normalize_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)).orderBy("doc_id").collect()
+    assert [(r.text, r.source_starts, r.source_ends, r.joins) for r in made] == [(*ocr.normalize_spacing(t or ""), []) for t in texts]
+    assert made[0].text == "a\n\n b" and made[0].source_starts == [0, 1, 3, 4, 5] and made[0].source_ends == [1, 3, 4, 5, 6] and made[3].text == "x \n"
