@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from docloom.functions import rules
 from docloom.functions import text as T
 from docloom.operators import spans as S
+from docloom.sources.steps import small_batches
 
 LEFT, RIGHT = 150, 120
 _DOTTED = rf"(?:[A-ZĐ]\.){{1,5}}[A-ZĐ](?:{rules.ORDINAL})?"
@@ -57,6 +58,7 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", "start", "end", "surface", "left", "right"])
 
+    small_batches()
     return frame.mapInArrow(run, f"id {kind}, start int, end int, surface string, left string, right string").withColumnRenamed("id", id_col)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import rules
 from docloom.operators.geo import gathered
+from docloom.sources.steps import small_batches
 
 _UNITS = re.compile(rf"(?<!\w)({rules.any_of(rules.PLACE_UNITS.values())})(?!\w)[ \t]*", re.I)
 _MARKER = re.compile(rf"[A-ZĐ](?:[ \t]*{rules.ORDINAL})?(?!\w)")
@@ -24,6 +25,7 @@ def unicode_form(c: Column, form: str = "NFC") -> Column:
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize(form, v))
 
+    small_batches()
     return F.pandas_udf(run, "string")(c)
 
 

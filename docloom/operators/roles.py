@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import rules
 from docloom.functions.text import ACCENTED, PLAIN
+from docloom.sources.steps import small_batches
 
 _FOLD = str.maketrans(ACCENTED, PLAIN)
 _DIRECT = rules.any_of(rules.DIRECT_ROLES)
@@ -93,6 +94,7 @@ def classify_mentions(mentions: DataFrame, docs: DataFrame, id_col: str = "doc_i
             yield pd.DataFrame(rows, columns=["id", "label", "start", "end", "role"])
 
     made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(listed.withColumnRenamed(id_col, "id").hint("merge"), "id")
+    small_batches()
     roles = made.mapInPandas(run, f"id {kind}, label string, start int, end int, role string").withColumnRenamed("id", id_col).distinct()
     return mentions.join(roles.hint("merge"), [id_col, "label", "start", "end"])
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
+from docloom.sources.steps import small_batches
 
 
 def find_spans(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id", text_col: str = "text", flags: int = 0) -> DataFrame:
@@ -41,6 +42,7 @@ def find_spans(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id"
                 ["id", "label", "start", "end", "surface"],
             )
 
+    small_batches()
     return frame.mapInArrow(run, f"id {kind}, label string, start int, end int, surface string").withColumnRenamed("id", id_col)
 
 
@@ -73,6 +75,7 @@ def word_mentions(docs: DataFrame, kinds: list[tuple[str, str]], id_col: str = "
             made = [pa.array(x, pa.int32()) if x is not labels and x is not surfaces else pa.array(x, pa.string()) for x in (labels, starts, ends, surfaces, numbers)]
             yield pa.RecordBatch.from_arrays([*taken, *made], ["_id", *keep, "label", "start", "end", "surface", "word_no"])
 
+    small_batches()
     columns = ", ".join(f"`{c}` {types[c]}" for c in ("_id", *keep))
     return frame.mapInArrow(run, f"{columns}, label string, start int, end int, surface string, word_no int").withColumnRenamed("_id", id_col)
 
