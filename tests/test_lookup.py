@@ -123,3 +123,16 @@ def test_alike_by_pairs_of_letters_loses_no_long_name(spark, monkeypatch, keys):
     one = lambda x: spark.createDataFrame([(w,) for w in x], "name string")
     got = {(r.asked, r.name) for r in lookup.alike(one(asked), one(names), 0.78).collect()}
     assert got == {(a, b) for a in set(asked) for b in set(names) if difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.78}
+
+
+def test_alike_in_memory_compares_few_places(monkeypatch):
+    """Only places of the roles and unit asked for, that share most letters, are compared with a name."""
+    r = random.Random(7)
+    rows = [("p", "", "1", "tỉnh", "Lam Son")] + [(f"c{i}", "p", "3", "xã", "".join(r.choice("abcdefghiklmnopq") for _ in range(8))) for i in range(3000)]
+    g, made = geo.Gazetteer(rows), []
+    exact = difflib.SequenceMatcher
+    monkeypatch.setattr(difflib, "SequenceMatcher", lambda *a, **k: made.append(1) or exact(*a, **k))
+    assert g.fuzzy("vo abcdef", ("province", "district"), "thành phố", {}) == [] and not made
+    name = rows[5][4][:4] + rows[5][4][5:]
+    want = sorted((x, c) for c, *_, n in rows if (x := exact(None, name, n.lower(), autojunk=False).ratio()) >= geo.FUZZY - geo.MARGIN)
+    assert sorted(g.alike(name, ("commune",), "xã")) == want and want and len(made) < 100
