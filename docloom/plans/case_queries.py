@@ -159,12 +159,14 @@ def court_role_cases(spark, sf_dir):
 _MARKED = "Bà Đinh Thu S{i} cùng ông Vũ Đức K{i} ở xã M. S{i} nhớ, K{i} quên."
 
 
-@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 5 END AS replacements, true AS roundtrip_ok, CAST(CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 5 END AS BIGINT) AS candidates FROM customer")
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 5 END AS replacements, c_custkey % 12 <> 4 AS roundtrip_ok, CAST(CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 5 END AS BIGINT) AS candidates FROM customer")
 def marker_cases(spark, sf_dir):
-    """Marked names are found, linked and replaced, and every text comes back from its rewriting."""
-    text = F.when(F.col("c_custkey") % 4 == 0, F.lit("Hồ sơ không có tên.")).otherwise(filled(_MARKED, i=(F.col("c_custkey") % 9 + 1).cast("string")))
-    done, _, _ = markers.reconstruct(X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
-    return done.select("doc_id", "replacements", "roundtrip_ok", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
+    """Marked names are found, linked and replaced, numbers of documents are not, and every text but a null one comes back from its rewriting."""
+    key = F.col("c_custkey")
+    bare = F.when(key % 12 == 0, F.lit("Hồ sơ không có tên.")).when(key % 12 == 8, filled("Mã số K{i}, loại B.", i=(key % 9 + 1).cast("string")))
+    text = F.when(key % 4 == 0, bare).otherwise(filled(_MARKED, i=(key % 9 + 1).cast("string")))
+    done, _, _ = markers.reconstruct(X.table(spark, sf_dir, "customer").select(key.alias("doc_id"), text.alias("text")))
+    return done.select("doc_id", "replacements", F.coalesce("roundtrip_ok", F.lit(False)).alias("roundtrip_ok"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
 
 
 #: Texts, the mentions of their clusters, and the texts that plans give; {h} and {t} begin with H, {l} with L.

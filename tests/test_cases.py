@@ -177,3 +177,11 @@ def test_folding_goes_letter_by_letter():
         assert len(roles._folded(text)) == len(text)
     every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i) not in "İΣ").translate(roles._FOLD)
     assert every.lower() == "".join(c.lower() if len(c.lower()) == 1 else c for c in every)
+
+
+def test_marker_cases_hold_null_texts_and_numbers_of_documents(spark, tmp_path):
+    from docloom.plans import case_queries
+
+    spark.range(24).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.doc_id: (r.replacements, r.roundtrip_ok, r.candidates) for r in case_queries.marker_cases(spark, str(tmp_path)).collect()}
+    assert got == {k: (0 if k % 4 == 0 else 5, k % 12 != 4, 0 if k % 4 == 0 else 5) for k in range(24)}
