@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import time
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +22,30 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri("file:///" + uri[5:].lstrip("/") if uri.startswith("file:") else uri)
 
 
+MARK_BYTES = 4 << 20
+
+
+def marks(file: str) -> Iterator[tuple[int, int]]:
+    """(line, byte) where lines begin, one for some ``MARK_BYTES`` of the file, so that a batch need not read from the start."""
+    store, path = _store(file)
+    with store.open_input_file(path) as f:
+        line = at = last = 0
+        while got := f.read(1 << 20):
+            if at - last >= MARK_BYTES and (end := got.find(b"\n")) >= 0:
+                last = at + end + 1
+                yield line + 1, last
+            line += got.count(b"\n")
+            at += len(got)
+
+
 @dataclass
 class Lines(InputPartition):
     file: str
     first: int  # the number of the first line in the stream
     skip: int
     take: int
+    line: int = 0  # of the file, which begins at byte ``at``, at or before the lines wanted
+    at: int = 0
 
 
 class PullReader(DataSourceStreamReader):
@@ -35,9 +55,9 @@ class PullReader(DataSourceStreamReader):
     """
 
     def __init__(self, options: dict[str, str]):
-        self.files = json.loads(options["files"])  # [[uri, lines], ...]
+        self.files = json.loads(options["files"])  # [[uri, lines, marks], ...]
         self.batch, self.progress = int(options["batch"]), options["progress"]
-        total = sum(n for _, n in self.files)
+        total = sum(n for _, n, _ in self.files)
         self.most = min(total, int(options["most"])) if options.get("most") else total
         self.deadline = time.time() + float(options["seconds"]) if options.get("seconds") else None
         store, path = _store(self.progress)
@@ -62,17 +82,19 @@ class PullReader(DataSourceStreamReader):
         with store.open_output_stream(path) as f:
             f.write(json.dumps({"row": self.planned}).encode())
         parts, first = [], 0
-        for file, n in self.files:
+        for file, n, known in self.files:
             low, high = max(start["row"], first), min(end["row"], first + n)
             if low < high:
-                parts.append(Lines(file, low, low - first, high - low))
+                k = bisect_right(known, low - first, key=lambda m: m[0])
+                parts.append(Lines(file, low, low - first, high - low, *(known[k - 1] if k else (0, 0))))
             first += n
         return parts
 
     def read(self, partition: Lines) -> Iterator[tuple]:
         store, path = _store(partition.file)
-        with store.open_input_stream(path, compression=None) as f:
-            held, line = b"", 0
+        with store.open_input_file(path) as f:
+            f.seek(partition.at)
+            held, line = b"", partition.line
             while line < partition.skip + partition.take:
                 got = f.read(1 << 20)
                 *whole, held = (held + got).split(b"\n") if got else [held, b""]
@@ -103,11 +125,23 @@ def lines(spark: SparkSession, path: str, progress: str, batch: int = 1000, most
     """A stream (row, value) of the lines of the files of a folder, in the order of their names; ``row`` counts from 0.
 
     A trigger takes ``batch`` rows; none come beyond ``most`` rows in all, or once ``seconds`` of this run are over. ``progress`` names a small file of the
-    query's own. Files are counted by Spark when the stream is made, and are not to change afterwards. Blank lines are rows.
+    query's own. Files are counted by Spark when the stream is made, with where some of their lines begin, and are not to change afterwards. Blank lines are rows.
     """
     found = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n")).orderBy("file").collect()  # a row for each file
+    known = {r.file: [] for r in found}
+    if found:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for file in batch.column("file").to_pylist():
+                    made = list(marks(file))
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(made), pa.string()), pa.array([m for m, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64())], ["file", "line", "at"])
+
+        files = spark.createDataFrame([(r.file,) for r in found], "file string").repartition(len(found))
+        for r in files.mapInArrow(run, "file string, line long, at long").collect():  # a row for each 4 MB
+            known[r.file].append([r.line, r.at])
     spark.dataSource.register(Pull)
-    options = {"files": json.dumps([[r.file, r.n] for r in found]), "batch": str(batch), "progress": progress}
+    options = {"files": json.dumps([[r.file, r.n, sorted(known[r.file])] for r in found]), "batch": str(batch), "progress": progress}
     return spark.readStream.format("docloom_pull").options(**options, **({"most": str(most)} if most is not None else {}), **({"seconds": str(seconds)} if seconds is not None else {})).load()
 
 

@@ -1,5 +1,7 @@
 """Rows pulled from files of lines within bounds, each once over restarts."""
 
+import json
+
 from docloom.streaming import pull
 
 
@@ -40,3 +42,15 @@ def test_no_lines(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("")
     assert run(spark, tmp_path, batch=5) == []
+
+
+def test_late_lines_are_read_from_a_mark_near_them(tmp_path):
+    file = tmp_path / "a.txt"
+    file.write_bytes(b"".join(b"%d %s\r\n" % (i, b"x" * (i % 3000)) for i in range(12000)))
+    marks = [list(m) for m in pull.marks(f"file://{file}")]
+    reader = pull.PullReader({"files": json.dumps([[f"file://{file}", 12000, marks]]), "batch": "10", "progress": f"file://{tmp_path}/p.json"})
+    assert len(marks) >= 3
+    for first in (0, marks[0][0] - 1, marks[0][0], 7001, 11990):
+        (part,) = reader.partitions({"row": first}, {"row": first + 10})
+        assert part.at == max([0] + [b for m, b in marks if m <= first])
+        assert list(reader.read(part)) == [(i, f"{i} " + "x" * (i % 3000)) for i in range(first, first + 10)]
