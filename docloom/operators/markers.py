@@ -242,7 +242,7 @@ def replacements(found: DataFrame, values: DataFrame, docs: DataFrame, id_col: s
     joined = found.where("reconstructable").join(values, [id_col, "entity_id"])
     flagged = S.overlapping(joined, id_col).withColumn("_bad", F.bool_or("overlaps").over(Window.partitionBy(id_col, "entity_id"))).where("not _bad")
     text = docs.select(id_col, F.col(text_col).alias("_text"))
-    full = flagged.join(text, id_col)
+    full = flagged.join(text.hint("merge"), id_col)  # Spark takes texts that are made of short columns for small
     bare = (F.col("label") == "PER") & (F.col("start") == F.col("marker_start"))
     value = F.when(bare, F.element_at(F.split("synthetic_value", " "), -1)).otherwise(F.col("synthetic_value"))
     touch = lambda c: c.rlike(r"(?U)[\p{L}\d]")
@@ -258,7 +258,7 @@ def reconstruct(docs: DataFrame, observations: DataFrame | None = None, id_col:
     edits = replacements(found, synthetic_values(found, seed, id_col), docs, id_col, text_col)
     done = S.rewrite(docs, edits, id_col, text_col)
     audit = found.groupBy(id_col).agg(F.count("*").alias("candidates"), F.count_if(F.col("reconstructable")).alias("accepted"), F.array_sort(F.flatten(F.collect_set("entity_reasons"))).alias("entity_reasons"))
-    return done.join(audit, id_col, "left").withColumn("replacements", F.size("edits")), found, edits
+    return done.join(audit.hint("merge"), id_col, "left").withColumn("replacements", F.size("edits")), found, edits
 
 
 def resolve_with(found: DataFrame, resolver, excerpts: DataFrame, id_col: str = "doc_id") -> DataFrame:

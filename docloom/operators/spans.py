@@ -174,7 +174,7 @@ def rewrite(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col:
     """``docs`` with ``rewritten``, ``edits`` (with target offsets) and ``roundtrip_ok``. Edits that overlap others of a document drop out with them."""
     clear = overlapping(edits, id_col).where(~F.col("overlaps")).drop("overlaps")
     listed = with_target_offsets(clear, id_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "original", "replacement", "target_start", "target_end"))).alias("edits"))
-    joined = docs.join(listed, id_col, "left").withColumn("edits", F.coalesce("edits", F.array().cast(listed.schema["edits"].dataType)))
+    joined = docs.join(listed.hint("merge"), id_col, "left").withColumn("edits", F.coalesce("edits", F.array().cast(listed.schema["edits"].dataType)))
     done = joined.withColumn("rewritten", apply_edits(F.col(text_col), F.col("edits"), strict=False))
     return done.withColumn("roundtrip_ok", roundtrip_verified(F.col(text_col), F.col("rewritten"), F.col("edits")))
 
