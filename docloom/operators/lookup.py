@@ -158,67 +158,90 @@ def plan_paths(masked: DataFrame, all_paths: DataFrame, seed: str | int = 42, id
 # ---- known names in running text ----------------------------------------------------------------------------------
 
 GRAM = 3
-FILTER_BITS = 1 << 20  # of the anchors' hashes, of which 64 make a word: 128 KB
+LEAD = 6  # letters of a name's beginning that are asked for before whole names are
+FILTER_BITS = 1 << 20  # of hashes of beginnings and names, at most; 64 make a word
+TOKENS = 512  # of a text, between places that are counted from its beginning
+TOKEN = r"(?U)(?:\w+|[^\w \t])"  # a word or another letter
 
 
 def _without_spaces(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[ \t]", "")
 
 
+def _bare(tokens: Column, text: Column) -> Column:
+    """Tokens in small letters without the spaces after them. İ stays, as it alone would grow, and Σ is σ wherever it stands."""
+    word = lambda x: F.substring_index(F.substring_index(x, " ", 1), "\t", 1)
+    single = lambda x: F.array_join(F.transform(F.split(F.translate(word(x), "Σ", "σ"), "İ"), F.lower), "İ")
+    return F.when(F.contains(text, F.lit("İ")) | F.contains(text, F.lit("Σ")), F.transform(tokens, single)).otherwise(F.transform(tokens, lambda x: F.lower(word(x))))
+
+
 def find_names(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, surface, name): where ``names`` (name) stand in the texts as whole words, whatever spaces lie in them, and whatever their case.
 
-    Each name without its spaces is known by its rarest run of three letters and where that lies in it. Of a text's runs a bitmap of
-    these lets few through, which are joined with the names; what stands around is compared, and led back to offsets. A name within a longer one
-    does not count, nor does one that another name equals but for spaces and case, nor one of under three letters. Null
-    texts hold none, and rows that repeat an id are texts of their own, whose names are not told apart.
+    A whole word begins and ends where tokens do, so only what follows the beginning of a token is looked at. A bitmap of the
+    names' beginnings lets few of these through; of those, what ends with a token is asked for as a whole name, first in the
+    bitmap and then by a join. A name within a longer one does not count, nor does one that another name equals but for
+    spaces and case, nor one of under three letters. Null texts hold none, and rows that repeat an id are texts of their
+    own, whose names are not told apart.
     """
     bare = _without_spaces(F.col("name"))
     known = names.select("name").where("name is not null").distinct().select("name", bare.alias("bare")).where(F.length("bare") >= GRAM)
-    known = known.groupBy("bare").agg(F.min("name").alias("name"), F.count("*").alias("n")).where("n = 1").drop("n")
-    runs = F.transform(F.sequence(F.lit(0), F.length("bare") - GRAM), lambda i: F.struct(F.array_join(F.slice(F.split("bare", ""), i + 1, GRAM), "").alias("gram"), i.cast("int").alias("place")))
-    grams = stored(known.select("name", "bare", F.explode(runs).alias("x")).select("name", "bare", "x.*"), "name-grams")
-    common = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = F.row_number().over(Window.partitionBy("bare").orderBy("n", "gram", "place"))
-    anchors = stored(grams.join(common, "gram").withColumn("rank", rarest).where("rank = 1").select("gram", "place", "bare", "name"), "name-anchors")
-    slot = lambda g: F.xxhash64(g).bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = anchors.select(slot(F.col("gram")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
-    held = [0] * (FILTER_BITS // 64)  # a bitmap: no bit, no name
+    known = stored(known.groupBy("bare").agg(F.min("name").alias("name"), F.count("*").alias("n")).where("n = 1").drop("n"), "known-names")
+    sizes = known.groupBy(F.least(F.length("bare"), F.lit(LEAD)).alias("lead")).agg(F.count("*").alias("n"), F.max(F.length("bare")).alias("most")).collect()  # few rows: one for each beginning's length
+    leads, most = sorted(r.lead for r in sizes), max((r.most for r in sizes), default=0)
+    bits = 1 << 12
+    while bits < min(FILTER_BITS, 128 * sum(r.n for r in sizes)):
+        bits *= 2
+    slot = lambda x: F.xxhash64(x).bitwiseAND(F.lit(bits - 1))
+    asked = known.select(F.explode(F.array(*[F.substring("bare", 1, k) for k in (*range(1, GRAM + 1), LEAD)], F.col("bare"))).alias("x")).select(slot(F.col("x")).alias("slot"))
+    words = asked.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    held = [0] * (bits // 64)  # a bitmap: no bit, no name
     for r in words.collect():  # one for each 64 bits of the filter at most
         held[r.word] = r.bits
-    most = anchors.agg(F.max(F.length("bare"))).first()[0] or 0
     passes = F.broadcast(docs.sparkSession.createDataFrame([(1, held)], "one int, passes array<long>"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(1).alias("one")).where(F.length("text") >= GRAM).join(passes, "one")
-    low = lambda x: F.when(F.length(F.lower(x)) == 1, F.lower(x)).otherwise(x)  # noqa: E731  so that places stay
     let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  computed once, however often it is used
-
-    def hits(given: Column, at: Column, b: Column) -> Column:
-        gram = lambda i: F.concat(*[F.element_at(b, i + 1 + k) for k in range(GRAM)])
-        passes = lambda x: F.getbit(F.element_at("passes", (F.shiftright(x, 6) + 1).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1
-        low, high = (lambda i: F.greatest(i - most, F.lit(0))), (lambda i: F.least(i + most, F.size(at) - 1))
-
-        def around(i: Column) -> Column:
-            first, last = F.element_at(at, low(i) + 1), F.element_at(at, high(i) + 1)
-            base, near = F.greatest(first - 1, F.lit(0)), high(i) - low(i) + 1
+    joined = lambda x, i, k: F.array_join(F.slice(x, i + 1, k), "")
+
+    def passing(x: Column) -> Column:
+        return F.getbit(F.element_at("passes", (F.shiftright(slot(x), 6) + 1).cast("int")), slot(x).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def hits(given: Column, low: Column, bases: Column) -> Column:
+        def begins(i: Column) -> Column:
+            """The token's own first letters are a name's, and so are those with what follows."""
+            some = F.lit(False)
+            for k in leads:
+                some = some | passing(F.substring(joined(low, i, k), 1, k))
+            return passing(F.substring(F.element_at(low, i + 1), 1, GRAM)) & some
+
+        def names_at(i: Column) -> Column:
+            ahead = F.slice(low, i + 1, max(most, 1))
+            reach = F.aggregate(ahead, F.struct(F.lit(0).alias("n"), F.lit(0).alias("size")), lambda a, x: F.struct((a["n"] + (a["size"] < most).cast("int")).alias("n"), (a["size"] + F.length(x)).alias("size")))["n"]
+            whole = F.transform(F.sequence(F.lit(1), reach), lambda k: F.struct(i.alias("i"), k.alias("k"), joined(low, i, k).alias("bare")))
+            return F.filter(whole, lambda x: (F.length(x["bare"]) >= GRAM) & passing(x["bare"]))
+
+        def placed(x: Column) -> Column:
+            i, k, block = x["i"], x["k"], F.shiftright(x["i"], TOKENS.bit_length() - 1)
+            last = F.length(F.element_at(low, i + k))
+            size = F.length(joined(given, i, k - 1)) + last
             return F.struct(
-                gram(i).alias("gram"), (i - low(i)).alias("mid"), F.array_join(F.slice(b, low(i) + 1, near), "").alias("near"), F.slice(at, low(i) + 1, near).alias("places"),
-                base.alias("base"), F.array_join(F.slice(given, base + 1, last - base + 2), "").alias("window"),
+                x["bare"].alias("bare"), (F.element_at(bases, block + 1) + F.length(joined(given, block * TOKENS, i - block * TOKENS))).alias("start"), size.alias("size"), F.substring(joined(given, i, k), F.lit(1), size).alias("surface"),
+                F.when(i > 0, F.substring(F.element_at(given, F.greatest(i, F.lit(1))), -1, 1)).otherwise("").alias("before"), F.substring(joined(given, i + k - 1, 2), last + 1, F.lit(1)).alias("after"),
             )
 
-        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(b) - GRAM, F.lit(0))), lambda i: (i <= F.size(b) - GRAM) & passes(slot(gram(i))))
-        return F.transform(places, around)
+        at = F.filter(F.sequence(F.lit(0), F.size(low) - 1), begins)
+        return F.transform(F.flatten(F.transform(at, names_at)), placed)
+
+    def bases(given: Column) -> Column:
+        """The place in the text of every ``TOKENS``th token."""
+        sizes = F.transform(F.sequence(F.lit(0), F.size(given) - 1, F.lit(TOKENS)), lambda i: F.length(joined(given, i, TOKENS)))
+        return F.aggregate(sizes, F.array(F.length("text") - F.length(F.ltrim("text", F.lit(" \t")))), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
 
-    space = lambda x: x.isin(" ", "\t")
-    bound = let(F.struct(F.transform(F.split("text", ""), low).alias("l"), F.split("text", "").alias("given")), lambda s: let(
-        F.struct(F.filter(F.sequence(F.lit(0), F.size(s["l"]) - 1), lambda i: ~space(F.element_at(s["l"], i + 1))).alias("at"), F.filter(s["l"], lambda x: ~space(x)).alias("b")),
-        lambda r: hits(s["given"], r["at"], r["b"])))
+    tokens = F.regexp_extract_all("text", F.lit(rf"{TOKEN}[ \t]*"), F.lit(0))
+    bound = let(tokens, lambda g: let(_bare(g, F.col("text")), lambda b: F.when(F.size(g) > 0, let(bases(g), lambda at: hits(g, b, at)))))
     seen = rows.select("id", F.explode(bound).alias("x")).select("id", "x.*")
-    found = seen.join(anchors, "gram").where(F.col("mid") >= F.col("place")).withColumn("size", F.length("bare"))
-    found = found.where(F.expr("substring(near, mid - place + 1, size)") == F.col("bare"))
-    found = found.withColumns({"start": F.expr("element_at(places, mid - place + 1)"), "end": F.expr("element_at(places, mid - place + size) + 1")})
     # Whole words: neither the letter before nor the one after is part of a word.
-    before, after = F.expr("if(start > base, substring(window, start - base, 1), '')"), F.expr("substring(window, end - base + 1, 1)")
-    whole = found.where(~before.rlike(r"(?U)\w") & ~after.rlike(r"(?U)\w"))
-    spans = whole.select("id", "start", "end", F.expr("substring(window, start - base + 1, end - start)").alias("surface"), "name").distinct()
+    whole = seen.where(~F.col("before").rlike(r"(?U)\w") & ~F.col("after").rlike(r"(?U)\w")).join(known, "bare")
+    spans = whole.select("id", "start", (F.col("start") + F.col("size")).alias("end"), "surface", "name").distinct()
     reach = F.max("end").over(Window.partitionBy("id").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1))
     return spans.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("end") > F.col("reach"))).drop("reach").withColumnRenamed("id", id_col)

@@ -136,3 +136,21 @@ def test_alike_in_memory_compares_few_places(monkeypatch):
     name = rows[5][4][:4] + rows[5][4][5:]
     want = sorted((x, c) for c, *_, n in rows if (x := exact(None, name, n.lower(), autojunk=False).ratio()) >= geo.FUZZY - geo.MARGIN)
     assert sorted(g.alike(name, ("commune",), "xã")) == want and want and len(made) < 100
+
+
+def test_known_names_of_letters_whose_case_changes_more(spark):
+    """Small letters that are words where the capital is none, or that go by what stands around, move no place."""
+    docs = [(1, "Ɤ Blue ring, ꟋBLUE  RING"), (2, "ΟΔΟΣ ΟΔΟΣ Blue ring"), (3, "\t İİ Blue\tring İ"), (4, " \t"), (5, "___"), (6, "BLUE ring" + "  z" * 1300 + " blue ring  ")]
+    got = lookup.find_names(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("blue ring",), ("no",)], "name string"))
+    assert sorted((tuple(x) for x in got.collect()), key=str) == slow_names(docs, ["blue ring", "no"]) and got.count() == 6
+
+
+def test_known_names_look_only_where_words_begin(spark):
+    """What lies within words is not compared, so that the cost goes by words and not by letters."""
+    docs = spark.createDataFrame([(1, "aabluering " * 1000 + "blue ring")], "doc_id long, text string")
+    assert [r.start for r in lookup.find_names(docs, spark.createDataFrame([("blue ring",)], "name string")).collect()] == [11_000]
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last().executionId()
+    nodes = store.planGraph(last).allNodes()
+    made = [m.accumulatorId() for n in (nodes.apply(i) for i in range(nodes.size())) if n.name() == "Generate" for m in (n.metrics().apply(k) for k in range(n.metrics().size())) if m.name() == "number of output rows"]
+    assert made and all(store.executionMetrics(last).apply(k) == "1" for k in made)
