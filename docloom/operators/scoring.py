@@ -41,7 +41,7 @@ def nearest_title(context: Column) -> Column:
 
 
 def gender(title: Column) -> Column:
-    return F.coalesce(*[F.when(title == t, F.lit(g)) for t, g in rules.FOLDED_GENDER.items()])
+    return F.try_element_at(F.create_map(*[F.lit(x) for tg in rules.FOLDED_GENDER.items() for x in tg]), title)
 
 
 def conflicting_titles(context_a: Column, context_b: Column) -> Column:

@@ -1,7 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import cluster, datasets, geo, lookup, names, ner
+from docloom.operators import cluster, datasets, geo, lookup, names, ner, pairs
 from docloom.plans import pipelines
 from docloom.sources import readers
 from tests.test_linking import GAZ
@@ -108,6 +110,19 @@ def test_anonymize_batch_of_a_document_of_many_mentions(spark, monkeypatch):
     assert got[1].status == "ready" and got[1].released_text == "ông Lê N. " * 40 and got[2].released_text == "ông Lê N khai."
 
 
+def test_equal_names_are_clustered_without_their_pairs(spark, monkeypatch):
+    """As all pairs cluster them; pairs are made only where titles, last names or places stand in the way."""
+    docs = spark.createDataFrame([(1, "ông Lê Nam, bà Lê Nam, Lê Nam. " * 3), (2, "ông Võ An khai. " * 40), (3, "Võ An, võ an, Võ An và UBND.")], "doc_id long, text string")
+    rows = [(d, "PER" if n != "UBND" else "ORG", m.start(), m.end(), m.group()) for d, text in docs.collect() for n in ("Lê Nam", "Võ An", "võ an", "UBND") for m in re.finditer(n, text)]
+    m = spark.createDataFrame([*rows, (3, "PER", 0, 5, "Võ An"), (3, " ", 7, 12, "võ an")], "doc_id long, label string, start int, end int, surface string")
+    key = lambda df: sorted((x.doc_id, x.mention_no, x.cluster_id, x.preserve) for x in df.collect())
+    made, whole = [], pairs.candidates
+    monkeypatch.setattr(pairs, "candidates", lambda *a, **k: made.append(whole(*a, **k)) or made[-1])
+    got, by_pairs = key(pipelines.predict(docs, m, 0.8)), key(pipelines.predict(docs, m, 0.8, pipelines._same))
+    assert got == by_pairs and len(got) > 50
+    assert {x.doc_id for x in made[0].collect()} == {1, 3} and made[0].count() < 50 < made[1].count()
+
+
 def test_reconstruct_batch(spark):
     docs = spark.createDataFrame([(1, "Ông Nguyễn Văn A1 và A1 nói."), (2, "không")], "doc_id long, text string")
     got = {r.doc_id: r for r in pipelines.reconstruct_batch(docs, ner.rule_tagger({"PER": "ông xyz"})).collect()}
