@@ -6,7 +6,7 @@ ids rank first, and nulls of a stratum make one stratum, that of the default.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +47,9 @@ def feature_profile(docs: DataFrame, features: dict[str, str], text_col: str = "
     return counted.withColumns({"relevant": relevant.cast("int"), "primary_challenge": primary_challenge(features)})
 
 
-def primary_challenge(features: Iterable[str]) -> Column:
-    """The first family, in order of precedence, that has a count."""
-    return F.coalesce(*[F.when(F.col(c) > 0, F.lit(c)) for c in rules.CHALLENGES if c in features], F.lit("simple"))
+def primary_challenge(features: Iterable[str], found: Callable[[str], Column] = lambda c: F.col(c) > 0) -> Column:
+    """The first family, in order of precedence, that has a count, or that is ``found``."""
+    return F.coalesce(*[F.when(found(c), F.lit(c)) for c in rules.CHALLENGES if c in features], F.lit("simple"))
 
 
 def interest_score(procedural: Column, dotted: Column, address: Column, person: Column) -> Column:
@@ -173,11 +173,12 @@ def diversity_caps(candidates: DataFrame, target: int, order_col: str = "positio
     caps = {"category": ceil(0.35 * target), "unknown": min(ceil(0.35 * target), ceil(0.25 * target)), "address": ceil(0.60 * target), "all": target}
     category, address = F.coalesce(F.col(category_col), F.lit("")), F.coalesce(F.col(family_col) == "address_marker", F.lit(False))
     narrow = candidates.select(F.col(order_col).alias("place"), category.alias("category"), address.alias("address")).where("place is not null")
-    held = stored(narrow.repartitionByRange("place").withColumn("block", F.spark_partition_id()), "diversity-blocks")
+    # Written before it is dealt by ranges, which reads it twice: candidates may be costly.
+    held = stored(stored(narrow, "diversity-candidates").repartitionByRange("place").withColumn("block", F.spark_partition_id()), "diversity-blocks")
     full: dict[tuple[str, str], object] = {}  # the places at which groups fill
 
     def open_(place: Column, category: Column, address: Column) -> Column:
-        ends = [F.when((F.lit(kind) == "all") | ((F.lit(kind) == "address") & address) | ((F.lit(kind) == "category") & (category == name)), place <= at).otherwise(True) for (kind, name), at in full.items()]
+        ends = [F.when((F.lit(kind) == "all") | ((F.lit(kind) == "address") & address) | ((F.lit(kind) == "category") & (category == name)), place <= at).otherwise(True) for (kind, name), at in sorted(full.items(), key=lambda g: g[0][0] != "all")]  # the whole first: past it nothing else is asked
         fits = F.lit(target > 0)
         for e in ends:
             fits = fits & e

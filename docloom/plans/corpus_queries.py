@@ -260,7 +260,9 @@ def first_retained(spark, sf_dir):
     SELECT o.*, s.taken, s.addresses, len(s.taken) < 200 AND len(list_filter(s.taken, lambda x: x = o.lang)) < 70 AND (o.family <> 'address_marker' OR s.addresses < 120) AS ok FROM s JOIN o ON o.k = s.k + 1)
 ) SELECT doc_id, category, accepted FROM s WHERE k > 0""")
 def diversity_caps(spark, sf_dir):
-    f = X.features(spark, sf_dir).select("doc_id", F.col("doc_id").alias("position"), F.col("lang").alias("category"), "primary_challenge")
+    text = F.coalesce("text", F.lit(""))
+    family = curate.primary_challenge(rules.EN_FEATURES, lambda c: text.rlike(rules.EN_FEATURES[c]))  # nothing is counted, as one of a family tells
+    f = X.documents(spark, sf_dir).select("doc_id", F.col("doc_id").alias("position"), F.col("lang").alias("category"), family.alias("primary_challenge"))
     return curate.diversity_caps(f, 200).select("doc_id", "category", "accepted")
 
 

@@ -87,6 +87,28 @@ def test_diversity_caps_equal_a_fold(spark, target):
     assert got[None] is False and curate.diversity_caps(df.limit(0), 5).collect() == []
 
 
+def test_diversity_caps_find_families_once_to_count_and_once_to_mark(spark):
+    """To deal candidates by ranges, Spark reads them twice."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def family(i):
+        seen.add(1)
+        return "address_marker" if i % 2 else "simple"
+
+    df = spark.range(0, 100, 1, 4).select(F.col("id").alias("position"), F.lit("x").alias("category"), family("id").alias("primary_challenge"))
+    got = {r.position: r.accepted for r in curate.diversity_caps(df, 20).select("position", "accepted").collect()}
+    assert [i for i in range(100) if got[i]] == [0, 1, 2, 3, 4, 5, 6] and seen.value <= 200
+
+
+def test_a_primary_challenge_needs_no_counts(spark):
+    texts = ["also known as A.B.", "A.B. 1.5", "x@y.z", "1.5", " A ", "none", ""]
+    df = curate.feature_profile(spark.createDataFrame([(x,) for x in texts], "text string"), rules.EN_FEATURES)
+    found = curate.primary_challenge(rules.EN_FEATURES, lambda c: F.col("text").rlike(rules.EN_FEATURES[c]))
+    rows = df.select("primary_challenge", found.alias("found")).collect()
+    assert all(r.primary_challenge == r.found for r in rows) and len({r.found for r in rows}) > 3
+
+
 def test_semantic_rejections(spark):
     text = "trả H15.000 đồng, hợp đồng số B2 và C3/4; người D25 nói"
     at = lambda s: (text.index(s), text.index(s) + len(s), s)
