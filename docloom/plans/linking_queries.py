@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -543,6 +546,9 @@ def vocabulary(spark, sf_dir):
 # ---- streams ------------------------------------------------------------------------------------------------------
 
 
+STREAMS = 4  # that pull side by side, at most
+
+
 def _collected(query_, spark, path):
     query_.awaitTermination()
     return spark.read.parquet(path)
@@ -584,19 +590,28 @@ def stream_pools(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row, md5(coalesce(text, '')) AS md5 FROM documents")
 def stream_pull(spark, sf_dir):
-    """Documents as lines, pulled a few hundred at a time by a query that is stopped once and goes on."""
+    """Documents as lines, pulled a few hundred at a time by queries that are stopped once and go on; long tables by several side by side, each with a range of the rows."""
     from docloom.streaming import pull
 
     at = new_folder(spark, "pull")
     docs = X.documents(spark, sf_dir).select(F.to_json(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("value"), "doc_id")
     docs.orderBy("doc_id").select("value").write.text(f"{at}/lines")
-    for most in (500, None):
-        rows = pull.lines(spark, f"{at}/lines", f"{at}/progress.json", batch=400, most=most)
-        out = rows.select("row", F.from_json("value", "doc_id long, text string").alias("d")).select("row", "d.doc_id", F.md5("d.text").alias("md5"))
-        query_ = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").start()
-        query_.processAllAvailable()
-        query_.stop()
-    return spark.read.parquet(f"{at}/out")
+    files = pull.files(spark, f"{at}/lines")
+    n = max(1, min(STREAMS, sum(x for _, x, _ in files) // 4000))
+    with pull.plain_renames(spark, at):
+        for most in (500, None):
+            running = []
+            try:
+                for k in range(n):
+                    rows = pull.lines(spark, files, f"{at}/progress/{k}.json", batch=400, most=most, share=(k, n))
+                    out = rows.select("row", F.from_json("value", "doc_id long, text string").alias("d")).select("row", "d.doc_id", F.md5("d.text").alias("md5"))
+                    running.append(out.writeStream.format("parquet").option("path", f"{at}/out/{k}").option("checkpointLocation", f"{at}/checkpoint/{k}").start())
+                for query_ in running:
+                    query_.processAllAvailable()
+            finally:
+                for query_ in running:
+                    query_.stop()
+    return reduce(DataFrame.union, (spark.read.schema("row long, doc_id long, md5 string").parquet(f"{at}/out/{k}") for k in range(n)))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

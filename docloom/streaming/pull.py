@@ -1,4 +1,4 @@
-"""A stream that pulls rows of files of lines in their order, so many at a time and within bounds, and goes on where it ended."""
+"""Streams that pull rows of files of lines in their order, so many at a time and within bounds, and go on where they ended."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ import json
 import time
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -25,17 +26,24 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
 MARK_BYTES = 4 << 20
 
 
-def marks(file: str) -> Iterator[tuple[int, int]]:
-    """(line, byte) where lines begin, one for some ``MARK_BYTES`` of the file, so that a batch need not read from the start."""
+def scan(file: str) -> tuple[int, list[tuple[int, int]]]:
+    """The number of lines of a file, and (line, byte) where some begin, one for some ``MARK_BYTES``, so that a batch need not read from the start."""
     store, path = _store(file)
+    found, ended = [], True
     with store.open_input_file(path) as f:
         line = at = last = 0
         while got := f.read(1 << 20):
             if at - last >= MARK_BYTES and (end := got.find(b"\n")) >= 0:
                 last = at + end + 1
-                yield line + 1, last
+                found.append((line + 1, last))
             line += got.count(b"\n")
             at += len(got)
+            ended = got.endswith(b"\n")
+    return line + (not ended), found
+
+
+def marks(file: str) -> list[tuple[int, int]]:
+    return scan(file)[1]
 
 
 @dataclass
@@ -49,7 +57,7 @@ class Lines(InputPartition):
 
 
 class PullReader(DataSourceStreamReader):
-    """Offsets are numbers of rows. A trigger admits ``batch`` of them, none beyond ``most`` rows in all or after the deadline.
+    """Offsets are numbers of rows, of those from ``low`` to ``high``. A trigger admits ``batch`` of them, none beyond ``most`` rows in all or after the deadline.
 
     Spark's log of offsets says what is read; how far it has been planned is kept beside it, for a restart to go on from.
     """
@@ -58,16 +66,17 @@ class PullReader(DataSourceStreamReader):
         self.files = json.loads(options["files"])  # [[uri, lines, marks], ...]
         self.batch, self.progress = int(options["batch"]), options["progress"]
         total = sum(n for _, n, _ in self.files)
-        self.most = min(total, int(options["most"])) if options.get("most") else total
+        self.low, high = int(options.get("low") or 0), int(options.get("high") or total)
+        self.most = min(high, int(options["most"])) if options.get("most") else high
         self.deadline = time.time() + float(options["seconds"]) if options.get("seconds") else None
         store, path = _store(self.progress)
-        self.row = self.planned = 0
+        self.row = self.planned = self.low
         if store.get_file_info(path).type != pafs.FileType.NotFound:
             with store.open_input_stream(path) as f:
                 self.row = self.planned = json.loads(f.read())["row"]
 
     def initialOffset(self) -> dict:
-        return {"row": 0}
+        return {"row": self.low}
 
     def latestOffset(self) -> dict:
         late = self.deadline is not None and time.time() >= self.deadline
@@ -121,30 +130,64 @@ class Pull(DataSource):
         return PullReader(dict(self.options))
 
 
-def lines(spark: SparkSession, path: str, progress: str, batch: int = 1000, most: int | None = None, seconds: float | None = None) -> DataFrame:
+Files = list[tuple[str, int, list[tuple[int, int]]]]
+
+
+def files(spark: SparkSession, path: str) -> Files:
+    """(file, lines, marks) of the files of a folder, in the order of their names, each read once by Spark."""
+    names = sorted(spark.read.text(path).inputFiles())
+    if not names:
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column("file").to_pylist():
+                n, found = scan(file)
+                rows = [(0, n), *found]  # first the number of lines
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array([m for m, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["file", "line", "at"])
+
+    known: dict[str, list[tuple[int, int]]] = {}
+    listed = spark.createDataFrame([(x,) for x in names], "file string").repartition(len(names))
+    for r in listed.mapInArrow(run, "file string, line long, at long").collect():  # a row for each file and 4 MB
+        known.setdefault(r.file, []).append((r.line, r.at))
+    return [(x, n, found) for x in names for (_, n), *found in [sorted(known[x])] if n]
+
+
+def lines(spark: SparkSession, path: str | Files, progress: str, batch: int = 1000, most: int | None = None, seconds: float | None = None, share: tuple[int, int] = (0, 1)) -> DataFrame:
     """A stream (row, value) of the lines of the files of a folder, in the order of their names; ``row`` counts from 0.
 
     A trigger takes ``batch`` rows; none come beyond ``most`` rows in all, or once ``seconds`` of this run are over. ``progress`` names a small file of the
-    query's own. Files are counted by Spark when the stream is made, with where some of their lines begin, and are not to change afterwards. Blank lines are rows.
+    query's own. Files are counted by Spark when the stream is made, with where some of their lines begin, and are not to change afterwards; several streams can
+    share what ``files`` has found. Blank lines are rows, and only a line feed, after a carriage return or not, ends one.
+
+    ``share`` (k, n) takes the k-th of n equal ranges of the rows, so that n queries, each with a checkpoint and progress of its own, pull side by side, as a
+    trigger of few rows costs far more than they do. Over restarts n stays the same; ``row`` and ``most`` count rows of the whole.
     """
-    found = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n")).orderBy("file").collect()  # a row for each file
-    known = {r.file: [] for r in found}
-    if found:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for file in batch.column("file").to_pylist():
-                    made = list(marks(file))
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(made), pa.string()), pa.array([m for m, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64())], ["file", "line", "at"])
-
-        files = spark.createDataFrame([(r.file,) for r in found], "file string").repartition(len(found))
-        for r in files.mapInArrow(run, "file string, line long, at long").collect():  # a row for each 4 MB
-            known[r.file].append([r.line, r.at])
+    found = files(spark, path) if isinstance(path, str) else path
+    total, (k, n) = sum(x for _, x, _ in found), share
+    low, high = total * k // n, total * (k + 1) // n
+    firsts = accumulate((x for _, x, _ in found), initial=0)
+    own = [(file, x, known if first < high and low < first + x else []) for (file, x, known), first in zip(found, firsts)]
     spark.dataSource.register(Pull)
-    options = {"files": json.dumps([[r.file, r.n, sorted(known[r.file])] for r in found]), "batch": str(batch), "progress": progress}
+    options = {"files": json.dumps(own), "batch": str(batch), "progress": progress, "low": str(low), "high": str(high)}
     return spark.readStream.format("docloom_pull").options(**options, **({"most": str(most)} if most is not None else {}), **({"seconds": str(seconds)} if seconds is not None else {})).load()
 
 
+@contextmanager
+def plain_renames(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Within it, queries with checkpoints in a local or mounted folder rename their files there directly, which is atomic; Spark's default asks a shell about each, many
+    times a trigger, where Hadoop's native library is absent. Elsewhere nothing changes, nor afterwards for the session."""
+    name = "spark.sql.streaming.checkpointFileManagerClass"
+    before = spark.conf.get(name, None)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def until(query: StreamingQuery, reached: Callable[[], bool], every: float = 0.2) -> None:
     """Let a query run until ``reached`` holds, such as a target of accepted rows, or it ends by itself, and stop it. Rows of a batch under way still count."""
     try:
